@@ -1,4 +1,4 @@
 """All registered queries. Importing a module registers its plans."""
 
-from skyledger.catalog import stats  # noqa: F401
+from skyledger.catalog import parsing, stats  # noqa: F401
 from skyledger.catalog.base import ORACLE, QUERIES  # noqa: F401
