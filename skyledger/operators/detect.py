@@ -62,8 +62,10 @@ def condition(df: DataFrame, job: Job) -> Column:
     if "signal" in df.columns:
         test &= F.col("signal") == job.signal
     for name, op, value in job.where:
-        if op == "eq":
-            test &= pick(df, name) == str(value)
+        if op == "eq" and isinstance(value, (int, float)):
+            test &= pick(df, name, "double") == float(value)
+        elif op == "eq":
+            test &= pick(df, name) == value
         elif op == "in":
             test &= pick(df, name).isin(*value)
         elif op == "ge":

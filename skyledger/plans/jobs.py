@@ -13,7 +13,7 @@ ERR5 = (("http.response.status_code", "ge", 500),)
 ERR4 = (("http.response.status_code", "ge", 400),)
 
 
-def _eq(field: str, value: str) -> tuple:
+def _eq(field: str, value: str | int) -> tuple:
     return ((field, "eq", value),)
 
 
@@ -204,7 +204,7 @@ CATALOGUE = {
         ("aws-apigateway-5xx-error-spike", f"{API_GW}_logs", "high_count", "", f"{API_GW}.stage",
          ERR5),
         ("aws-apigateway-throttle-spike", f"{API_GW}_logs", "high_count", "", "",
-         _eq("http.response.status_code", "429")),
+         _eq("http.response.status_code", 429)),
         ("aws-apigateway-latency-anomaly", f"{API_GW}_logs", "high_mean",
          f"{API_GW}.integration_latency", f"{API_GW}.stage"),
         ("aws-lambda-cold-start-spike", "aws.lambda_logs", "high_count", "",
