@@ -1,4 +1,4 @@
 """All registered queries. Importing a module registers its plans."""
 
-from skyledger.catalog import detection, documents, panels, parsing, stats  # noqa: F401
+from skyledger.catalog import detection, documents, metrics, panels, parsing, stats, traces  # noqa: F401
 from skyledger.catalog.base import ORACLE, QUERIES  # noqa: F401
