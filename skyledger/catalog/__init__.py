@@ -1,4 +1,15 @@
 """All registered queries. Importing a module registers its plans."""
 
-from skyledger.catalog import detection, documents, metrics, panels, parsing, stats, traces  # noqa: F401
+from skyledger.catalog import (  # noqa: F401
+    detection,
+    documents,
+    metrics,
+    panels,
+    parsing,
+    quality,
+    security,
+    stats,
+    streams,
+    traces,
+)
 from skyledger.catalog.base import ORACLE, QUERIES  # noqa: F401

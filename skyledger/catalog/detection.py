@@ -102,17 +102,20 @@ SCORE = (
 
 
 def scores_sql(layout: Layout) -> str:
+    return scores_over(layout.feed_sql())
+
+
+def scores_over(feed: str, closed: str = "true") -> str:
     """CTEs up to ``scores(job, entity, b, function, actual, typical, seen, score)``.
 
     Count detectors are zero-filled explicitly here, which is what the RANGE frame of the plan
     stands for.
     """
     counts = ", ".join(f"'{f}'" for f in D.COUNTS)
-    empties = ", ".join(f"'{f}'" for f in D.NEEDS_EMPTY)
     frame = "OVER (PARTITION BY job, entity ORDER BY b ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)"
-    return f"""{EV}, feed AS ({layout.feed_sql()}),
+    return f"""{EV}, feed AS ({feed}),
   bk AS (SELECT job, fn, entity, {bucket_sql(SECONDS)} AS b, count(*) AS docs, count(m) AS vals,
-           sum(m) AS total, max(m) AS peak FROM feed GROUP BY 1, 2, 3, 4),
+           sum(m) AS total, max(m) AS peak FROM feed GROUP BY 1, 2, 3, 4 HAVING {closed}),
   ends AS (SELECT job, max(b) AS last FROM bk GROUP BY 1),
   spine AS (SELECT s.job, s.fn, s.entity, unnest(range(s.first, e.last + 1, {SECONDS})) AS b FROM
       (SELECT job, fn, entity, min(b) AS first FROM bk WHERE fn IN ({counts}) GROUP BY 1, 2, 3) s

@@ -38,11 +38,13 @@ def chain_counts(
     present = F.lit(True)
     for s in steps:
         present &= F.col(f"n_{s}") > 0
+    # Grouping by the window itself keeps its watermark, so the same plan runs on a stream.
     return (
         calls.filter(F.col("action").isin(*steps))
-        .groupBy(*actor, F.window("ts", window).getField("start").alias("bucket"))
+        .groupBy(*actor, F.window("ts", window).alias("_w"))
         .agg(*counts)
         .filter(present)
+        .select(*actor, F.col("_w.start").alias("bucket"), *[f"n_{s}" for s in steps])
     )
 
 
@@ -193,9 +195,11 @@ def egress_by_destination(flows: DataFrame) -> DataFrame:
 
 def domain_volume(queries: DataFrame, span: str = "15 minutes") -> DataFrame:
     """DNS queries per domain and bucket."""
-    return queries.groupBy(
-        F.col("name").alias("domain"), F.window("ts", span).getField("start").alias("bucket")
-    ).agg(F.count("*").alias("queries"))
+    return (
+        queries.groupBy(F.col("name").alias("domain"), F.window("ts", span).alias("_w"))
+        .agg(F.count("*").alias("queries"))
+        .select("domain", F.col("_w.start").alias("bucket"), "queries")
+    )
 
 
 def root_or_iam(calls: DataFrame, iam_actions: list[str]) -> DataFrame:
@@ -204,6 +208,7 @@ def root_or_iam(calls: DataFrame, iam_actions: list[str]) -> DataFrame:
     iam = F.col("action").isin(*iam_actions)
     return (
         calls.filter(root | iam)
-        .groupBy(F.window("ts", "15 minutes").getField("start").alias("bucket"))
+        .groupBy(F.window("ts", "15 minutes").alias("_w"))
         .agg(F.count_if(root).alias("root_calls"), F.count_if(iam).alias("iam_calls"))
+        .select(F.col("_w.start").alias("bucket"), "root_calls", "iam_calls")
     )
