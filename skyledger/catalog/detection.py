@@ -105,7 +105,7 @@ def scores_sql(layout: Layout) -> str:
     return scores_over(layout.feed_sql())
 
 
-def scores_over(feed: str, closed: str = "true") -> str:
+def scores_over(feed: str, closed: str = "true", seconds: int = SECONDS) -> str:
     """CTEs up to ``scores(job, entity, b, function, actual, typical, seen, score)``.
 
     Count detectors are zero-filled explicitly here, which is what the RANGE frame of the plan
@@ -114,10 +114,10 @@ def scores_over(feed: str, closed: str = "true") -> str:
     counts = ", ".join(f"'{f}'" for f in D.COUNTS)
     frame = "OVER (PARTITION BY job, entity ORDER BY b ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)"
     return f"""{EV}, feed AS ({feed}),
-  bk AS (SELECT job, fn, entity, {bucket_sql(SECONDS)} AS b, count(*) AS docs, count(m) AS vals,
+  bk AS (SELECT job, fn, entity, {bucket_sql(seconds)} AS b, count(*) AS docs, count(m) AS vals,
            sum(m) AS total, max(m) AS peak FROM feed GROUP BY 1, 2, 3, 4 HAVING {closed}),
   ends AS (SELECT job, max(b) AS last FROM bk GROUP BY 1),
-  spine AS (SELECT s.job, s.fn, s.entity, unnest(range(s.first, e.last + 1, {SECONDS})) AS b FROM
+  spine AS (SELECT s.job, s.fn, s.entity, unnest(range(s.first, e.last + 1, {seconds})) AS b FROM
       (SELECT job, fn, entity, min(b) AS first FROM bk WHERE fn IN ({counts}) GROUP BY 1, 2, 3) s
       JOIN ends e ON e.job = s.job),
   filled AS (SELECT s.job, s.fn, s.entity, CAST(s.b AS BIGINT) AS b,
@@ -214,3 +214,52 @@ def influencers(spark, sf):
         "job", "entity", secs("bucket").alias("b"), "field", "value", "rank", "docs",
         r4(F.col("share")).alias("share"),
     )
+
+
+# One query per detector function: six-hour buckets per event type.
+FUNCTIONS = [*D.COUNTS, *D.VALUES, D.RARE]
+
+
+def function_job(function: str) -> D.Job:
+    split = ("kind", "key") if function == D.RARE else ("kind",)
+    return D.Job("functions", function, "all", function, "value", split)
+
+
+def function_feed(function: str) -> str:
+    entity = "event_type || '|' || k" if function == D.RARE else "event_type"
+    return (
+        f"SELECT 'functions/{function}' AS job, '{function}' AS fn, {entity} AS entity, ts, v AS m FROM ev"
+    )
+
+
+def detect_function(function: str, spark, sf):
+    docs = events(spark, sf).select(
+        "ts", F.lit("all").alias("dataset"), F.col("event_type").alias("kind"),
+        F.col("k").cast("string").alias("key"), F.col("v").alias("value"),
+    )
+    return shaped(D.detect(docs, [function_job(function)], "6 hours"))
+
+
+for _function in FUNCTIONS:
+    query(
+        f"detector_{_function}",
+        f"""WITH {scores_over(function_feed(_function), seconds=21600)} SELECT job, entity, b, function,
+            {r4_sql("actual")} AS actual, {r4_sql("score")} AS score, seen FROM scores""",
+    )(partial(detect_function, _function))
+
+
+@query(
+    "join_zero_fill_spine",
+    f"""WITH {EV}, e AS (SELECT u, {bucket_sql(3600)} AS b, count(*) AS n FROM ev GROUP BY 1, 2),
+        s AS (SELECT u, unnest(range(min(b), (SELECT max(b) FROM e) + 1, 3600)) AS b FROM e GROUP BY u)
+        SELECT CAST(s.u AS VARCHAR) AS entity, s.b, coalesce(n, 0) AS docs FROM s
+        LEFT JOIN e ON e.u = s.u AND e.b = s.b""",
+)
+def zero_fill_spine(spark, sf):
+    """Silent hours of every user, from its first to the last hour of the job."""
+    job = D.Job("spine", "low", "all", "low_count", split=("user",))
+    docs = events(spark, sf).select(
+        "ts", F.lit("all").alias("dataset"), F.col("u").cast("string").alias("user")
+    )
+    filled = D.empty_buckets(D.bucketise(D.datafeed(docs, [job]), "1 hour"), [job], 3600)
+    return filled.select("entity", secs("bucket").alias("b"), "docs")

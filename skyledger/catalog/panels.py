@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from skyledger.catalog.base import (
     EV, bucket_sql, columns_sql, documents, events, query, r4, r4_sql, secs, secs_sql,
 )
+from skyledger.functions.fields import promote
 from skyledger.plans import panels
 from skyledger.plans.panels import Panel
+from skyledger.session import scratch_path
 
 DATASET = (
     "CASE event_type WHEN 'click' THEN 'aws.glue' WHEN 'view' THEN 'aws.emr_logs' "
@@ -118,3 +120,16 @@ def run(p: Panel, spark, sf):
 
 for _panel in panels.PANELS:
     query(f"panel_{_panel.name}", panel_sql(_panel))(partial(run, _panel))
+
+
+_PROMOTED = panels.by_name("glue_runs_by_state")
+
+
+@query("panel_on_promoted_fields", panel_sql(_PROMOTED))
+def on_promoted_fields(spark, sf):
+    """The same panel over a written table whose hot fields are typed columns."""
+    path = scratch_path(spark, "promoted")
+    promote(docs(spark, sf), panels.hot_fields()).write.parquet(path)
+    stored = spark.read.parquet(path).drop("aws")
+    out = panels.run(_PROMOTED, stored, SPAN)
+    return out.withColumn("share", r4(F.col("share")))

@@ -14,6 +14,20 @@ def variant_path(keys: Sequence[str]) -> str:
     return "$" + "".join("['{}']".format(k) for k in keys)
 
 
+def promoted_name(path: str) -> str:
+    """Column name of a field that was promoted out of the VARIANT tail."""
+    return path.replace(".", "__")
+
+
+def promote(df: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """Typed copies of hot fields (``{path: type}``), to be added before a table is written.
+
+    A VARIANT is read whole, whatever is asked of it; a promoted column is read alone, and
+    filters on it reach the Parquet scan. ``pick`` prefers promoted columns.
+    """
+    return df.withColumns({promoted_name(p): pick(df, p, kind) for p, kind in paths.items()})
+
+
 def pick(df: DataFrame, path: str | Sequence[str], as_type: str = "string") -> Column:
     """The column for a field name such as ``aws.glue.job.name``.
 
@@ -22,8 +36,9 @@ def pick(df: DataFrame, path: str | Sequence[str], as_type: str = "string") -> C
     list of keys. A name found nowhere is NULL, as in a schemaless store.
     """
     keys = path.split(".") if isinstance(path, str) else list(path)
-    if isinstance(path, str) and path in df.columns:
-        return F.col(f"`{path}`").cast(as_type)
+    for name in (path, promoted_name(path)) if isinstance(path, str) else ():
+        if name in df.columns:
+            return F.col(f"`{name}`").cast(as_type)
     node, column = df.schema, None
     for i, key in enumerate(keys):
         if isinstance(node, VariantType):

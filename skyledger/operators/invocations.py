@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.operators.joins import lookup_join
+
 
 def request_id(message: Column) -> Column:
     """The request a line belongs to: system line, application line or JSON line."""
@@ -78,6 +80,4 @@ def with_traces(logs: DataFrame, spans: DataFrame) -> DataFrame:
     roots = spans.filter(F.col("parent_id").isNull()).groupBy("trace_id").agg(
         F.min("service_name").alias("root_service"), F.min("name").alias("root_name")
     )
-    from skyledger.operators.traces import left_join
-
-    return left_join(logs, roots, ["trace_id"])
+    return lookup_join(logs, roots, ["trace_id"])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.operators.joins import expand_join
+
 # The calls of a privilege escalation, in order.
 ESCALATION_STEPS = ("ListUsers", "CreateAccessKey", "AttachUserPolicy", "AssumeRole")
 
@@ -19,9 +21,8 @@ def finding_lineage(detections: DataFrame, hub: DataFrame, lake: DataFrame) -> D
     links = hub.select("hub_id", F.explode("related_findings").alias("_r")).select(
         "hub_id", F.col("_r.id").alias("arn")
     )
-    return detections.join(links, "arn", "left").join(
-        lake.withColumnRenamed("finding_uid", "hub_id"), "hub_id", "left"
-    )
+    promoted = expand_join(detections, links, ["arn"])
+    return expand_join(promoted, lake.withColumnRenamed("finding_uid", "hub_id"), ["hub_id"])
 
 
 def step_number(action: Column, steps=ESCALATION_STEPS) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.operators.joins import lookup_join
 from skyledger.operators.stats import FAILURE, bucket, stats_by
 from skyledger.session import cut_lineage
 
@@ -80,7 +81,7 @@ def with_parent(spans: DataFrame, *columns: str) -> DataFrame:
         "trace_id", F.col("id").alias("parent_id"),
         *[F.col(c).alias(f"parent_{c}") for c in columns],
     )
-    return spans.join(parent, ["trace_id", "parent_id"], "left")
+    return lookup_join(spans, parent, ["trace_id", "parent_id"])
 
 
 def orphans(spans: DataFrame) -> DataFrame:
@@ -311,16 +312,7 @@ def error_context(errors: DataFrame, spans: DataFrame) -> DataFrame:
         "trace_id", F.col("id").alias("parent_id"), F.col("name").alias("at_name"),
         F.col("kind").alias("at_kind"), F.col("duration_us").alias("at_us"),
     )
-    return left_join(errors, where, ["trace_id", "parent_id"])
-
-
-def left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left outer join whose rows without a key skip the shuffle instead of meeting in one task."""
-    whole = F.lit(True)
-    for k in keys:
-        whole &= F.col(k).isNotNull()
-    matched = left.filter(whole).join(right, keys, "left")
-    return matched.unionByName(left.filter(~whole), allowMissingColumns=True)
+    return lookup_join(errors, where, ["trace_id", "parent_id"])
 
 
 def linked_traces(spans: DataFrame) -> DataFrame:
@@ -334,7 +326,7 @@ def linked_traces(spans: DataFrame) -> DataFrame:
         .groupBy(F.col("trace_id").alias("upstream"))
         .agg(F.min("service_name").alias("upstream_service"), F.min("ts").alias("upstream_ts"))
     )
-    return links.join(upstream, "upstream", "left")
+    return lookup_join(links, upstream, ["upstream"])
 
 
 def by_label(spans: DataFrame, other: DataFrame, label: str, key: str) -> DataFrame:

@@ -194,3 +194,16 @@ def run(panel: Panel, docs: DataFrame, span: str = "15 minutes", tie: str | None
 
 def by_name(name: str) -> Panel:
     return next(p for p in PANELS if p.name == name)
+
+
+def hot_fields() -> dict[str, str]:
+    """The fields below ``aws`` that panels read, with their types, for ``fields.promote``."""
+    out: dict[str, str] = {}
+    for p in PANELS:
+        for name, field in p.series:
+            numeric = p.kind != "recent" or name in NUMERIC
+            out[field] = "double" if numeric else out.get(field, "string")
+        for field in [p.by, *[f for f, _ in p.where]]:
+            if field:
+                out[field] = "string"
+    return {f: kind for f, kind in out.items() if f.startswith("aws.")}
