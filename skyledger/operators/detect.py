@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyledger.functions.fields import pick
+from skyledger.session import stage
 
 SPAN = "15 minutes"
 QUERY_DELAY = "60 seconds"
@@ -296,8 +297,15 @@ def score(buckets: DataFrame, jobs: list[Job], span_seconds: int = 900) -> DataF
 
 
 def detect(docs: DataFrame, jobs: list[Job], span: str = SPAN) -> DataFrame:
-    """D1-D14 over a batch of documents with ``ts`` and ``dataset``; D17's backfill form."""
-    return score(bucketise(datafeed(docs, jobs), span), jobs, span_seconds(span))
+    """D1-D14 over a batch of documents with ``ts`` and ``dataset``; D17's backfill form.
+
+    The documents are scanned once: where several detectors read the buckets, the buckets are
+    staged first.
+    """
+    buckets = bucketise(datafeed(docs, jobs), span)
+    if any(j.function == RARE or j.function in NEEDS_EMPTY for j in jobs):
+        buckets = stage(buckets, "buckets")
+    return score(buckets, jobs, span_seconds(span))
 
 
 def span_seconds(span: str) -> int:
@@ -348,7 +356,7 @@ def influencers(
         F.col("_p.field").alias("field"), F.col("_p.value").alias("value"),
     ).agg(F.count("*").alias("docs"))
     keys = ["job", "entity", "bucket"]
-    near = counted.join(flagged.select(*keys).distinct(), keys, "left_semi")
+    near = stage(counted.join(flagged.select(*keys).distinct(), keys, "left_semi"), "influencers")
     whole = near.groupBy(*keys, "field").agg(F.sum("docs").alias("_all"))
     best = Window.partitionBy(*keys, "field").orderBy(F.desc("docs"), "value")
     return (

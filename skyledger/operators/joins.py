@@ -6,20 +6,27 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 
 def has_key(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: int = 1024) -> DataFrame:
     """Left outer join against a side with one row per key.
 
     A busy key can only sit on the left, which adaptive execution splits. Rows without a key
-    never match; they skip the shuffle instead of meeting in one task.
+    match nothing, but would all hash to one task; a salt taken from their other columns
+    spreads them. The salt of the right side is always 0, written so that the optimizer does
+    not fold it and drop it from the join keys.
     """
-    matched = left.filter(has_key(keys)).join(right, keys, "left")
-    return matched.unionByName(left.filter(~has_key(keys)), allowMissingColumns=True)
+    plain = [f.name for f in left.schema.fields if isinstance(f.dataType, AtomicType)
+             and not isinstance(f.dataType, VariantType)]
+    anywhere = F.pmod(F.xxhash64(*plain), F.lit(spread)) + 1
+    salted = left.withColumn("_salt", F.when(has_key(keys), F.lit(0)).otherwise(anywhere))
+    looked_up = right.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    return salted.join(looked_up, [*keys, "_salt"], "left").drop("_salt")
 
 
 def expand_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.session import stage
+
 
 def approx_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000
@@ -23,14 +25,15 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles without holding a group in one task.
 
-    1. Equal values collapse to (value, count) rows.
+    1. Equal values collapse to (value, count) rows, which are staged: the input is read once.
     2. A sketch per group gives ``bins`` edges; rows are counted per bin.
     3. Only the few bins that hold a wanted rank are ranked row by row.
 
     The built-in exact aggregate keeps every distinct value of a group in one buffer; here a hot
     group is spread over its bins.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    present = df.filter(F.col(value).isNotNull())
+    counted = stage(present.groupBy(*keys, value).agg(F.count("*").alias("_c")), "percentiles")
     edges = [i / bins for i in range(1, bins)]
     groups = counted.groupBy(*keys).agg(
         F.sum("_c").alias("_n"), F.percentile_approx(value, edges, 10 * bins).alias("_edges")

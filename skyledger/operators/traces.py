@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skyledger.operators.joins import lookup_join
 from skyledger.operators.stats import FAILURE, bucket, stats_by
-from skyledger.session import cut_lineage
+from skyledger.session import stage
 
 ID = ["trace_id", "id"]
 SERVICE_MAP_KEYS = ["caller", "callee"]
@@ -81,7 +81,7 @@ def with_parent(spans: DataFrame, *columns: str) -> DataFrame:
         "trace_id", F.col("id").alias("parent_id"),
         *[F.col(c).alias(f"parent_{c}") for c in columns],
     )
-    return lookup_join(spans, parent, ["trace_id", "parent_id"])
+    return spans.join(parent, ["trace_id", "parent_id"], "left")
 
 
 def orphans(spans: DataFrame) -> DataFrame:
@@ -95,25 +95,35 @@ def orphans(spans: DataFrame) -> DataFrame:
 def validate(spans: DataFrame) -> DataFrame:
     """Per trace, number of documents, roots and unresolved parents, and the verdict.
 
-    Children collapse to one row per (trace, parent) before they meet the ids, so a parent with
-    very many children does not make one task large.
+    Every span adds one row for its own id and one for the id it refers to. One aggregation per
+    (trace, id) then shows which ids are referred to but absent: one scan, no join, and a
+    parent with very many children collapses before the shuffle.
     """
-    links = (
-        spans.filter(F.col("parent_id").isNotNull())
-        .groupBy("trace_id", F.col("parent_id").alias("id"))
-        .agg(F.count("*").alias("children"))
-    )
-    ids = spans.select(*ID).distinct().withColumn("_found", F.lit(True))
-    lost = (
-        links.join(ids, ID, "left")
-        .groupBy("trace_id")
-        .agg(F.sum(F.when(F.col("_found").isNull(), F.col("children")).otherwise(0)).alias("orphans"))
-    )
-    shape = spans.groupBy("trace_id").agg(
-        F.count("*").alias("docs"), F.count_if(F.col("parent_id").isNull()).alias("roots")
-    )
-    out = shape.join(lost, "trace_id", "left").withColumn(
-        "orphans", F.coalesce("orphans", F.lit(0).cast("bigint"))
+    none = F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+
+    def mention(key: Column, docs: Column, roots: Column, refs: Column) -> Column:
+        return F.struct(
+            key.alias("id"), docs.alias("docs"), roots.alias("roots"), refs.alias("refs")
+        )
+
+    root = F.when(F.col("parent_id").isNull(), one).otherwise(none)
+    rows = spans.select(
+        "trace_id",
+        F.explode(
+            F.array(
+                mention(F.col("id"), one, root, none),
+                mention(F.col("parent_id"), none, none, 1 - root),
+            )
+        ).alias("_m"),
+    ).select("trace_id", "_m.*")
+    per_id = rows.groupBy("trace_id", "id").agg(
+        F.sum("docs").alias("docs"), F.sum("roots").alias("roots"), F.sum("refs").alias("refs")
+    )
+    out = per_id.groupBy("trace_id").agg(
+        F.sum("docs").alias("docs"),
+        F.sum("roots").alias("roots"),
+        F.sum(F.when(F.col("docs") == 0, F.col("refs")).otherwise(none)).alias("orphans"),
     )
     valid = (F.col("docs") >= 2) & (F.col("roots") >= 1) & (F.col("orphans") == 0)
     return out.withColumn("valid", valid)
@@ -125,8 +135,8 @@ def depths(
     """Depth of every span and the top of its branch, by pointer doubling.
 
     Every round each span jumps to the ancestor of its current ancestor, so a tree of depth d
-    takes about log2(d) equi-joins of the id columns only. Each round is checkpointed to the
-    shared folder, which keeps the plan short and survives lost executors. Spans whose parent
+    takes about log2(d) equi-joins of the id columns only. Each round is staged in the shared
+    folder, which keeps the plan short and survives lost executors. Spans whose parent
     is missing start their own branch; members of a parent cycle end with a NULL depth.
     """
     trace, own, up = keys
@@ -141,7 +151,7 @@ def depths(
         F.when(F.col("_known"), F.lit(1)).otherwise(0).cast("bigint").alias("depth"),
         F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("top"),
     )
-    state = cut_lineage(state)
+    state = stage(state, "depth")
     for _ in range(rounds):
         open_spans = state.filter(F.col("up").isNotNull())
         if open_spans.isEmpty():
@@ -154,7 +164,7 @@ def depths(
             "trace_id", "id", F.col("_up").alias("up"),
             (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top"),
         )
-        state = cut_lineage(state.filter(F.col("up").isNull()).unionByName(moved))
+        state = stage(state.filter(F.col("up").isNull()).unionByName(moved), "depth")
     done = F.col("up").isNull()
     return state.select(
         "trace_id", "id",

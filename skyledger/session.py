@@ -67,7 +67,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the shared folder, so that later steps survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results that several later steps read: the raw input is scanned once, the plan stays
+    short, lost executors cost nothing that was staged, and the planner knows the real size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
