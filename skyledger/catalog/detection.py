@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyledger.catalog.base import EV, bucket_sql, documents, events, query, r4, r4_sql, secs
 from skyledger.operators import detect as D
 from skyledger.plans import jobs as J
+from skyledger.sources.documents import spread
 
 SPAN, SECONDS = "15 minutes", 900
 STEP = 30
@@ -57,7 +58,7 @@ class Layout:
         return f"CASE {' '.join(whens)} ELSE {other} END"
 
     def documents(self, spark, sf):
-        base = events(spark, sf).withColumn(
+        base = spread(events(spark, sf)).withColumn(
             "dataset", F.explode(F.array(*[F.lit(d) for d in self.datasets]))
         )
         names = sorted({n for _, n in self.values})

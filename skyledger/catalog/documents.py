@@ -40,7 +40,7 @@ SV = f"{EV}, sv AS (SELECT *, {SERVICE} AS svc FROM ev), so AS (SELECT *, {SOURC
 
 def raw_documents(spark, sf):
     """Bare documents: some carry a level, an agent-free cloud block and a service name."""
-    return events(spark, sf).select(
+    return Docs.spread(events(spark, sf)).select(
         "event_id", "ts", "k", "event_type",
         F.expr(SERVICE).alias("service_id"),
         F.expr(OVERRIDE).alias("source_override"),

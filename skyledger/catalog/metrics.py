@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.catalog.base import EV, bucket_sql, events, query, r4, r4_sql, secs, secs_sql
 from skyledger.operators import metrics as M
 from skyledger.operators import stats as A
+from skyledger.sources.documents import spread
 
 
 def metric_documents(spark, sf):
@@ -28,7 +29,7 @@ def metric_documents(spark, sf):
             ).alias("dimensions"),
         ).alias("lambda")
     )
-    return events(spark, sf).select(
+    return spread(events(spark, sf)).select(
         "event_id", "ts", F.lit("aws.lambda").alias("dataset"),
         F.to_variant_object(body).alias("aws"),
     )

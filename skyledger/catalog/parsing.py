@@ -10,6 +10,7 @@ from skyledger.operators import invocations, parse, security
 
 from skyledger.operators.enrich import normalise_category, strip_nulls
 from skyledger.plans import parsers
+from skyledger.sources.documents import spread
 
 # One log line per event. Sign-ups end a request, views start one, purchases report it, errors
 # are plain application lines and clicks are JSON lines.
@@ -171,7 +172,7 @@ FLOW = """concat('2 ', CAST(100000000000 + l_suppkey AS {s}), ' eni-', CAST(l_su
 def flows(spark, sf):
     """Line items as version 2 flow records, parsed back into columns."""
     line = FLOW.format(s="STRING", at="unix_seconds(CAST(l_shipdate AS TIMESTAMP))")
-    df = table(spark, sf, "lineitem").withColumn("message", F.expr(line))
+    df = spread(table(spark, sf, "lineitem")).withColumn("message", F.expr(line))
     return df.select("message", parse.flow_record(F.col("message")).alias("f")).select(
         "message", "f.*"
     )

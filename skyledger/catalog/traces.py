@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.catalog.base import bucket_sql, events, query, r4, r4_sql, secs, secs_sql, table
 from skyledger.operators import invocations
 from skyledger.operators import traces as T
+from skyledger.sources.documents import spread
 
 # An order is a transaction, its line items are spans. Spans run in the supplier's service and
 # call the part as a resource; returned items failed.
@@ -33,7 +34,7 @@ def spans(spark, sf):
     """The same rows in the span layout; finished items point to a parent that is missing."""
     none = F.lit(None).cast("string")
     oid = F.concat(F.lit("o"), "o_orderkey")
-    orders = table(spark, sf, "orders").select(
+    orders = spread(table(spark, sf, "orders")).select(
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.concat(F.lit("t"), "o_orderkey").alias("trace_id"), oid.alias("id"),
         none.alias("parent_id"), oid.alias("transaction_id"), F.lit("transaction").alias("kind"),
@@ -44,7 +45,7 @@ def spans(spark, sf):
         F.lit(4).alias("span_started"),
     )
     flag, key = F.col("l_returnflag"), F.col("l_orderkey")
-    items = table(spark, sf, "lineitem").select(
+    items = spread(table(spark, sf, "lineitem")).select(
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.concat(F.lit("t"), key).alias("trace_id"),
         F.concat(

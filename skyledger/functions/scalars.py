@@ -135,7 +135,10 @@ def dimension(dimensions: Column, key: str) -> Column:
 
 def name_uuid(seed: Column) -> Column:
     """A repeatable UUID: SHA-1 of the seed shaped with the version and variant digits."""
-    digest = F.sha1(seed)
+    return digest_uuid(F.sha1(seed))
+
+
+def digest_uuid(digest: Column) -> Column:
     variant = F.lower(
         F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8))
     )

@@ -12,6 +12,7 @@ rows. A hot entity therefore reaches the windows as at most one row per bucket o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,7 +155,7 @@ def empty_buckets(buckets: DataFrame, jobs: list[Job], seconds: int) -> DataFram
     """Zero rows for the silent buckets of entities whose silence can be the anomaly.
 
     The spine of an entity runs from its first bucket to the last bucket of the job, and only
-    jobs in ``NEEDS_EMPTY`` get one. Upper-tail counts need none: see ``score_buckets``.
+    jobs in ``NEEDS_EMPTY`` get one. Upper-tail counts need none: see ``score_counts``.
     """
     keys = [j.key for j in jobs if j.function in NEEDS_EMPTY]
     if not keys:
@@ -189,76 +190,108 @@ def empty_buckets(buckets: DataFrame, jobs: list[Job], seconds: int) -> DataFram
     return buckets.filter(~F.col("job").isin(*keys)).unionByName(filled)
 
 
-def score_buckets(
+def _numbered(df: DataFrame, jobs: list[Job], span_seconds: int, names) -> DataFrame:
+    """The buckets of the jobs whose function is among ``names``, with a bucket number."""
+    chosen = [j for j in jobs if j.function in names]
+    return (
+        df.filter(F.col("job").isin(*[j.key for j in chosen]))
+        .withColumn("function", _lookup(chosen, lambda j: j.function))
+        .withColumn("_b", F.floor(F.unix_seconds("bucket") / span_seconds).cast("bigint"))
+    )
+
+
+def _scored(df: DataFrame, n: Column, mu: Column, sd: Column) -> DataFrame:
+    df = df.withColumns({"seen": n, "typical": mu, "_sd": sd})
+    z = directed(F.col("function"), deviation(F.col("actual"), F.col("typical"), F.col("_sd")))
+    return df.select(
+        "job", "entity", "bucket", "function", "actual", "typical", "seen",
+        score_of(z, F.col("seen")).alias("score"),
+    )
+
+
+def score_counts(
     buckets: DataFrame, jobs: list[Job], span_seconds: int = 900, history: int = HISTORY
 ) -> DataFrame:
-    """Score every bucket against the previous ``history`` buckets of its entity.
+    """Counts against the previous ``history`` buckets, silent ones included.
 
-    Counts use a RANGE frame over the bucket number with sums and sums of squares: buckets
-    without rows then count as zeros without being stored. An empty bucket can never score in
-    the upper tail, so ``high_count`` needs no zero-filled spine at all. Means, sums and maxima
-    compare with the previous filled buckets (ROWS frame).
+    Frames are RANGE frames over the bucket number, so buckets without rows count as zeros
+    without being stored: an empty bucket can never score in the upper tail, and ``high_count``
+    needs no zero-filled spine. Sums over the last ``history`` buckets are differences of two
+    running sums, in integers and so without rounding; each row then costs the same however
+    long the history is.
 
     A caller that only holds recent buckets adds ``first_bucket`` per row, so that the number of
     buckets an entity has lived through stays right.
     """
-    jobs = [j for j in jobs if j.function != RARE]
-    df = empty_buckets(buckets, jobs, span_seconds).withColumn(
-        "function", _lookup(jobs, lambda j: j.function)
-    )
-    df = df.filter(F.col("function").isNotNull())
-    number = F.floor(F.unix_seconds("bucket") / span_seconds).cast("bigint")
-    fn = F.col("function")
-    x = (
-        F.when(fn.isin(*COUNTS), F.col("docs").cast("double"))
-        .when(fn.endswith("_mean"), F.col("total") / F.col("values"))
-        .when(fn == "high_sum", F.col("total"))
-        .otherwise(F.col("peak"))
-    )
-    df = df.withColumn("_b", number).withColumn("actual", x).filter(F.col("actual").isNotNull())
+    df = _numbered(empty_buckets(buckets, jobs, span_seconds), jobs, span_seconds, COUNTS)
     ordered = Window.partitionBy("job", "entity").orderBy("_b")
     born = F.first("_b").over(ordered)
     if "first_bucket" in df.columns:
         known = F.max("first_bucket").over(Window.partitionBy("job", "entity"))
         born = F.coalesce(F.floor(F.unix_seconds(known) / span_seconds).cast("bigint"), born)
-    families = {j.function in COUNTS for j in jobs}
-    counted = valued = None
-    if True in families:
-        past = ordered.rangeBetween(-history, -1)
-        df = df.withColumns(
-            {
-                "_n": F.least(F.lit(history).cast("bigint"), F.col("_b") - born),
-                "_s": F.coalesce(F.sum("actual").over(past), F.lit(0.0)),
-                "_q": F.coalesce(F.sum(F.col("actual") * F.col("actual")).over(past), F.lit(0.0)),
-            }
-        )
-        mu = F.try_divide(F.col("_s"), F.col("_n"))
-        spread = F.try_divide(
-            F.col("_q") - F.try_divide(F.col("_s") * F.col("_s"), F.col("_n")), F.col("_n") - 1
-        )
-        counted = (F.col("_n"), mu, F.sqrt(F.greatest(spread, F.lit(0.0))))
-    if False in families:
-        past = ordered.rowsBetween(-history, -1)
-        df = df.withColumns(
-            {
-                "_vn": F.count("actual").over(past),
-                "_vm": F.avg("actual").over(past),
-                "_vs": F.stddev_samp("actual").over(past),
-            }
+    wide = F.col("docs").cast("decimal(19,0)")
+
+    def recent(x: Column) -> Column:
+        until = lambda last: F.sum(x).over(
+            ordered.rangeBetween(Window.unboundedPreceding, last)
         )
-        valued = (F.col("_vn"), F.col("_vm"), F.col("_vs"))
+        zero = F.lit(0)
+        return F.coalesce(until(-1), zero) - F.coalesce(until(-history - 1), zero)
+
+    df = df.withColumns(
+        {
+            "actual": F.col("docs").cast("double"),
+            "_n": F.least(F.lit(history).cast("bigint"), F.col("_b") - born),
+            "_s": recent(F.col("docs")).cast("double"),
+            "_q": recent((wide * wide).cast("decimal(38,0)")).cast("double"),
+        }
+    )
+    mu = F.try_divide(F.col("_s"), F.col("_n"))
+    spread = F.try_divide(
+        F.col("_q") - F.try_divide(F.col("_s") * F.col("_s"), F.col("_n")), F.col("_n") - 1
+    )
+    return _scored(df, F.col("_n"), mu, F.sqrt(F.greatest(spread, F.lit(0.0))))
 
-    def choose(i: int) -> Column:
-        if counted is None or valued is None:
-            return (counted or valued)[i]
-        return F.when(fn.isin(*COUNTS), counted[i]).otherwise(valued[i])
 
-    df = df.withColumns({"seen": choose(0), "typical": choose(1), "_sd": choose(2)})
-    z = directed(fn, deviation(F.col("actual"), F.col("typical"), F.col("_sd")))
-    return df.select(
-        "job", "entity", "bucket", "function", "actual", "typical", "seen",
-        score_of(z, F.col("seen")).alias("score"),
-    )
+def score_values(
+    buckets: DataFrame, jobs: list[Job], span_seconds: int = 900, history: int = HISTORY
+) -> DataFrame:
+    """Means, sums and maxima against the previous filled buckets (ROWS frame)."""
+    df = _numbered(buckets, jobs, span_seconds, VALUES)
+    fn = F.col("function")
+    x = (
+        F.when(fn.endswith("_mean"), F.col("total") / F.col("values"))
+        .when(fn == "high_sum", F.col("total"))
+        .otherwise(F.col("peak"))
+    )
+    df = df.withColumn("actual", x).filter(F.col("actual").isNotNull())
+    past = Window.partitionBy("job", "entity").orderBy("_b").rowsBetween(-history, -1)
+    df = df.withColumns(
+        {
+            "_n": F.count("actual").over(past),
+            "_mu": F.avg("actual").over(past),
+            "_dev": F.stddev_samp("actual").over(past),
+        }
+    )
+    return _scored(df, F.col("_n"), F.col("_mu"), F.col("_dev"))
+
+
+def families(jobs: list[Job]) -> list[str]:
+    """Which kinds of detector a list of jobs holds."""
+    kinds = {"counts": COUNTS, "values": VALUES, RARE: (RARE,)}
+    return [k for k, names in kinds.items() if any(j.function in names for j in jobs)]
+
+
+def score_buckets(
+    buckets: DataFrame, jobs: list[Job], span_seconds: int = 900, history: int = HISTORY
+) -> DataFrame:
+    """All count and value detectors of the list."""
+    parts = []
+    if "counts" in families(jobs):
+        parts.append(score_counts(buckets, jobs, span_seconds, history))
+    if "values" in families(jobs):
+        parts.append(score_values(buckets, jobs, span_seconds, history))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def score_rare(buckets: DataFrame, jobs: list[Job]) -> DataFrame:
@@ -286,14 +319,11 @@ def score_rare(buckets: DataFrame, jobs: list[Job]) -> DataFrame:
 def score(buckets: DataFrame, jobs: list[Job], span_seconds: int = 900) -> DataFrame:
     """All detectors over one table of buckets."""
     parts = []
-    if any(j.function != RARE for j in jobs):
+    if {"counts", "values"} & set(families(jobs)):
         parts.append(score_buckets(buckets, jobs, span_seconds))
-    if any(j.function == RARE for j in jobs):
+    if RARE in families(jobs):
         parts.append(score_rare(buckets, jobs))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def detect(docs: DataFrame, jobs: list[Job], span: str = SPAN) -> DataFrame:
@@ -303,7 +333,8 @@ def detect(docs: DataFrame, jobs: list[Job], span: str = SPAN) -> DataFrame:
     staged first.
     """
     buckets = bucketise(datafeed(docs, jobs), span)
-    if any(j.function == RARE or j.function in NEEDS_EMPTY for j in jobs):
+    shared = len(families(jobs)) > 1 or RARE in families(jobs)
+    if shared or any(j.function in NEEDS_EMPTY for j in jobs):
         buckets = stage(buckets, "buckets")
     return score(buckets, jobs, span_seconds(span))
 

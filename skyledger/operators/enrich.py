@@ -1,7 +1,7 @@
 """Document enrichment: fill what is missing, keep what the document already says.
 
 All of it is one ``select`` of column expressions. Values that would be random are derived
-from the document key, so that a task that runs twice writes the same document.
+from a digest of the document key, so that a task that runs twice writes the same document.
 """
 
 from __future__ import annotations
@@ -54,9 +54,9 @@ def fill_struct(df: DataFrame, root: str, leaves: dict[str, Column]) -> Column:
     return F.struct(*parts)
 
 
-def agent_block(source: Column, event_type: str, region: Column, key: Column) -> Column:
+def agent_block(source: Column, event_type: str, region: Column, digest: Column) -> Column:
     """The shipping agent, by source; traces keep their own block."""
-    token = X.name_uuid(key)
+    token = X.digest_uuid(digest)
     none = F.lit(None).cast("string")
 
     def block(kind: str, version: str, stem: str, own: Column, ephemeral: Column) -> Column:
@@ -90,10 +90,12 @@ def event_defaults(module: Column, dataset: Column, resolved: Column) -> tuple[C
     )
 
 
-def s3_context(service: Column, account: Column, region: Column, ts: Column, key: Column) -> Column:
+def s3_context(
+    service: Column, account: Column, region: Column, ts: Column, digest: Column
+) -> Column:
     """Bucket, arn and object key; the date path follows the document time."""
     bucket = F.concat_ws("-", F.lit("aws"), service, F.lit("logs"), account)
-    stem = F.concat(service, F.lit("_"), F.upper(F.substring(F.sha1(key), 1, 20)), F.lit(".log.gz"))
+    stem = F.concat(service, F.lit("_"), F.upper(F.substring(digest, 1, 20)), F.lit(".log.gz"))
     return F.struct(
         F.struct(bucket.alias("name"), F.concat(F.lit("arn:aws:s3:::"), bucket).alias("arn")).alias(
             "bucket"
@@ -107,26 +109,26 @@ def s3_context(service: Column, account: Column, region: Column, ts: Column, key
 
 
 def cloudwatch_context(
-    service: Column, region: Column, ts: Column, key: Column, present: Column | None = None
+    service: Column, region: Column, ts: Column, digest: Column, present: Column | None = None
 ) -> Column:
     """Log group, log stream and ingestion time; a context that is present is kept."""
     made = F.struct(
         F.concat(F.lit("/aws/"), service, F.lit("/logs")).alias("log_group"),
-        F.concat_ws("/", region, F.substring(F.sha1(key), 1, 8)).alias("log_stream"),
+        F.concat_ws("/", region, F.substring(digest, 1, 8)).alias("log_stream"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ingestion_time"),
     )
     return made if present is None else F.coalesce(present, made)
 
 
 def firehose_context(
-    source: Column, service: Column, region: Column, account: Column, key: Column
+    source: Column, service: Column, region: Column, account: Column, digest: Column
 ) -> Column:
     """Only for documents delivered by the delivery stream."""
     stream = F.concat(
         F.lit("arn:aws:firehose:"), region, F.lit(":"), account,
         F.lit(":deliverystream/aws-"), service, F.lit("-stream"),
     )
-    block = F.struct(stream.alias("arn"), X.name_uuid(key).alias("request_id"))
+    block = F.struct(stream.alias("arn"), X.digest_uuid(digest).alias("request_id"))
     return F.when(source == "firehose", block)
 
 
@@ -135,9 +137,8 @@ def is_compute(service: Column) -> Column:
     return service.isin(*R.COMPUTE_SERVICES)
 
 
-def host_block(service: Column, key: Column, name: Column, hostname: Column) -> Column:
+def host_block(service: Column, digest: Column, name: Column, hostname: Column) -> Column:
     """Host fields for compute services that carry no host name yet."""
-    digest = F.sha1(key)
     octets = [F.conv(F.substring(digest, p, 2), 16, 10) for p in (1, 3, 5, 7)]
     made_name = F.concat(F.lit("ip-"), F.concat_ws("-", *octets), F.lit(".ec2.internal"))
     made_host = F.concat(service, F.lit("-"), F.substring(digest, 9, 8))
@@ -204,11 +205,19 @@ def enrich(
     The contexts that go below ``aws`` come out as ``aws_context``; the ``aws`` tail itself is
     left as it is, so that its VARIANT is not rebuilt row by row.
     """
-    svc, doc_key, ts = F.col(service), F.col(key).cast("string"), F.col("ts")
-    source = R.resolve_source(svc, F.col(override) if override else None)
-    region = F.coalesce(F.col("cloud.region"), F.lit(DEFAULT_REGION))
-    account = F.coalesce(F.col("cloud.account.id"), F.lit(DEFAULT_ACCOUNT))
-    resolved = R.resolve_dataset(svc, event_type)
+    svc, ts = F.col(service), F.col("ts")
+    # Looked up and hashed once per row, in a projection of their own.
+    df = df.withColumns(
+        {
+            "_digest": F.sha1(F.col(key).cast("string")),
+            "ingest_source": R.resolve_source(svc, F.col(override) if override else None),
+            "_region": F.coalesce(F.col("cloud.region"), F.lit(DEFAULT_REGION)),
+            "_account": F.coalesce(F.col("cloud.account.id"), F.lit(DEFAULT_ACCOUNT)),
+            "_resolved": R.resolve_dataset(svc, event_type),
+        }
+    )
+    digest, source = F.col("_digest"), F.col("ingest_source")
+    region, account, resolved = F.col("_region"), F.col("_account"), F.col("_resolved")
 
     def given(root: str) -> Column | None:
         return F.col(root) if root in df.columns else None
@@ -248,7 +257,7 @@ def enrich(
             ),
         ),
     }
-    made_agent = agent_block(source, event_type, region, doc_key)
+    made_agent = agent_block(source, event_type, region, digest)
     columns["agent"] = made_agent if given("agent") is None else keep("agent", made_agent)
     if event_type == "logs":
         columns["service"] = service_block(
@@ -256,19 +265,18 @@ def enrich(
         )
         columns["log"] = F.struct(log_level(_leaf(df, "log", "level")).alias("level"))
         columns["host"] = host_block(
-            svc, doc_key, _leaf(df, "host", "name"), _leaf(df, "host", "hostname")
+            svc, digest, _leaf(df, "host", "name"), _leaf(df, "host", "hostname")
         )
         made_otel = otel_block(source)
         columns["telemetry"] = (
             made_otel if given("telemetry") is None else F.coalesce(given("telemetry"), made_otel)
         )
         columns["aws_context"] = F.struct(
-            s3_context(svc, account, region, ts, doc_key).alias("s3"),
-            cloudwatch_context(svc, region, ts, doc_key).alias("cloudwatch"),
-            firehose_context(source, svc, region, account, doc_key).alias("firehose"),
+            s3_context(svc, account, region, ts, digest).alias("s3"),
+            cloudwatch_context(svc, region, ts, digest).alias("cloudwatch"),
+            firehose_context(source, svc, region, account, digest).alias("firehose"),
         )
-    columns["ingest_source"] = source
-    return df.withColumns(columns)
+    return df.withColumns(columns).drop("_digest", "_region", "_account", "_resolved")
 
 
 def _names_of(block: Column) -> list[str]:

@@ -21,19 +21,29 @@ def approx_percentiles(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 128
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: list[float],
+    bins: int = 256,
+    one_pass_limit: int = 1_000_000,
 ) -> DataFrame:
-    """Exact, linearly interpolated percentiles without holding a group in one task.
+    """Exact, linearly interpolated percentiles without holding a large group in one task.
 
     1. Equal values collapse to (value, count) rows, which are staged: the input is read once.
     2. A sketch per group gives ``bins`` edges; rows are counted per bin.
     3. Only the few bins that hold a wanted rank are ranked row by row.
 
-    The built-in exact aggregate keeps every distinct value of a group in one buffer; here a hot
-    group is spread over its bins.
+    The built-in exact aggregate keeps every distinct value of a group in one buffer. It is used
+    only where step 1 left at most ``one_pass_limit`` rows in all; beyond that a hot group is
+    spread over its bins.
     """
     present = df.filter(F.col(value).isNotNull())
     counted = stage(present.groupBy(*keys, value).agg(F.count("*").alias("_c")), "percentiles")
+    if counted.limit(one_pass_limit + 1).count() <= one_pass_limit:
+        exact = F.percentile(value, [float(p) for p in probs], F.col("_c")).alias("_q")
+        picks = [F.get("_q", F.lit(i)).alias(label(p)) for i, p in enumerate(probs)]
+        return counted.groupBy(*keys).agg(exact).select(*keys, *picks)
     edges = [i / bins for i in range(1, bins)]
     groups = counted.groupBy(*keys).agg(
         F.sum("_c").alias("_n"), F.percentile_approx(value, edges, 10 * bins).alias("_edges")

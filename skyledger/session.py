@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Wide projections otherwise become methods the JVM refuses to compile to machine code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 

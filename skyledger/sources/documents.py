@@ -135,6 +135,16 @@ def preview(df: DataFrame, n: int = 10, ts: str = "ts") -> DataFrame:
     return df.orderBy(F.desc(ts), doc).limit(n).select(F.col(ts), doc.alias("doc"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores, such as one compressed file.
+
+    A large input has many splits and is left alone, so this never shuffles a big table. It pays
+    for work per row (parsing, enrichment), not for plain aggregations.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_indices(*frames: DataFrame) -> DataFrame:
     """Datasets under one pattern, missing columns filled with NULL."""
     out = frames[0]

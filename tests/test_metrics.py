@@ -76,8 +76,8 @@ def test_ratio_without_denominator(rows):
     assert M.ratio(df, ["k"], "Errors", "Invocations").collect()[0]["ratio"] is None
 
 
-@pytest.mark.parametrize("keys", [["g"], []])
-def test_exact_percentiles_with_a_hot_group(rows, keys):
+@pytest.mark.parametrize("keys,limit", [(["g"], 0), ([], 0), (["g"], 10**6), ([], 10**6)])
+def test_exact_percentiles_with_a_hot_group(rows, keys, limit):
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -86,7 +86,7 @@ def test_exact_percentiles_with_a_hot_group(rows, keys):
     data = [("hot", float(x)) for x in hot] + [("cold", float(x)) for x in cold] + [("one", 5.0)]
     df = rows(data + [("hot", None)], "g string, v double")
     probs = [0.0, 0.5, 0.95, 0.999, 1.0]
-    out = quantiles.exact_percentiles(df, keys, "v", probs, bins=16).collect()
+    out = quantiles.exact_percentiles(df, keys, "v", probs, bins=16, one_pass_limit=limit).collect()
     groups = {"hot": hot, "cold": cold, "one": np.array([5.0])} if keys else {
         None: np.array([v for _, v in data])
     }
