@@ -14,7 +14,7 @@ from skyledger.catalog.base import (
     EV, bucket_sql, columns_sql, documents, events, query, r4, r4_sql, secs, secs_sql,
 )
 from skyledger.functions.fields import promote
-from skyledger.plans import panels
+from skyledger.plans import dashboards, panels
 from skyledger.plans.panels import Panel
 from skyledger.session import scratch_path
 
@@ -62,8 +62,13 @@ def docs(spark, sf):
 
 
 def panel_sql(p: Panel) -> str:
-    """The panel as SQL, written per kind against flat columns."""
-    where = f"dataset = '{panels.DATASETS[p.dashboard]}'"
+    return f"WITH {DOCS} {body_sql(p)}"
+
+
+def body_sql(p: Panel) -> str:
+    """The panel as SQL, written per kind against the flat columns of ``docs``."""
+    names = ", ".join(f"'{d}'" for d in panels.DATASETS[p.dashboard])
+    where = f"dataset IN ({names})"
     for name, value in p.where:
         where += f" AND \"{name}\" = '{value}'"
     rows = f"FROM docs WHERE {where}"
@@ -80,6 +85,8 @@ def panel_sql(p: Panel) -> str:
         ) + f" AS value {rows}",
         "avg": f"SELECT {listed} {rows}",
         "sum": f"SELECT {listed} {rows}",
+        "failures_line": f"SELECT {slot}, count(*) FILTER ({bad}) AS value {rows} GROUP BY 1",
+        "avg_by": f'SELECT "{p.by}" AS key, {listed} {rows} GROUP BY 1',
         "count_line": f"SELECT {slot}, count(*) AS value {rows} GROUP BY 1",
         "avg_line": f"SELECT {slot}, {listed} {rows} GROUP BY 1",
         "sum_line": f"SELECT {slot}, {listed} {rows} GROUP BY 1",
@@ -101,7 +108,7 @@ def panel_sql(p: Panel) -> str:
         )
         + f" {rows} ORDER BY ts DESC, event_id LIMIT {p.n}",
     }
-    return f"WITH {DOCS} {kinds[p.kind]}"
+    return kinds[p.kind]
 
 
 def run(p: Panel, spark, sf):
@@ -133,3 +140,48 @@ def on_promoted_fields(spark, sf):
     stored = spark.read.parquet(path).drop("aws")
     out = panels.run(_PROMOTED, stored, SPAN)
     return out.withColumn("share", r4(F.col("share")))
+
+
+def _titled_fields(name: str) -> dict[str, str]:
+    _, dimensions, measures = dashboards.DASHBOARDS[name]
+    fields = {"event.outcome": FIELDS["event.outcome"]}
+    for i, field in enumerate(dimensions):
+        value = "u" if i == 0 else "k"
+        fields[field] = f"concat('x-', CAST({value} AS VARCHAR(9)))"
+    for i, field in enumerate(measures):
+        fields[field] = f"CAST({NUMBERS[i % len(NUMBERS)]} AS DOUBLE)"
+    return fields
+
+
+def _titled_dataset(name: str) -> str:
+    """Errors belong to another dataset; with two datasets clicks go to the second one."""
+    names = dashboards.DASHBOARDS[name][0]
+    return (
+        f"CASE event_type WHEN 'error' THEN 'other' WHEN 'click' THEN '{names[-1]}' "
+        f"ELSE '{names[0]}' END"
+    )
+
+
+def titled_sql(name: str) -> str:
+    parts = []
+    for p in dashboards.panels_of(name):
+        grouped = p.kind in ("share", "top", "avg_by")
+        key = "key" if grouped else "CAST(bucket AS VARCHAR)" if p.kind.endswith("line") else "''"
+        for series in ("count", "share") if p.kind == "share" else ("count",) if p.kind == "top" else ("value",):
+            parts.append(
+                f"SELECT '{p.key}' AS panel, {key} AS key, '{series}' AS series, "
+                f"CAST({series} AS DOUBLE) AS value FROM ({body_sql(p)})"
+            )
+    fields = columns_sql(_titled_fields(name))
+    docs = f"docs AS (SELECT event_id, ts, {_titled_dataset(name)} AS dataset, {fields} FROM ev)"
+    return f"WITH {EV}, {docs} " + " UNION ALL ".join(parts)
+
+
+def run_titled(name: str, spark, sf):
+    base = events(spark, sf).withColumn("dataset", F.expr(_titled_dataset(name)))
+    made = documents(base, _titled_fields(name), ["event_id", "ts", "dataset"])
+    return dashboards.run(name, made, SPAN).withColumn("value", r4(F.col("value")))
+
+
+for _name in dashboards.DASHBOARDS:
+    query(f"dashboard_{_name}", titled_sql(_name))(partial(run_titled, _name))

@@ -36,12 +36,12 @@ class Panel:
         return f"{self.dashboard}_{self.key}"
 
 
-# Which dataset each dashboard reads.
-DATASETS = {
-    "glue": "aws.glue",
-    "sagemaker": "aws.sagemaker",
-    "emr": "aws.emr_logs",
-    "athena": "aws.athena",
+# Which datasets each dashboard reads.
+DATASETS: dict[str, tuple[str, ...]] = {
+    "glue": ("aws.glue",),
+    "sagemaker": ("aws.sagemaker",),
+    "emr": ("aws.emr_logs",),
+    "athena": ("aws.athena",),
 }
 
 _GLUE = "aws.glue.metrics.driver."
@@ -151,7 +151,7 @@ def fields_of(panel: Panel) -> list[str]:
 
 def run(panel: Panel, docs: DataFrame, span: str = "15 minutes", tie: str | None = None) -> DataFrame:
     """The panel's plan over documents of its dataset (column ``dataset``)."""
-    df = docs.filter(F.col("dataset") == DATASETS[panel.dashboard])
+    df = docs.filter(F.col("dataset").isin(*DATASETS[panel.dashboard]))
     for name, value in panel.where:
         df = df.filter(pick(df, name) == value)
     outcome = pick(df, "event.outcome")
@@ -170,6 +170,8 @@ def run(panel: Panel, docs: DataFrame, span: str = "15 minutes", tie: str | None
         return df.agg(*[measure(f, agg).alias(n) for n, f in panel.series])
     if panel.kind == "count_line":
         return A.over_time(df, span, value=F.count("*"))
+    if panel.kind == "failures_line":
+        return A.over_time(df, span, value=F.count_if(outcome == A.FAILURE))
     if panel.kind in ("avg_line", "sum_line"):
         agg = F.avg if panel.kind == "avg_line" else F.sum
         return A.over_time(df, span, **{n: measure(f, agg) for n, f in panel.series})
@@ -187,6 +189,8 @@ def run(panel: Panel, docs: DataFrame, span: str = "15 minutes", tie: str | None
         return A.top(keyed, "key", panel.n)
     if panel.kind == "failures_by":
         return A.failures_by(keyed, outcome, "key", panel.n or None)
+    if panel.kind == "avg_by":
+        return keyed.groupBy("key").agg(*[measure(f, F.avg).alias(n) for n, f in panel.series])
     if panel.kind == "sum_by":
         return A.sum_by(keyed, "key", pick(df, panel.series[0][1], "double"), panel.unit)
     raise ValueError(f"unknown panel kind {panel.kind}")
@@ -196,10 +200,10 @@ def by_name(name: str) -> Panel:
     return next(p for p in PANELS if p.name == name)
 
 
-def hot_fields() -> dict[str, str]:
+def hot_fields(panels: list[Panel] | None = None) -> dict[str, str]:
     """The fields below ``aws`` that panels read, with their types, for ``fields.promote``."""
     out: dict[str, str] = {}
-    for p in PANELS:
+    for p in PANELS if panels is None else panels:
         for name, field in p.series:
             numeric = p.kind != "recent" or name in NUMERIC
             out[field] = "double" if numeric else out.get(field, "string")
