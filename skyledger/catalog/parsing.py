@@ -148,7 +148,7 @@ def by_dataset(spark, sf):
 
 @query(
     "parse_plain_text_kept",
-    """SELECT lang, count(*) AS docs, CAST(0 AS BIGINT) AS parsed, CAST(sum(strlen(text)) AS BIGINT)
+    """SELECT lang, count(*) AS docs, count(*) FILTER (json_valid(text)) AS parsed, CAST(sum(strlen(text)) AS BIGINT)
        AS bytes FROM documents GROUP BY 1""",
 )
 def plain_text(spark, sf):

@@ -120,8 +120,28 @@ def last_segment(value: Column) -> Column:
     return F.element_at(F.split(value, "/"), -1)
 
 
+# First and last character of something that may be JSON; settles most plain lines cheaply.
+_JSON_SHAPE = (
+    r"""^\s*(?:\{[\s\S]*\}|\[[\s\S]*\]|"[\s\S]*"|true|false|null|-?[0-9][0-9.eE+-]*)\s*$"""
+)
+
+
+def strict_json(text: Column) -> Column:
+    """The text as VARIANT if it is one JSON value and nothing else, NULL otherwise.
+
+    The built-in parser stops after the first value, so a flow record such as ``2 1234 eni-1``
+    would pass as the number 2. Text after the value has to be legal inside a list and inside an
+    object at the same time to get through here, and no such text exists.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(
+        text.rlike(_JSON_SHAPE) & keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant")
+    )
+
+
 def json_field(text: Column, path: str, as_type: str = "string") -> Column:
-    return F.try_variant_get(F.try_parse_json(text), path, as_type)
+    return F.try_variant_get(strict_json(text), path, as_type)
 
 
 def as_list(value: Column) -> Column:

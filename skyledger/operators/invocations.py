@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.functions.scalars import json_field
 from skyledger.operators.joins import lookup_join
 
 
@@ -13,7 +14,7 @@ def request_id(message: Column) -> Column:
     found = F.coalesce(
         F.nullif(F.regexp_extract(message, r"RequestId: (\S+)", 1), F.lit("")),
         F.nullif(F.regexp_extract(message, r"^\[[A-Z]+\]\t([^\t]+)\t", 1), F.lit("")),
-        F.try_variant_get(F.try_parse_json(message), "$.requestId", "string"),
+        json_field(message, "$.requestId"),
     )
     return found
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.functions.scalars import strict_json
+
 # The grok pattern names in use and the expressions they stand for.
 GROK_PATTERNS = {"DATA": r".*?", "NUMBER": r"[+-]?[0-9]+(?:\.[0-9]+)?|[+-]?\.[0-9]+"}
 GROK_TYPES = {"float": "double", "int": "bigint", "": "string"}
@@ -16,7 +18,7 @@ _GROK_SLOT = re.compile(r"%\{(\w+)(?::([\w.]+))?(?::(\w+))?\}")
 
 def json_value(message: Column) -> Column:
     """Any JSON value as VARIANT; text that is no JSON gives NULL and the row stays."""
-    return F.try_parse_json(message)
+    return strict_json(message)
 
 
 def rename_into(target: Column | None, source: Column, on_conflict: str = "keep_target") -> Column:
@@ -211,7 +213,7 @@ def http_access_line(message: Column) -> Column:
 
 def embedded_json(text: Column) -> Column:
     """JSON kept as text inside a field; the literal text ``null`` counts as missing."""
-    return F.when(F.trim(text) != "null", F.try_parse_json(text))
+    return F.when(F.trim(text) != "null", strict_json(text))
 
 
 def parse_coverage(df: DataFrame, dataset: str = "dataset", parsed: str = "parsed") -> DataFrame:

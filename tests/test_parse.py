@@ -37,6 +37,15 @@ def test_json_accepts_any_value_and_keeps_plain_text(rows):
     assert [out[i]["parsed"] is not None for i in range(6)] == [True, False, True, True, False, False]
 
 
+def test_nothing_may_follow_the_json_value(rows):
+    bad = ["2 1234 eni-1", '{"a":1} {"b":2}', '{"a":1}}', '{"a":1}],[{"b":2}', "1],[2", "1,2", '1,"v":2',
+           '"x" y', "NaN", '{"a":1', "- 1", "tru", "{}{}", '{"a":1},"b":{}']
+    good = [' {"a":{"b":[1,{}]}} ', "[ ]", "-1.5e3", "true", "null", '"a b"', "{}", '{"a":"}],["}']
+    out = parsed(rows, bad + good, dataset="aws.kms")
+    assert [m for i, m in enumerate(bad) if out[i]["parsed"] is not None] == []
+    assert [m for i, m in enumerate(good, len(bad)) if out[i]["parsed"] is None] == []
+
+
 def test_datasets_without_parser_pass_through(rows):
     out = parsed(rows, ['{"a":1}'], dataset="own.dataset")
     assert out[0]["parsed_as"] is None and out[0]["parsed"] is None
