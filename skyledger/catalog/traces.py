@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.catalog.base import bucket_sql, events, query, r4, r4_sql, secs, secs_sql, table
+from skyledger.catalog.detection import scores_over, shaped
+from skyledger.operators import detect as D
 from skyledger.operators import invocations
 from skyledger.operators import traces as T
+from skyledger.plans.jobs import jobs_of
 from skyledger.sources.documents import spread
 
 # An order is a transaction, its line items are spans. Spans run in the supplier's service and
@@ -437,6 +440,29 @@ def stage_durations(spark, sf):
     return out.withColumns({"bucket": secs("bucket"), "avg_us": r4(F.col("avg_us"))})
 
 
+FEED = f"""WITH {SPANS}
+  SELECT 'apm-traces/apm-transaction-duration-anomaly' AS job, 'high_mean' AS fn, service AS entity, ts,
+    CAST(us AS DOUBLE) AS m FROM sp WHERE kind = 'transaction'
+  UNION ALL SELECT 'apm-traces/apm-error-rate-spike', 'high_count', service, ts, NULL FROM sp
+    WHERE kind = 'transaction' AND outcome = 'failure'
+  UNION ALL SELECT 'apm-traces/apm-service-throughput-drop', 'low_count', service, ts, NULL FROM sp
+    WHERE kind = 'transaction'
+  UNION ALL SELECT 'apm-traces/apm-slow-span-by-type', 'high_mean',
+    CASE WHEN kind = 'span' THEN type ELSE '' END, ts, CASE WHEN kind = 'span' THEN us END FROM sp
+  UNION ALL SELECT 'apm-traces/apm-emr-stage-duration-anomaly', 'high_mean', '', ts, us FROM sp
+    WHERE subtype = 'spark'"""
+
+
+@query(
+    "traces_detect",
+    f"""WITH {scores_over(FEED, seconds=86400)} SELECT job, entity, b, function,
+        {r4_sql("actual")} AS actual, {r4_sql("score")} AS score, seen FROM scores""",
+)
+def detect(spark, sf):
+    """The trace detectors over the span table, in buckets of a day."""
+    return shaped(D.detect(T.detector_documents(spans(spark, sf)), jobs_of("apm-traces"), "1 day"))
+
+
 @query("traces_sample")
 def sample(spark, sf):
     """A tenth of the traces, whole; the hash has no twin in the comparison engine."""

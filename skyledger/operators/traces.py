@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.functions.fields import promoted_name
 from skyledger.operators.joins import lookup_join
 from skyledger.operators.stats import FAILURE, bucket, stats_by
 from skyledger.session import stage
@@ -389,6 +390,23 @@ def stage_durations(spans: DataFrame, subtype: str = "spark", span: str = "15 mi
     )
 
 
+def detector_documents(spans: DataFrame) -> DataFrame:
+    """Spans under the field names that the trace detectors read."""
+    tx = F.col("kind") == "transaction"
+    names = {
+        "processor.event": F.col("kind"),
+        "service.name": F.col("service_name"),
+        "event.outcome": F.col("outcome"),
+        "transaction.duration.us": F.when(tx, F.col("duration_us")),
+        "span.duration.us": F.when(~tx, F.col("duration_us")),
+        "span.type": F.when(~tx, F.col("type")),
+        "span.subtype": F.col("subtype"),
+        "faas.coldstart": F.col("coldstart") if "coldstart" in spans.columns else F.lit(None),
+    }
+    fields = [c.alias(promoted_name(n)) for n, c in names.items()]
+    return spans.select("ts", F.lit("apm").alias("dataset"), F.lit("traces").alias("signal"), *fields)
+
+
 def sample_traces(spans: DataFrame, ratio: float = 0.1, key: str = "trace_id") -> DataFrame:
     """Keep whole traces, chosen by a hash of the trace id."""
     steps = 1_000_000

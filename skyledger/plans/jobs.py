@@ -9,6 +9,7 @@ from __future__ import annotations
 from skyledger.operators.detect import Job
 
 FAIL = (("event.outcome", "eq", "failure"),)
+REQUEST = (("processor.event", "eq", "transaction"),)
 ERR5 = (("http.response.status_code", "ge", 500),)
 ERR4 = (("http.response.status_code", "ge", 400),)
 
@@ -192,8 +193,8 @@ CATALOGUE = {
     "apm-traces": [
         ("apm-transaction-duration-anomaly", "apm", "high_mean", "transaction.duration.us",
          "service.name"),
-        ("apm-error-rate-spike", "apm", "high_count", "", "service.name", FAIL),
-        ("apm-service-throughput-drop", "apm", "low_count", "", "service.name"),
+        ("apm-error-rate-spike", "apm", "high_count", "", "service.name", FAIL, REQUEST),
+        ("apm-service-throughput-drop", "apm", "low_count", "", "service.name", REQUEST),
         ("apm-slow-span-by-type", "apm", "high_mean", "span.duration.us", "span.type"),
         ("apm-lambda-cold-start-spike", "apm", "high_count", "", "",
          (("faas.coldstart", "true", True),)),
