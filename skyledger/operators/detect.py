@@ -152,42 +152,39 @@ def directed(function: Column, z: Column) -> Column:
 
 
 def empty_buckets(buckets: DataFrame, jobs: list[Job], seconds: int) -> DataFrame:
-    """Zero rows for the silent buckets of entities whose silence can be the anomaly.
+    """The buckets of jobs in ``NEEDS_EMPTY`` with zero rows for silent buckets.
 
-    The spine of an entity runs from its first bucket to the last bucket of the job, and only
-    jobs in ``NEEDS_EMPTY`` get one. Upper-tail counts need none: see ``score_counts``.
+    The spine of an entity runs from its first bucket to the last bucket of the job. Every
+    filled bucket is repeated up to the next one, so only filled buckets are shuffled; the rows
+    made here stay in the partitions that the scoring window needs. Upper-tail counts need no
+    zero rows: see ``score_counts``.
     """
     keys = [j.key for j in jobs if j.function in NEEDS_EMPTY]
-    if not keys:
-        return buckets
-    chosen = buckets.filter(F.col("job").isin(*keys))
+    # A fixed number of partitions: adaptive execution would size them by the filled buckets
+    # alone and leave all the zero rows to a few tasks.
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = buckets.filter(F.col("job").isin(*keys))
+    chosen = mine.repartition(tasks, "job", "entity")
     # One row per job of this call: bounded by the length of the job list.
-    ends = chosen.groupBy("job").agg(F.max("bucket").alias("_end"))
-    first = chosen.groupBy("job", "entity").agg(F.min("bucket").alias("_start"))
+    ends = mine.groupBy("job").agg(F.max("bucket").alias("_end"))
     step = F.make_interval(secs=F.lit(seconds))
-    spine = first.join(F.broadcast(ends), "job").select(
-        "job", "entity",
-        F.explode(F.sequence(F.col("_start"), F.col("_end"), step)).alias("bucket"),
-        F.lit(0).cast("bigint").alias("docs"),
-        F.lit(0).cast("bigint").alias("values"),
-        F.lit(None).cast("double").alias("total"),
-        F.lit(None).cast("double").alias("peak"),
-    )
-    known = "first_bucket" in buckets.columns
-    if known:
-        spine = spine.withColumn("first_bucket", F.lit(None).cast("timestamp"))
-    filled = (
-        chosen.unionByName(spine)
-        .groupBy("job", "entity", "bucket")
-        .agg(
-            F.sum("docs").alias("docs"),
-            F.sum("values").alias("values"),
-            F.max("total").alias("total"),
-            F.max("peak").alias("peak"),
-            *([F.max("first_bucket").alias("first_bucket")] if known else []),
-        )
+    following = F.lead("bucket").over(Window.partitionBy("job", "entity").orderBy("bucket"))
+    last = F.coalesce(F.col("_next") - step, F.col("_end"))
+    spread = (
+        chosen.join(F.broadcast(ends), "job")
+        .withColumn("_next", following)
+        .withColumn("_slot", F.explode(F.sequence(F.col("bucket"), last, step)))
     )
-    return buckets.filter(~F.col("job").isin(*keys)).unionByName(filled)
+    filled = F.col("_slot") == F.col("bucket")
+    zero = F.lit(0).cast("bigint")
+    return spread.select(
+        "job", "entity", F.col("_slot").alias("bucket"),
+        F.when(filled, F.col("docs")).otherwise(zero).alias("docs"),
+        F.when(filled, F.col("values")).otherwise(zero).alias("values"),
+        F.when(filled, F.col("total")).alias("total"),
+        F.when(filled, F.col("peak")).alias("peak"),
+        *([F.col("first_bucket")] if "first_bucket" in buckets.columns else []),
+    )
 
 
 def _numbered(df: DataFrame, jobs: list[Job], span_seconds: int, names) -> DataFrame:
@@ -223,7 +220,20 @@ def score_counts(
     A caller that only holds recent buckets adds ``first_bucket`` per row, so that the number of
     buckets an entity has lived through stays right.
     """
-    df = _numbered(empty_buckets(buckets, jobs, span_seconds), jobs, span_seconds, COUNTS)
+    parts = []
+    if any(j.function in NEEDS_EMPTY for j in jobs):
+        spine = empty_buckets(buckets, jobs, span_seconds)
+        parts.append(_score_counts(spine, jobs, NEEDS_EMPTY, span_seconds, history))
+    upper = tuple(f for f in COUNTS if f not in NEEDS_EMPTY)
+    if any(j.function in upper for j in jobs):
+        parts.append(_score_counts(buckets, jobs, upper, span_seconds, history))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _score_counts(
+    buckets: DataFrame, jobs: list[Job], names: tuple[str, ...], span_seconds: int, history: int
+) -> DataFrame:
+    df = _numbered(buckets, jobs, span_seconds, names)
     ordered = Window.partitionBy("job", "entity").orderBy("_b")
     born = F.first("_b").over(ordered)
     if "first_bucket" in df.columns:
