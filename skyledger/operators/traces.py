@@ -138,7 +138,8 @@ def depths(
     Every round each span jumps to the ancestor of its current ancestor, so a tree of depth d
     takes about log2(d) equi-joins of the id columns only. Each round is staged in the shared
     folder, which keeps the plan short and survives lost executors. Spans whose parent
-    is missing start their own branch; members of a parent cycle end with a NULL depth.
+    is missing start their own branch; members of a parent cycle end with a NULL depth, as would
+    spans deeper than 2 to the power of ``rounds``, about a million.
     """
     trace, own, up = keys
     ids = spans.select(F.col(trace).alias("trace_id"), F.col(own).alias("id")).distinct()

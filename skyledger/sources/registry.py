@@ -7,8 +7,6 @@ same columns instead.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +183,3 @@ def metrics_capable(docs: DataFrame, reg: DataFrame, key: str = "service") -> Da
     """keep documents of services that have a metrics mode."""
     capable = reg.filter("supports_metrics").select(key).distinct()
     return docs.join(small_side(capable), key, "left_semi")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
