@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The package's own name for the shared folder, for sessions that cannot be restarted.
+SHARED_DIR = "spark.skyledger.shared.dir"
+
 # Runtime settings every plan here is written for. They can be changed per session and
 # none of them depends on the size of the machine.
 RUNTIME_CONF = {
@@ -47,18 +50,21 @@ def local_session(cores: str = "8", app: str = "skyledger", memory: str = "12g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or else in ``SHARED_DIR``.
 
-    Only where the setting is absent (tests, a laptop) a fresh scratch folder is made.
+    Only a local master without either (tests, a laptop) gets a fresh scratch folder, which the
+    session then remembers under ``SHARED_DIR``; ``spark.checkpoint.dir`` cannot be set at run time.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and (
+            spark.sparkContext.master != "local"
+        ):
+            raise RuntimeError(
+                f"set spark.checkpoint.dir or {SHARED_DIR} to a folder all executors share"
+            )
         named = tempfile.mkdtemp(prefix="skyledger-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set(SHARED_DIR, named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

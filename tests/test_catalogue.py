@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skyledger import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = list(entry.queries())
+NAMES = list(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,8 @@ def con():
 
 
 def test_registry():
-    assert set(entry.oracle_sql()) <= set(NAMES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(NAMES) <= set(entry.queries())
     assert sum(n.startswith("panel_") for n in NAMES) >= 58
     assert not any(re.match(r"op\d", n) or "pipeline" in n for n in NAMES)
 
