@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,14 +40,13 @@ def word_hashes() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
-@cache
-def _probes() -> np.ndarray:
+def probe_table() -> np.ndarray:
     """Bins that an empty bin asks in turn, the same for every document."""
     at = np.arange(ATTEMPTS * BINS, dtype=np.uint64).reshape(ATTEMPTS, BINS)
     return (mix64(at + np.uint64(1 << 40)) % np.uint64(BINS)).astype(np.int64)
 
 
-def bands(sets: np.ndarray) -> np.ndarray:
+def bands(sets: np.ndarray, probes: np.ndarray) -> np.ndarray:
     """The band keys of a set of at least ``SMALLEST`` sorted hashes.
 
     The top bits of a hash choose its bin and the smallest hash of a bin stays: one permutation. An
@@ -62,7 +59,7 @@ def bands(sets: np.ndarray) -> np.ndarray:
     low[place[first]] = sets[first]
     full = np.zeros(BINS, dtype=bool)
     full[place[first]] = True
-    probes, start = _probes(), 0
+    start = 0
     empty = np.flatnonzero(~full)
     source = np.arange(BINS)
     while len(empty) and start < ATTEMPTS:
@@ -80,7 +77,7 @@ def bands(sets: np.ndarray) -> np.ndarray:
 
 
 def _sign():
-    words, none = word_hashes(), np.empty(0, dtype=np.int64)
+    words, probes, none = word_hashes(), probe_table(), np.empty(0, dtype=np.int64)
 
     def work(batch: pa.RecordBatch) -> list:
         sizes, digests, keys = [], [], []
@@ -88,7 +85,7 @@ def _sign():
             s = shingles(text.as_py(), words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            keys.append(bands(s) if len(s) >= SMALLEST else none)
+            keys.append(bands(s, probes) if len(s) >= SMALLEST else none)
         offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         flat = pa.array(np.concatenate(keys))
         return [batch.column("doc_id"), sizes, digests, pa.ListArray.from_arrays(offsets, flat)]
