@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-from skyledger.llm import exact, mixing, near
+from skyledger.llm import exact, mixing, near, packing, quality, toxicity
+from skyledger.llm.common import remainder
 from skyledger.session import configure
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def judged(scores: DataFrame, modulus: int, out: int, least: float) -> DataFrame:
+    """doc_id, held_out, score and predicted from scores per document."""
+    return scores.select(
+        "doc_id", (remainder(F.col("doc_id"), modulus) == out).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
@@ -47,3 +57,23 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_groups(table(spark, sf, "documents"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels, remainder(F.col("doc_id"), 4) != 2)
+    return judged(toxicity.score(docs, model), 4, 2, 0.3)
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, labels, remainder(F.col("doc_id"), 4) != 2)
+    return judged(quality.score(docs, model), 4, 2, 0.7)
+
+
+@query
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf, "documents"), path)
