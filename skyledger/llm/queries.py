@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import exact, mixing, near, packing, quality, toxicity
+from skyledger.llm import exact, language, mixing, near, packing, quality, toxicity
 from skyledger.llm.common import remainder
 from skyledger.session import configure
 
@@ -77,3 +77,12 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf, "documents"), path)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = language.predict(docs, language.fit(docs, remainder(F.col("doc_id"), 5) != 0))
+    return found.select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
