@@ -18,7 +18,9 @@ LINK = 85  # per cent of the union that two sets must share
 ATTEMPTS = 1024  # probes an empty bin makes for a full one; sets below SMALLEST need none
 SMALLEST = 6  # a smaller set can't reach 0.85 with any other set
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+ODD = 1024  # bits of a parity sketch
+
+SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"
 
 
 def shingles(text: bytes | None, words: Memo) -> np.ndarray:
@@ -76,25 +78,37 @@ def bands(sets: np.ndarray, probes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(sets: np.ndarray) -> np.ndarray:
+    """A bitmap in which every hash flips one bit. Two bitmaps differ in no more bits than there are
+    hashes in only one of the two sets, so their distance proves that sets are too different."""
+    flips = np.bincount((sets & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _sign():
     words, probes, none = word_hashes(), probe_table(), np.empty(0, dtype=np.int64)
 
     def work(batch: pa.RecordBatch) -> list:
-        sizes, digests, keys = [], [], []
+        sizes, digests, keys, odd = [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py(), words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             keys.append(bands(s, probes) if len(s) >= SMALLEST else none)
-        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        flat = pa.array(np.concatenate(keys))
-        return [batch.column("doc_id"), sizes, digests, pa.ListArray.from_arrays(offsets, flat)]
+            odd.append(parity(s) if len(s) >= SMALLEST else none)
+        lists = [
+            pa.ListArray.from_arrays(
+                np.cumsum([0, *map(len, v)]).astype(np.int32), pa.array(np.concatenate(v))
+            )
+            for v in (keys, odd)
+        ]
+        return [batch.column("doc_id"), sizes, digests, *lists]
 
     return work
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: the size of its shingle set, a digest of the set, and its band keys."""
+    """Per row: the size of its shingle set, a digest of the set, its band keys and its bitmap."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return over_batches(rows, _sign, SIGNATURE)
 
@@ -172,8 +186,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     2. A member whose edge failed may still link with others of its bucket. Members that are not yet
        in the component of the first centre become centres themselves, 8 a bucket, then 64 and so
        on, until none is left: all pairs of a bucket are compared but those that are linked already or
-       that sizes or the triangle inequality of the Jaccard distance to the first centre rule out.
-       So no link between members of a bucket is lost, and groups of near copies never become all pairs.
+       that sizes or bitmaps prove to be too different. So no link between members of a bucket is
+       lost, and groups of near copies never become all pairs.
     """
     signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     classes = stage(
@@ -182,6 +196,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .agg(
             F.min("row").alias("node"), F.min("doc_id").alias("low"),
             F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"),
+            F.any_value("odd").alias("odd"),
         ),
         "near-classes",
     )
@@ -231,11 +246,8 @@ def _join_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     links = checked.where(_linked()).select("a", "b")
     roots = stage(components(links), "near-roots")
 
-    far = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    away = checked.select(F.col("a").alias("centre"), F.col("b").alias("node"), far.alias("away"))
-    rest = stage(
-        members.where("node <> centre").join(away, ["centre", "node"], "left"), "near-rest"
-    )  # everything but the first centres, which are done
+    # everything but the first centres, which are done
+    rest = stage(members.where("node <> centre").select("key", "node", "n", "centre"), "near-rest")
     centres, turn = 8, 1
     while True:
         of_node = roots.withColumnRenamed("component", "root")
@@ -253,7 +265,9 @@ def _join_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("open"), F.min("node").alias("next"))
         )
         # a bucket is done when all its members have the root of its first centre
-        active = stage(placed.join(open_keys, "key"), "near-active")
+        active = stage(
+            placed.join(open_keys, "key").join(classes.select("node", "odd"), "node"), "near-active"
+        )
         if active.isEmpty():
             return roots
         chosen = outside & (
@@ -262,7 +276,12 @@ def _join_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         )
         active = active.withColumn("chosen", chosen)
         x, y = active.where("chosen").alias("x"), active.alias("y")
-        near = F.coalesce(F.abs(F.col("x.away") - F.col("y.away")) <= 1 - LINK / 100 + 1e-9, F.lit(True))
+        differ = sum(
+            (F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(ODD // 64)),
+            F.lit(0),
+        )
+        # 100 shared >= 85 all, in terms of what only one of them has
+        near = (200 - (100 - LINK)) * differ <= (100 - LINK) * (F.col("x.n") + F.col("y.n"))
         sizes = 100 * F.least("x.n", "y.n") >= LINK * F.greatest("x.n", "y.n")
         pairs = (
             x.join(
