@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import exact, language, mixing, near, packing, quality, toxicity
+from skyledger.llm import (
+    exact,
+    extract,
+    language,
+    mixing,
+    near,
+    packing,
+    quality,
+    toxicity,
+    urls,
+)
 from skyledger.llm.common import remainder
 from skyledger.session import configure
 
@@ -86,3 +96,19 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.extract(table(spark, sf, "pages"))
+
+
+RULES = (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"),
+)
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), RULES)
