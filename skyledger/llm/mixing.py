@@ -185,15 +185,18 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     white space between them. ``n_chars``, where there is such a column, follows the new text.
     Documents of which nothing is taken go. Ids must be unique.
     """
-    taken = mix(docs, **options).where("taken > 0").select("doc_id", "size", "taken")
-    rest = F.pmod(F.col("taken"), F.col("size")).cast("int")
+    size, taken = F.col("__mix_size"), F.col("__mix_taken")
+    shares = mix(docs, **options).where("taken > 0").select(
+        "doc_id", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")
+    )
+    rest = F.pmod(taken, size).cast("int")
     spaced = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     part = F.array_join(F.slice(spaced, F.lit(1), F.greatest(rest, F.lit(1))), "")
     copies = F.concat(
-        F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int")),
+        F.array_repeat(F.col("text"), F.floor(taken / size).cast("int")),
         F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
     )
-    out = docs.join(taken, "doc_id").withColumn("text", F.explode(copies))
+    out = docs.join(shares, "doc_id").withColumn("text", F.explode(copies))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -18,6 +18,7 @@ from skyledger.llm import (
     quality,
     toxicity,
     urls,
+    vectors,
 )
 from skyledger.llm.common import remainder
 from skyledger.session import configure
@@ -52,6 +53,61 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# Quotients are ranked one seat at a time here; the operator ranks only those that can decide.
+ORACLE["op2_mixing"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+split AS (SELECT greatest(1, least(4096, (count(*) + 999) // 1000)) AS shards FROM docs),
+placed AS (
+  SELECT docs.*, CAST('0x' || left(ord, 8) AS BIGINT) % shards AS part FROM docs, split),
+shards AS (SELECT source, part, sum(size) AS shard_size FROM placed GROUP BY source, part),
+named AS (
+  SELECT source, CAST(sum(shard_size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY source IS NULL, encode(source)) AS pos
+  FROM shards GROUP BY source),
+weighed AS (
+  SELECT *, CASE (pos - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+    2.0::DOUBLE * source_size AS most FROM named),
+levels AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER earlier, 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
+  FROM weighed WINDOW earlier AS (ORDER BY most / w, source IS NULL, encode(source)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, pos,
+    least(most, coalesce(max(CASE WHEN level * w <= most THEN level END) OVER () * w, most)) AS target
+  FROM levels),
+seats1 AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, pos, j) AS won,
+    (SELECT CAST(floor(sum(target) / 8 + 0.5) AS BIGINT) FROM targets) AS seats
+  FROM targets, LATERAL (SELECT unnest(range(0, source_size // 4 + 2)) AS j) WHERE target > 0),
+quota1 AS (SELECT source, count(*) AS seats FROM seats1 WHERE won <= seats GROUP BY source),
+seats2 AS (
+  SELECT shards.source, part, seats, row_number() OVER (PARTITION BY shards.source
+    ORDER BY CAST(shard_size AS DOUBLE) / (2 * j + 1) DESC, part, j) AS won
+  FROM shards JOIN quota1 ON shards.source IS NOT DISTINCT FROM quota1.source,
+    LATERAL (SELECT unnest(range(0, shard_size // 4 + 4)) AS j) WHERE shard_size > 0),
+quota2 AS (
+  SELECT source, part, count(*) AS quota FROM seats2 WHERE won <= seats GROUP BY source, part),
+filled AS (
+  SELECT shards.*, least(coalesce(quota, 0) * 8, 2 * shard_size) AS words
+  FROM shards LEFT JOIN quota2
+    ON shards.source IS NOT DISTINCT FROM quota2.source AND shards.part = quota2.part),
+laid AS (
+  SELECT doc_id, size, placed.source, shard_size, words,
+    coalesce(sum(size) OVER (PARTITION BY placed.source, placed.part ORDER BY ord, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM placed JOIN filled
+    ON placed.source IS NOT DISTINCT FROM filled.source AND placed.part = filled.part)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN shard_size = 0 THEN 0 ELSE words // shard_size * size
+    + greatest(0, least(size, words % shard_size - at)) END AS BIGINT) AS taken
+FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source
+"""
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.mark_copies(table(spark, sf, "documents"))
@@ -112,3 +168,8 @@ RULES = (
 @query
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"), RULES)
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
