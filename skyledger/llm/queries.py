@@ -62,7 +62,7 @@ WITH docs AS (
 split AS (SELECT greatest(1, least(4096, (count(*) + 999) // 1000)) AS shards FROM docs),
 placed AS (
   SELECT docs.*, CAST('0x' || left(ord, 8) AS BIGINT) % shards AS part FROM docs, split),
-shards AS (SELECT source, part, sum(size) AS shard_size FROM placed GROUP BY source, part),
+shards AS (SELECT source, part, CAST(sum(size) AS BIGINT) AS shard_size FROM placed GROUP BY source, part),
 named AS (
   SELECT source, CAST(sum(shard_size) AS BIGINT) AS source_size,
     row_number() OVER (ORDER BY source IS NULL, encode(source)) AS pos
@@ -97,13 +97,13 @@ filled AS (
     ON shards.source IS NOT DISTINCT FROM quota2.source AND shards.part = quota2.part),
 laid AS (
   SELECT doc_id, size, placed.source, shard_size, words,
-    coalesce(sum(size) OVER (PARTITION BY placed.source, placed.part ORDER BY ord, doc_id, size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+    coalesce(CAST(sum(size) OVER (PARTITION BY placed.source, placed.part ORDER BY ord, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ahead
   FROM placed JOIN filled
     ON placed.source IS NOT DISTINCT FROM filled.source AND placed.part = filled.part)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN shard_size = 0 THEN 0 ELSE words // shard_size * size
-    + greatest(0, least(size, words % shard_size - at)) END AS BIGINT) AS taken
+    + greatest(0, least(size, words % shard_size - ahead)) END AS BIGINT) AS taken
 FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source
 """
 
