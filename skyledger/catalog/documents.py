@@ -40,7 +40,7 @@ SV = f"{EV}, sv AS (SELECT *, {SERVICE} AS svc FROM ev), so AS (SELECT *, {SOURC
 
 def raw_documents(spark, sf):
     """Bare documents: some carry a level, an agent-free cloud block and a service name."""
-    return Docs.spread(events(spark, sf)).select(
+    return events(spark, sf).select(
         "event_id", "ts", "k", "event_type",
         F.expr(SERVICE).alias("service_id"),
         F.expr(OVERRIDE).alias("source_override"),
@@ -82,14 +82,18 @@ def fill_missing(spark, sf):
         CASE src WHEN 's3' THEN 'aws-s3' WHEN 'cloudwatch' THEN 'aws-cloudwatch'
           WHEN 'firehose' THEN 'aws-firehose' WHEN 'api' THEN 'http_endpoint'
           WHEN 'otel' THEN 'opentelemetry' ELSE 'logfile' END AS input,
-        CASE src WHEN 'agent' THEN 'elastic-agent' WHEN 'otel' THEN 'otel' ELSE 'filebeat' END AS agent,
-        CASE src WHEN 'agent' THEN 'elastic-agent-' WHEN 'otel' THEN 'otel-collector-'
-          ELSE 'filebeat-aws-' END || CASE WHEN k >= 50 THEN 'eu-west-1' ELSE 'us-east-1' END
-          AS agent_name,
-        CASE src WHEN 'otel' THEN '0.115.0' ELSE '8.18.0' END AS agent_version,
+        CASE WHEN k IN (60, 61) THEN 'own'
+          WHEN src = 'agent' THEN 'elastic-agent' WHEN src = 'otel' THEN 'otel' ELSE 'filebeat' END AS agent,
+        CASE WHEN k IN (60, 61) THEN NULL ELSE CASE src WHEN 'agent' THEN 'elastic-agent-'
+          WHEN 'otel' THEN 'otel-collector-' ELSE 'filebeat-aws-' END
+          || CASE WHEN k >= 50 THEN 'eu-west-1' ELSE 'us-east-1' END END AS agent_name,
+        CASE WHEN k IN (60, 61) THEN NULL WHEN src = 'otel' THEN '0.115.0' ELSE '8.18.0' END AS agent_version,
+        CASE WHEN k IN (60, 61) THEN 'here' END AS agent_site,
+        CASE WHEN k >= 20 THEN 'app' END AS logger, '10.0.0.' || k AS host_ip, 'v' || k AS service_version,
+        CASE WHEN k BETWEEN 70 AND 74 THEN 'aws.s3_storage_lens' ELSE {LOGS_SQL} END AS stream,
         'aws-' || svc || '-logs-' || CASE WHEN k >= 30 THEN CAST(u AS VARCHAR) ELSE '814726593401' END
           AS bucket,
-        '/aws/' || svc || '/logs' AS log_group,
+        CASE WHEN k < 25 THEN '/mine' ELSE '/aws/' || svc || '/logs' END AS log_group,
         strftime(ts, '%Y/%m/%d') AS day,
         src = 'firehose' AS firehose, svc = 'lambda' AS host,
         CASE WHEN k < 15 THEN 'own-name' ELSE svc END AS service_name,
@@ -98,7 +102,23 @@ def fill_missing(spark, sf):
         src = 'otel' AS telemetry, '8.11.0' AS schema_version FROM so""",
 )
 def enrich_logs(spark, sf):
-    out = E.enrich(raw_documents(spark, sf), "logs", "event_id", override="source_override")
+    k = F.col("k").cast("string")
+    docs = raw_documents(spark, sf).withColumns(
+        {
+            "log": F.struct("log.level", F.when(F.col("k") >= 20, "app").alias("logger")),
+            "service": F.struct("service.name", F.concat(F.lit("v"), k).alias("version")),
+            "host": F.struct(F.concat(F.lit("10.0.0."), k).alias("ip")),
+            "agent": F.when(
+                F.col("k").isin(60, 61), F.struct(F.lit("own").alias("type"), F.lit("here").alias("site"))
+            ),
+            "aws": F.parse_json(
+                F.when(F.col("k") < 25, F.lit('{"cloudwatch":{"log_group":"/mine"}}')).otherwise(F.lit("{}"))
+            ),
+            "__dataset": F.when(F.col("k").between(70, 74), F.lit("aws.s3_storage_lens")),
+        }
+    )
+    out = E.enrich(docs, "logs", "event_id", override="source_override")
+    out = route.stream_of(out, "logs")
     key = F.split(F.col("aws_context.s3.object.key"), "/")
     return out.select(
         "event_id", F.col("ingest_source").alias("source"),
@@ -106,6 +126,9 @@ def enrich_logs(spark, sf):
         F.col("event.dataset").alias("event_dataset"), F.col("event.module").alias("module"),
         F.col("input.type").alias("input"), F.col("agent.type").alias("agent"),
         F.col("agent.name").alias("agent_name"), F.col("agent.version").alias("agent_version"),
+        F.col("agent.site").alias("agent_site"), F.col("log.logger").alias("logger"),
+        F.col("host.ip").alias("host_ip"), F.col("service.version").alias("service_version"),
+        F.col("stream_dataset").alias("stream"),
         F.col("aws_context.s3.bucket.name").alias("bucket"),
         F.col("aws_context.cloudwatch.log_group").alias("log_group"),
         F.concat_ws("/", F.slice(key, 5, 3)).alias("day"),

@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from skyledger.catalog.base import EV, bucket_sql, events, query, r4, r4_sql, secs, secs_sql
 from skyledger.operators import metrics as M
 from skyledger.operators import stats as A
-from skyledger.sources.documents import spread
+
+
+REGION = "CASE WHEN k % 2 = 0 THEN 'us-east-1' ELSE 'eu-west-1' END"
+ACCOUNT = "CASE WHEN k < 80 THEN 'a' || CAST(k % 3 AS VARCHAR(9)) END"
+
+
+def place():
+    """Two regions and three accounts, one of them unknown at times."""
+    return F.expr(REGION).alias("region"), F.expr(ACCOUNT).alias("account_id")
 
 
 def metric_documents(spark, sf):
-    """One metric document per event: two metrics, one with a dot in its name."""
+    """One metric document per event: three metrics, one with a dot in its name."""
     stat = lambda x: F.struct(x.alias("avg"), x.alias("sum"), F.lit(1).alias("count"))
     failed = F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)
     body = F.struct(
@@ -29,8 +37,8 @@ def metric_documents(spark, sf):
             ).alias("dimensions"),
         ).alias("lambda")
     )
-    return spread(events(spark, sf)).select(
-        "event_id", "ts", F.lit("aws.lambda").alias("dataset"),
+    return events(spark, sf).select(
+        "event_id", "ts", F.lit("aws.lambda").alias("dataset"), *place(),
         F.to_variant_object(body).alias("aws"),
     )
 
@@ -71,14 +79,19 @@ def by_dimension(spark, sf):
 
 @query(
     "metrics_rollup_documents",
-    f"""WITH {EV} SELECT event_type AS cluster, {bucket_sql(3600)} AS bucket,
-        {r4_sql("sum(v)")} AS sum, count(*) AS count, {r4_sql("avg(v)")} AS avg FROM ev GROUP BY 1, 2""",
+    f"""WITH {EV}, m AS (SELECT *, {REGION} AS region, {ACCOUNT} AS account_id, metric,
+          CAST(CASE metric WHEN 'Errors' THEN CASE WHEN event_type = 'error' THEN 1 ELSE 0 END
+            WHEN 'Invocations' THEN 1 ELSE v END AS DOUBLE) AS x
+          FROM ev, unnest(['Errors', 'GetRecords.Bytes', 'Invocations']) AS t(metric))
+        SELECT metric, region, account_id, event_type AS cluster, {bucket_sql(3600)} AS bucket,
+        {r4_sql("sum(x)")} AS sum, count(*) AS count, {r4_sql("avg(x)")} AS avg FROM m
+        GROUP BY 1, 2, 3, 4, 5""",
 )
 def rollup_documents(spark, sf):
     """M2: from single documents to hours, keeping one of two dimensions."""
     out = M.rollup(rows(spark, sf), "1 hour", keep=["Cluster Name"])
-    return out.filter(F.col("metric") == "GetRecords.Bytes").select(
-        F.col("dim_Cluster Name").alias("cluster"), secs("bucket").alias("bucket"),
+    return out.select(
+        "metric", "region", "account_id", F.col("dim_Cluster Name").alias("cluster"), secs("bucket").alias("bucket"),
         r4(F.col("sum")).alias("sum"), "count", r4(F.col("avg")).alias("avg"),
     )
 
@@ -94,8 +107,8 @@ def pivot(spark, sf):
 
 @query(
     "metrics_dedup",
-    f"""WITH {EV} SELECT u, event_type, {bucket_sql(86400)} AS day, min(event_id) AS event_id
-        FROM ev GROUP BY 1, 2, 3""",
+    f"""WITH {EV} SELECT u, event_type, {REGION} AS region, {ACCOUNT} AS account_id,
+        {bucket_sql(86400)} AS day, min(event_id) AS event_id FROM ev GROUP BY 1, 2, 3, 4, 5""",
 )
 def dedup(spark, sf):
     """M5: the key does not depend on the order of the dimension entries."""
@@ -104,11 +117,13 @@ def dedup(spark, sf):
     other = F.create_map(F.lit("b"), kind, F.lit("a"), u)
     df = events(spark, sf).select(
         "event_id", "u", "event_type", A.bucket(F.col("ts"), "1 day").alias("ts"),
-        F.lit("aws.lambda").alias("dataset"), F.lit("Duration").alias("metric"),
+        F.lit("aws.lambda").alias("dataset"), F.lit("Duration").alias("metric"), *place(),
         F.when(F.col("k") < 50, one).otherwise(other).alias("dimensions"),
     )
     out = M.dedup(df, ["event_id"])
-    return out.select("u", "event_type", secs("ts").alias("day"), "event_id")
+    return out.select(
+        "u", "event_type", "region", "account_id", secs("ts").alias("day"), "event_id"
+    )
 
 
 @query(

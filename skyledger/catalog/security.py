@@ -15,7 +15,7 @@ ACTION = (
 ACTOR = ["user_name", "source_ip", "access_key"]
 DAY = 86400
 CALLS = (
-    f"{EV}, calls AS (SELECT *, {ACTION} AS action, {secs_sql()} AS sec, "
+    f"{EV}, calls AS (SELECT *, {ACTION} AS action, {secs_sql()} AS sec, epoch_us(ts) AS us, "
     f"{bucket_sql(DAY)} AS day FROM ev)"
 )
 
@@ -68,15 +68,16 @@ def chain_counts(spark, sf):
 
 @query(
     "security_ordered_chains",
-    f"""WITH {CALLS}, c AS (SELECT d.u, d.sec AS chain_end, max(a.sec) AS chain_start
+    f"""WITH {CALLS}, c AS (SELECT d.u, d.us AS chain_end, max(a.us) AS chain_start
           FROM calls d JOIN calls e ON e.u = d.u AND e.action = 'AttachUserPolicy'
-            AND e.sec <= d.sec AND e.sec >= d.sec - {2 * DAY}
-          JOIN calls b ON b.u = d.u AND b.action = 'CreateAccessKey' AND b.sec <= e.sec
-            AND b.sec >= d.sec - {2 * DAY}
-          JOIN calls a ON a.u = d.u AND a.action = 'ListUsers' AND a.sec <= b.sec
-            AND a.sec >= d.sec - {2 * DAY}
+            AND e.us <= d.us AND e.us >= d.us - {2 * DAY * 1000000}
+          JOIN calls b ON b.u = d.u AND b.action = 'CreateAccessKey' AND b.us <= e.us
+            AND b.us >= d.us - {2 * DAY * 1000000}
+          JOIN calls a ON a.u = d.u AND a.action = 'ListUsers' AND a.us <= b.us
+            AND a.us >= d.us - {2 * DAY * 1000000}
           WHERE d.action = 'AssumeRole' GROUP BY 1, 2)
-        SELECT u, chain_start, chain_end FROM c""",
+        SELECT u, CAST(chain_start // 1000000 AS BIGINT) AS chain_start,
+          CAST(chain_end // 1000000 AS BIGINT) AS chain_end FROM c""",
 )
 def ordered_chains(spark, sf):
     """The plan keeps running maxima; the comparison joins every combination."""

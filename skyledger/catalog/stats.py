@@ -229,9 +229,46 @@ def exact_percentiles_items(spark, sf):
     return out.select("l_returnflag", *[r4(F.col(c)).alias(c) for c in ("p50", "p95")])
 
 
-@query("stats_approx_percentiles")
+@query(
+    "stats_exact_percentiles_null_group",
+    f"""SELECT CASE WHEN event_type <> 'view' THEN event_type END AS kind,
+        {r4_sql("quantile_cont(value, 0.25)")} AS p25, {r4_sql("quantile_cont(value, 1.0)")} AS p100
+        FROM events GROUP BY 1""",
+)
+def exact_percentiles_null_group(spark, sf):
+    """Rows without a key are a group, and the largest one here."""
+    df = logs(spark, sf).withColumn("kind", F.when(F.col("event_type") != "view", F.col("event_type")))
+    out = quantiles.exact_percentiles(df, ["kind"], "v", [0.25, 1.0])
+    return out.select("kind", *[r4(F.col(c)).alias(c) for c in ("p25", "p100")])
+
+
+@query(
+    "stats_approx_percentiles",
+    """SELECT event_type, unnest(['p50', 'p95', 'p99']) AS which, true AS within FROM events
+       GROUP BY event_type""",
+)
 def approx_percentiles(spark, sf):
-    return quantiles.approx_percentiles(logs(spark, sf), ["event_type"], "v", [0.5, 0.95, 0.99])
+    """The share of values below each sketched percentile is off by at most the promised error."""
+    df, accuracy = logs(spark, sf), 1000
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = quantiles.approx_percentiles(df, ["event_type"], "v", list(probs.values()), accuracy)
+    sided = df.select("event_type", "v").join(found, "event_type")
+    counts = sided.groupBy("event_type").agg(
+        F.count("*").alias("n"),
+        *[F.count_if(F.col("v") < F.col(p)).alias(f"below_{p}") for p in probs],
+        *[F.count_if(F.col("v") <= F.col(p)).alias(f"upto_{p}") for p in probs],
+    )
+    slack = F.col("n") / accuracy + 1
+    rows = [
+        F.struct(
+            F.lit(p).alias("which"),
+            ((F.col(f"below_{p}") <= q * F.col("n") + slack) & (F.col(f"upto_{p}") >= q * F.col("n") - slack)).alias(
+                "within"
+            ),
+        )
+        for p, q in probs.items()
+    ]
+    return counts.select("event_type", F.explode(F.array(*rows)).alias("r")).select("event_type", "r.*")
 
 
 @query(
@@ -316,24 +353,26 @@ def union_timeline(spark, sf):
 
 @query(
     "metrics_rollup",
-    f"""WITH {EV} SELECT event_type AS dataset, 'user=' || u AS dim, {bucket_sql(86400)} AS bucket,
+    f"""WITH {EV} SELECT event_type AS dataset, 'user=' || u AS dim, CASE WHEN k < 50 THEN 'eu-west-1'
+          ELSE 'us-east-1' END AS region, 'a' || u % 3 AS account_id, {bucket_sql(86400)} AS bucket,
         {r4_sql("sum(v)")} AS sum, count(*) AS count, max(v) AS max, min(v) AS min,
-        {r4_sql("avg(v)")} AS avg FROM ev GROUP BY 1, 2, 3""",
+        {r4_sql("avg(v)")} AS avg FROM ev GROUP BY 1, 2, 3, 4, 5""",
 )
 def rollup(spark, sf):
     out = metrics.rollup(metric_rows(spark, sf), "1 day", keep=["user"])
     return out.select(
-        "dataset", F.concat(F.lit("user="), "dim_user").alias("dim"),
+        "dataset", F.concat(F.lit("user="), "dim_user").alias("dim"), "region", "account_id",
         secs("bucket").alias("bucket"), r4(F.col("sum")).alias("sum"), "count", "max", "min",
         r4(F.col("avg")).alias("avg"),
     )
 
 
 def metric_rows(spark, sf):
-    """Events as long metric rows: one row per user, event type and minute."""
+    """Events as long metric rows: one row per user, event type, region and minute."""
+    region = F.when(F.col("k") < 50, "eu-west-1").otherwise("us-east-1")
     return (
         events(spark, sf)
-        .groupBy("event_type", "u", F.window("ts", "1 minute").getField("start").alias("ts"))
+        .groupBy("event_type", "u", region.alias("region"), F.window("ts", "1 minute").getField("start").alias("ts"))
         .agg(
             F.avg("v").alias("avg"), F.sum("v").alias("sum"), F.count("*").alias("count"),
             F.max("v").alias("max"), F.min("v").alias("min"),
@@ -343,6 +382,7 @@ def metric_rows(spark, sf):
             F.create_map(
                 F.lit("user"), F.col("u").cast("string"), F.lit("type"), F.col("event_type")
             ).alias("dimensions"),
+            "region", F.concat(F.lit("a"), F.col("u") % 3).alias("account_id"),
             "avg", "sum", "count", "max", "min",
         )
     )

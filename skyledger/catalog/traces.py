@@ -10,7 +10,6 @@ from skyledger.operators import detect as D
 from skyledger.operators import invocations
 from skyledger.operators import traces as T
 from skyledger.plans.jobs import jobs_of
-from skyledger.sources.documents import spread
 
 # An order is a transaction, its line items are spans. Spans run in the supplier's service and
 # call the part as a resource; returned items failed.
@@ -37,7 +36,7 @@ def spans(spark, sf):
     """The same rows in the span layout; finished items point to a parent that is missing."""
     none = F.lit(None).cast("string")
     oid = F.concat(F.lit("o"), "o_orderkey")
-    orders = spread(table(spark, sf, "orders")).select(
+    orders = table(spark, sf, "orders").select(
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.concat(F.lit("t"), "o_orderkey").alias("trace_id"), oid.alias("id"),
         none.alias("parent_id"), oid.alias("transaction_id"), F.lit("transaction").alias("kind"),
@@ -48,7 +47,7 @@ def spans(spark, sf):
         F.lit(4).alias("span_started"),
     )
     flag, key = F.col("l_returnflag"), F.col("l_orderkey")
-    items = spread(table(spark, sf, "lineitem")).select(
+    items = table(spark, sf, "lineitem").select(
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.concat(F.lit("t"), key).alias("trace_id"),
         F.concat(
@@ -479,4 +478,4 @@ def sample(spark, sf):
 def sibling_gaps(spark, sf):
     """Identical copies of a span are dropped first, so that the order is total."""
     df = spans(spark, sf).dropDuplicates(["trace_id", "parent_id", "id", "ts", "duration_us"])
-    return T.sibling_gaps(df, "30 days").select("trace_id", "parent_id", "id", "gap_us")
+    return T.sibling_gaps(df, 30 * 86400).select("trace_id", "parent_id", "id", "gap_us")

@@ -54,8 +54,67 @@ def fill_struct(df: DataFrame, root: str, leaves: dict[str, Column]) -> Column:
     return F.struct(*parts)
 
 
+def with_leaves(df: DataFrame, root: str, leaves: dict[str, Column]) -> Column:
+    """The struct column with these leaves set; every other field of the document stays."""
+    body = df.schema[root].dataType if root in df.columns else None
+    known = body.names if isinstance(body, StructType) else []
+    parts = [(leaves[n] if n in leaves else F.col(root)[n]).alias(n) for n in known]
+    return F.struct(*parts, *[v.alias(n) for n, v in leaves.items() if n not in known])
+
+
+def whole_or(df: DataFrame, root: str, made: Column) -> Column:
+    """The document's own block, whole, or else the made one, in a layout that holds both."""
+    if root not in df.columns:
+        return made
+    own, body = F.col(root), df.schema[root].dataType
+    if not isinstance(body, StructType):
+        return F.coalesce(own, F.to_variant_object(made) if isinstance(body, VariantType) else own)
+    names = df.select(made.alias("_made")).schema["_made"].dataType
+    added = [f for f in names.fields if f.name not in body.names]
+    mine = F.struct(
+        *[own[n].alias(n) for n in body.names],
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in added],
+    )
+    filled = F.struct(
+        *[
+            (made[f.name] if f.name in names.names else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in body.fields
+        ],
+        *[made[f.name].alias(f.name) for f in added],
+    )
+    return F.when(own.isNotNull(), mine).when(made.isNotNull(), filled)
+
+
+def own_context(df: DataFrame, name: str, made: Column) -> Column:
+    """A block below ``aws``: the document's own, in the layout of the made one, or else the made one."""
+    if "aws" not in df.columns:
+        return made
+    body = df.schema["aws"].dataType
+    layout = df.select(made.alias("_made")).schema["_made"].dataType
+    if isinstance(body, VariantType):
+        own = F.try_variant_get("aws", f"$.{name}", layout.simpleString())
+    elif isinstance(body, StructType) and name in body.names:
+        given = body[name].dataType
+        if not isinstance(given, StructType):
+            return made
+        own = F.when(
+            F.col("aws")[name].isNotNull(),
+            F.struct(
+                *[
+                    (F.col("aws")[name][f.name] if f.name in given.names else F.lit(None))
+                    .cast(f.dataType)
+                    .alias(f.name)
+                    for f in layout.fields
+                ]
+            ),
+        )
+    else:
+        return made
+    return F.coalesce(own, made)
+
+
 def agent_block(source: Column, event_type: str, region: Column, digest: Column) -> Column:
-    """The shipping agent, by source; traces keep their own block."""
+    """The shipping agent, by source; traces keep their own block. Agent names are fixed values."""
     token = X.digest_uuid(digest)
     none = F.lit(None).cast("string")
 
@@ -108,16 +167,13 @@ def s3_context(
     )
 
 
-def cloudwatch_context(
-    service: Column, region: Column, ts: Column, digest: Column, present: Column | None = None
-) -> Column:
-    """Log group, log stream and ingestion time; a context that is present is kept."""
-    made = F.struct(
+def cloudwatch_context(service: Column, region: Column, ts: Column, digest: Column) -> Column:
+    """Log group, log stream and ingestion time."""
+    return F.struct(
         F.concat(F.lit("/aws/"), service, F.lit("/logs")).alias("log_group"),
         F.concat_ws("/", region, F.substring(digest, 1, 8)).alias("log_stream"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ingestion_time"),
     )
-    return made if present is None else F.coalesce(present, made)
 
 
 def firehose_context(
@@ -202,8 +258,10 @@ def enrich(
 ) -> DataFrame:
     """All of the above over documents with ``ts``, a service column and a unique key.
 
-    The contexts that go below ``aws`` come out as ``aws_context``; the ``aws`` tail itself is
-    left as it is, so that its VARIANT is not rebuilt row by row.
+    What the document already says is kept, field by field in ``event``, ``log``, ``host`` and
+    ``service``, and as whole blocks elsewhere. The contexts that go below ``aws`` come out as
+    ``aws_context``, taken from the document where it has them; the ``aws`` tail itself is left as it
+    is, so that its VARIANT is not rebuilt row by row.
     """
     svc, ts = F.col(service), F.col("ts")
     # Looked up and hashed once per row, in a projection of their own.
@@ -222,18 +280,6 @@ def enrich(
     def given(root: str) -> Column | None:
         return F.col(root) if root in df.columns else None
 
-    def keep(root: str, made: Column) -> Column:
-        present = given(root)
-        if present is None:
-            return made
-        kind = df.schema[root].dataType
-        names = [f.name for f in kind.fields] if isinstance(kind, StructType) else []
-        shaped = F.struct(*[
-            (present[n] if n in names else F.lit(None).cast("string")).alias(n)
-            for n in _names_of(made)
-        ])
-        return F.when(present.isNotNull(), shaped).otherwise(made)
-
     stream = F.struct(
         F.lit(event_type).alias("type"),
         resolved.alias("dataset"),
@@ -257,28 +303,22 @@ def enrich(
             ),
         ),
     }
-    made_agent = agent_block(source, event_type, region, digest)
-    columns["agent"] = made_agent if given("agent") is None else keep("agent", made_agent)
+    columns["agent"] = whole_or(df, "agent", agent_block(source, event_type, region, digest))
     if event_type == "logs":
-        columns["service"] = service_block(
-            svc, _leaf(df, "service", "name"), _leaf(df, "service", "type")
-        )
-        columns["log"] = F.struct(log_level(_leaf(df, "log", "level")).alias("level"))
-        columns["host"] = host_block(
-            svc, digest, _leaf(df, "host", "name"), _leaf(df, "host", "hostname")
-        )
+        named = service_block(svc, _leaf(df, "service", "name"), _leaf(df, "service", "type"))
+        columns["service"] = with_leaves(df, "service", {n: named[n] for n in ("name", "type")})
+        columns["log"] = with_leaves(df, "log", {"level": log_level(_leaf(df, "log", "level"))})
+        host = host_block(svc, digest, _leaf(df, "host", "name"), _leaf(df, "host", "hostname"))
+        columns["host"] = with_leaves(df, "host", {n: host[n] for n in ("name", "hostname")})
         made_otel = otel_block(source)
         columns["telemetry"] = (
             made_otel if given("telemetry") is None else F.coalesce(given("telemetry"), made_otel)
         )
         columns["aws_context"] = F.struct(
-            s3_context(svc, account, region, ts, digest).alias("s3"),
-            cloudwatch_context(svc, region, ts, digest).alias("cloudwatch"),
-            firehose_context(source, svc, region, account, digest).alias("firehose"),
+            own_context(df, "s3", s3_context(svc, account, region, ts, digest)).alias("s3"),
+            own_context(df, "cloudwatch", cloudwatch_context(svc, region, ts, digest)).alias("cloudwatch"),
+            own_context(df, "firehose", firehose_context(source, svc, region, account, digest)).alias(
+                "firehose"
+            ),
         )
     return df.withColumns(columns).drop("_digest", "_region", "_account", "_resolved")
-
-
-def _names_of(block: Column) -> list[str]:
-    """Field names of the agent block, which is the only block reshaped to a wider layout."""
-    return ["type", "version", "name", "id", "ephemeral_id"]

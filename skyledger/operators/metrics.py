@@ -44,8 +44,12 @@ def dimension_key(dimensions: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(dimensions))))
 
 
+# What a metric is besides its dimensions: the same name in another account or region is another one.
+IDENTITY = ("dataset", "metric", "account_id", "region")
+
+
 def rollup(
-    df: DataFrame, span: str, keep: list[str] | None = None, by: tuple[str, ...] = ("dataset", "metric")
+    df: DataFrame, span: str, keep: list[str] | None = None, by: tuple[str, ...] = IDENTITY
 ) -> DataFrame:
     """M2: coarser period and fewer dimensions, from stored sums and counts."""
     if keep is None:
@@ -69,9 +73,9 @@ def to_wide(df: DataFrame, keys: list[str], metrics: list[str], stat: str = "avg
 
 
 def dedup(df: DataFrame, order: list[str]) -> DataFrame:
-    """M5: first row per (dataset, metric, dimensions, time)."""
+    """M5: first row per (dataset, metric, account, region, dimensions, time)."""
     keyed = df.withColumn("dimension_key", dimension_key(F.col("dimensions")))
-    return first_per_key(keyed, ["dataset", "metric", "dimension_key", "ts"], order)
+    return first_per_key(keyed, [*IDENTITY, "dimension_key", "ts"], order)
 
 
 def ratio(df: DataFrame, keys: list, numerator: str, denominator: str, stat: str = "sum") -> DataFrame:

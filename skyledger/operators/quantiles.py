@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,55 +21,47 @@ def approx_percentiles(
     return out.select(*keys, *[F.get("_q", F.lit(i)).alias(label(p)) for i, p in enumerate(probs)])
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    bins: int = 256,
-    one_pass_limit: int = 1_000_000,
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact, linearly interpolated percentiles without holding a large group in one task.
 
-    1. Equal values collapse to (value, count) rows, which are staged: the input is read once.
-    2. A sketch per group gives ``bins`` edges; rows are counted per bin.
-    3. Only the few bins that hold a wanted rank are ranked row by row.
+    1. Equal values collapse to (keys, value, count) rows, dealt by range of (keys, value) and staged:
+       the input is read once, and a group with many values spans many partitions.
+    2. Counts per (keys, partition) give the rank at which each part of a group begins.
+    3. Only the parts that hold a wanted rank are ranked row by row, each by itself.
 
-    The built-in exact aggregate keeps every distinct value of a group in one buffer. It is used
-    only where step 1 left at most ``one_pass_limit`` rows in all; beyond that a hot group is
-    spread over its bins.
+    Rows with a NULL key form groups like any others.
     """
-    present = df.filter(F.col(value).isNotNull())
-    counted = stage(present.groupBy(*keys, value).agg(F.count("*").alias("_c")), "percentiles")
-    if counted.limit(one_pass_limit + 1).count() <= one_pass_limit:
-        exact = F.percentile(value, [float(p) for p in probs], F.col("_c")).alias("_q")
-        picks = [F.get("_q", F.lit(i)).alias(label(p)) for i, p in enumerate(probs)]
-        return counted.groupBy(*keys).agg(exact).select(*keys, *picks)
-    edges = [i / bins for i in range(1, bins)]
-    groups = counted.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"), F.percentile_approx(value, edges, 10 * bins).alias("_edges")
-    )
-    placed = _attach(counted, groups, keys).withColumn(
-        "_bin", F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    order = [*keys, value]
+    counted = (
+        df.filter(F.col(value).isNotNull()).groupBy(*order).agg(F.count("*").alias("_c"))
     )
-    per_bin = placed.groupBy(*keys, "_bin").agg(
-        F.sum("_c").alias("_in_bin"), F.first("_n").alias("_n")
+    parts = stage(
+        counted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "percentiles"
     )
-    ordered = Window.partitionBy(*keys).orderBy("_bin")
-    before = F.coalesce(
-        F.sum("_in_bin").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    sizes = parts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_in_part"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.withColumns(
+        {
+            "_n": F.sum("_in_part").over(group),
+            "_before": F.coalesce(F.sum("_in_part").over(earlier), F.lit(0)),
+        }
     )
-    spans = per_bin.withColumn("_before", before)
 
     def holds(rank: Column, start: Column, size: Column) -> Column:
         return (rank >= start) & (rank < start + size)
 
     wanted = [r for p in probs for r in _ranks(p)]
     target = spans.filter(
-        reduce(lambda a, b: a | b, [holds(r, F.col("_before"), F.col("_in_bin")) for r in wanted])
-    ).select(*keys, "_bin", "_before")
-    near = placed.drop("_edges").join(target, [*keys, "_bin"])
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value)
+        reduce(or_, [holds(r, F.col("_before"), F.col("_in_part")) for r in wanted])
+    )
+    same = reduce(and_, [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "_part"]])
+    near = (
+        parts.alias("p")
+        .join(target.alias("t"), same)
+        .select(*[F.col(f"p.{c}") for c in parts.columns], "t._n", "t._before")
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(value)
     start = F.col("_before") + F.coalesce(
         F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -94,11 +87,3 @@ def label(p: float) -> str:
 def _ranks(p: float) -> tuple[Column, Column]:
     position = F.lit(float(p)) * (F.col("_n") - 1)
     return F.floor(position), F.ceil(position)
-
-
-def _attach(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Group facts next to each row; adaptive execution splits a hot group's rows."""
-    if keys:
-        return rows.join(groups, keys)
-    facts = groups.select(F.struct("_n", "_edges").alias("_f")).scalar()
-    return rows.withColumn("_f", facts).select(*rows.columns, "_f._n", "_f._edges")

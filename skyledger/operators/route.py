@@ -44,7 +44,10 @@ def route_by_log_group(log_group: Column, rules=LOG_GROUP_RULES, default=LOG_GRO
 
 
 def stream_of(df: DataFrame, event_type: str, service: str = "service_id") -> DataFrame:
-    """Where each document belongs: own data_stream, else override, else the registry.
+    """Where each document belongs: override, else own data_stream, else the registry.
+
+    The override names the stream of a sub-service, which enrichment knows nothing of; so it wins over
+    the ``data_stream`` that enrichment filled in.
 
     Adds ``stream_type``, ``stream_dataset`` and ``stream_namespace`` and drops the override.
     """
@@ -56,11 +59,12 @@ def stream_of(df: DataFrame, event_type: str, service: str = "service_id") -> Da
     return df.withColumns(
         {
             "stream_type": F.coalesce(
+                F.when(override == TRACE_DATASET, "traces"),
                 part("type"),
-                F.when(F.coalesce(override, resolved) == TRACE_DATASET, "traces"),
+                F.when(resolved == TRACE_DATASET, "traces"),
                 F.lit(event_type),
             ),
-            "stream_dataset": F.coalesce(part("dataset"), override, resolved),
+            "stream_dataset": F.coalesce(override, part("dataset"), resolved),
             "stream_namespace": F.coalesce(part("namespace"), F.lit("default")),
         }
     ).drop("__dataset")

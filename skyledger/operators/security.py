@@ -31,6 +31,11 @@ def step_number(action: Column, steps=ESCALATION_STEPS) -> Column:
     return F.try_element_at(names, action)
 
 
+def known(keys: list[str]) -> Column:
+    """Whether any part of a key is known; rows without one are not all the same unknown."""
+    return F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
+
+
 def chain_counts(
     calls: DataFrame, actor: list[str], window: str = "1 hour", steps=ESCALATION_STEPS
 ) -> DataFrame:
@@ -41,7 +46,7 @@ def chain_counts(
         present &= F.col(f"n_{s}") > 0
     # Grouping by the window itself keeps its watermark, so the same plan runs on a stream.
     return (
-        calls.filter(F.col("action").isin(*steps))
+        calls.filter(F.col("action").isin(*steps) & known(actor))
         .groupBy(*actor, F.window("ts", window).alias("_w"))
         .agg(*counts)
         .filter(present)
@@ -54,33 +59,34 @@ def ordered_chains(
 ) -> DataFrame:
     """Every last step that ends an ordered chain within the window.
 
-    Call times have a resolution of one second; calls of one second are taken in step order,
-    since the steps of a chain may share their time. For every last step the result gives the
-    latest possible chain start.
+    Calls are ordered to the microsecond; calls of the very same time are taken in step order, since
+    the steps of a chain may share their time. For every last step the result gives the latest
+    possible chain start. Calls of which no part of the actor is known belong to nobody and are left
+    out.
 
-    * Calls of one (actor, step, second) collapse to one row before the shuffle.
+    * Calls of one (actor, step, time) collapse to one row before the shuffle.
     * A hot actor is cut into chunks of one window; rows are also handed to the next chunk, in
       which a chain that began before it may end. A chain lies in at most two chunks, so this
       is exact and no actor is one task.
     * The search keeps the latest start per step as running maxima: no pairs are built.
     """
-    sec = F.unix_seconds("ts").alias("_sec")
+    window = window_seconds * 1_000_000
     seen = (
         calls.withColumn("_step", step_number(F.col("action"), steps))
-        .filter(F.col("_step").isNotNull())
-        .groupBy(*actor, "_step", sec)
+        .filter(F.col("_step").isNotNull() & known(actor))
+        .groupBy(*actor, "_step", F.unix_micros("ts").alias("_at"))
         .agg(F.count("*").alias("calls"))
     )
-    home = F.floor(F.col("_sec") / window_seconds).cast("bigint")
+    home = F.floor(F.col("_at") / window).cast("bigint")
     placed = seen.withColumn("_home", home).withColumn(
         "_chunk", F.explode(F.array(F.col("_home"), F.col("_home") + 1))
     )
     run = (
         Window.partitionBy(*actor, "_chunk")
-        .orderBy("_sec", "_step")
+        .orderBy("_at", "_step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    df = placed.withColumn("_l1", F.max(F.when(F.col("_step") == 1, F.col("_sec"))).over(run))
+    df = placed.withColumn("_l1", F.max(F.when(F.col("_step") == 1, F.col("_at"))).over(run))
     last = len(steps)
     for k in range(2, last):
         df = df.withColumn(
@@ -90,11 +96,11 @@ def ordered_chains(
     return df.filter(
         (F.col("_step") == last)
         & (F.col("_chunk") == F.col("_home"))
-        & (F.col("_sec") - begin <= window_seconds)
+        & (F.col("_at") - begin <= window)
     ).select(
         *actor,
-        F.timestamp_seconds(begin).alias("chain_start"),
-        F.timestamp_seconds("_sec").alias("chain_end"),
+        F.timestamp_micros(begin).alias("chain_start"),
+        F.timestamp_micros("_at").alias("chain_end"),
         F.col("calls").alias("last_step_calls"),
     )
 
@@ -115,13 +121,14 @@ def exfiltration(
 
     The three tables are not joined pairwise. Each collapses to one row per (address, second);
     sums over a RANGE frame then give every finding its totals. A busy address is cut into time
-    chunks, with its rows also handed to both neighbouring chunks.
+    chunks, with its rows also handed to both neighbouring chunks. Rows without an address, which
+    correlate with nothing, are left out.
     """
 
     def per_second(df: DataFrame, what: str, value: Column) -> DataFrame:
         zero = {"n_findings": F.lit(0), "n_events": F.lit(0), "egress": F.lit(0.0)}
         kinds = {"n_findings": "bigint", "n_events": "bigint", "egress": "double"}
-        grouped = df.groupBy("ip", F.unix_seconds("ts").alias("_sec")).agg(value.alias(what))
+        grouped = df.filter(known(["ip"])).groupBy("ip", F.unix_seconds("ts").alias("_sec")).agg(value.alias(what))
         return grouped.select(
             "ip", "_sec",
             *[(F.col(what) if n == what else z).cast(kinds[n]).alias(n) for n, z in zero.items()],

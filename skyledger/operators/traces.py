@@ -77,11 +77,13 @@ def errors_table(docs: DataFrame) -> DataFrame:
 
 
 def with_parent(spans: DataFrame, *columns: str) -> DataFrame:
-    """Each span with columns of its parent; roots and orphans keep NULLs."""
-    parent = spans.select(
-        "trace_id", F.col("id").alias("parent_id"),
-        *[F.col(c).alias(f"parent_{c}") for c in columns],
-    )
+    """Each span with columns of its parent; roots and orphans keep NULLs.
+
+    A parent that was delivered more than once is one parent: the smallest value of each column.
+    """
+    parent = spans.groupBy("trace_id", F.col("id").alias("parent_id")).agg(
+        *[F.min(c).alias(f"parent_{c}") for c in columns]
+    )
     return spans.join(parent, ["trace_id", "parent_id"], "left")
 
 
@@ -131,21 +133,23 @@ def validate(spans: DataFrame) -> DataFrame:
 
 
 def depths(
-    spans: DataFrame, keys: tuple[str, str, str] = ("trace_id", "id", "parent_id"), rounds: int = 20
+    spans: DataFrame, keys: tuple[str, str, str] = ("trace_id", "id", "parent_id")
 ) -> DataFrame:
     """Depth of every span and the top of its branch, by pointer doubling.
 
     Every round each span jumps to the ancestor of its current ancestor, so a tree of depth d
     takes about log2(d) equi-joins of the id columns only. Each round is staged in the shared
-    folder, which keeps the plan short and survives lost executors. Spans whose parent
-    is missing start their own branch; members of a parent cycle end with a NULL depth, as would
-    spans deeper than 2 to the power of ``rounds``, about a million.
+    folder, which keeps the plan short and survives lost executors; spans that have arrived are not
+    written again. One row per (trace, id): a span that was delivered more than once is one span.
+    Spans whose parent is missing start their own branch. Of the spans below a root the nearest arrive
+    in each round, so when a round brings none home, those left are in or below a parent cycle: they
+    end with a NULL depth.
     """
     trace, own, up = keys
-    ids = spans.select(F.col(trace).alias("trace_id"), F.col(own).alias("id")).distinct()
-    links = spans.select(
-        F.col(trace).alias("trace_id"), F.col(own).alias("id"), F.col(up).alias("up")
+    links = spans.groupBy(F.col(trace).alias("trace_id"), F.col(own).alias("id")).agg(
+        F.min(up).alias("up")
     )
+    ids = links.select("trace_id", "id")
     known = ids.select("trace_id", F.col("id").alias("up"), F.lit(True).alias("_known"))
     state = links.join(known, ["trace_id", "up"], "left").select(
         "trace_id", "id",
@@ -154,31 +158,37 @@ def depths(
         F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("top"),
     )
     state = stage(state, "depth")
-    for _ in range(rounds):
-        open_spans = state.filter(F.col("up").isNotNull())
-        if open_spans.isEmpty():
-            break
-        step = state.select(
+    home, away = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
+    left = away.count()
+    while left:
+        step = home.unionByName(away).select(
             "trace_id", F.col("id").alias("up"), F.col("up").alias("_up"),
             F.col("depth").alias("_depth"), F.col("top").alias("_top"),
         )
-        moved = open_spans.join(step, ["trace_id", "up"]).select(
-            "trace_id", "id", F.col("_up").alias("up"),
-            (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top"),
+        moved = stage(
+            away.join(step, ["trace_id", "up"]).select(
+                "trace_id", "id", F.col("_up").alias("up"),
+                (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top"),
+            ),
+            "depth",
         )
-        state = stage(state.filter(F.col("up").isNull()).unionByName(moved), "depth")
-    done = F.col("up").isNull()
-    return state.select(
-        "trace_id", "id",
-        F.when(done, F.col("depth")).alias("depth"), F.when(done, F.col("top")).alias("top"),
-    )
+        home = home.unionByName(moved.filter(F.col("up").isNull()))
+        away = moved.filter(F.col("up").isNotNull())
+        before, left = left, away.count()
+        if left == before:
+            break
+    lost = away.select(
+        "trace_id", "id", F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("top")
+    )
+    return home.select("trace_id", "id", "depth", "top").unionByName(lost)
 
 
 def service_map(spans: DataFrame) -> DataFrame:
     """T4: caller to callee edges with calls, error rate and average duration.
 
     Edges come from a child in another service and from a span's destination. Siblings with the
-    same service collapse before the join with their parent.
+    same service collapse before the join with their parent, and a parent that was delivered more
+    than once is one caller.
     """
     failed = F.count_if(F.col("outcome") == FAILURE)
     calls = (
@@ -190,8 +200,8 @@ def service_map(spans: DataFrame) -> DataFrame:
             F.sum("duration_us").alias("us"),
         )
     )
-    parents = spans.select(
-        "trace_id", F.col("id").alias("parent_id"), F.col("service_name").alias("caller")
+    parents = spans.groupBy("trace_id", F.col("id").alias("parent_id")).agg(
+        F.min("service_name").alias("caller")
     )
     inner = (
         calls.join(parents, ["trace_id", "parent_id"])
@@ -414,13 +424,13 @@ def sample_traces(spans: DataFrame, ratio: float = 0.1, key: str = "trace_id") -
     return spans.filter(F.pmod(F.xxhash64(key), F.lit(steps)) < int(ratio * steps))
 
 
-def sibling_gaps(spans: DataFrame, chunk: str = "1 hour") -> DataFrame:
+def sibling_gaps(spans: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     """Time between the end of the previous sibling and the start of a span, in µs.
 
     Siblings are ordered by (start, id). A parent may have a large part of all spans, so
     siblings are compared within time chunks; the first span of a chunk takes the last sibling
-    of the previous non-empty chunk, found on one row per (parent, chunk). The second step
-    reuses the partitioning of the first.
+    of the previous non-empty chunk, found on one row per (parent, chunk). Spans without a time stay,
+    with a NULL gap.
     """
     start = F.unix_micros("ts")
     end = start + F.col("duration_us")
@@ -429,17 +439,17 @@ def sibling_gaps(spans: DataFrame, chunk: str = "1 hour") -> DataFrame:
         spans.filter(F.col("parent_id").isNotNull())
         .withColumn("_start", start)
         .withColumn("_end", end)
-        .withColumn("_chunk", F.window("ts", chunk).getField("start"))
+        .withColumn("_chunk", F.floor(F.col("_start") / (chunk_seconds * 1_000_000)).cast("bigint"))
     )
     near = Window.partitionBy(*parent, "_chunk").orderBy("_start", "id")
     df = df.withColumns({"_prev": F.lag("_end").over(near), "_rank": F.row_number().over(near)})
-    last = df.groupBy(*parent, "_chunk").agg(
+    last = df.filter(F.col("_chunk").isNotNull()).groupBy(*parent, "_chunk").agg(
         F.max_by("_end", F.struct("_start", "id")).alias("_last")
     )
     carried = last.select(
         *parent, "_chunk",
         F.lag("_last").over(Window.partitionBy(*parent).orderBy("_chunk")).alias("_carry"),
     )
-    out = df.join(carried, [*parent, "_chunk"])
+    out = df.join(carried, [*parent, "_chunk"], "left")
     before = F.when(F.col("_rank") == 1, F.col("_carry")).otherwise(F.col("_prev"))
     return out.withColumn("gap_us", F.col("_start") - before).select(*spans.columns, "gap_us")

@@ -9,8 +9,12 @@ from skyledger import schema as S
 from skyledger.functions import scalars as X
 from skyledger.operators.enrich import normalise_category
 
-def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One schemaless document per file (or line) as a VARIANT column ``doc``."""
+
+def read_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One schemaless document per line as a VARIANT column ``doc``.
+
+    ``multi_line`` reads one document (or one list of documents) per file instead.
+    """
     reader = spark.read.format("json").option("singleVariantColumn", "doc")
     return reader.option("multiLine", str(multi_line).lower()).load(path)
 
@@ -60,14 +64,14 @@ def metric_documents(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_spans(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_spans(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Transactions and spans in one table."""
     from skyledger.operators.traces import spans_table
 
     return spans_table(read_documents(spark, path, multi_line))
 
 
-def read_errors(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_errors(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     from skyledger.operators.traces import errors_table
 
     return errors_table(read_documents(spark, path, multi_line))
@@ -99,7 +103,8 @@ def index_pattern(pattern: str) -> Column:
     """S3: an index pattern such as ``logs-aws.glue*`` as a filter on partition columns.
 
     Several patterns are separated by commas. The filter only names the partition columns
-    ``type``, ``dataset`` and ``namespace``, so that Spark prunes folders before listing files.
+    ``type``, ``dataset`` and ``namespace``, so no file of another folder is opened; ``scan_index``
+    does not even list those folders.
     """
     chosen = None
     for part in pattern.split(","):
@@ -124,9 +129,26 @@ def like(column: Column, pattern: str) -> Column:
     return column.like(escaped.replace("*", "%"))
 
 
-def scan_index(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """S3 over a folder written by ``write_data_stream``."""
-    return spark.read.parquet(root).filter(index_pattern(pattern))
+def index_globs(root: str, pattern: str) -> list[str]:
+    """The folders that an index pattern names, as path globs: one folder level per part."""
+    paths = []
+    for part in pattern.split(","):
+        kind, _, rest = part.strip().partition("-")
+        stem, _, space = rest.partition("-")
+        paths.append(f"{root.rstrip('/')}/type={kind}/dataset={stem}/namespace={space or '*'}")
+    return paths
+
+
+def scan_index(spark: SparkSession, root: str, pattern: str, layout: str | None = None) -> DataFrame:
+    """S3 over a folder written by ``write_data_stream``: only matching folders are listed.
+
+    ``layout`` is the DDL of the stored columns; without it Spark reads the footer of one file. A
+    pattern that matches no folder fails with ``PATH_NOT_FOUND``, as a misspelt index does.
+    """
+    reader = spark.read.option("basePath", root)
+    if layout is not None:
+        reader = reader.schema(f"{layout}, type STRING, dataset STRING, namespace STRING")
+    return reader.parquet(*index_globs(root, pattern)).filter(index_pattern(pattern))
 
 
 def preview(df: DataFrame, n: int = 10, ts: str = "ts") -> DataFrame:
@@ -135,16 +157,6 @@ def preview(df: DataFrame, n: int = 10, ts: str = "ts") -> DataFrame:
     return df.orderBy(F.desc(ts), doc).limit(n).select(F.col(ts), doc.alias("doc"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores, such as one compressed file.
-
-    A large input has many splits and is left alone, so this never shuffles a big table. It pays
-    for work per row (parsing, enrichment), not for plain aggregations.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def union_indices(*frames: DataFrame) -> DataFrame:
     """Datasets under one pattern, missing columns filled with NULL."""
     out = frames[0]

@@ -28,6 +28,8 @@ LOG_DATASETS = {
     "ec2": "aws.ec2_logs",
     "ecs": "aws.ecs_metrics",
     "msk": "aws.kafka_metrics",
+    "cspm": "cloud_security_posture.findings",
+    "kspm": "cloud_security_posture.findings",
     "health": "aws.awshealth",
     "mainframemodernization": "aws.m2",
     "parallelcomputing": "aws.pcs",
@@ -81,20 +83,28 @@ COMPUTE_SERVICES = (
     "robomaker"
 ).split()
 
-# Services that have no metrics mode.
-NO_METRICS = (
-    "a2i appconfig appfabric arc artifact auditmanager auroradsql b2bi bedrockdataautomation "
-    "chatbot cleanrooms cloudhsm codecatalyst cspm data-exfil-chain dataexchange datazone "
-    "deadlinecloud devicefarm endusermessaging entityresolution evs fis groundstation healthlake "
-    "healthomics iam-privesc-chain iotfleetwise iottwinmaker kendra kspm licensemanager "
-    "mainframemodernization managedgrafana mskconnect mwaa neptuneanalytics parallelcomputing "
-    "paymentcryptography private5g proton qdeveloper security-chain securityir simspaceweaver "
-    "supplychain vpcipam vpclattice wickr workmail"
+# Services that have a metrics mode. Any other service, known or not, has none.
+METRIC_SERVICES = (
+    "lambda ec2 ecs fargate eks apprunner elasticbeanstalk batch wavelength ecr apigateway alb nlb "
+    "cloudfront natgateway transitgateway vpn networkfirewall globalaccelerator directconnect vpc "
+    "privatelink networkmanager appmesh clientvpn cloudmap outposts verifiedpermissions dax "
+    "chimesdkvoice drs rds aurora dynamodb redshift ebs s3 storagelens elasticache opensearch docdb "
+    "neptune keyspaces memorydb qldb timestream efs fsx backup datasync storagegateway kinesis "
+    "kinesisanalytics msk firehose sns sqs eventbridge amazonmq waf wafv2 shield kms cognito guardduty "
+    "macie inspector config accessanalyzer secretsmanager acm identitycenter detective verifiedaccess "
+    "securitylake cloudtrail securityhub glue athena emr sagemaker bedrock bedrockagent lakeformation "
+    "databrew appflow rekognition textract comprehend comprehendmedical translate transcribe polly "
+    "forecast personalize lex lookoutmetrics qbusiness nova lookoutvision codebuild codepipeline "
+    "codedeploy amplify codecommit codeartifact codeguru cloudwatch stepfunctions appsync health "
+    "billing cloudformation ssm trustedadvisor controltower organizations servicecatalog "
+    "servicequotas computeoptimizer budgets dms resiliencehub ram migrationhub devopsguru iotcore "
+    "greengrass iotanalytics iotevents iotsitewise iotdefender workspaces connect gamelift "
+    "transferfamily appstream pinpoint lightsail frauddetector locationservice mediaconvert medialive "
+    "managedblockchain route53 autoscaling quicksight imagebuilder xray ses lookoutequipment monitron "
+    "networkaccessanalyzer incidentmanager cloudshell cloud9 robomaker kinesisvideo panorama freertos "
+    "cloudwatchrum"
 ).split()
 
-# A registry is joined by broadcast only below this many rows; services are a fixed, small set.
-MAX_REGISTRY_ROWS = 10_000
-
 REGISTRY_DDL = (
     "service STRING, service_group STRING, logs_dataset STRING, metrics_dataset STRING, "
     "default_source STRING, supports_metrics BOOLEAN"
@@ -145,7 +155,7 @@ def input_type(source: Column) -> Column:
 
 
 def supports_metrics(service: Column) -> Column:
-    return ~service.isin(*NO_METRICS)
+    return F.coalesce(service.isin(*METRIC_SERVICES), F.lit(False))
 
 
 def registry(services: DataFrame, group: str | None = None) -> DataFrame:
@@ -165,21 +175,12 @@ def registry_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, REGISTRY_DDL)
 
 
-def small_side(df: DataFrame, limit: int = MAX_REGISTRY_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a larger table keeps the shuffle join.
-
-    At most ``limit + 1`` rows are looked at, so the check itself stays cheap.
-    """
-    size = df.limit(limit + 1).count()
-    return F.broadcast(df) if size <= limit else df
-
-
 def join_registry(docs: DataFrame, reg: DataFrame, key: str = "service") -> DataFrame:
     """Document to registry, unknown services kept with NULLs."""
-    return docs.join(small_side(reg), key, "left")
+    return docs.join(reg, key, "left")
 
 
 def metrics_capable(docs: DataFrame, reg: DataFrame, key: str = "service") -> DataFrame:
     """keep documents of services that have a metrics mode."""
     capable = reg.filter("supports_metrics").select(key).distinct()
-    return docs.join(small_side(capable), key, "left_semi")
+    return docs.join(capable, key, "left_semi")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,10 +60,11 @@ def append_create_only(
     """The rows whose key is new; a repeated key keeps its first row by ``order``.
 
     Duplicates collapse in a partial aggregate before the shuffle, so many copies of one key
-    cost one row per map task.
+    cost one row per map task. A missing key part equals a missing key part.
     """
-    fresh = first_per_key(df, keys, order)
-    return fresh.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh, known = first_per_key(df, keys, order).alias("f"), existing.select(*keys).alias("e")
+    same = reduce(and_, [F.col(f"f.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+    return fresh.join(known, same, "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -90,7 +93,7 @@ def ingest_outcomes(df: DataFrame, dataset: str = "dataset", seq: str = "seq") -
         .select(
             dataset, "indexed", "conflict", "failed",
             F.col("_first.error_type").alias("first_error_type"),
-            F.substring("_first.error_reason", 1, 120).alias("first_error_reason"),
+            F.col("_first.error_reason").alias("first_error_reason"),
         )
     )
 

@@ -65,6 +65,11 @@ def test_enrich_keeps_what_is_there(rows):
     assert "-42" in out["aws_context"]["s3"]["bucket"]["name"]
 
 
+def test_unknown_services_have_no_metrics(rows):
+    df = rows([("lambda",), ("kendra",), ("nobody",), (None,)], "s string")
+    assert [r[0] for r in df.select(R.supports_metrics(F.col("s"))).collect()] == [True, False, False, False]
+
+
 def test_enrich_is_repeatable(rows):
     first = one(enrich.enrich(raw(rows, "ec2"), "logs", "id"))
     assert first == one(enrich.enrich(raw(rows, "ec2"), "logs", "id"))
@@ -76,6 +81,7 @@ def test_enrich_is_repeatable(rows):
         ("metrics", "lambda", "aws.lambda"), ("logs", "lambda", "aws.lambda_logs"),
         ("metrics", "fargate", "aws.ecs_metrics"), ("logs", "wafv2", "aws.waf"),
         ("metrics", "ec2", "aws.ec2_logs"), ("logs", "unknown", "aws.unknown"),
+        ("logs", "cspm", "cloud_security_posture.findings"), ("logs", "kspm", "cloud_security_posture.findings"),
     ],
 )
 def test_resolve_dataset(rows, kind, service, dataset):
@@ -124,14 +130,14 @@ def test_routing(rows):
 def test_error_documents_follow_their_stream_not_the_batch(rows):
     df = rows(
         [(("logs", "apm.error", "default"), None, "lambda"), (None, "aws.rdsproxy", "rds"),
-         (None, None, "vpc"), (None, None, "xray")],
+         (None, None, "vpc"), (None, None, "xray"), (("logs", "aws.lambda_logs", "prod"), "aws.x", "lambda")],
         "data_stream struct<type:string,dataset:string,namespace:string>, __dataset string, "
         "service_id string",
     )
     out = route.stream_of(df, "traces").collect()
     assert [(r["stream_type"], r["stream_dataset"]) for r in out] == [
         ("logs", "apm.error"), ("traces", "aws.rdsproxy"), ("traces", "aws.vpcflow"),
-        ("traces", "aws.xray"),
+        ("traces", "aws.xray"), ("logs", "aws.x"),
     ]
 
 
@@ -172,6 +178,10 @@ def test_streams_are_written_and_pruned(rows, spark, tmp_path):
     sinks.write_data_stream(df, root, max_records=7)
     scan = docs.scan_index(spark, root, "logs-aws.gl*")
     assert scan.count() == 20
+    assert all("dataset=aws.glue" in f for f in scan.inputFiles())
+    typed = docs.scan_index(spark, root, "logs-aws.glue", "id int, ts timestamp, date date")
+    assert typed.count() == 20 and set(typed.columns) == set(scan.columns)
+    assert docs.scan_index(spark, root, "logs-aws.glue-default,logs-aws.rds-*").count() == 30
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "StartsWith(dataset" in plan
     start, end = F.timestamp_seconds(F.lit(10)), F.timestamp_seconds(F.lit(20))
@@ -190,6 +200,9 @@ def test_append_create_only(rows):
     old = rows([(2,), (2,)], "k int")
     out = sinks.append_create_only(new, old, ["k"], ["v"])
     assert sorted(map(tuple, out.collect())) == [(1, "a"), (3, "d")]
+    pairs = rows([("a", None, 1), ("a", None, 2), ("b", None, 3)], "x string, y string, v int")
+    kept = sinks.append_create_only(pairs, pairs.filter("x = 'a'"), ["x", "y"], ["v"])
+    assert kept.collect() == [("b", None, 3)]
 
 
 def test_ingest_outcomes(rows):
@@ -199,7 +212,7 @@ def test_ingest_outcomes(rows):
         "dataset string, seq int, error_type string, error_reason string",
     )
     out = {r["dataset"]: r for r in sinks.ingest_outcomes(df).collect()}
-    assert tuple(out["d"])[1:5] == (1, 1, 2, "mapper") and out["d"]["first_error_reason"] == "x" * 120
+    assert tuple(out["d"])[1:5] == (1, 1, 2, "mapper") and out["d"]["first_error_reason"] == "x" * 200
     assert tuple(out["ok"])[1:] == (1, 0, 0, None, None)
 
 
@@ -223,18 +236,41 @@ def test_pick_handles_dots_spaces_and_promoted_columns(rows):
     assert one(wide.select(pick(wide, "aws.svc.job.name")))[0] == "j"
 
 
-def test_small_side_is_checked(spark):
-    small, large = spark.range(5), spark.range(50)
-    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in plan(R.small_side(small, 10))
-    assert "broadcast" not in plan(R.small_side(large, 10))
+def test_session_folder(spark, monkeypatch):
+    from skyledger import session
+
+    class Bare:
+        """A session in which nobody named the shared folder."""
+
+        class sparkContext:  # noqa: N801
+            master = "local[4]"
+            getCheckpointDir = staticmethod(lambda: "x")
+
+        class conf:  # noqa: N801
+            kept: dict = {}
+            get = staticmethod(lambda key, default=None: Bare.conf.kept.get(key, default))
+            set = staticmethod(lambda key, value: Bare.conf.kept.update({key: value}))
+
+    first = session.shared_dir(Bare)
+    assert session.shared_dir(Bare) == first == Bare.conf.kept[session.SHARED_DIR]
+    monkeypatch.setattr(Bare.sparkContext, "master", "local-cluster[3,2,1000]")
+    Bare.conf.kept = {}
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Bare)
+    Bare.conf.kept = {session.SHARED_DIR: "file:///shared"}
+    assert session.shared_dir(Bare) == "file:///shared"
+
+
+def test_read_documents_keeps_every_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(f'{{"x": {i}}}\n' for i in range(3)))
+    assert docs.read_documents(spark, str(tmp_path)).count() == 3
 
 
 def test_read_documents_and_logs(spark, tmp_path):
     doc = {"@timestamp": "2024-01-01T00:00:00.500Z", "event": {"category": "web", "outcome": "success"},
            "aws": {"x": {"y": 1}}, "message": "m"}
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
-    got = one(docs.read_documents(spark, str(tmp_path)).select(
+    got = one(docs.read_documents(spark, str(tmp_path), multi_line=True).select(
         F.try_variant_get("doc", "$.aws.x.y", "int").alias("y")))
     assert got["y"] == 1
     log = one(docs.read_logs(spark, str(tmp_path), multi_line=True))

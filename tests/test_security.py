@@ -15,26 +15,26 @@ STEPS = C.ESCALATION_STEPS
 
 def calls(rows, data):
     df = rows([(a, s, float(t)) for a, s, t in data], "actor string, action string, t double")
-    return df.withColumn("ts", F.timestamp_seconds("t"))
+    return df.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1_000_000).cast("bigint")))
 
 
 def found(df):
-    out = df.select("actor", F.unix_seconds("chain_start"), F.unix_seconds("chain_end"))
+    out = df.select("actor", F.unix_micros("chain_start"), F.unix_micros("chain_end"))
     return sorted(map(tuple, out.collect()))
 
 
 def brute(data, window):
-    """Latest chain start for every last step, over second-resolution times."""
+    """Latest chain start for every last step, in microseconds."""
     out = set()
     for actor in {a for a, _, _ in data}:
-        seen = sorted({(int(t), STEPS.index(s) + 1) for a, s, t in data if a == actor and s in STEPS})
+        seen = sorted({(round(t * 1_000_000), STEPS.index(s) + 1) for a, s, t in data if a == actor and s in STEPS})
         best = [None] * 5
         for t, k in seen:
             if k == 1:
                 best[1] = t
             elif best[k - 1] is not None and (best[k] is None or best[k - 1] > best[k]):
                 best[k] = best[k - 1]
-            if k == 4 and best[3] is not None and t - best[3] <= window:
+            if k == 4 and best[3] is not None and t - best[3] <= window * 1_000_000:
                 out.add((actor, best[3], t))
     return sorted(out)
 
@@ -45,14 +45,22 @@ def chain(actor, *times):
 
 def test_hand_made_chains(rows):
     data = (
-        chain("full", 10, 20, 30, 40) + chain("three", 10, 20, 30) + chain("same", 50.9, 50.1, 50.5, 50.0)
+        chain("full", 10, 20, 30, 40) + chain("three", 10, 20, 30) + chain("same", 50, 50, 50, 50)
+        + chain("reversed", 50.8, 50.6, 50.4, 50.2) + chain(None, 10, 20, 30, 40)
         + chain("late", 0, 10, 20, 3700) + chain("border", 3500, 3590, 3610, 3700)
         + list(reversed(chain("wrong-order", 40, 30, 20, 10)))
         + [("a1", STEPS[0], 1), ("a2", STEPS[1], 2), ("a1", STEPS[2], 3), ("a1", STEPS[3], 4)]
     )
     assert found(C.ordered_chains(calls(rows, data), ["actor"], 3600)) == [
-        ("border", 3500, 3700), ("full", 10, 40), ("same", 50, 50),
+        ("border", 3500_000_000, 3700_000_000), ("full", 10_000_000, 40_000_000),
+        ("same", 50_000_000, 50_000_000),
     ]
+    assert C.chain_counts(calls(rows, chain(None, 1, 2, 3, 4)), ["actor"]).count() == 0
+
+
+def test_unknown_addresses_do_not_correlate(rows):
+    one = rows([(None, 5.0), ("a", 9.0)], "ip string, bytes double").withColumn("ts", F.timestamp_seconds(F.lit(50)))
+    assert [r["ip"] for r in C.exfiltration(one, one, one).collect()] == ["a"]
 
 
 def test_random_chains_with_a_busy_actor(rows):

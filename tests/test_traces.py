@@ -60,7 +60,7 @@ def test_parent_columns(rows):
 def test_depths_of_chains_orphans_and_cycles(rows):
     chain = [("long", str(i), str(i - 1) if i else None, "s", i, 1) for i in range(200)]
     cycle = [("loop", "x", "y", "s", 0, 1), ("loop", "y", "x", "s", 0, 1), ("loop", "z", "x", "s", 0, 1)]
-    out = T.depths(tree(rows, SAMPLE + chain + cycle), rounds=10).collect()
+    out = T.depths(tree(rows, (SAMPLE + chain + cycle) * 2)).collect()
     got = {(r["trace_id"], r["id"]): (r["depth"], r["top"]) for r in out}
     assert len(out) == len(SAMPLE) + 203
     assert all(got["long", str(i)] == (i, "0") for i in range(200))
@@ -105,7 +105,7 @@ def test_sibling_gaps_across_chunks_and_with_a_hot_parent(rows):
     rng = random.Random(11)
     data = [("h", f"s{i:04d}", "p", "c", rng.randrange(0, 40_000_000), rng.randrange(1, 50)) for i in range(600)]
     data += [("h", "x", "q", "c", 5, 5)]
-    out = T.sibling_gaps(tree(rows, data), "1 second").collect()
+    out = T.sibling_gaps(tree(rows, data), 1).collect()
     got = {(r["parent_id"], r["id"]): r["gap_us"] for r in out}
     order = sorted((s for s in data if s[2] == "p"), key=lambda s: (s[4], s[1]))
     assert got["q", "x"] is None and got["p", order[0][1]] is None
@@ -113,6 +113,20 @@ def test_sibling_gaps_across_chunks_and_with_a_hot_parent(rows):
         assert got["p", after[1]] == after[4] - (before[4] + before[5])
 
 
+def test_sibling_without_a_time_stays(rows):
+    df = tree(rows, [("t", "a", "p", "c", 0, 5), ("t", "b", "p", "c", 9, 5), ("t", "c", "p", "c", 20, 5)])
+    df = df.withColumn("ts", F.when(F.col("id") != "b", F.col("ts")))
+    assert {r["id"]: r["gap_us"] for r in T.sibling_gaps(df).collect()} == {"a": None, "b": None, "c": 15}
+
+
+def test_spans_delivered_twice(rows):
+    once, again = tree(rows, SAMPLE), tree(rows, SAMPLE + [s for s in SAMPLE if s[2] is None])
+    count = lambda df: T.with_parent(df, "service_name").filter("parent_id IS NOT NULL").count()
+    assert count(once) == count(again)
+    calls = lambda df: {(r["caller"], r["callee"]): r["calls"] for r in T.service_map(df).collect()}
+    assert calls(once) == calls(again)
+
+
 def test_linked_traces_keep_absent_upstreams(rows):
     df = rows(
         [("t1", "a", None, "web", {"parent_trace_id": "t0"}), ("t2", "a", None, "fn", {"parent_trace_id": "t1"}),
