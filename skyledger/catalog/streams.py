@@ -37,20 +37,29 @@ JOBS = [
     D.Job("stream", "errors-by-user", "error", "high_count", split=("user",)),
     D.Job("stream", "value-by-type", "view", "high_mean", "value"),
     D.Job("stream", "purchases", "purchase", "count"),
+    D.Job("stream", "rare-levels", "click", "rare", split=("level",)),
+    # Data once in a while: its history reaches back over many silent buckets.
+    D.Job("stream", "sparse-peaks", "sparse", "high_max", "value"),
 ]
 
 
 def documents(df):
+    sparse = (F.col("event_type") == "signup") & (F.col("k") < 30)
     return df.select(
-        "ts", F.col("event_type").alias("dataset"), F.col("u").cast("string").alias("user"),
-        F.col("v").alias("value"),
+        "ts", F.when(sparse, "sparse").otherwise(F.col("event_type")).alias("dataset"),
+        F.col("u").cast("string").alias("user"), F.col("v").alias("value"),
+        F.concat(F.lit("a|"), F.when(F.col("k") >= 10, F.floor(F.col("k") / 10))).alias("level"),
     )
 
 
 FEED = """SELECT 'stream/errors-by-user' AS job, 'high_count' AS fn, CAST(u AS VARCHAR) AS entity, ts,
     CAST(NULL AS DOUBLE) AS m FROM ev WHERE event_type = 'error'
   UNION ALL SELECT 'stream/value-by-type', 'high_mean', '', ts, v FROM ev WHERE event_type = 'view'
-  UNION ALL SELECT 'stream/purchases', 'count', '', ts, NULL FROM ev WHERE event_type = 'purchase'"""
+  UNION ALL SELECT 'stream/purchases', 'count', '', ts, NULL FROM ev WHERE event_type = 'purchase'
+  UNION ALL SELECT 'stream/rare-levels', 'rare', CASE WHEN k >= 10 THEN 'a\\|' || k // 10 ELSE '\\N' END,
+    ts, NULL FROM ev WHERE event_type = 'click'
+  UNION ALL SELECT 'stream/sparse-peaks', 'high_max', '', ts, v FROM ev
+    WHERE event_type = 'signup' AND k < 30"""
 CLOSED = (
     f"({bucket_sql(900)} + 900) * 1000000 <= "
     "(SELECT (epoch_us(max(ts)) // 1000 - 60000) * 1000 FROM feed)"
@@ -109,7 +118,7 @@ def create_only(spark, sf):
 def detector_scores(spark, sf):
     """Scores kept up across micro-batches; the comparison scores all closed buckets at once."""
     root = scratch_path(spark, "detector")
-    detector = Z.Detector(JOBS, root, lookback=100_000)
+    detector = Z.Detector(JOBS, root)
     stream = Z.bucket_stream(documents(event_stream(spark, sf)), JOBS)
     detector.start(stream, f"{root}/state").awaitTermination()
     return shaped(detector.scores(spark))

@@ -58,53 +58,88 @@ class Job:
         return f"{self.group}/{self.id}"
 
 
-def condition(df: DataFrame, job: Job) -> Column:
-    """Dataset and signal of the job plus its own conditions."""
+def kind_of(op: str, value) -> str:
+    """The type in which a condition reads its field."""
+    if op not in ("eq", "in", "ge", "true"):
+        raise ValueError(f"unknown operator {op}")
+    number = op == "ge" or (op == "eq" and isinstance(value, (int, float)))
+    return "double" if number else "boolean" if op == "true" else "string"
+
+
+def fields_of(job: Job) -> set[tuple[str, str]]:
+    """Every (field, type) that a job reads."""
+    tested = {(name, kind_of(op, value)) for name, op, value in job.where}
+    measured = {(job.field, "double")} if job.field else set()
+    return tested | measured | {(name, "string") for name in job.split}
+
+
+def condition(df: DataFrame, job: Job, read) -> Column:
+    """Dataset and signal of the job plus its own conditions; ``read`` gives a field's column."""
     test = F.col("dataset") == job.dataset
     if "signal" in df.columns:
         test &= F.col("signal") == job.signal
     for name, op, value in job.where:
-        if op == "eq" and isinstance(value, (int, float)):
-            test &= pick(df, name, "double") == float(value)
-        elif op == "eq":
-            test &= pick(df, name) == value
-        elif op == "in":
-            test &= pick(df, name).isin(*value)
+        found = read(name, kind_of(op, value))
+        if op == "in":
+            test &= found.isin(*value)
         elif op == "ge":
-            test &= pick(df, name, "double") >= float(value)
+            test &= found >= float(value)
         elif op == "true":
-            test &= pick(df, name, "boolean")
+            test &= found
         else:
-            raise ValueError(f"unknown operator {op}")
+            test &= found == (float(value) if isinstance(value, (int, float)) else value)
     return F.coalesce(test, F.lit(False))
 
 
-def entity(df: DataFrame, job: Job) -> Column:
-    """The split values of a row as one key; jobs without a split have one entity."""
-    if not job.split:
+def entity(values: list[Column]) -> Column:
+    """The split values of a row as one key; jobs without a split have one entity.
+
+    Bars and backslashes inside a value are escaped and a missing value is ``\\N``, so that different
+    values never make the same key.
+    """
+    if not values:
         return F.lit("")
-    return F.concat_ws("|", *[F.coalesce(pick(df, s), F.lit("")) for s in job.split])
+    plain = lambda v: F.replace(
+        F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")
+    )
+    return F.concat_ws("|", *[F.coalesce(plain(v), F.lit("\\N")) for v in values])
 
 
 def datafeed(docs: DataFrame, jobs: list[Job], *extra: Column) -> DataFrame:
-    """Rows (job, entity, ts, measure) for every job a document belongs to."""
+    """Rows (job, entity, ts, measure) for every job a document belongs to.
+
+    Each field is read out of a document once, in a column of its own, for the datasets whose jobs use
+    it; the jobs then only look at those columns.
+    """
     datasets = sorted({j.dataset for j in jobs})
-    feed = docs.filter(F.col("dataset").isin(*datasets))
+    users: dict[tuple[str, str], set[str]] = {}
+    for j in jobs:
+        for key in fields_of(j):
+            users.setdefault(key, set()).add(j.dataset)
+    names = {key: f"_field{i}" for i, key in enumerate(sorted(users))}
+    read = lambda name, kind: F.col(names[name, kind])
+    kept = ["ts", "dataset", *(["signal"] if "signal" in docs.columns else [])]
+    feed = docs.filter(F.col("dataset").isin(*datasets)).select(
+        *kept, *extra,
+        *[
+            F.when(F.col("dataset").isin(*sorted(users[key])), pick(docs, *key)).alias(column)
+            for key, column in names.items()
+        ],
+    )
     hits = [
         F.when(
-            condition(docs, j),
+            condition(docs, j, read),
             F.struct(
                 F.lit(j.key).alias("job"),
-                entity(docs, j).alias("entity"),
-                (pick(docs, j.field, "double") if j.field else F.lit(None).cast("double")).alias(
-                    "measure"
-                ),
+                entity([read(s, "string") for s in j.split]).alias("entity"),
+                (read(j.field, "double") if j.field else F.lit(None).cast("double")).alias("measure"),
             ),
         )
         for j in jobs
     ]
-    return feed.select("ts", *extra, F.explode(F.array_compact(F.array(*hits))).alias("_hit")).select(
-        "ts", "_hit.*", *[F.col(f"`{name}`") for name in _names(feed, extra)]
+    carried = [F.col(f"`{name}`") for name in _names(docs, extra)]
+    return feed.select("ts", *carried, F.explode(F.array_compact(F.array(*hits))).alias("_hit")).select(
+        "ts", "_hit.*", *carried
     )
 
 
@@ -157,7 +192,8 @@ def empty_buckets(buckets: DataFrame, jobs: list[Job], seconds: int) -> DataFram
     The spine of an entity runs from its first bucket to the last bucket of the job. Every
     filled bucket is repeated up to the next one, so only filled buckets are shuffled; the rows
     made here stay in the partitions that the scoring window needs. Upper-tail counts need no
-    zero rows: see ``score_counts``.
+    zero rows: see ``score_counts``. A caller that has scored a part already names it in a column
+    ``since``: no zero rows are made up to there.
     """
     keys = [j.key for j in jobs if j.function in NEEDS_EMPTY]
     # A fixed number of partitions: adaptive execution would size them by the filled buckets
@@ -170,10 +206,17 @@ def empty_buckets(buckets: DataFrame, jobs: list[Job], seconds: int) -> DataFram
     step = F.make_interval(secs=F.lit(seconds))
     following = F.lead("bucket").over(Window.partitionBy("job", "entity").orderBy("bucket"))
     last = F.coalesce(F.col("_next") - step, F.col("_end"))
+    begin = F.col("bucket") + step
+    if "since" in buckets.columns:
+        begin = F.greatest(begin, F.col("since") + step)  # greatest() passes over a missing since
+    silent = F.when(begin <= last, F.sequence(begin, last, step))
+    nothing = F.array().cast("array<timestamp>")
     spread = (
         chosen.join(F.broadcast(ends), "job")
         .withColumn("_next", following)
-        .withColumn("_slot", F.explode(F.sequence(F.col("bucket"), last, step)))
+        .withColumn(
+            "_slot", F.explode(F.concat(F.array("bucket"), F.coalesce(silent, nothing)))
+        )
     )
     filled = F.col("_slot") == F.col("bucket")
     zero = F.lit(0).cast("bigint")
@@ -304,8 +347,12 @@ def score_buckets(
     return reduce(DataFrame.unionByName, parts)
 
 
-def score_rare(buckets: DataFrame, jobs: list[Job]) -> DataFrame:
-    """Values seen in few of the earlier buckets of the job."""
+def score_rare(buckets: DataFrame, jobs: list[Job], earlier: DataFrame | None = None) -> DataFrame:
+    """Values seen in few of the earlier buckets of the job.
+
+    ``earlier`` holds what came before ``buckets``: the number of buckets per (job, entity), and per
+    job in the row without an entity.
+    """
     keys = [j.key for j in jobs if j.function == RARE]
     seen = buckets.filter(F.col("job").isin(*keys)).select("job", "entity", "bucket", "docs")
     # Every (job, bucket) once, numbered in time order: one row per bucket of time and job.
@@ -315,6 +362,13 @@ def score_rare(buckets: DataFrame, jobs: list[Job]) -> DataFrame:
     value = Window.partitionBy("job", "entity").orderBy("bucket")
     prior = (F.row_number().over(value) - 1).cast("bigint")
     df = seen.withColumn("_prior", prior).join(numbered, ["job", "bucket"])
+    if earlier is not None:
+        of_value = earlier.filter(F.col("entity").isNotNull()).withColumnRenamed("n", "_value")
+        of_job = earlier.filter(F.col("entity").isNull()).select("job", F.col("n").alias("_job"))
+        add = lambda c, n: F.col(c) + F.coalesce(F.col(n), F.lit(0))
+        # One row per job of this call: bounded by the length of the job list.
+        df = df.join(of_value, ["job", "entity"], "left").join(F.broadcast(of_job), "job", "left")
+        df = df.withColumns({"_prior": add("_prior", "_value"), "seen": add("seen", "_job")})
     f = F.try_divide(F.col("_prior").cast("double"), F.col("seen").cast("double"))
     score = F.when(
         (F.col("seen") >= WARM_UP) & (f < RARE_SHARE), F.lit(100.0) * (1 - f / RARE_SHARE)

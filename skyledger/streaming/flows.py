@@ -7,8 +7,10 @@ watermark, checkpoints go to the shared folder, and writers that need more than
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,12 +39,14 @@ def split_late(df: DataFrame, arrival: Column, window: str = ACCEPT_WINDOW):
 def write_split(
     df: DataFrame, arrival: Column, good: str, late: str, checkpoint: str, window: str = ACCEPT_WINDOW
 ) -> StreamingQuery:
-    """Z3: both parts of one stream, written per batch."""
+    """Z3: both parts of one stream, written per batch; the batch is read and parsed once."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         kept, put_aside = split_late(batch, arrival, window)
         kept.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
         put_aside.write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
+        batch.unpersist()
 
     return start(df.writeStream.foreachBatch(store), checkpoint)
 
@@ -73,68 +77,79 @@ def run_to_table(df: DataFrame, label: str, partition_by: list[str] | None = Non
 
 
 class Detector:
-    """Scores for every closed bucket, across micro-batches.
-
-    Closed buckets are appended to a table; each batch scores its new buckets against the
-    recent part of that table, read with a filter on the bucket date. A second small table
-    keeps the first bucket of every entity. No state grows inside the stream itself.
-
-    ``lookback`` is the number of time buckets kept in reach. Counts need ``HISTORY`` of them;
-    value detectors look at the last ``HISTORY`` *filled* buckets among them.
+    """Scores for every closed bucket, across micro-batches, equal to those of one batch.
+
+    A batch reads what it needs from the state that the batch before it wrote, one folder, and writes
+    the next: the last ``HISTORY`` filled buckets of every entity with the time of its first one, and
+    for rare detectors how many buckets a value and its job have had. The state is bounded by the
+    number of entities, however long the stream runs and however seldom an entity has data. A replayed
+    batch reads the same state and overwrites its own. Older state folders are not read again; give
+    them an expiry rule. No state grows inside the stream itself.
     """
 
-    def __init__(self, jobs: list[D.Job], root: str, span: str = D.SPAN, lookback: int = 4 * D.HISTORY):
-        self.jobs = [j for j in jobs if j.function != D.RARE]
-        self.root, self.span, self.lookback = root, span, lookback
-        self.seconds = D.span_seconds(span)
+    BUCKETS = (
+        "job STRING, entity STRING, bucket TIMESTAMP, docs BIGINT, values BIGINT, total DOUBLE, peak DOUBLE"
+    )
+    COUNTS = "job STRING, entity STRING, n BIGINT"
 
-    def _read(self, spark: SparkSession, name: str, schema, batch_id: int) -> DataFrame:
-        """What earlier batches wrote; a replayed batch does not see itself."""
-        path = f"{self.root}/{name}"
-        stored = spark.read.schema(f"{schema}, batch BIGINT")
+    def __init__(self, jobs: list[D.Job], root: str, span: str = D.SPAN):
+        self.scored = [j for j in jobs if j.function != D.RARE]
+        self.rare = [j for j in jobs if j.function == D.RARE]
+        self.root, self.span, self.seconds = root, span, D.span_seconds(span)
+
+    def _state(self, spark: SparkSession, name: str, layout: str, batch_id: int) -> DataFrame:
+        """What the batch before this one left; nothing before the first."""
         try:
-            df = stored.parquet(path)
-        except AnalysisException as missing:  # no folder before the first batch
+            return spark.read.schema(layout).parquet(f"{self.root}/{name}/batch={batch_id - 1}")
+        except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], schema)
-        return df.filter(F.col("batch") < batch_id).drop("batch")
+            return spark.createDataFrame([], layout)
 
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+    def _store(self, df: DataFrame, name: str, layout: str, batch_id: int) -> DataFrame:
+        path = f"{self.root}/{name}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(layout).parquet(path)
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        layout = "job STRING, entity STRING, bucket TIMESTAMP, docs BIGINT, values BIGINT, " \
-                 "total DOUBLE, peak DOUBLE"
-        fresh = batch.select("job", "entity", "bucket", "docs", "values", "total", "peak")
-        self._write(fresh, "buckets", batch_id)
-        fresh = spark.read.schema(layout).parquet(f"{self.root}/buckets/batch={batch_id}")
-        low = fresh.agg(F.min("bucket")).first()[0]
-        if low is None:
-            return
-        born = "job STRING, entity STRING, first_bucket TIMESTAMP"
-        known = self._read(spark, "entities", born, batch_id)
-        new = (
-            fresh.groupBy("job", "entity")
-            .agg(F.min("bucket").alias("first_bucket"))
-            .join(known, ["job", "entity"], "left_anti")
+        columns = [c.split()[0] for c in self.BUCKETS.split(", ")]
+        fresh = self._store(batch.select(*columns), "buckets", self.BUCKETS, batch_id)
+        parts = []
+        if self.scored:
+            parts.append(self._score(fresh, batch_id))
+        if self.rare:
+            parts.append(self._score_rare(fresh, batch_id))
+        if parts:
+            scores = reduce(DataFrame.unionByName, parts)
+            scores.write.mode("overwrite").parquet(f"{self.root}/scores/batch={batch_id}")
+
+    def _score(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+        spark, layout = fresh.sparkSession, f"{self.BUCKETS}, first_bucket TIMESTAMP"
+        past = self._state(spark, "history", layout, batch_id)
+        mine = fresh.filter(F.col("job").isin(*[j.key for j in self.scored]))
+        entity = Window.partitionBy("job", "entity")
+        recent = past.unionByName(mine.withColumn("first_bucket", F.col("bucket"))).withColumn(
+            "first_bucket", F.min("first_bucket").over(entity)
         )
-        self._write(new, "entities", batch_id)
-        entities = known.unionByName(
-            spark.read.schema(born).parquet(f"{self.root}/entities/batch={batch_id}")
+        newest = F.row_number().over(entity.orderBy(F.desc("bucket")))
+        kept = recent.withColumn("_age", newest).filter(F.col("_age") <= D.HISTORY).drop("_age")
+        self._store(kept, "history", layout, batch_id)
+        # One row per job of the list: up to where the buckets of a job are scored already.
+        done = F.broadcast(past.groupBy("job").agg(F.max("bucket").alias("since")))
+        scores = D.score_buckets(recent.join(done, "job", "left"), self.scored, self.seconds)
+        fresh_only = F.col("since").isNull() | (F.col("bucket") > F.col("since"))
+        return scores.join(done, "job", "left").filter(fresh_only).drop("since")
+
+    def _score_rare(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+        earlier = self._state(fresh.sparkSession, "rare", self.COUNTS, batch_id)
+        mine = fresh.filter(F.col("job").isin(*[j.key for j in self.rare]))
+        values = mine.groupBy("job", "entity").agg(F.count("*").alias("n"))
+        whole = mine.groupBy("job").agg(F.count_distinct("bucket").alias("n")).select(
+            "job", F.lit(None).cast("string").alias("entity"), "n"
         )
-
-        reach = F.lit(low) - F.make_interval(secs=F.lit(self.seconds * self.lookback))
-        past = self._read(spark, "buckets", layout, batch_id).filter(F.col("bucket") >= reach)
-        recent = past.unionByName(fresh).join(entities, ["job", "entity"], "left")
-        # Buckets close in time order, so whatever lies after the last stored one is new,
-        # the silent buckets in between included.
-        done = past.agg(F.max("bucket")).first()[0]
-        scored = D.score_buckets(recent, self.jobs, self.seconds)
-        if done is not None:
-            scored = scored.filter(F.col("bucket") > F.lit(done))
-        self._write(scored, "scores", batch_id)
+        total = earlier.unionByName(values).unionByName(whole).groupBy("job", "entity")
+        self._store(total.agg(F.sum("n").alias("n")), "rare", self.COUNTS, batch_id)
+        return D.score_rare(mine, self.rare, earlier)
 
     def start(self, buckets: DataFrame, checkpoint: str) -> StreamingQuery:
         return start(buckets.writeStream.foreachBatch(self.on_batch), checkpoint)

@@ -13,11 +13,12 @@ from skyledger.operators import invocations
 from skyledger.streaming import flows as Z
 
 T0 = dt.datetime(2024, 1, 1)
-DDL = "ts timestamp, dataset string, user string, value double"
+DDL = "ts timestamp, dataset string, user string, value double, tenth string"
 JOBS = [
     D.Job("s", "errors", "err", "high_count", split=("user",)),
     D.Job("s", "slow", "req", "high_mean", "value", ("user",)),
     D.Job("s", "volume", "req", "low_count", split=("user",)),
+    D.Job("s", "odd", "req", "rare", split=("user", "tenth")),
 ]
 
 
@@ -29,7 +30,8 @@ def parts(spark, tmp_path_factory):
     for i in range(6):
         data = [
             (T0 + dt.timedelta(hours=2 * i, seconds=rng.uniform(0, 7200)),
-             "err" if rng.random() < 0.3 else "req", f"u{rng.randrange(3)}", rng.gauss(10, 3))
+             "err" if rng.random() < 0.3 else "req", f"u{rng.randrange(3)}", rng.gauss(10, 3),
+             rng.choice(["a|b", "c", None, "", "\\N", "d", "e"]))
             for _ in range(300)
         ]
         if i == 4:
@@ -66,7 +68,7 @@ def test_buckets(spark, parts):
 
 
 def test_detector_across_batches(spark, parts, tmp_path):
-    detector = Z.Detector(JOBS, str(tmp_path / "d"), lookback=400)
+    detector = Z.Detector(JOBS, str(tmp_path / "d"))
     query = detector.start(Z.bucket_stream(source(spark, parts), JOBS), str(tmp_path / "state"))
     query.awaitTermination()
     assert len({r["batch"] for r in spark.read.parquet(str(tmp_path / "d/scores")).select("batch").collect()}) > 3
@@ -93,6 +95,30 @@ def test_detector_replay_does_not_change_results(spark, tmp_path):
     assert as_set(detector.scores(spark), "bucket", "score", "seen") == first and len(first) == 40
 
 
+def test_sparse_and_rare_only_detectors(spark, tmp_path):
+    """One filled bucket in 15 hours: history is counted in filled buckets, however long ago."""
+    jobs = [D.Job("s", "peak", "d", "high_max", "value"), D.Job("s", "odd", "d", "rare", split=("user",)),
+            D.Job("s", "quiet", "d", "low_count")]
+    layout = Z.Detector.BUCKETS
+    rng = random.Random(3)
+    data = [
+        (job, entity, T0 + dt.timedelta(hours=15 * b), 1, 1, v, v)
+        for b in range(60)
+        for v in [rng.gauss(5, 1) + 40 * (b == 57)]
+        for job, entity in [("s/peak", ""), ("s/odd", "x" if b != 55 else "y"), ("s/quiet", "")]
+    ]
+    detector = Z.Detector(jobs, str(tmp_path / "d"))
+    for b in range(0, 60, 12):
+        detector.on_batch(spark.createDataFrame(data[3 * b : 3 * b + 36], layout), b // 12)
+    cols = ["job", "entity", "bucket", "actual", "seen", "score"]
+    whole = D.score(spark.createDataFrame(data, layout), jobs)
+    assert as_set(detector.scores(spark), *cols) == as_set(whole, *cols)
+    assert detector.scores(spark).filter("score > 75").count() >= 2
+    alone = Z.Detector(jobs[1:2], str(tmp_path / "r"))
+    alone.on_batch(spark.createDataFrame(data, layout), 0)
+    assert alone.scores(spark).count() == 60
+
+
 def test_create_only(spark, tmp_path):
     rows = [(T0, "a"), (T0, "a"), (T0, "b"), (T0 + dt.timedelta(minutes=1), "a")]
     spark.createDataFrame(rows, "ts timestamp, k string").write.parquet(str(tmp_path / "in"))
