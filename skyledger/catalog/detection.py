@@ -263,3 +263,26 @@ def zero_fill_spine(spark, sf):
     )
     filled = D.empty_buckets(D.bucketise(D.datafeed(docs, [job]), "1 hour"), [job], 3600)
     return filled.select("entity", secs("bucket").alias("b"), "docs")
+
+
+SPANNED = [
+    D.Job("spans", "quarter", "all", "high_count", split=("kind",)),
+    D.Job("spans", "hour", "all", "high_mean", "value", ("kind",), span="60 minutes"),
+]
+
+
+def spanned_sql(job: D.Job) -> str:
+    feed = f"SELECT '{job.key}' AS job, '{job.function}' AS fn, event_type AS entity, ts, v AS m FROM ev"
+    return (
+        f"SELECT * FROM (WITH {scores_over(feed, seconds=D.span_seconds(job.span))} SELECT job, entity, b, "
+        f"function, {r4_sql('actual')} AS actual, {r4_sql('score')} AS score, seen FROM scores)"
+    )
+
+
+@query("detect_spans_per_job", " UNION ALL ".join(spanned_sql(j) for j in SPANNED))
+def spans_per_job(spark, sf):
+    """Jobs of 15 and 60 minutes in one call."""
+    docs = events(spark, sf).select(
+        "ts", F.lit("all").alias("dataset"), F.col("event_type").alias("kind"), F.col("v").alias("value")
+    )
+    return shaped(D.detect(docs, SPANNED))

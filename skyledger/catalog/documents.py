@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyledger.catalog.base import EV, bucket_sql, events, query, secs, secs_sql, table
 
+from skyledger.functions import scalars as X
 from skyledger.operators import enrich as E
 from skyledger.operators import filters, route
 from skyledger.operators import stats as A
@@ -540,4 +541,87 @@ def log_documents(spark, sf):
     )
 
 
+@query(
+    "scan_metric_documents",
+    f"""WITH {EV} SELECT 'aws.' || event_type AS dataset, CASE WHEN k < 50 THEN 'eu-west-1' ELSE 'us-east-1'
+          END AS region, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k, max({secs_sql()}) AS newest
+        FROM ev GROUP BY 1, 2""",
+)
+def metric_documents(spark, sf):
+    """Metric documents written as JSON lines, read as long rows."""
+    path = scratch_path(spark, "metric-docs")
+    stat = F.struct(F.col("k").alias("avg"), F.col("k").alias("sum"), F.lit(1).alias("count"))
+    body = F.struct(F.struct(F.struct(stat.alias("a.b")).alias("metrics")).alias("svc"))
+    region = F.when(F.col("k") < 50, "eu-west-1").otherwise("us-east-1")
+    doc = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp"),
+        F.struct(F.concat(F.lit("aws."), "event_type").alias("dataset")).alias("data_stream"),
+        F.struct(region.alias("region"), F.struct(F.lit("1").alias("id")).alias("account")).alias("cloud"),
+        body.alias("aws"),
+    )
+    events(spark, sf).select(F.to_json(doc).alias("value")).write.text(path)
+    return Docs.read_metrics(spark, path).groupBy("dataset", "region").agg(
+        F.count("*").alias("n"), F.sum("sum").cast("bigint").alias("sum_k"), F.max(secs("ts")).alias("newest")
+    )
+
+
+def _trace_lines(spark, sf, label: str) -> str:
+    """Events as trace documents, one JSON line each: transactions, spans and errors."""
+    path = scratch_path(spark, label)
+    kind = F.when(F.col("k") < 20, "transaction").when(F.col("k") < 70, "span").otherwise("error")
+    own = F.struct(
+        F.concat(F.lit("i"), "event_id").alias("id"), F.struct(F.col("u").alias("us")).alias("duration"),
+        F.col("event_type").alias("name"),
+    )
+    caught = F.array(F.struct(F.lit("E").alias("type"), F.lit(True).alias("handled")))
+    doc = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp"),
+        F.struct(kind.alias("event")).alias("processor"),
+        F.struct(F.concat(F.lit("t"), "u").alias("id")).alias("trace"),
+        F.when(kind == "transaction", own).alias("transaction"),
+        F.when(kind == "span", own).alias("span"),
+        F.when(kind == "error", F.struct(F.col("event_type").alias("culprit"), caught.alias("exception"))).alias(
+            "error"
+        ),
+    )
+    events(spark, sf).select(F.to_json(doc).alias("value")).write.text(path)
+    return path
+
 
+@query(
+    "scan_span_documents",
+    f"""WITH {EV} SELECT CASE WHEN k < 20 THEN 'transaction' ELSE 'span' END AS kind, event_type AS name,
+        count(*) AS n, CAST(sum(u) AS BIGINT) AS us, count(DISTINCT u) AS traces FROM ev WHERE k < 70
+        GROUP BY 1, 2""",
+)
+def span_documents(spark, sf):
+    """Transactions and spans written as JSON lines, read into the span layout."""
+    df = Docs.read_spans(spark, _trace_lines(spark, sf, "span-docs"))
+    return df.groupBy("kind", "name").agg(
+        F.count("id").alias("n"), F.sum("duration_us").alias("us"), F.count_distinct("trace_id").alias("traces")
+    )
+
+
+@query(
+    "scan_error_documents",
+    f"""WITH {EV} SELECT event_type AS culprit, 'E' AS kind, count(*) AS n, max({secs_sql()}) AS newest FROM ev
+        WHERE k >= 70 GROUP BY 1""",
+)
+def error_documents(spark, sf):
+    """Error documents written as JSON lines."""
+    df = Docs.read_errors(spark, _trace_lines(spark, sf, "error-docs"))
+    kind = F.get("exception", F.lit(0)).getField("type")
+    return df.groupBy("culprit", kind.alias("kind")).agg(
+        F.count("*").alias("n"), F.max(secs("ts")).alias("newest")
+    )
+
+
+@query(
+    "scalar_round_places",
+    """SELECT event_type, CAST(sum(round(CAST(value AS DECIMAL(18, 4)), 2)) AS DOUBLE) AS total FROM events
+       GROUP BY 1""",
+)
+def rounded(spark, sf):
+    """Halves are rounded away from zero."""
+    x = X.round_places(F.col("v").cast("decimal(18,4)"), 2)
+    return events(spark, sf).groupBy("event_type").agg(F.sum(x).cast("double").alias("total"))

@@ -144,7 +144,10 @@ def on_promoted_fields(spark, sf):
 
 def _titled_fields(name: str) -> dict[str, str]:
     _, dimensions, measures = dashboards.DASHBOARDS[name]
-    fields = {"event.outcome": FIELDS["event.outcome"]}
+    fields = {
+        "event.outcome": FIELDS["event.outcome"],
+        "error.message": "CASE event_type WHEN 'purchase' THEN concat('e', CAST(k AS VARCHAR(9))) END",
+    }
     for i, field in enumerate(dimensions):
         value = "u" if i == 0 else "k"
         fields[field] = f"concat('x-', CAST({value} AS VARCHAR(9)))"
@@ -162,19 +165,23 @@ def _titled_dataset(name: str) -> str:
     )
 
 
+def _titled_docs_sql(name: str) -> str:
+    fields = columns_sql(_titled_fields(name))
+    return f"{EV}, docs AS (SELECT event_id, ts, {_titled_dataset(name)} AS dataset, {fields} FROM ev)"
+
+
 def titled_sql(name: str) -> str:
     parts = []
     for p in dashboards.panels_of(name):
-        grouped = p.kind in ("share", "top", "avg_by")
+        grouped = p.kind in ("share", "avg_by")
         key = "key" if grouped else "CAST(bucket AS VARCHAR)" if p.kind.endswith("line") else "''"
-        for series in ("count", "share") if p.kind == "share" else ("count",) if p.kind == "top" else ("value",):
+        named = [n for n, _ in p.series] or ["value"]
+        for series in ("count", "share") if p.kind == "share" else named:
             parts.append(
                 f"SELECT '{p.key}' AS panel, {key} AS key, '{series}' AS series, "
                 f"CAST({series} AS DOUBLE) AS value FROM ({body_sql(p)})"
             )
-    fields = columns_sql(_titled_fields(name))
-    docs = f"docs AS (SELECT event_id, ts, {_titled_dataset(name)} AS dataset, {fields} FROM ev)"
-    return f"WITH {EV}, {docs} " + " UNION ALL ".join(parts)
+    return f"WITH {_titled_docs_sql(name)} " + " UNION ALL ".join(parts)
 
 
 def run_titled(name: str, spark, sf):
@@ -185,3 +192,18 @@ def run_titled(name: str, spark, sf):
 
 for _name in dashboards.DASHBOARDS:
     query(f"dashboard_{_name}", titled_sql(_name))(partial(run_titled, _name))
+
+
+_EVENTS = dashboards.event_table("kinesisanalytics")
+
+
+@query("dashboard_kinesisanalytics_events", f"WITH {_titled_docs_sql('kinesisanalytics')} {body_sql(_EVENTS)}")
+def kinesis_events(spark, sf):
+    """The event table of the documented dashboard."""
+    name = _EVENTS.dashboard
+    base = events(spark, sf).withColumn("dataset", F.expr(_titled_dataset(name)))
+    made = documents(base, _titled_fields(name), ["event_id", "ts", "dataset"])
+    out = panels.run(_EVENTS, made, SPAN, tie="event_id")
+    return out.select(secs("ts").alias("at"), *[
+        (r4(F.col(n)) if n in panels.NUMERIC else F.col(n)).alias(n) for n, _ in _EVENTS.series
+    ])

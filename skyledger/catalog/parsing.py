@@ -475,4 +475,53 @@ def egress(spark, sf):
     return security.egress_by_destination(flows(spark, sf))
 
 
+# Fixed expectations, written out for the comparison side: dataset, then the columns that it fills.
+MOVED = """aws.athena athena__dataScannedBytes athena__database athena__durationSeconds athena__queryId athena__state athena__workgroup
+aws.cloudformation cloudformation__action cloudformation__stackName cloudformation__stackStatus
+aws.codebuild codebuild__buildId codebuild__phase codebuild__project codebuild__status
+aws.codepipeline codepipeline__executionId codepipeline__pipeline codepipeline__stage codepipeline__state
+aws.emr_logs emr__applicationId emr__clusterId emr__component emr__containerId log__level
+aws.glue error__code glue__jobName glue__jobRunId log__level
+aws.iot iot__action iot__clientId iot__topic
+aws.qbusiness qbusiness__application_id qbusiness__conversation_id qbusiness__event_type qbusiness__guardrail_action
+aws.rds log__level rds__logger rds__thread
+aws.sagemaker log__level sagemaker__appType sagemaker__event sagemaker__space sagemaker__user
+aws.securitylake securitylake__activity_id securitylake__category_uid securitylake__class_name securitylake__class_uid securitylake__severity_id
+aws.ssm ssm__commandId ssm__documentName ssm__instanceId ssm__status
+aws.verifiedaccess verifiedaccess__deny_reason verifiedaccess__device_posture verifiedaccess__trust_provider_type verifiedaccess__verdict"""
+_ALL = sorted(p.dataset for p in parsers.all_parsers())
+_KEYS = sorted({key for p in parsers.all_parsers() for key, _ in p.renames})
+_WHEN_MOVED = " ".join(
+    f"WHEN '{line.split(' ', 1)[0]}' THEN '{line.split(' ', 1)[1]}'" for line in MOVED.splitlines()
+)
+
+
+@query(
+    "parse_every_dataset",
+    f"""WITH {EV}, d AS (SELECT k, [{", ".join(f"'{d}'" for d in _ALL)}][CAST(event_id % {len(_ALL)} AS INT) + 1]
+          AS dataset FROM ev)
+        SELECT dataset, CASE WHEN dataset IN ('aws.ec2_logs', 'aws.emr_logs', 'aws.lambda_logs')
+          THEN replace(substr(dataset, 5), '_logs', '') ELSE substr(dataset, 5) END || '.parsed' AS space,
+        CASE dataset {_WHEN_MOVED} ELSE '' END AS moved, CASE WHEN dataset IN ('aws.emr_logs', 'aws.glue',
+          'aws.rds', 'aws.sagemaker') THEN 'val-' || min(k) END AS level, count(*) AS n FROM d GROUP BY 1""",
+)
+def every_dataset(spark, sf):
+    """A message with every key for every dataset; which columns each parser fills, and with what."""
+    names = F.array(*[F.lit(d) for d in _ALL])
+    docs = events(spark, sf).select(
+        F.get(names, F.pmod(F.col("event_id"), F.lit(len(_ALL))).cast("int")).alias("dataset"), "k",
+        F.expr("concat('{', " + _json_pairs() + ", '}')").alias("message"),
+    )
+    out = parse.parse_documents(docs, parsers.all_parsers())
+    moved = sorted(c for c in out.columns if "__" in c)
+    filled = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in moved]))
+    return (
+        out.withColumn("moved", F.array_join(filled, " "))
+        .groupBy("dataset", F.col("parsed_as").alias("space"), "moved")
+        .agg(F.min_by("log__level", "k").alias("level"), F.count("*").alias("n"))
+    )
+
 
+def _json_pairs() -> str:
+    """SQL pieces of a JSON object that gives every key the value Val-<k>."""
+    return ", ',', ".join(f"'\"{key}\":\"Val-', k, '\"'" for key in _KEYS)

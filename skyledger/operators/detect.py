@@ -51,6 +51,7 @@ class Job:
     where: tuple[tuple, ...] = ()
     influencers: tuple[str, ...] = ("cloud.region", "cloud.account.id")
     signal: str = "logs"
+    span: str = SPAN
 
     @property
     def key(self) -> str:
@@ -390,12 +391,16 @@ def score(buckets: DataFrame, jobs: list[Job], span_seconds: int = 900) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def detect(docs: DataFrame, jobs: list[Job], span: str = SPAN) -> DataFrame:
+def detect(docs: DataFrame, jobs: list[Job], span: str | None = None) -> DataFrame:
     """D1-D14 over a batch of documents with ``ts`` and ``dataset``; D17's backfill form.
 
-    The documents are scanned once: where several detectors read the buckets, the buckets are
-    staged first.
+    Jobs have buckets of their own ``span``, unless one is given for all. The documents are scanned once
+    per span: where several detectors read the buckets, the buckets are staged first.
     """
+    if span is None:
+        spans = sorted({j.span for j in jobs})
+        parts = [detect(docs, [j for j in jobs if j.span == s], s) for s in spans]
+        return reduce(DataFrame.unionByName, parts)
     buckets = bucketise(datafeed(docs, jobs), span)
     shared = len(families(jobs)) > 1 or RARE in families(jobs)
     if shared or any(j.function in NEEDS_EMPTY for j in jobs):

@@ -78,8 +78,41 @@ DASHBOARDS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]]
 P.DATASETS.update({name: spec[0] for name, spec in DASHBOARDS.items()})
 
 
+def streaming_applications(name: str) -> list[P.Panel]:
+    """The one of these dashboards whose panels are documented."""
+    _, (application, runtime), (records, lag, checkpoint, kpu) = DASHBOARDS[name]
+    one = lambda field: (("value", field),)
+    return [
+        P.Panel(name, "total", "count"),
+        P.Panel(name, "failures", "failures"),
+        P.Panel(name, "avg_records", "avg", one(records)),
+        P.Panel(name, "avg_kpu", "avg", one(kpu)),
+        P.Panel(name, "by_application", "share", by=application),
+        P.Panel(name, "by_runtime", "share", by=runtime),
+        P.Panel(name, "by_outcome", "share", by="event.outcome"),
+        P.Panel(name, "records_and_lag", "avg_line", (("records", records), ("lag_ms", lag))),
+        P.Panel(name, "checkpoint_over_time", "avg_line", one(checkpoint)),
+        P.Panel(name, "kpu_over_time", "avg_line", one(kpu)),
+        P.Panel(name, "records_by_application", "avg_by", one(records), by=application),
+        P.Panel(name, "failures_over_time", "failures_line"),
+    ]
+
+
+def event_table(name: str, n: int = 100) -> P.Panel:
+    """The newest events of the documented dashboard as a table."""
+    _, (application, runtime), (records, lag, checkpoint, kpu) = DASHBOARDS[name]
+    return P.Panel(
+        name, "events", "recent",
+        (("application", application), ("runtime", runtime), ("records", records), ("lag_ms", lag),
+         ("checkpoint_ms", checkpoint), ("kpu", kpu), ("outcome", "event.outcome"),
+         ("error", "error.message")), n=n,
+    )
+
+
 def panels_of(name: str) -> list[P.Panel]:
     """KPIs, outcome share, volumes over time, and one panel per dimension and measure."""
+    if name == "kinesisanalytics":
+        return streaming_applications(name)
     _, dimensions, measures = DASHBOARDS[name]
     out = [
         P.Panel(name, "total", "count"),
@@ -90,7 +123,7 @@ def panels_of(name: str) -> list[P.Panel]:
         P.Panel(name, "failures_over_time", "failures_line"),
     ]
     for i, field in enumerate(dimensions):
-        out.append(P.Panel(name, f"top_{i}", "top", by=field, n=10))
+        out.append(P.Panel(name, f"by_{i}", "share", by=field))
     for i, field in enumerate(measures):
         series = (("value", field),)
         out.append(P.Panel(name, f"avg_{i}", "avg", series))

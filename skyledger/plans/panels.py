@@ -141,7 +141,7 @@ PANELS = [
        "scanned_mb=aws.athena.data_scanned_mb", "error_code=aws.athena.error_code", n=100),
 ]
 
-NUMERIC = {"duration", "scanned_mb"}
+NUMERIC = {"duration", "scanned_mb", "records", "lag_ms", "checkpoint_ms", "kpu"}
 
 
 def fields_of(panel: Panel) -> list[str]:
