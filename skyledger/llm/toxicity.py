@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import Memo, labelled_sample, over_batches, share_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEMS = (3, 4, 5, 6, 7, 8)  # letters of a beginning that counts as a token
+STEMS = (4, 5, 6, 7, 8)  # letters of a beginning that counts as a token
 PER_CLASS = 4000  # training documents of each label, half for the words, half for the calibration
-PRIOR = 100.0  # pseudo-documents of the Dirichlet prior, shared out by frequency in all of them
-SURE = 3.0  # standard errors by which a token's log-odds must exceed zero to count for it,
-LEAST = 3.0  # and the log-odds it must have: what a topic or a language has in common stays below
+PRIOR = 0.025  # weight of the Dirichlet prior: this part of a token's count under both labels
+LEAST = 3.0  # log-odds that a token must have: what a topic or a language has in common stays below
+OFTEN = 3  # documents in which a token must be to be tested at all, and the share of those with label 1
+COMMON = 0.02  # that it must be in: else the copies of one document would make all its words insults
 GAP = 0.25  # what any other token takes from a passage
 STEP, STEPS = 0.25, 64  # token scores are counted in steps of a quarter
 
@@ -54,21 +55,32 @@ def word_scores(sample: DataFrame) -> dict[str, float]:
     """Tokens that speak for label 1, with their log-odds.
 
     A document counts a token once: repeats are not independent. The prior is Dirichlet, in proportion
-    to a token's frequency under both labels, so that rare tokens start out neutral.
+    to a token's frequency under both labels, so that rare tokens start out neutral. A token counts if
+    its likelihood ratio exceeds what the best of all tested tokens reaches by chance, 2 log(tested).
     """
     counted = sample.select("y", "text").mapInArrow(_count_words(), "word string, y int, n long")
-    per_word = counted.groupBy("word").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"),
+    per_word = (
+        counted.groupBy("word")
+        .agg(
+            F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"),
+            F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"),
+        )
+        .where(F.col("n1") + F.col("n0") >= OFTEN)
+        .cache()
     )
     sizes = {int(r["y"] > 0): r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     d1, d0 = sizes.get(1, 0), sizes.get(0, 0)
-    prior = F.lit(PRIOR) * (F.col("n1") + F.col("n0")) / F.lit(float(max(d1 + d0, 1)))
-    a1, a0 = F.col("n1") + prior, F.col("n0") + prior
-    rest1, rest0 = F.lit(d1 + PRIOR) - a1, F.lit(d0 + PRIOR) - a0
+    both, n1, n0 = F.col("n1") + F.col("n0"), F.col("n1"), F.col("n0")
+    a1, a0 = n1 + PRIOR * both, n0 + PRIOR * both
+    rest1, rest0 = F.lit(d1 + PRIOR * (d1 + d0)) - a1, F.lit(d0 + PRIOR * (d1 + d0)) - a0
     odds = F.log(a1 / F.greatest(rest1, F.lit(0.5))) - F.log(a0 / F.greatest(rest0, F.lit(0.5)))
-    low = odds - F.lit(SURE) * F.sqrt(1 / a1 + 1 / a0)
-    rows = per_word.select("word", odds.alias("odds")).where((low > 0) & (odds > LEAST)).collect()
+    share = d1 / max(d1 + d0, 1)
+    surprise = lambda n, part: F.when(n > 0, n * F.log(n / (both * part))).otherwise(0.0)
+    ratio = 2 * (surprise(n1, max(share, 1e-9)) + surprise(n0, max(1 - share, 1e-9)))
+    sure = 2 * math.log(max(per_word.count(), 2))
+    chosen = (ratio >= sure) & (odds >= LEAST) & (n1 >= COMMON * d1)
+    rows = per_word.where(chosen).select("word", odds.alias("odds")).collect()
+    per_word.unpersist()
     return {r["word"]: float(r["odds"]) for r in rows}
 
 
