@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections import Counter
-from functools import partial
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Memo, over_batches
+from skyledger.llm.common import over_batches
 from skyledger.session import stage
 
 WINDOW, UNIT = 4096, 64
@@ -32,29 +33,81 @@ PACKED = (
 )
 
 
-def _encoder(path: str) -> Memo:
-    from tokenizers import Tokenizer
+class Words:
+    """The ids of blank-separated words, as bytes, from a vocabulary file.
 
-    tokenizer = Tokenizer.from_file(path)
+    The vocabulary lower-cases, drops white space and never joins over it, so the ids of a text are
+    those of its words, and a word is worked out once however often it comes. Most words are a run of
+    letters and some signs, which the vocabulary takes apart: then only the letters are looked up, many
+    in one call. ``limit`` bounds what is kept between batches and changes no result.
+    """
 
-    def ids(word: bytes) -> bytes:
-        found = tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(found, dtype="<u4").tobytes()
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
 
-    return Memo(ids)
+        self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)  # ids with which a run ends
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.limit = limit
 
+    def split(self, text: bytes | None) -> list[bytes]:
+        text = text or b""
+        # the special tokens are written <|...|> and are not lower-cased before they are found
+        return (text if b"<|" in text else text.lower()).split()
 
-def token_bytes(text: bytes | None, words: Memo) -> bytes:
-    """The ids of a text and ``END``, as little-endian unsigned 32-bit numbers.
+    def ids(self, words: list[bytes]) -> bytes:
+        """The ids of words that were learned, and ``END``: little-endian unsigned 32-bit numbers."""
+        return b"".join(map(self.known.__getitem__, words)) + END.to_bytes(4, "little")
 
-    The vocabulary drops white space and never joins over it, so a text is the sum of its words.
-    """
-    return b"".join(map(words.__getitem__, (text or b"").split())) + END.to_bytes(4, "little")
+    def _encode(self, word: str) -> bytes:
+        found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Makes the ids of all these words known."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        runs: dict[str, list[tuple[bytes, str]]] = {}
+        signs: dict[str, bytes] = {"": b""}
+        for word in set(chain.from_iterable(texts)).difference(self.known):
+            text = word.decode()
+            letters = text.rstrip(string.punctuation)
+            if letters.isalpha() and b"<|" not in word:
+                runs.setdefault(letters, []).append((word, text[len(letters) :]))
+            else:
+                self.known[word] = self._encode(text)
+        names = list(runs)
+        for at in range(0, len(names), 2000):
+            part = names[at : at + 2000]
+            found = np.array(
+                self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids,
+                dtype="<u4",
+            )
+            last = np.flatnonzero(self.ends[found])
+            if len(last) == len(part) and last[-1] == len(found) - 1:
+                raw, cuts = found.tobytes(), [0, *((last + 1) * 4).tolist()]
+                pieces = [raw[x:y] for x, y in pairwise(cuts)]
+            else:
+                pieces = [self._encode(name) for name in part]
+            for name, ids in zip(part, pieces, strict=True):
+                for word, tail in runs[name]:
+                    if tail not in signs:
+                        signs[tail] = self._encode(tail)
+                    self.known[word] = ids + signs[tail]
+
+
+def token_bytes(text: bytes | None, words: Words) -> bytes:
+    """The ids of a whole text and ``END``."""
+    found = words.split(text)
+    words.learn([found])
+    return words.ids(found)
 
 
 def _cut(path: str):
     def build():
-        words, part, nth = _encoder(path), TaskContext.get().partitionId(), Counter()
+        words, part, nth = Words(path), TaskContext.get().partitionId(), Counter()
 
         def work(batch: pa.RecordBatch) -> list:
             out: list[list] = [[] for _ in range(8)]
@@ -63,8 +116,10 @@ def _cut(path: str):
                 for column, v in zip(out, values, strict=True):
                     column.append(v)
 
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids, doc_id = memoryview(token_bytes(text.as_py(), words)), doc_id.as_py()
+            texts = [words.split(t.as_py()) for t in batch.column("text")]
+            words.learn(texts)
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids = memoryview(words.ids(found))
                 n = len(ids) // 4
                 at = 0
                 while at < n:
@@ -297,10 +352,9 @@ def tokens(docs: DataFrame, packed: DataFrame, path: str) -> DataFrame:
 
     Needs unique ids.
     """
-    encoder = partial(_encoder, path)
 
     def build():
-        words = encoder()
+        words = Words(path)
 
         def work(batch: pa.RecordBatch) -> list:
             out = []
