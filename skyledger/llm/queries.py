@@ -125,6 +125,31 @@ def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_groups(table(spark, sf, "documents"))
 
 
+ORACLE["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    END AS shingles FROM words),
+sizes AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets),
+held AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM held x JOIN held y
+    ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.other)
+SELECT s.doc_id, n AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+FROM sizes s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, n
+"""
+
+
 @query
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -173,3 +198,22 @@ def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+ORACLE["op8_embedding_near_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(max(n), 0) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept
+FROM reached r LEFT JOIN degrees ON a = r.vec_id GROUP BY r.vec_id
+"""
