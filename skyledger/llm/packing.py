@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import chain, pairwise
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import over_batches
+from skyledger.llm.common import Memo, over_batches
 from skyledger.session import stage
 
 WINDOW, UNIT = 4096, 64
@@ -43,9 +44,18 @@ class Words:
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for lower-case letters in normal form there is nothing to normalise and to take apart
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)  # ids with which a run ends
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -65,37 +75,48 @@ class Words:
         found = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(found, dtype="<u4").tobytes()
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Makes the ids of all these words known."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        runs: dict[str, list[tuple[bytes, str]]] = {}
-        signs: dict[str, bytes] = {"": b""}
-        for word in set(chain.from_iterable(texts)).difference(self.known):
-            text = word.decode()
-            letters = text.rstrip(string.punctuation)
-            if letters.isalpha() and b"<|" not in word:
-                runs.setdefault(letters, []).append((word, text[len(letters) :]))
-            else:
-                self.known[word] = self._encode(text)
-        names = list(runs)
+    def _runs(self, tokenizer, names: list[str]) -> dict[str, bytes]:
+        """The ids of runs of letters, thousands in one call: each ends with an id that ends a run."""
+        out: dict[str, bytes] = {}
         for at in range(0, len(names), 2000):
             part = names[at : at + 2000]
-            found = np.array(
-                self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids,
-                dtype="<u4",
-            )
+            joined = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            found = np.array(joined[0].ids, dtype="<u4")
             last = np.flatnonzero(self.ends[found])
             if len(last) == len(part) and last[-1] == len(found) - 1:
                 raw, cuts = found.tobytes(), [0, *((last + 1) * 4).tolist()]
-                pieces = [raw[x:y] for x, y in pairwise(cuts)]
+                out.update(zip(part, [raw[x:y] for x, y in pairwise(cuts)], strict=True))
+            else:
+                out.update((name, self._encode(name)) for name in part)
+        return out
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Makes the ids of all these words known."""
+        if len(self.known) > self.limit:
+            self.known.clear()
+        words = list(set(chain.from_iterable(texts)).difference(self.known))
+        if not words:
+            return
+        read = b" ".join(words).decode().split(" ")
+        letters = [text.rstrip(string.punctuation) for text in read]
+        runs = dict.fromkeys(x for x in letters if x.isalpha())
+        plain = [x for x in runs if self._is_plain(x)]
+        found = self._runs(self.plain, plain)
+        found |= self._runs(self.tokenizer, [x for x in runs if x not in found])
+        signs = Memo(self._encode)
+        for word, text, run in zip(words, read, letters, strict=True):
+            ids = found.get(run)
+            if ids is None:
+                self.known[word] = self._encode(text)
+            elif len(run) == len(text):
+                self.known[word] = ids
             else:
-                pieces = [self._encode(name) for name in part]
-            for name, ids in zip(part, pieces, strict=True):
-                for word, tail in runs[name]:
-                    if tail not in signs:
-                        signs[tail] = self._encode(tail)
-                    self.known[word] = ids + signs[tail]
+                self.known[word] = ids + signs[text[len(run) :]]
+
+    @staticmethod
+    def _is_plain(run: str) -> bool:
+        known = run.isascii() or (max(run) < "\u0250" and unicodedata.is_normalized("NFC", run))
+        return known and run == run.lower()
 
 
 def token_bytes(text: bytes | None, words: Words) -> bytes:
