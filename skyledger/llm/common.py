@@ -9,6 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.session import stage
+
+ROW = "__row"  # the row key of a staged table
+
+
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` staged with a key per row in ``ROW``; ids may be null or repeated.
+
+    The key is written with the rows: whoever reads them again sees the same key.
+    """
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""

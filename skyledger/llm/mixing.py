@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.common import ROW, keyed
 from skyledger.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -110,7 +111,7 @@ def mix(
     block: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and its shard.
+    """One row per document: doc_id, size, source_size, target, taken, its shard and its row key.
 
     The mix is made of blocks of ``block`` words. Sources get their blocks by Sainte-Laguë from their
     targets, and the shards of a source (a hash of the id) get theirs by Sainte-Laguë from their sizes:
@@ -120,10 +121,12 @@ def mix(
     itself, and a shard's window sorts rows of ids and sizes only. A quota above ``cap`` x the shard
     is cut to that: less than one block a shard.
 
-    Null or empty texts have size 0 and are taken 0 times. A repeated doc_id is a document a row.
+    Null or empty texts have size 0 and are taken 0 times. A repeated doc_id is a document a row. The
+    row key is the column ``ROW`` of ``docs``, or else a number given here.
     """
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW)
     rows = stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row), "mix-sizes"
     )
     n = rows.count()
     shards = max(1, min(MOST_SHARDS, -(-n // ROWS_PER_SHARD)))
@@ -158,7 +161,7 @@ def mix(
     full = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
     ahead = (
         Window.partitionBy("d.source", "d.part")
-        .orderBy("d.order", "d.doc_id", "d.size")
+        .orderBy("d.order", "d.doc_id", "d.size", f"d.{ROW}")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = (
@@ -175,6 +178,7 @@ def mix(
         "d.doc_id", "d.size", "q.source_size", "q.target",
         (F.col("q.passes") * F.col("d.size") + front).cast("long").alias("taken"),
         F.col("d.part").alias("shard"), F.col("d.source").alias("source"),
+        F.col(f"d.{ROW}").alias(ROW),
     )
 
 
@@ -183,11 +187,13 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     A document taken k times its size comes k times; what is left over keeps its first words and the
     white space between them. ``n_chars``, where there is such a column, follows the new text.
-    Documents of which nothing is taken go. Ids must be unique.
+    Documents of which nothing is taken go. Shares come back by the row key of a staged copy, so rows
+    with a null or repeated doc_id each keep their own words.
     """
     size, taken = F.col("__mix_size"), F.col("__mix_taken")
-    shares = mix(docs, **options).where("taken > 0").select(
-        "doc_id", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")
+    rows = keyed(docs, "mix-rows")
+    shares = mix(rows, **options).where("taken > 0").select(
+        ROW, F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")
     )
     rest = F.pmod(taken, size).cast("int")
     spaced = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
@@ -196,7 +202,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         F.array_repeat(F.col("text"), F.floor(taken / size).cast("int")),
         F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
     )
-    out = docs.join(shares, "doc_id").withColumn("text", F.explode(copies))
+    out = rows.join(shares, ROW).withColumn("text", F.explode(copies))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

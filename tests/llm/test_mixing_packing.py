@@ -88,6 +88,20 @@ def test_applied_mix_holds_the_words_taken(rows):
     assert dict(words) == {k: v for k, v in taken.items() if v}
 
 
+def test_applied_mix_of_null_and_repeated_ids(rows):
+    ids = [None, None, None, 7, 7, 7, 7, *range(20, 40)]
+    docs = rows([(d, " ".join([f"t{k}"] * (5 + k % 4)), "s" if k % 3 else "t") for k, d in enumerate(ids)], DOCS)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    sizes = {r["text"].split()[0]: len(r["text"].split()) for r in docs.collect()}
+    for r in mixing.apply_mix(docs).collect():
+        words = r["text"].split()
+        got[r["doc_id"], r["source"], sizes[words[0]]] += len(words)
+        assert len(set(words)) == 1
+    assert dict(got) == {k: v for k, v in want.items() if v} and any(k[0] is None for k in got)
+
+
 def test_mix_plan_has_no_python(spark):
     plan = QUERIES["op2_mixing"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
