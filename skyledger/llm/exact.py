@@ -10,12 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import _arrow_schema
+from skyledger.llm.common import ROW, _arrow_schema, keyed
 from skyledger.session import stage
 
 RUNS = (
-    "doc_id long, text_sha256 string, part int, first_key boolean, last_key boolean, "
-    "local_size long, local_keep long"
+    "doc_id long, row long, text_sha256 string, part int, first_key boolean, last_key boolean, "
+    "local_size long, local_keep long, local_row long"
 )
 
 
@@ -27,6 +27,15 @@ def mark_copies(
     Texts are equal if their ``normalised`` forms are identical; by default the text itself, null as
     the empty text. Of equal texts the row with the ``keep`` ("smallest" or "largest") doc_id stays.
     Rows that repeat a doc_id are rows of their own and share the flag of that id.
+    """
+    return _marks(docs, F.lit(0).cast("long"), normalised, keep, head).drop("row", "keep_row")
+
+
+def _marks(
+    docs: DataFrame, row: Column, normalised: Column | None = None, keep: str = "largest", head: int = 64
+) -> DataFrame:
+    """The columns of ``mark_copies``, the row key and ``keep_row``: the one row of the group that stays,
+    of equal ids the one with the smallest key.
 
     The sort key is (first ``head`` characters, 64-bit hash, whole text, doc_id). Spark's range
     partitioner samples splitters of (head, hash, doc_id), which stay short for any text, so the copies
@@ -38,41 +47,49 @@ def mark_copies(
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     text = F.coalesce(normalised if normalised is not None else F.col("text"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), text.alias("text"))
+    sized = texts.select(
         "doc_id",
+        "row",
         "text",
         F.left(F.col("text"), F.lit(head)).alias("key_head"),
         F.xxhash64("text").alias("key_hash"),
     )
     order = ["key_head", "key_hash", "text", "doc_id"]
-    parts = keyed.repartitionByRange("key_head", "key_hash", "doc_id").sortWithinPartitions(*order)
+    parts = sized.repartitionByRange("key_head", "key_hash", "doc_id").sortWithinPartitions(*order)
     hashed = parts.withColumn("sha", F.sha2("text", 256))
     runs = stage(
         hashed.withColumn("part", F.spark_partition_id()).mapInArrow(_runs(keep), RUNS), "exact-runs"
     )
 
     at_edge = F.col("first_key") | F.col("last_key")
-    pick = F.min if keep == "smallest" else F.max
+    rank = F.col("local_keep") if keep == "smallest" else F.bitwise_not("local_keep")  # reverses the order
+    best = F.struct(
+        F.col("local_keep").isNull().alias("absent"), rank.alias("rank"), "local_row", "local_keep"
+    )
     edges = (
         runs.where(at_edge)
         .groupBy("part", "text_sha256")
-        .agg(F.first("local_size").alias("n"), pick("local_keep").alias("k"))
+        .agg(F.first("local_size").alias("n"), F.min(best).alias("k"))
         .groupBy("text_sha256")
-        .agg(F.sum("n").alias("edge_size"), pick("k").alias("edge_keep"))
-    )
+        .agg(F.sum("n").alias("edge_size"), F.min("k").alias("k"))
+        .select("text_sha256", "edge_size", F.col("k.local_keep").alias("edge_keep"),
+                F.col("k.local_row").alias("edge_row"))
+    )
     inner = runs.where(~at_edge).select(
         "doc_id", F.col("local_keep").alias("keep_id"), F.col("local_size").alias("group_size"),
-        "text_sha256",
+        "text_sha256", "row", F.col("local_row").alias("keep_row"),
     )
     outer = (
         runs.where(at_edge)
         .join(F.broadcast(edges), "text_sha256")
         .select("doc_id", F.col("edge_keep").alias("keep_id"), F.col("edge_size").alias("group_size"),
-                "text_sha256")
+                "text_sha256", "row", F.col("edge_row").alias("keep_row"))
     )
     return inner.unionByName(outer).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
+        "row", "keep_row",
     )
 
 
@@ -88,12 +105,15 @@ def _runs(keep: str):
         ids = pc.fill_null(rows.column("doc_id"), absent).to_numpy()
         sizes = np.diff(np.append(starts, len(ids)))
         chosen = np.repeat(choose.reduceat(ids, starts), sizes)
+        able = np.where(ids == chosen, rows.column("row").to_numpy(), limits.max)
+        chosen_row = np.repeat(np.minimum.reduceat(able, starts), sizes)
         return pa.RecordBatch.from_arrays(
             [
-                rows.column("doc_id"), rows.column("sha").cast(pa.string()), rows.column("part"),
+                rows.column("doc_id"), rows.column("row"), rows.column("sha").cast(pa.string()),
+                rows.column("part"),
                 pa.array(first), pa.array(np.full(len(ids), last)),
                 pa.array(np.repeat(sizes, sizes).astype(np.int64)),
-                pa.array(chosen, mask=chosen == absent),
+                pa.array(chosen, mask=chosen == absent), pa.array(chosen_row),
             ],
             schema=arrow,
         )
@@ -121,7 +141,7 @@ def _runs(keep: str):
             if held:
                 new_run[0] = open_text != text[0].as_py()
                 new_key[0] = open_key != (head[0].as_py(), key[0].as_py())
-            narrow = batch.select(["doc_id", "sha", "part"])
+            narrow = batch.select(["doc_id", "row", "sha", "part"])
             keys = np.flatnonzero(new_key)
             if held and (len(keys) == 0 or keys[0] > 0):
                 until = int(keys[0]) if len(keys) else n
@@ -149,9 +169,12 @@ def _runs(keep: str):
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """``docs`` without the rows that ``mark_copies`` drops; all columns stay.
+    """``docs`` with one row of each group of equal texts, with the ``keep`` doc_id; all columns stay.
 
-    A row that repeats both doc_id and text of a kept row stays with it: the flag belongs to the id.
+    Rows go by the row key of a staged copy, so null and repeated ids lose no text and keep no copy. An
+    id that isn't null is kept before a null one, and of equal ids the smallest row key.
     """
-    dropped = mark_copies(docs, keep=keep).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    rows = keyed(docs, "exact-rows")
+    marks = _marks(rows, F.col(ROW), keep=keep)
+    dropped = marks.where("row <> keep_row").select(F.col("row").alias(ROW))
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Memo, mix64, over_batches, share_of
+from skyledger.llm.common import ROW, Memo, keyed, mix64, over_batches, share_of
 from skyledger.llm.components import components
 from skyledger.session import stage
 
@@ -20,7 +20,7 @@ SMALLEST = 6  # a smaller set can't reach 0.85 with any other set
 
 ODD = 1024  # bits of a parity sketch
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"
+SIGNATURE = "doc_id long, row long, n_shingles long, digest binary, bands array<long>, odd array<long>"
 
 
 def shingles(text: bytes | None, words: Memo) -> np.ndarray:
@@ -102,14 +102,18 @@ def _sign():
             )
             for v in (keys, odd)
         ]
-        return [batch.column("doc_id"), sizes, digests, *lists]
+        return [batch.column("doc_id"), batch.column("row"), sizes, digests, *lists]
 
     return work
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: the size of its shingle set, a digest of the set, its band keys and its bitmap."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    """Per row: its key (the column ``ROW``, or else a number given here), the size of its shingle set,
+    a digest of the set, its band keys and its bitmap."""
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(
+        F.col("doc_id").cast("long"), row.alias("row"), F.col("text").cast("binary").alias("text")
+    )
     return over_batches(rows, _sign, SIGNATURE)
 
 
@@ -189,33 +193,43 @@ def near_groups(docs: DataFrame) -> DataFrame:
        that sizes or bitmaps prove to be too different. So no link between members of a bucket is
        lost, and groups of near copies never become all pairs.
     """
-    signed = stage(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    return _groups(docs).drop("row", "keep_row")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """The columns of ``near_groups``, the row key and ``keep_row``: the one row of the component that
+    stays, of equal ids the one with the smallest key."""
+    signed = stage(signatures(docs), "near-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))
     classes = stage(
         signed.where("n_shingles > 0")
         .groupBy("digest")
         .agg(
-            F.min("row").alias("node"), F.min("doc_id").alias("low"),
+            F.min("row").alias("node"), F.min("doc_id").alias("low"), first.alias("first"),
             F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"),
             F.any_value("odd").alias("odd"),
         ),
         "near-classes",
     )
     roots = _join_classes(docs, classes)
-    named = classes.select("digest", "node", "low").join(
+    named = classes.select("digest", "node", "low", "first").join(
         roots.withColumnRenamed("component", "root"), "node", "left"
     )
     named = stage(named.withColumn("root", F.coalesce("root", "node")), "near-named")
-    smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    groups = named.join(smallest, "root").select("digest", "component_id")
+    smallest = named.groupBy("root").agg(
+        F.min("low").alias("component_id"), F.min("first").getField("row").alias("keep_row")
+    )
+    groups = named.join(smallest, "root").select("digest", "component_id", "keep_row")
     out = (
         signed.where("n_shingles > 0")
-        .select("doc_id", "n_shingles", "digest")
+        .select("doc_id", "n_shingles", "digest", "row")
         .join(groups, "digest")
-        .select("doc_id", "n_shingles", "component_id")
+        .select("doc_id", "n_shingles", "component_id", "row", "keep_row")
         .unionByName(
             signed.where("n_shingles = 0").select(
-                "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
-            )
+                "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row",
+                F.col("row").alias("keep_row"),
+            )
         )
     )
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -308,6 +322,11 @@ def _join_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id is the smallest."""
-    dropped = near_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """``docs`` with one row of each group: the one with the smallest doc_id, null last.
+
+    Rows go by the row key of a staged copy, which also decides between equal ids. Texts without words
+    are no group and stay.
+    """
+    rows = keyed(docs, "near-rows")
+    dropped = _groups(rows).where("row <> keep_row").select(F.col("row").alias(ROW))
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)

@@ -75,12 +75,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For results that several later steps read: the raw input is scanned once, the plan stays
     short, lost executors cost nothing that was staged, and the planner knows the real size.
+    ``options`` are those of the Parquet writer.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

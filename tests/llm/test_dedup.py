@@ -150,6 +150,27 @@ def test_near_empty_repeated_and_clashing_columns(rows):
     assert near.drop_near_copies(wide).collect() == [(1, "a b", "x", 3)]
 
 
+LEAF = "one two three four five six seven eight"
+REPEATED = [(5, LEAF), (9, LEAF), (5, "unique of its own"), (3, "same row"), (3, "same row"), (None, "null id only"),
+            (None, "null id only"), (None, LEAF), (None, "null and one"), (1, "null and one"), (None, "alone")]
+
+
+@pytest.mark.parametrize("keep,leaf", [("largest", 9), ("smallest", 5)])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_exact_drop_keeps_one_row_of_each_text(rows, keep, leaf, parts):
+    got = exact.drop_copies(rows(REPEATED, DOCS).repartition(parts), keep=keep).collect()
+    want = {(leaf, LEAF), (5, "unique of its own"), (3, "same row"), (None, "null id only"), (1, "null and one"), (None, "alone")}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_near_drop_keeps_one_row_of_each_group(rows):
+    docs = [(d, t.upper() if k % 2 else t) for k, (d, t) in enumerate(REPEATED)] + [(3, None), (3, ""), (None, " ")]
+    got = near.drop_near_copies(rows(docs, DOCS)).collect()
+    words = [(r["doc_id"], r["text"].lower()) for r in got if (r["text"] or "").strip()]
+    want = {(5, LEAF), (5, "unique of its own"), (3, "same row"), (None, "null id only"), (1, "null and one"), (None, "alone")}
+    assert len(words) == len(want) and set(words) == want and len(got) == len(want) + 3
+
+
 def test_bitmaps_never_rule_out_a_link():
     draw = np.random.default_rng(1)
     for n in (6, 50, 700, 9000):
