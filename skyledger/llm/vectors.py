@@ -98,7 +98,7 @@ def _spread():
                 rows.append(at)
                 cells.append(cell)
                 flags.append(np.full(len(at), sum((1 - s) << k for k, s in enumerate(step)), np.int32))
-                keys.append(p[at, (t + 1) % REPEATS * LEADS])  # sorted by a projection of another table
+                keys.append(p[at, t * LEADS])  # a lead: the cell demands its collision anyway
         take = pa.array(np.concatenate(rows))
         out = {c: batch.column(c).take(take) for c in ("label", "dim", "node", "n", "raw", "lines")}
         return [
@@ -264,7 +264,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     Twelve random projections make three tables. A table is cut into cells by four of them, so that
     any two vectors within a window of each other in all four share a cell. Inside a cell the rows are
-    sorted by another projection; for the window around each query the collisions over all twelve are
+    sorted by the first of its four; for the window around each query the collisions over all twelve are
     counted, and pairs that reach the calibrated count are verified. A pair that met in an earlier
     table is left alone. Pairs never leave a task: it returns the links of each query as a number, and
     a forest of them. Equal vectors are one row with a count. The queries of a large cell are dealt

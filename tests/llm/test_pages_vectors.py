@@ -225,3 +225,24 @@ def test_windows_reach_the_recall_they_promise():
     met = np.stack([hit[:, t * 4 : t * 4 + 4].all(axis=1) for t in range(vectors.REPEATS)]).any(axis=0)
     found = met & (hit.sum(axis=1) >= vectors.needed())
     assert abs(hit.mean() - p) < 0.01 and found.mean() >= 0.995
+
+
+def test_large_cells_lose_no_pair_that_meets_and_counts(rows):
+    """Pairs that differ widely in one projection of another table, among thousands in their cells."""
+    draw = np.random.default_rng(12)
+    a, b = draw.normal(size=(2, 60_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    cosine = draw.uniform(0.931, 0.95, size=(60_000, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    apart = np.abs((a - b) @ vectors.directions(64))
+    hit = apart <= vectors.WIDE - 1e-4
+    fit = hit[:, : vectors.LEADS].all(axis=1) & (hit.sum(axis=1) >= vectors.needed())
+    picked = np.flatnonzero(fit & ~hit[:, vectors.LEADS])
+    picked = picked[np.argsort(-apart[picked, vectors.LEADS])][:200]
+    assert len(picked) == 200
+    fill = draw.normal(size=(4000, 64))
+    every = np.concatenate([a[picked], b[picked], fill]).astype(np.float32)
+    data = [(i, [float(c) for c in v], 1) for i, v in enumerate(every)]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(rows(data, VEC)).collect()}
+    assert all(got[i] == 1 for i in range(400)) and not any(got[i] for i in range(400, 4400))
