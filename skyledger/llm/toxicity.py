@@ -22,6 +22,7 @@ LEAST = 3.0  # log-odds that a token must have: what a topic or a language has i
 OFTEN = 3  # documents in which a token must be to be tested at all, and the share of those with label 1
 COMMON = 0.02  # that it must be in: else the copies of one document would make all its words insults
 GAP = 0.25  # what any other token takes from a passage
+AGAIN = 0.5  # share of its score that a word which comes again adds to the evidence
 STEP, STEPS = 0.25, 64  # token scores are counted in steps of a quarter
 
 
@@ -149,16 +150,27 @@ class Model:
         return 1 / (1 + math.exp(-max(min(x, 30.0), -30.0)))
 
 
-def _token_scores(text: str | None, memo: Memo) -> np.ndarray:
-    """Scores of the words in order; a word that comes again is no new evidence."""
+def _token_scores(text: str | None, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the words in order, and what each adds to the evidence.
+
+    Passages are searched on the scores. A word that comes again depends on its first occurrence, so it
+    adds only the part ``AGAIN`` of its score to the evidence.
+    """
     words = (text or "").split()
     scores = np.fromiter(map(memo.__getitem__, words), dtype=np.float32, count=len(words))
-    seen = set()
+    adds, seen = scores.copy(), set()
     for p in np.flatnonzero(scores > 0):
         if words[p] in seen:
-            scores[p] = -GAP
+            adds[p] *= AGAIN
         seen.add(words[p])
-    return scores
+    return scores, adds
+
+
+def _weighed(found: list[tuple[int, int, float]], adds: np.ndarray) -> list[tuple[int, int, float]]:
+    """The passages with what they add to the evidence, where that is anything."""
+    total = np.concatenate([[0.0], np.cumsum(adds, dtype=np.float64)])
+    added = [(f, e, float(total[e + 1] - total[f])) for f, e, _ in found]
+    return [x for x in added if x[2] > 0]
 
 
 def _look(shared):
@@ -168,11 +180,11 @@ def _look(shared):
         def work(batch: pa.RecordBatch) -> list:
             sizes, counts, found = [], [], []
             for text in batch.column("text"):
-                s = _token_scores(text.as_py(), memo)
-                steps = np.minimum(s[s > 0] / STEP, STEPS - 1).astype(np.int64)
+                s, adds = _token_scores(text.as_py(), memo)
+                steps = np.minimum(adds[adds > 0] / STEP, STEPS - 1).astype(np.int64)
                 sizes.append(len(s))
                 counts.append(np.bincount(steps, minlength=STEPS))
-                found.append([x[2] for x in segments(s)])
+                found.append([x[2] for x in _weighed(segments(s), adds)])
             return [batch.column("y"), sizes, counts, found]
 
         return work
@@ -246,9 +258,9 @@ def _score(shared):
         def work(batch: pa.RecordBatch) -> list:
             scores, passages = [], []
             for text in batch.column("text"):
-                s = _token_scores(text.as_py(), memo)
+                s, adds = _token_scores(text.as_py(), memo)
                 found = segments(s)
-                scores.append(model.probability(model.evidence(len(s), found)))
+                scores.append(model.probability(model.evidence(len(s), _weighed(found, adds))))
                 passages.append([{"first": f, "last": e, "score": v} for f, e, v in found])
             return [batch.column("doc_id"), scores, passages]
 
@@ -260,8 +272,9 @@ def _score(shared):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages): the probability of label 1, and every passage found.
 
-    Passages are (first, last, score) in blank-separated words of the whole text, from 0. Null counts
-    as empty: no passages, and the score of a document without evidence.
+    Passages are (first, last, score) in blank-separated words of the whole text, from 0; words that
+    come again count in full there, and in part in the document's score. Null counts as empty: no
+    passages, and the score of a document without evidence.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")

@@ -78,6 +78,20 @@ def test_toxicity_finds_a_passage_in_a_long_text(corpus, rows):
     assert got[2]["score"] > got[1]["score"] == got[3]["score"]
 
 
+def test_toxicity_finds_passages_of_words_that_came_before(rows):
+    model = toxicity.Model({"vile": 4.0, "mean": 4.0, "nasty": 4.0}, rate=3.0, bias=-5.0, slope=0.1)
+    gap = " x" * 40
+    texts = [f"vile{gap} mean{gap} vile{gap} vile y mean{gap}", f"vile{gap} mean y vile y mean",
+             ("vile" + gap + " ") * 50, "vile" + gap + " x" * 41 * 49,
+             f"vile{gap} mean{gap} nasty", f"vile{gap} vile{gap} vile"]
+    got = {r["doc_id"]: r for r in toxicity.score(rows(list(enumerate(texts)), DOCS), model).collect()}
+    spans = [[(p["first"], p["last"], p["score"]) for p in got[k]["passages"]] for k in range(6)]
+    assert spans[0] == [(0, 0, 4.0), (41, 41, 4.0), (82, 82, 4.0), (123, 125, 7.75)]
+    assert spans[1] == [(0, 0, 4.0), (41, 45, 11.5)]
+    assert len(spans[2]) == 50 and len(spans[3]) == 1 and len(spans[5]) == 3
+    assert got[2]["score"] > got[3]["score"] and got[4]["score"] > got[5]["score"]
+
+
 def test_toxicity_cases(rows, corpus):
     docs, labels = corpus
     model = toxicity.fit(docs, labels, remainder(F.col("doc_id"), 4) != 2)
