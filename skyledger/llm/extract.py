@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import over_batches
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+# A quote opens a value only after an equals sign; any other one is a character like the rest.
+VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{VALUE})*+)>")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 # Elements whose content is no text, those that stay within a block, and those that never hold any.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math"}
+RAW = {"script", "style", "template", "textarea", "iframe"}
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby "
-    "s samp small span strike strong sub sup time tt u var wbr".split()
+    "s samp small span strike strong sub sup time tt u var wbr noscript object svg g defs use path rect circle "
+    "ellipse line polyline polygon text tspan math semantics "
+    "mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle annotation".split()
 )
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 # A start tag that ends an open element of the same family.

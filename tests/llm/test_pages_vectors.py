@@ -53,6 +53,15 @@ def test_blocks():
     assert texts("") == texts("<p> \n</p><!-- open") == texts("<script>never closed <p>x") == []
 
 
+def test_blocks_keep_formulas_fallbacks_and_stray_quotes():
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>") == ["a x=2 b"]
+    assert texts("<p>a <noscript>no script</noscript> <object data=f>alt</object></p>") == ["a no script alt"]
+    assert texts("<p>a <svg><path d='M0'/><text>t</text> b<p>c<p>d") == ["a t b", "c", "d"]
+    assert texts('<p><a href="x"">text</a> <b class="y">z</b></p>') == ["text z"]
+    assert texts("<p title=it's>don't go<p>isn't") == ["don't go", "isn't"]
+    assert texts("<a href=a?x=\"b>c</a> <i title = 'p>q'>r</i>") == ["c r"]
+
+
 def test_main_text_of_a_page(field):
     page = (
         "<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>"
