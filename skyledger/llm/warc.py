@@ -66,7 +66,7 @@ MANIFEST = "_manifest-"  # one a commit: the files it made, with their records b
 FILE = 64 << 20  # compressed bytes after which a task begins another file
 PART = 128 << 20  # bytes of small files that one read partition holds
 CHUNK = 1 << 16
-HEAD = 4096  # compressed bytes read at first to see a record's header
+HEAD = 1024  # bytes decoded at a time to see a record's header
 SMALL = 1000  # bytes: equal payloads below this are stored again
 
 
@@ -204,9 +204,7 @@ class Stream:
         source.seek(0)
         self.packed = start == b"\x1f\x8b"
         self.buffer, self.inflate, self.end = b"", None, None
-
-    def tell(self) -> int:
-        return self.source.tell() - len(self.buffer)
+        self.member = self.check = 0  # where the gzip member begins, crc32 of its data so far
 
     def _more(self, most: int = CHUNK) -> bool:
         """Reads on; false at the end of the file."""
@@ -217,15 +215,20 @@ class Stream:
         while True:
             if self.inflate is None and not self._open():
                 return False
-            data = self.inflate.unconsumed_tail or self.source.read(most)
-            if not data:
-                raise ValueError(f"{self.name}: a gzip member is cut off")
-            got = self.inflate.decompress(data, CHUNK)
+            got = self.inflate.decompress(self.inflate.unconsumed_tail, most)
+            if not got and not self.inflate.eof:
+                data = self.source.read(most)
+                if not data:
+                    raise ValueError(f"{self.name}: a gzip member is cut off")
+                got = self.inflate.decompress(data, most)
             self.inflated += len(got)
+            self.check = zlib.crc32(got, self.check)
             if self.inflate.eof:
                 # what is left of the input belongs to the trailer and the next member
-                self.source.seek(self.source.tell() - len(self.inflate.unused_data) + 8)
-                self.inflate = None
+                self.source.seek(self.source.tell() - len(self.inflate.unused_data))
+                self.inflate, trailer = None, self.source.read(8)
+                if trailer[:4] != struct.pack("<I", self.check):
+                    raise ValueError(f"{self.name}: the gzip member at {self.member} is damaged")
             if got:
                 self.buffer += got
                 return True
@@ -238,7 +241,7 @@ class Stream:
             return False
         if len(head) < 10 or head[:3] != b"\x1f\x8b\x08":
             raise ValueError(f"{self.name}: no gzip member at {begin}")
-        flags, self.end = head[3], None
+        flags, self.end, self.member, self.check = head[3], None, begin, 0
         if flags & 4:
             extra = self.source.read(struct.unpack("<H", self.source.read(2))[0])
             at = 0
@@ -441,10 +444,11 @@ class Reader(DataSourceReader):
         while True:
             while stream.buffer[:2] == b"\r\n":
                 stream.buffer = stream.buffer[2:]
-            offset = stream.tell() if not stream.packed or not stream.buffer else -1
+            offset = stream.source.tell() - len(stream.buffer)
             raw = stream.until(b"\r\n\r\n")
             if raw is None:
                 return
+            offset = stream.member if stream.packed else offset
             if not raw.startswith(b"WARC/"):
                 raise ValueError(f"{stream.name}: no record at {offset}")
             header = header_of(raw)
@@ -469,7 +473,7 @@ class Reader(DataSourceReader):
                 row["payload_bytes"] = int(told) if again else left
             if "payload" in inner and row["record_type"] != "revisit":
                 row["payload"] = stream.read(left)
-                left = 0
+                left, alone = 0, False  # the checksum behind it is read too
             stream.skip(left + 4, alone)
             yield row
 
