@@ -7,6 +7,7 @@ lays that out once, and the comparison SQL reads the same layout as plain predic
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -286,3 +287,32 @@ def spans_per_job(spark, sf):
         "ts", F.lit("all").alias("dataset"), F.col("event_type").alias("kind"), F.col("v").alias("value")
     )
     return shaped(D.detect(docs, SPANNED))
+
+
+@query(
+    "detect_influencers_spans",
+    f"""WITH {EV}, c AS (
+          SELECT '{SPANNED[0].key}' AS job, event_type AS entity, {bucket_sql(900)} AS b, 'r' || k % 4 AS value
+            FROM ev
+          UNION ALL SELECT '{SPANNED[1].key}', event_type, {bucket_sql(3600)}, 'r' || k % 4 FROM ev),
+        g AS (SELECT job, entity, b, value, count(*) AS docs FROM c GROUP BY 1, 2, 3, 4),
+        r AS (SELECT *, row_number() OVER (PARTITION BY job, entity, b ORDER BY docs DESC, value) AS rank,
+            sum(docs) OVER (PARTITION BY job, entity, b) AS whole FROM g)
+        SELECT job, entity, b, 'cloud.region' AS field, value, CAST(rank AS INT) AS rank, docs,
+          {r4_sql("docs / CAST(whole AS DOUBLE)")} AS share FROM r WHERE rank <= 3 AND whole >= 4""",
+)
+def influencers_spans(spark, sf):
+    """Every flagged bucket has the length of its own job's span."""
+    base = events(spark, sf).select(
+        "ts", F.lit("all").alias("dataset"), F.col("event_type").alias("kind"), F.col("v").alias("value"),
+        F.struct(F.concat(F.lit("r"), F.col("k") % 4).alias("region")).alias("cloud"),
+    )
+    jobs = [replace(j, influencers=("cloud.region",)) for j in SPANNED]
+    flagged = [
+        D.bucketise(D.datafeed(base, mine), span).filter("docs >= 4") for span, mine in D.by_span(jobs).items()
+    ]
+    out = D.influencers(base, jobs, flagged[0].unionByName(flagged[1]))
+    return out.select(
+        "job", "entity", secs("bucket").alias("b"), "field", "value", "rank", "docs",
+        r4(F.col("share")).alias("share"),
+    )

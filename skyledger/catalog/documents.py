@@ -346,6 +346,27 @@ def append_create_only(spark, sf):
     return out.select("u", "event_type", "event_id")
 
 
+@query(
+    "sink_create_only_table",
+    f"""WITH {EV}, h AS (SELECT *, {bucket_sql(3600)} AS hour FROM ev),
+        a AS (SELECT u, event_type, hour, min(event_id) AS event_id FROM h WHERE event_id % 2 = 0 GROUP BY 1, 2, 3),
+        b AS (SELECT u, event_type, hour, min(event_id) AS event_id FROM h GROUP BY 1, 2, 3)
+        SELECT b.u, b.event_type, b.hour, coalesce(a.event_id, b.event_id) AS event_id
+        FROM b LEFT JOIN a ON a.u = b.u AND a.event_type = b.event_type AND a.hour = b.hour""",
+)
+def create_only_table(spark, sf):
+    """Two appends to a stored table that is never shuffled."""
+    hour = F.date_trunc("hour", F.col("ts"))
+    df = events(spark, sf).select("u", "event_type", hour.alias("ts"), "event_id")
+    path = scratch_path(spark, "create-only")
+    stored = sinks.CreateOnlyTable(
+        "create_only_" + path.rsplit("-", 1)[1], ["u", "event_type", "ts"], buckets=8, path=path
+    )
+    stored.append(df.filter("event_id % 2 = 0"), ["event_id"])
+    stored.append(df, ["event_id"])
+    return stored.read(spark).select("u", "event_type", secs("ts").alias("hour"), "event_id")
+
+
 FAILED = "CASE WHEN k < 10 THEN 'version_conflict_engine_exception' WHEN k < 15 THEN 'mapper_parsing_exception' WHEN k < 18 THEN 'timeout' END"
 
 

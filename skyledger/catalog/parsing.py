@@ -9,6 +9,7 @@ from skyledger.functions import scalars as X
 from skyledger.operators import invocations, parse, security
 
 from skyledger.operators.enrich import normalise_category, strip_nulls
+from skyledger.operators.enrich import strip_variant_nulls as strip_variant_nulls_of
 from skyledger.plans import parsers
 
 # One log line per event. Sign-ups end a request, views start one, purchases report it, errors
@@ -525,3 +526,21 @@ def every_dataset(spark, sf):
 def _json_pairs() -> str:
     """SQL pieces of a JSON object that gives every key the value Val-<k>."""
     return ", ',', ".join(f"'\"{key}\":\"Val-', k, '\"'" for key in _KEYS)
+
+
+@query(
+    "enrich_strip_variant_nulls",
+    f"""WITH {EV} SELECT event_id, '{{"a.b":{{"list":[1,null,{{"y":' || k || '}}]' || CASE WHEN k < 50 THEN ''
+          ELSE ',"z":"\\":null,' || k || '"' END || '}}' || CASE WHEN k % 3 = 0 THEN '' ELSE ',"m":' || k END
+          || ',"t":"' || event_type || ',"}}' AS doc FROM ev""",
+)
+def strip_variant_nulls(spark, sf):
+    """E1 inside a VARIANT: null fields go at any depth, elements of arrays, keys with dots and texts that
+    look like fields stay."""
+    text = F.expr(
+        """concat('{"a.b":{"gone":null,"list":[1,null,{"x":null,"y":', k, ',"yy":null}],"z":', """
+        """CASE WHEN k < 50 THEN 'null' ELSE concat('"\\\\":null,', k, '"') END, '},"m":', """
+        """CASE WHEN k % 3 = 0 THEN 'null' ELSE CAST(k AS STRING) END, ',"n":null,"t":"', event_type, ',","u":null}')"""
+    )
+    doc = strip_variant_nulls_of(F.try_parse_json(text))
+    return events(spark, sf).select("event_id", F.to_json(doc).alias("doc"))

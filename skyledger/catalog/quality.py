@@ -153,3 +153,54 @@ def document_contract(spark, sf):
         Rule("source", F.col("source").isNotNull()),
     ]
     return Q.rule_report(table(spark, sf, "documents"), rules)
+
+
+# Every event as a document of unknown layout.
+SHAPED_SPARK = """concat('{"cloud":{"region":', CASE WHEN k < 90 THEN '"r"' ELSE 'null' END, '},"k":',
+    CASE WHEN event_type = 'error' THEN concat('"', k, '"') ELSE CAST(k AS STRING) END, ',"items":[{"id":1},{"id":2',
+    CASE WHEN k % 4 = 0 THEN ',"price":2.5' ELSE '' END, '}],"tags":["a",null]',
+    CASE WHEN event_type = 'view' THEN ',"deep":{"er":{"still":{"x":true}}}' ELSE '' END, ',"none":null}')"""
+PATHS_SQL = f"""{EV}, pa AS (SELECT event_type AS dataset, unnest([
+    {{'f': 'cloud.region', 'has': k < 90, 'kind': 'STRING'}},
+    {{'f': 'k', 'has': true, 'kind': CASE WHEN event_type = 'error' THEN 'STRING' ELSE 'BIGINT' END}},
+    {{'f': 'items', 'has': true, 'kind': 'ARRAY'}}, {{'f': 'items[].id', 'has': true, 'kind': 'BIGINT'}},
+    {{'f': 'items[].price', 'has': k % 4 = 0, 'kind': 'DECIMAL'}}, {{'f': 'tags', 'has': true, 'kind': 'ARRAY'}},
+    {{'f': 'deep.er.still.x', 'has': event_type = 'view', 'kind': 'BOOLEAN'}}], recursive := true) FROM ev),
+  paths AS (SELECT dataset, f AS field, count(*) FILTER (has) AS docs, count(*) AS total, max(kind) AS kinds
+    FROM pa GROUP BY 1, 2 HAVING count(*) FILTER (has) > 0)"""
+
+
+def shaped_documents(spark, sf):
+    return events(spark, sf).select(
+        F.col("event_type").alias("dataset"), F.try_parse_json(F.expr(SHAPED_SPARK)).alias("doc")
+    )
+
+
+@query("quality_field_paths", f"WITH {PATHS_SQL} SELECT dataset, field, docs, total, kinds FROM paths")
+def field_paths(spark, sf):
+    """Q8: every path that documents of unknown layout hold."""
+    out = Q.field_paths(shaped_documents(spark, sf))
+    return out.select("dataset", "field", "docs", "total", F.array_join("kinds", ",").alias("kinds"))
+
+
+EXPECTED_FIELDS = [
+    ("view", "cloud.region"), ("view", "deep.er.still.x"), ("view", "host.name"),
+    ("error", "k"), ("error", "error.code"), ("error", "items"), ("click", "tags"),
+]
+
+
+@query(
+    "quality_field_gaps",
+    f"""WITH {PATHS_SQL}, want AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{f}')" for d, f in EXPECTED_FIELDS)})
+          AS w(dataset, field)),
+        known AS (SELECT * FROM paths WHERE dataset IN (SELECT dataset FROM want))
+        SELECT coalesce(p.dataset, w.dataset) AS dataset, coalesce(p.field, w.field) AS field,
+          CASE WHEN w.field IS NULL THEN 'unexpected' WHEN p.field IS NULL THEN 'missing' ELSE 'present' END AS status,
+          coalesce(docs, 0) AS docs, {r4_sql("coalesce(docs / CAST(total AS DOUBLE), 0)")} AS share
+        FROM known p FULL JOIN want w ON w.dataset = p.dataset AND w.field = p.field""",
+)
+def field_gaps(spark, sf):
+    """Q8: fields that are expected but absent, and present but not expected."""
+    expected = spark.createDataFrame(EXPECTED_FIELDS, "dataset string, field string")
+    out = Q.field_gaps(Q.field_paths(shaped_documents(spark, sf)), expected)
+    return out.withColumn("share", r4(F.col("share")))

@@ -186,3 +186,29 @@ def root_and_iam(spark, sf):
     )
     out = C.root_or_iam(df, ["CreateAccessKey", "AttachUserPolicy"])
     return out.withColumn("bucket", secs("bucket"))
+
+
+@query(
+    "security_exfiltration_evidence",
+    f"""WITH {EV}, f AS (SELECT event_id AS finding_id, u, epoch_us(ts) AS us FROM ev WHERE event_type = 'error'),
+        e AS (SELECT event_id AS evidence_id, u, epoch_us(ts) AS us,
+          CASE event_type WHEN 'view' THEN 'data_event' ELSE 'flow' END AS kind,
+          CASE event_type WHEN 'purchase' THEN v END AS bytes FROM ev WHERE event_type IN ('view', 'purchase')),
+        p AS (SELECT finding_id, kind, evidence_id, e.us - f.us AS offset_us, bytes FROM f JOIN e ON e.u = f.u
+          AND e.us BETWEEN f.us - {HALF_DAY * 1_000_000} AND f.us + {HALF_DAY * 1_000_000}),
+        ok AS (SELECT finding_id FROM p GROUP BY 1 HAVING count(*) FILTER (kind = 'data_event') >= 1
+          AND sum(bytes) > 10)
+        SELECT finding_id, kind, evidence_id, offset_us, {r4_sql("bytes")} AS bytes FROM p
+        WHERE finding_id IN (SELECT finding_id FROM ok)""",
+)
+def exfiltration_evidence(spark, sf):
+    """The rows behind every finding, to the microsecond."""
+    base = events(spark, sf).select(
+        "event_type", "ts", F.concat(F.lit("ip-"), "u").alias("ip"), F.col("v").alias("bytes"),
+        F.col("event_id").alias("finding_id"), F.col("event_id").alias("evidence_id"),
+    )
+    part = lambda kind: base.filter(F.col("event_type") == kind)
+    out = C.exfiltration_evidence(
+        part("error"), part("view"), part("purchase"), HALF_DAY, min_events=1, min_bytes=10
+    )
+    return out.select("finding_id", "kind", "evidence_id", "offset_us", r4(F.col("bytes")).alias("bytes"))

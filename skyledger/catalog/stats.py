@@ -8,6 +8,7 @@ from skyledger.catalog.base import (
     EV, bucket_sql, events, query, r4, r4_sql, secs, secs_sql, table,
 )
 from skyledger.operators import filters, metrics, quantiles
+from skyledger.operators import sketches as S
 from skyledger.operators import stats as A
 from skyledger.sources import documents as Docs
 
@@ -386,3 +387,57 @@ def metric_rows(spark, sf):
             "avg", "sum", "count", "max", "min",
         )
     )
+
+
+@query(
+    "stats_sketch_percentiles",
+    f"""WITH {EV} SELECT event_type, count(v) AS n, true AS p50, true AS p95, true AS p99 FROM ev GROUP BY 1""",
+)
+def sketch_percentiles(spark, sf):
+    """Sketches per six hours, merged over all time; the rank of every estimate among the raw values
+    lies within 2 % of the one asked for."""
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    df = events(spark, sf)
+    stored = S.quantile_sketches(df, ["event_type"], "v", "6 hours")
+    merged = S.quantiles(S.merge_quantiles(stored, ["event_type"]), ["event_type"], list(probs.values()))
+    known = df.filter(F.col("v").isNotNull()).join(merged, "event_type")
+
+    def near(name: str, p: float):
+        # equal values share a range of ranks: the one asked for lies in it, or close to it
+        above = F.avg((F.col("v") <= F.col(name)).cast("double")) >= p - 0.02
+        below = F.avg((F.col("v") < F.col(name)).cast("double")) <= p + 0.02
+        return (above & below).alias(name)
+
+    return known.groupBy("event_type").agg(
+        F.first("n").alias("n"), *[near(name, p) for name, p in probs.items()]
+    )
+
+
+@query(
+    "stats_sketch_distinct",
+    f"""WITH {EV} SELECT event_type, count(DISTINCT u) AS users, true AS close FROM ev GROUP BY 1""",
+)
+def sketch_distinct(spark, sf):
+    """Distinct users from sketches per six hours, within 6 % of the exact number."""
+    df = events(spark, sf)
+    found = S.distinct_counts(S.distinct_sketches(df, ["event_type"], "u", "6 hours"), ["event_type"])
+    exact = df.groupBy("event_type").agg(F.count_distinct("u").alias("users"))
+    off = F.abs(F.col("distinct") - F.col("users"))
+    return exact.join(found, "event_type").select("event_type", "users", (off <= 0.06 * F.col("users")).alias("close"))
+
+
+@query(
+    "stats_sketch_overlap",
+    f"""WITH {EV}, d AS (SELECT DISTINCT event_type, u, {bucket_sql(86400)} // 86400 % 2 = 0 AS old FROM ev),
+        p AS (SELECT event_type, u, bool_or(old) AS a, bool_or(NOT old) AS b FROM d GROUP BY 1, 2)
+        SELECT event_type, count(*) FILTER (a) AS before, count(*) FILTER (b) AS after,
+          count(*) FILTER (a AND b) AS returned, count(*) FILTER (b AND NOT a) AS appeared,
+          count(*) FILTER (a AND NOT b) AS gone FROM p GROUP BY 1 HAVING before > 0 AND after > 0""",
+)
+def sketch_overlap(spark, sf):
+    """Users of even days that came back on odd days, from daily sets; sets of up to 16,384
+    values are exact."""
+    daily = S.set_sketches(events(spark, sf), ["event_type"], "u", "1 day")
+    even = F.unix_date(F.to_date("bucket")) % 2 == 0
+    part = lambda test: S.merge_sets(daily.filter(test), ["event_type"])
+    return S.compare_sets(part(even), part(~even), ["event_type"])

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog.base import EV, bucket_sql, query, r4, r4_sql, secs, secs_sql
-from skyledger.catalog.detection import scores_over, shaped
+from skyledger.catalog.base import EV, bucket_sql, events, query, r4, r4_sql, secs, secs_sql
+from skyledger.catalog.detection import SPANNED, scores_over, shaped
 from skyledger.catalog.parsing import LINE_SPARK, LINES
 from skyledger.operators import detect as D
 from skyledger.operators import parse, route
@@ -60,10 +60,17 @@ FEED = """SELECT 'stream/errors-by-user' AS job, 'high_count' AS fn, CAST(u AS V
     ts, NULL FROM ev WHERE event_type = 'click'
   UNION ALL SELECT 'stream/sparse-peaks', 'high_max', '', ts, v FROM ev
     WHERE event_type = 'signup' AND k < 30"""
-CLOSED = (
-    f"({bucket_sql(900)} + 900) * 1000000 <= "
-    "(SELECT (epoch_us(max(ts)) // 1000 - 60000) * 1000 FROM feed)"
-)
+
+
+def closed_sql(seconds: int, newest: str = "feed") -> str:
+    """Buckets that the watermark has passed at the end of the stream."""
+    return (
+        f"({bucket_sql(seconds)} + {seconds}) * 1000000 <= "
+        f"(SELECT (epoch_us(max(ts)) // 1000 - 60000) * 1000 FROM {newest})"
+    )
+
+
+CLOSED = closed_sql(900)
 
 
 @query(
@@ -124,6 +131,46 @@ def detector_scores(spark, sf):
     return shaped(detector.scores(spark))
 
 
+@query(
+    "stream_backfill_resumed",
+    f"""WITH {scores_over(FEED, CLOSED)} SELECT job, entity, b, function, {r4_sql("actual")} AS actual,
+        {r4_sql("score")} AS score, seen FROM scores""",
+)
+def backfill_resumed(spark, sf):
+    """The first half in one batch, the rest as a stream that goes on from its snapshot; the
+    comparison scores everything at once."""
+    span = spark.read.parquet(f"{sf}/events.parquet").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    middle = (F.unix_seconds(F.col("a").cast("timestamp")) + F.unix_seconds(F.col("b").cast("timestamp"))) / 2
+    until = span.select(F.timestamp_seconds(F.floor(middle / 3600) * 3600)).first()[0]
+    root = scratch_path(spark, "resumed")
+    Z.Detector(JOBS, root).backfill(documents(events(spark, sf)), until)
+    detector = Z.Detector(JOBS, root, resume=True)
+    rest = documents(event_stream(spark, sf)).filter(F.col("ts") >= F.lit(until))
+    detector.start(Z.bucket_stream(rest, JOBS), f"{root}/state").awaitTermination()
+    return shaped(detector.scores(spark))
+
+
+def spanned_closed_sql(job: D.Job) -> str:
+    seconds = D.span_seconds(job.span)
+    feed = f"SELECT '{job.key}' AS job, '{job.function}' AS fn, event_type AS entity, ts, v AS m FROM ev"
+    return (
+        f"SELECT * FROM (WITH {scores_over(feed, closed_sql(seconds), seconds)} SELECT job, entity, b, "
+        f"function, {r4_sql('actual')} AS actual, {r4_sql('score')} AS score, seen FROM scores)"
+    )
+
+
+@query("stream_spans_per_job", " UNION ALL ".join(spanned_closed_sql(j) for j in SPANNED))
+def spans_per_job(spark, sf):
+    """Jobs of 15 and 60 minutes in one stream, each with buckets of its own span."""
+    docs = event_stream(spark, sf).select(
+        "ts", F.lit("all").alias("dataset"), F.col("event_type").alias("kind"), F.col("v").alias("value")
+    )
+    root = scratch_path(spark, "spans")
+    detector = Z.Detector(SPANNED, root)
+    detector.start(Z.bucket_stream(docs, SPANNED), f"{root}/state").awaitTermination()
+    return shaped(detector.scores(spark))
+
+
 @query(
     "stream_parse_and_route",
     f"""WITH {LINES} SELECT 'logs-aws.lambda_logs-default' AS index, event_type = 'click' AS parsed,
@@ -146,13 +193,15 @@ def parse_and_route(spark, sf):
 @query(
     "stream_finding_join",
     f"""WITH {EV} SELECT a.event_id, b.event_type AS other FROM ev a JOIN ev b
-        ON a.event_id = b.event_id AND a.k < 60 AND b.k >= 20""",
+        ON a.event_id = b.event_id AND a.event_id % 5 <> 0 AND b.event_id % 3 <> 0""",
 )
 def finding_join(spark, sf):
     """Two streams of findings meet by finding id within an hour."""
-    left = event_stream(spark, sf).filter("k < 60").select("event_id", "ts")
-    right = event_stream(spark, sf).filter("k >= 20").select(
-        "event_id", F.col("ts").alias("other_ts"), F.col("event_type").alias("other")
+    named = lambda n: F.when(F.col("event_id") % n != 0, F.col("event_id")).alias("event_id")
+    # every event is in both streams; some have no finding id on one side and meet nothing
+    left = event_stream(spark, sf).select(named(5), "ts")
+    right = event_stream(spark, sf).select(
+        named(3), F.col("ts").alias("other_ts"), F.col("event_type").alias("other")
     )
     joined = Z.finding_stream(
         left.withWatermark("ts", "1 hour"), right.withWatermark("other_ts", "1 hour"), "event_id"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog.base import bucket_sql, events, query, r4, r4_sql, secs, secs_sql, table
+from skyledger.catalog.base import EV, bucket_sql, events, query, r4, r4_sql, secs, secs_sql, table
 from skyledger.catalog.detection import scores_over, shaped
 from skyledger.operators import detect as D
 from skyledger.operators import invocations
@@ -483,3 +483,80 @@ def sibling_gaps(spark, sf):
     """Identical copies of a span are dropped first, so that the order is total."""
     df = spans(spark, sf).dropDuplicates(["trace_id", "parent_id", "id", "ts", "duration_us"])
     return T.sibling_gaps(df, 30 * 86400).select("trace_id", "parent_id", "id", "gap_us")
+
+
+@query(
+    "traces_path",
+    """WITH RECURSIVE n AS (
+          SELECT conv_id, CAST(turn AS VARCHAR) AS id, role, CASE WHEN turn = 3 AND conv_id % 5 = 1 THEN 'x'
+            WHEN turn > 0 THEN CAST(turn - 1 AS VARCHAR) WHEN conv_id % 7 = 3 THEN '2' END AS parent
+          FROM conversations),
+        walk AS (
+          SELECT n.conv_id, n.id, CAST(0 AS BIGINT) AS depth, n.id AS top, n.role AS path FROM n
+            LEFT JOIN n p ON p.conv_id = n.conv_id AND p.id = n.parent WHERE p.id IS NULL
+          UNION ALL SELECT c.conv_id, c.id, w.depth + 1, w.top, w.path || ' > ' || c.role
+            FROM walk w JOIN n c ON c.conv_id = w.conv_id AND c.parent = w.id)
+        SELECT n.conv_id, n.id, w.depth, w.top, w.path FROM n
+        LEFT JOIN walk w ON w.conv_id = n.conv_id AND w.id = n.id""",
+)
+def path(spark, sf):
+    """Roles from the top of the branch to each turn. Some turns lost their parent and start a branch,
+    some conversations go in a circle and have no path."""
+    turn, conv = F.col("id").cast("int"), F.col("conv_id")
+    parent = F.when((turn == 3) & (conv % 5 == 1), "x").when(turn > 0, F.col("parent_id")).when(
+        conv % 7 == 3, "2"
+    )
+    df = conversation_spans(spark, sf).withColumn("parent_id", parent)
+    found = T.paths(df, label="service_name")
+    ids = df.select("trace_id", "conv_id").distinct()
+    return found.join(ids, "trace_id").select(
+        "conv_id", "id", "depth", "top", F.array_join("path", " > ").alias("path")
+    )
+
+
+@query(
+    "traces_path_profile",
+    f"""WITH {SPANS}, ch AS (SELECT trace_id, parent_id AS id, sum(us) AS us FROM sp
+          WHERE parent_id IS NOT NULL GROUP BY 1, 2)
+        SELECT CASE WHEN p.id IS NULL THEN c.service ELSE p.service || ' > ' || c.service END AS path,
+          count(*) AS spans, count(DISTINCT c.trace_id) AS traces, CAST(sum(c.us) AS BIGINT) AS total_us,
+          CAST(sum(greatest(c.us - coalesce(ch.us, 0), 0)) AS BIGINT) AS self_us
+        FROM sp c LEFT JOIN sp p ON p.trace_id = c.trace_id AND p.id = c.parent_id
+        LEFT JOIN ch ON ch.trace_id = c.trace_id AND ch.id = c.id GROUP BY 1""",
+)
+def path_profile(spark, sf):
+    """The call tree of all traces laid over each other."""
+    out = T.path_profile(spans(spark, sf), "service_name")
+    return out.withColumn("path", F.array_join("path", " > "))
+
+
+@query(
+    "traces_retry_chain",
+    f"""WITH {EV}, s AS (SELECT 't' || u AS trace_id, 'call ' || k % 3 AS name, epoch_us(ts) AS us, event_id AS id,
+          event_type = 'purchase' AS queue, CASE WHEN event_type IN ('click', 'error', 'signup') THEN 'F'
+          ELSE 'S' END AS sym FROM ev),
+        names AS (SELECT DISTINCT trace_id, name FROM s WHERE NOT queue),
+        seq AS (SELECT trace_id, name, us, id, sym FROM s WHERE NOT queue UNION ALL
+          SELECT n.trace_id, n.name, q.us, q.id, 'Q' FROM s q JOIN names n ON n.trace_id = q.trace_id WHERE q.queue),
+        f AS (SELECT *, CASE WHEN lag(sym) OVER w = sym THEN 0 ELSE 1 END AS fresh FROM seq
+          WINDOW w AS (PARTITION BY trace_id, name ORDER BY us, id)),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id, name ORDER BY us, id) AS no FROM f),
+        r AS (SELECT trace_id, name, no, sym, count(*) AS n, min(us) AS a, max(us) AS b FROM g GROUP BY 1, 2, 3, 4),
+        l AS (SELECT *, lead(sym) OVER w AS s1, lead(a) OVER w AS a1, lead(sym, 2) OVER w AS s2,
+          lead(a, 2) OVER w AS a2 FROM r WINDOW w AS (PARTITION BY trace_id, name ORDER BY no))
+        SELECT trace_id, name, n AS attempts, a AS first_at, b AS last_at, a1 AS queued_at,
+          CASE WHEN s2 = 'S' THEN a2 END AS recovered_at FROM l WHERE sym = 'F' AND n >= 2 AND s1 = 'Q'""",
+)
+def retry_chain(spark, sf):
+    """Failures in a row, then the queue, in this order; the comparison puts every queue span into the
+    sequence of every name."""
+    failed = F.col("event_type").isin("click", "error", "signup")
+    df = events(spark, sf).select(
+        F.concat(F.lit("t"), "u").alias("trace_id"), F.concat(F.lit("call "), F.col("k") % 3).alias("name"),
+        "ts", F.col("event_id").alias("id"), F.lit("span").alias("kind"),
+        F.when(F.col("event_type") == "purchase", "sqs").alias("subtype"),
+        F.when(failed, "failure").otherwise("success").alias("outcome"),
+    )
+    out = T.retry_chains(df, chunk_seconds=6 * 3600)
+    times = [F.unix_micros(c).alias(c) for c in ("first_at", "last_at", "queued_at", "recovered_at")]
+    return out.select("trace_id", "name", "attempts", *times)

@@ -391,6 +391,11 @@ def score(buckets: DataFrame, jobs: list[Job], span_seconds: int = 900) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_span(jobs: list[Job]) -> dict[str, list[Job]]:
+    """The jobs of every bucket span."""
+    return {s: [j for j in jobs if j.span == s] for s in sorted({j.span for j in jobs})}
+
+
 def detect(docs: DataFrame, jobs: list[Job], span: str | None = None) -> DataFrame:
     """D1-D14 over a batch of documents with ``ts`` and ``dataset``; D17's backfill form.
 
@@ -398,8 +403,7 @@ def detect(docs: DataFrame, jobs: list[Job], span: str | None = None) -> DataFra
     per span: where several detectors read the buckets, the buckets are staged first.
     """
     if span is None:
-        spans = sorted({j.span for j in jobs})
-        parts = [detect(docs, [j for j in jobs if j.span == s], s) for s in spans]
+        parts = [detect(docs, mine, s) for s, mine in by_span(jobs).items()]
         return reduce(DataFrame.unionByName, parts)
     buckets = bucketise(datafeed(docs, jobs), span)
     shared = len(families(jobs)) > 1 or RARE in families(jobs)
@@ -429,13 +433,42 @@ def swimlane(scores: DataFrame, span: str = SPAN) -> DataFrame:
 
 
 def influencers(
-    docs: DataFrame, jobs: list[Job], flagged: DataFrame, span: str = SPAN, k: int = 3
+    docs: DataFrame, jobs: list[Job], flagged: DataFrame, span: str | None = None, k: int = 3
 ) -> DataFrame:
     """For every flagged bucket, the field values that contribute the most documents.
 
-    Contributions are counted before they meet the flagged buckets, so what is shuffled is one
-    row per (bucket, field, value); ranking is a top-k per bucket that Spark prunes per task.
+    Buckets are those of each job's ``span``, unless one is given for all. Only documents from the first
+    to the last flagged bucket are read. Contributions are counted before they meet the flagged buckets,
+    so what is shuffled is one row per (bucket, field, value); ranking is a top-k per bucket that Spark
+    prunes per task.
     """
+    keys = ["job", "entity", "bucket"]
+    wanted = stage(flagged.select(*keys).distinct(), "flagged")
+    parts = []
+    for own, mine in ({span: jobs} if span else by_span(jobs)).items():
+        here = wanted.filter(F.col("job").isin(*[j.key for j in mine]))
+        first, last = here.agg(F.min("bucket"), F.max("bucket")).first()
+        if first is None:
+            continue
+        end = F.lit(last) + F.make_interval(secs=F.lit(span_seconds(own)))
+        timely = docs.filter((F.col("ts") >= F.lit(first)) & (F.col("ts") < end))
+        counted = _contributions(timely, mine, own)
+        parts.append(counted.join(here, keys, "left_semi"))
+    if not parts:
+        parts = [_contributions(docs.limit(0), jobs, span or SPAN)]
+    near = stage(reduce(DataFrame.unionByName, parts), "influencers")
+    whole = near.groupBy(*keys, "field").agg(F.sum("docs").alias("_all"))
+    best = Window.partitionBy(*keys, "field").orderBy(F.desc("docs"), "value")
+    return (
+        near.withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+        .join(whole, [*keys, "field"])
+        .select(*keys, "field", "value", "rank", "docs", (F.col("docs") / F.col("_all")).alias("share"))
+    )
+
+
+def _contributions(docs: DataFrame, jobs: list[Job], span: str) -> DataFrame:
+    """Documents per job, entity, bucket and value of an influencer field."""
     names = sorted({name for j in jobs for name in j.influencers})
     pairs = F.array(
         *[F.struct(F.lit(n).alias("field"), pick(docs, n).alias("value")) for n in names]
@@ -451,17 +484,7 @@ def influencers(
         F.array_contains(F.try_element_at(used, F.col("job")), F.col("_p.field"))
         & F.col("_p.value").isNotNull()
     )
-    counted = rows.groupBy(
+    return rows.groupBy(
         "job", "entity", "bucket",
         F.col("_p.field").alias("field"), F.col("_p.value").alias("value"),
     ).agg(F.count("*").alias("docs"))
-    keys = ["job", "entity", "bucket"]
-    near = stage(counted.join(flagged.select(*keys).distinct(), keys, "left_semi"), "influencers")
-    whole = near.groupBy(*keys, "field").agg(F.sum("docs").alias("_all"))
-    best = Window.partitionBy(*keys, "field").orderBy(F.desc("docs"), "value")
-    return (
-        near.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .join(whole, [*keys, "field"])
-        .select(*keys, "field", "value", "rank", "docs", (F.col("docs") / F.col("_all")).alias("share"))
-    )

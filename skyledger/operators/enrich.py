@@ -22,9 +22,34 @@ DEFAULT_ACCOUNT = "814726593401"
 DEFAULT_REGION = "us-east-1"
 
 
+# Tokens of JSON text without white space, as ``to_json`` writes it. All loops are possessive: they never
+# go back, and the engine runs them without recursion, however long the text.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_NULL_FIELD = rf'\G([^"]*+(?:{_STRING}(?!:null[,}}])[^"]*+)*+){_STRING}:null,?+'
+_LAST_COMMA = rf'\G((?:[^",]++|{_STRING}|,(?!\}}))*+),(?=\}})'
+
+
+def strip_json_nulls(text: Column) -> Column:
+    """JSON text without the fields whose value is null, at any depth; elements of arrays stay.
+
+    Both patterns read whole tokens from where the match before ended, so a text that looks like a
+    field inside of a string is never taken for one. The first takes null fields out with the comma
+    behind them, the second the comma that a last field may leave.
+    """
+    return F.regexp_replace(F.regexp_replace(text, _NULL_FIELD, "$1"), _LAST_COMMA, "$1")
+
+
 def strip_nulls(doc: Column) -> Column:
-    """JSON text without null-valued keys; array elements stay."""
-    return F.to_json(doc, {"ignoreNullFields": "true"})
+    """JSON text of a document without null-valued keys; array elements stay.
+
+    That holds for structs and maps as well as inside VARIANT values of any depth, whatever their keys.
+    """
+    return strip_json_nulls(F.to_json(doc, {"ignoreNullFields": "true"}))
+
+
+def strip_variant_nulls(doc: Column) -> Column:
+    """E1 for a VARIANT column: the same document without null fields."""
+    return F.try_parse_json(strip_json_nulls(F.to_json(doc)))
 
 
 def fill_missing(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.fields import pick
 from skyledger.operators.stats import FAILURE
+from skyledger.session import stage
 from skyledger.sources.sinks import Rule
 
 
@@ -67,6 +70,76 @@ def field_coverage(df: DataFrame, expected: dict[str, list[str]], dataset: str =
     return long.filter(wanted)
 
 
+def field_paths(docs: DataFrame, dataset: str = "dataset", doc: str = "doc") -> DataFrame:
+    """Q8 over everything a document holds: dataset, field, docs (that have it), total, share, kinds.
+
+    ``doc`` is a VARIANT. A field is a dotted path to a value that is neither null nor an object; the
+    objects of an array count under the path of the array with ``[]``. Documents are first counted by
+    their shape, the schema of the whole VARIANT, so that only one document per shape is walked, level by
+    level; a document in which a path comes more than once counts once.
+    """
+    shapes = stage(
+        docs.groupBy(dataset, F.schema_of_variant(doc).alias("_shape"))
+        .agg(F.count("*").alias("_docs"), F.any_value(doc).alias("_doc"))
+        .withColumn("_no", F.monotonically_increasing_id()),
+        "shapes",
+    )
+    open_ = shapes.filter(F.col("_shape").startswith("OBJECT")).select(
+        dataset, "_no", F.lit("").alias("_path"), F.col("_doc").alias("_value"),
+        F.lit("OBJECT").alias("_kind"),
+    )
+    found = []
+    while not open_.isEmpty():
+        inner = open_.lateralJoin(
+            open_.sparkSession.tvf.variant_explode(F.col("_value").outer()).toDF("_pos", "_name", "_inner")
+        )
+        step = F.when(F.col("_kind") == "ARRAY", F.lit("[]")).when(
+            F.col("_path") == "", F.col("_name")
+        ).otherwise(F.concat(F.lit("."), "_name"))
+        kind = F.regexp_extract(F.schema_of_variant("_inner"), "^[A-Z]+", 0)
+        level = stage(
+            inner.select(
+                dataset, "_no", F.concat("_path", step).alias("_path"), F.col("_inner").alias("_value"),
+                kind.alias("_kind"),
+            ).filter(F.col("_kind") != "VOID"),
+            "paths",
+        )
+        # an array counts itself, and its objects are walked as well; plain elements are not fields
+        element = F.col("_path").endswith("[]")
+        found.append(level.filter((F.col("_kind") != "OBJECT") & ~element).select(dataset, "_no", "_path", "_kind"))
+        open_ = level.filter((F.col("_kind") == "OBJECT") | (F.col("_kind") == "ARRAY"))
+    if not found:
+        found = [open_.select(dataset, "_no", "_path", "_kind")]
+    paths = reduce(DataFrame.unionByName, found)
+    one = paths.groupBy(dataset, "_no", "_path").agg(F.collect_set("_kind").alias("_kinds"))
+    counted = one.join(shapes.select("_no", "_docs"), "_no").groupBy(dataset, F.col("_path").alias("field")).agg(
+        F.sum("_docs").alias("docs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_kinds")))).alias("kinds"),
+    )
+    total = shapes.groupBy(dataset).agg(F.sum("_docs").alias("total"))
+    return counted.join(total, dataset).withColumn("share", F.col("docs") / F.col("total"))
+
+
+def field_gaps(paths: DataFrame, expected: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Q8: what ``field_paths`` found against ``expected(dataset, field)``: every field of a known dataset
+    with its status (present, missing, unexpected).
+
+    A field that no document of the dataset has is missing; a field that is not on the list of a dataset
+    is unexpected. Datasets without any list are left out.
+    """
+    want = expected.select(dataset, "field").distinct().withColumn("_want", F.lit(True))
+    listed = paths.join(want.select(dataset).distinct(), dataset, "left_semi")
+    both = listed.select(dataset, "field", "docs", "share").join(want, [dataset, "field"], "full")
+    status = (
+        F.when(F.col("_want").isNull(), "unexpected").when(F.col("docs").isNull(), "missing").otherwise("present")
+    )
+    zero = F.lit(0)
+    return both.select(
+        dataset, "field", status.alias("status"), F.coalesce("docs", zero.cast("bigint")).alias("docs"),
+        F.coalesce("share", zero.cast("double")).alias("share"),
+    )
+
+
 def dataset_agreement(df: DataFrame, event: Column, stream: Column) -> DataFrame:
     """Q9: documents whose event dataset differs from the dataset of their stream."""
     return (

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyledger.operators.joins import expand_join
+from skyledger.operators.joins import expand_join, interval_join
+from skyledger.session import stage
 
 # The calls of a privilege escalation, in order.
 ESCALATION_STEPS = ("ListUsers", "CreateAccessKey", "AttachUserPolicy", "AssumeRole")
@@ -164,6 +165,43 @@ def exfiltration(
     )
 
 
+def exfiltration_evidence(
+    findings: DataFrame, data_events: DataFrame, flows: DataFrame, window_seconds: float = 3600,
+    min_events: int = 1, min_bytes: float = 0.0,
+) -> DataFrame:
+    """C3 and J7 with the rows that prove it: every data event and flow of the address of a finding within
+    ``window_seconds`` on either side of it, to the microsecond.
+
+    ``findings(finding_id, ip, ts)``, ``data_events(evidence_id, ip, ts)``, ``flows(evidence_id, ip, ts,
+    bytes)``. Columns: finding_id, ip, found_at, kind (data_event or flow), evidence_id, at, offset_us,
+    bytes. Only findings with at least ``min_events`` data events and more than ``min_bytes`` bytes have
+    evidence. A repeated finding is a finding a row.
+    """
+    none = F.lit(None).cast("double")
+    evidence = data_events.select(
+        "ip", F.col("ts").alias("at"), F.lit("data_event").alias("kind"), "evidence_id", none.alias("bytes")
+    ).unionByName(
+        flows.select(
+            "ip", F.col("ts").alias("at"), F.lit("flow").alias("kind"), "evidence_id",
+            F.col("bytes").cast("double").alias("bytes"),
+        )
+    )
+    asked = stage(findings.select("finding_id", "ip", "ts").withColumn("_f", F.monotonically_increasing_id()), "findings")
+    pairs = stage(
+        interval_join(asked, evidence, ["ip"], window_seconds, window_seconds), "evidence"
+    )
+    enough = (
+        pairs.groupBy("_f")
+        .agg(F.count_if(F.col("kind") == "data_event").alias("_events"), F.sum("bytes").alias("_bytes"))
+        .filter((F.col("_events") >= min_events) & (F.col("_bytes") > min_bytes))
+        .select("_f")
+    )
+    return pairs.join(enough, "_f", "left_semi").select(
+        "finding_id", "ip", F.col("ts").alias("found_at"), "kind", "evidence_id", "at",
+        (F.unix_micros("at") - F.unix_micros("ts")).alias("offset_us"), "bytes",
+    )
+
+
 def tactics(docs: DataFrame) -> DataFrame:
     """C4: documents per tactic and technique."""
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import scalars as X
@@ -120,11 +120,9 @@ def volume(df: DataFrame, dataset: str = "dataset", doc: Column | None = None) -
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key by an aggregate that combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    newest = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    """Newest row per key; older ones are dropped before the shuffle already."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
 def recent(df: DataFrame, columns: list[Column], ts: str = "ts", n: int = 100, ties=()) -> DataFrame:

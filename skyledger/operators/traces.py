@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from skyledger.functions.fields import promoted_name
 from skyledger.operators.joins import lookup_join
+from skyledger.operators.sequences import next_match, runs
 from skyledger.operators.stats import FAILURE, bucket, stats_by
 from skyledger.session import stage
 
@@ -183,6 +184,75 @@ def depths(
     return home.select("trace_id", "id", "depth", "top").unionByName(lost)
 
 
+def paths(
+    spans: DataFrame, keys: tuple[str, str, str] = ("trace_id", "id", "parent_id"), label: str = "id"
+) -> DataFrame:
+    """trace_id, id, depth, top and ``path``: the ``label`` of every span from the top of its branch
+    down to itself, with the ids themselves in ``ids``.
+
+    Pointer doubling as in ``depths``, but every span carries the list of its ancestors so far: a round
+    puts the list of the current ancestor in front, so lists double and a tree of depth d takes log2(d)
+    equi-joins, whatever part of the spans one trace or one parent has. A span that was delivered more
+    than once is one span (smallest parent and label). Spans without a parent, or whose parent is missing,
+    start a path. Spans in or below a parent cycle get NULL in all but the ids: they are told by
+    ``depths``, so that no list is ever built for them.
+    """
+    trace, own, up = keys
+    step = F.struct(F.col(own).alias("id"), F.min(label).alias("label"))
+    links = spans.groupBy(F.col(trace).alias("trace_id"), F.col(own).alias("id")).agg(
+        F.min(up).alias("up"), F.array(step).alias("steps")
+    )
+    deep = stage(depths(spans, keys), "path-depth")
+    placed = links.join(deep, ["trace_id", "id"])
+    tops = F.col("depth") == 0
+    state = stage(
+        placed.filter(F.col("depth").isNotNull())
+        .withColumn("up", F.when(tops, F.lit(None)).otherwise(F.col("up")))
+        .select("trace_id", "id", "depth", "top", "up", "steps"),
+        "path",
+    )
+    home, away = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
+    while not away.isEmpty():
+        ahead = home.unionByName(away).select(
+            "trace_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps")
+        )
+        moved = stage(
+            away.join(ahead, ["trace_id", "up"]).select(
+                "trace_id", "id", "depth", "top", F.col("_up").alias("up"),
+                F.concat("_steps", "steps").alias("steps"),
+            ),
+            "path",
+        )
+        home = home.unionByName(moved.filter(F.col("up").isNull()))
+        away = moved.filter(F.col("up").isNotNull())
+    found = home.select(
+        "trace_id", "id", "depth", "top", F.col("steps.label").alias("path"), F.col("steps.id").alias("ids")
+    )
+    lost = deep.filter(F.col("depth").isNull()).select(
+        "trace_id", "id", "depth", "top", F.lit(None).cast(found.schema["path"].dataType).alias("path"),
+        F.lit(None).cast(found.schema["ids"].dataType).alias("ids"),
+    )
+    return found.unionByName(lost)
+
+
+def path_profile(spans: DataFrame, label: str = "name") -> DataFrame:
+    """Per path of labels (the call tree of all traces laid over each other) the number of
+    spans, of traces, their total duration and the time that is not spent in children.
+
+    A path without spans of its own doesn't occur; spans in a parent cycle have no path.
+    """
+    found = paths(spans, label=label).filter(F.col("path").isNotNull())
+    timed = self_time(spans).select("trace_id", "id", "duration_us", "self_us")
+    return (
+        found.select("trace_id", "id", "path").join(timed, ["trace_id", "id"])
+        .groupBy("path")
+        .agg(
+            F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"),
+            F.sum("duration_us").alias("total_us"), F.sum("self_us").alias("self_us"),
+        )
+    )
+
+
 def service_map(spans: DataFrame) -> DataFrame:
     """T4: caller to callee edges with calls, error rate and average duration.
 
@@ -369,6 +439,47 @@ def repeated_spans(spans: DataFrame, queue_subtype: str = "sqs") -> DataFrame:
     return repeats.join(queued, "trace_id", "left_semi")
 
 
+def retry_chains(
+    spans: DataFrame, queue_subtype: str = "sqs", attempts: int = 2, chunk_seconds: int = 3600
+) -> DataFrame:
+    """T13 in order: spans of one name that fail at least ``attempts`` times in a row, then a queue span.
+
+    Columns: trace_id, name, attempts, first_at, last_at, queued_at, recovered_at (the next span of the
+    name, if it comes after the queue and succeeds). A success between two failures, or a queue span,
+    ends a row of failures; a queue before the failures doesn't count. Order is (ts, id), spans without a
+    time or name are left out.
+
+    Every span of the trace would have to meet every queue span; instead each takes the first queue
+    span behind it along, and of those a name's sequence needs no others. A trace or name that holds a
+    large part of all spans is cut into time chunks (``operators.sequences``).
+    """
+    queued = F.coalesce(F.col("subtype") == queue_subtype, F.lit(False))
+    rows = stage(
+        spans.filter((F.col("kind") == "span") & F.col("name").isNotNull() & F.col("trace_id").isNotNull())
+        .select(
+            "trace_id", "name", "ts", "id", queued.alias("queue"),
+            F.when(F.col("outcome") == FAILURE, "F").otherwise("S").alias("symbol"),
+        ),
+        "attempts",
+    )
+    tried = next_match(rows, ["trace_id"], "queue", "_queue", chunk_seconds=chunk_seconds).filter("NOT queue")
+    marks = tried.filter(F.col("_queue").isNotNull()).select(
+        "trace_id", "name", F.timestamp_micros("_queue._at").alias("ts"), F.col("_queue.id").alias("id"),
+        F.lit("Q").alias("symbol"),
+    ).distinct()
+    row = tried.select("trace_id", "name", "ts", "id", "symbol").unionByName(marks)
+    found = stage(runs(row, ["trace_id", "name"], chunk_seconds=chunk_seconds), "retry-runs")
+    chains = found.filter((F.col("symbol") == "F") & (F.col("rows") >= attempts) & (F.col("next_symbol") == "Q"))
+    after = found.filter((F.col("symbol") == "Q") & (F.col("next_symbol") == "S")).select(
+        "trace_id", "name", F.col("begin_at").alias("next_at"), F.col("begin_id").alias("next_id"),
+        F.col("next_at").alias("recovered_at"),
+    )
+    return chains.join(after, ["trace_id", "name", "next_at", "next_id"], "left").select(
+        "trace_id", "name", F.col("rows").alias("attempts"), F.col("begin_at").alias("first_at"),
+        F.col("end_at").alias("last_at"), F.col("next_at").alias("queued_at"), "recovered_at",
+    )
+
+
 def fan_out(spans: DataFrame) -> DataFrame:
     """Number of children per parent span."""
     return (

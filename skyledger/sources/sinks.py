@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Default number of documents per bulk batch.
@@ -68,10 +68,58 @@ def append_create_only(
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    first = df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_row"))
-    return first.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    """The first row of each key by ``order``; other copies are dropped before the shuffle already."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+
+
+class CreateOnlyTable:
+    """S8 and J8 for a large stored table: an append reads only what could clash with it.
+
+    Rows are stored in buckets by a digest of their key and in folders by date. As the time is part of
+    the key, a batch can only clash with rows of its own dates; and as batch and table are cut alike by
+    the digest, the stored side is never shuffled. ``keys`` must include ``ts``. Each append is a batch
+    of its own; concurrent appends need an order from outside.
+    """
+
+    DIGEST, DATE = "_key", "_date"
+
+    def __init__(self, name: str, keys: list[str], buckets: int = 64, ts: str = "ts", path: str | None = None):
+        if ts not in keys:
+            raise ValueError(f"the key has to include the time {ts}")
+        self.name, self.keys, self.buckets, self.ts, self.path = name, keys, buckets, ts, path
+
+    def _stored_as(self, df: DataFrame) -> DataFrame:
+        part = lambda k: F.coalesce(F.concat(F.lit("v"), F.col(f"`{k}`").cast("string")), F.lit("n"))
+        sized = [F.concat_ws(":", F.length(part(k)).cast("string"), part(k)) for k in self.keys]
+        return df.withColumns(
+            {self.DIGEST: F.sha2(F.concat(*sized), 256), self.DATE: F.to_date(F.col(self.ts).cast("timestamp"))}
+        )
+
+    def _write(self, df: DataFrame) -> None:
+        writer = df.write.mode("append").format("parquet").partitionBy(self.DATE)
+        writer = writer.bucketBy(self.buckets, self.DIGEST).sortBy(self.DIGEST)
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
+
+    def fresh(self, df: DataFrame, order: list[str]) -> DataFrame:
+        """The rows of ``df`` whose key is new, one per key."""
+        spark = df.sparkSession
+        first = self._stored_as(first_per_key(df, self.keys, order))
+        if not spark.catalog.tableExists(self.name):
+            return first
+        # one row a date: a batch has few, and they prune the folders of the table
+        dates = [r[0] for r in df.select(F.to_date(F.col(self.ts).cast("timestamp"))).distinct().collect()]
+        known = F.col(self.DATE).isin(*[d for d in dates if d is not None])
+        known = known | F.col(self.DATE).isNull() if None in dates else known
+        stored = spark.table(self.name).filter(known).select(self.DIGEST)
+        return first.repartition(self.buckets, self.DIGEST).join(stored, self.DIGEST, "left_anti")
+
+    def append(self, df: DataFrame, order: list[str]) -> None:
+        """Stores the rows whose key is new; a repeated key keeps its first row by ``order``."""
+        self._write(self.fresh(df, order))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.name).drop(self.DIGEST, self.DATE)
 
 
 def ingest_outcomes(df: DataFrame, dataset: str = "dataset", seq: str = "seq") -> DataFrame:
