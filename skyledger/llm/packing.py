@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+import sys
+import types
 import unicodedata
 import zlib
 from collections import Counter
@@ -24,13 +26,17 @@ END = 2  # id after each document
 CRUMB = 100  # kind of a piece shorter than a unit: CRUMB + its length
 ROOM = WINDOW - UNIT + 1  # crumbs that start within so many tokens fit one window
 
+CHUNK = 2 << 20  # bytes of text whose words are held at a time
+KEPT = 80 << 20  # bytes of words that a generation of a worker's memory holds
+ENTRY = 230  # bytes that a remembered word takes beside its letters and ids
+
 PIECES = (
-    "doc_id long, doc_tokens long, start long, length long, kind int, part int, nth long, "
+    "doc_id long, doc_tokens long, doc_crc32 long, start long, length long, kind int, part int, nth long, "
     "crcs array<long>"
 )
 PACKED = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-    "offset long"
+    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_crc32 long, "
+    "sequence_id long, offset long"
 )
 
 
@@ -40,10 +46,12 @@ class Words:
     The vocabulary lower-cases, drops white space and never joins over it, so the ids of a text are
     those of its words, and a word is worked out once however often it comes. Most words are a run of
     letters and some signs, which the vocabulary takes apart: then only the letters are looked up, many
-    in one call. ``limit`` bounds what is kept between batches and changes no result.
+    in one call. Words are remembered in two generations of at most ``limit`` bytes: when the younger
+    one is full it becomes the older one, and words of the older one that come again move back. What is
+    forgotten is worked out again, so the limit bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = KEPT):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,7 +68,21 @@ class Words:
         self.ends = np.zeros(max(names.values()) + 1, dtype=bool)  # ids with which a run ends
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.limit = limit
+        self.older: dict[bytes, bytes] = {}
+        self.held, self.limit = 0, limit
+
+    @classmethod
+    def of_worker(cls, path: str) -> Words:
+        """The one instance of this Python worker, which lives on between its tasks.
+
+        It is kept in a module of its own: functions that travel to the executors have new globals in
+        every task.
+        """
+        name = "skyledger_worker"
+        kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("words", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def split(self, text: bytes | None) -> list[bytes]:
         text = text or b""
@@ -92,9 +114,13 @@ class Words:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Makes the ids of all these words known."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        words = list(set(chain.from_iterable(texts)).difference(self.known))
+        if self.held > self.limit:
+            self.older, self.known, self.held = self.known, {}, 0
+        words = set(chain.from_iterable(texts)).difference(self.known)
+        again = words.intersection(self.older)
+        for word in again:
+            self._keep(word, self.older[word])
+        words = list(words - again)
         if not words:
             return
         read = b" ".join(words).decode().split(" ")
@@ -107,11 +133,15 @@ class Words:
         for word, text, run in zip(words, read, letters, strict=True):
             ids = found.get(run)
             if ids is None:
-                self.known[word] = self._encode(text)
+                self._keep(word, self._encode(text))
             elif len(run) == len(text):
-                self.known[word] = ids
+                self._keep(word, ids)
             else:
-                self.known[word] = ids + signs[text[len(run) :]]
+                self._keep(word, ids + signs[text[len(run) :]])
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + ENTRY
 
     @staticmethod
     def _is_plain(run: str) -> bool:
@@ -126,39 +156,54 @@ def token_bytes(text: bytes | None, words: Words) -> bytes:
     return words.ids(found)
 
 
+def chunks(texts: pa.Array):
+    """(first row, texts as bytes) of consecutive rows, about ``CHUNK`` bytes at a time."""
+    first, rows, held = 0, [], 0
+    for i, text in enumerate(texts):
+        rows.append(text.as_py())
+        held += len(rows[-1] or b"")
+        if held >= CHUNK:
+            yield first, rows
+            first, rows, held = i + 1, [], 0
+    if rows:
+        yield first, rows
+
+
 def _cut(path: str):
     def build():
-        words, part, nth = Words(path), TaskContext.get().partitionId(), Counter()
+        words, part, nth = Words.of_worker(path), TaskContext.get().partitionId(), Counter()
 
         def work(batch: pa.RecordBatch) -> list:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
 
             def put(*values):
                 for column, v in zip(out, values, strict=True):
                     column.append(v)
 
-            texts = [words.split(t.as_py()) for t in batch.column("text")]
-            words.learn(texts)
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = memoryview(words.ids(found))
-                n = len(ids) // 4
-                at = 0
-                while at < n:
-                    left = n - at
-                    if left >= WINDOW:
-                        length, kind = WINDOW, SLOTS
-                    elif left >= UNIT:
-                        length, kind = left // UNIT * UNIT, left // UNIT
-                    else:
-                        length, kind = left, CRUMB + left
-                    step = UNIT if kind < SLOTS else length
-                    crcs, crc = [], 0
-                    for k in range(at, at + length, step):
-                        crc = zlib.crc32(ids[4 * k : 4 * (k + step)], crc)
-                        crcs.append(crc)
-                    put(doc_id, n, at, length, kind, part, nth[kind], crcs)
-                    nth[kind] += 1
-                    at += length
+            names = batch.column("doc_id").to_pylist()
+            for first, rows in chunks(batch.column("text")):
+                texts = [words.split(t) for t in rows]
+                words.learn(texts)
+                for doc_id, found in zip(names[first : first + len(rows)], texts, strict=True):
+                    ids = memoryview(words.ids(found))
+                    n, whole = len(ids) // 4, zlib.crc32(ids)
+                    at = 0
+                    while at < n:
+                        left = n - at
+                        if left >= WINDOW:
+                            length, kind = WINDOW, SLOTS
+                        elif left >= UNIT:
+                            length, kind = left // UNIT * UNIT, left // UNIT
+                        else:
+                            length, kind = left, CRUMB + left
+                        step = UNIT if kind < SLOTS else length
+                        crcs, crc = [], 0
+                        for k in range(at, at + length, step):
+                            crc = zlib.crc32(ids[4 * k : 4 * (k + step)], crc)
+                            crcs.append(crc)
+                        put(doc_id, n, whole, at, length, kind, part, nth[kind], crcs)
+                        nth[kind] += 1
+                        at += length
             return out
 
         return work
@@ -330,6 +375,7 @@ def _place(shared):
                 batch.column("doc_id").take(pa.array(more)), starts, lengths,
                 np.concatenate([crc, np.array(tails, dtype=np.int64)]),
                 batch.column("doc_tokens").take(pa.array(more)),
+                batch.column("doc_crc32").take(pa.array(more)),
                 np.concatenate([window, window[over] + 1]),
                 np.concatenate([offset, np.zeros(len(over), dtype=np.int64)]),
             ]
@@ -340,7 +386,8 @@ def _place(shared):
 
 
 def pack(docs: DataFrame, path: str) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, doc_crc32 (the checksum of all ids
+    of its document), sequence_id, offset.
 
     ``path`` is the vocabulary file, which every executor must have. A document's ids are those of its
     whole text (null: empty) and ``END``; each lies in one piece. Sequences hold at most 4096 ids.
@@ -371,20 +418,36 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 def tokens(docs: DataFrame, packed: DataFrame, path: str) -> DataFrame:
     """``packed`` with the ids of every piece (array<long>), for writing the sequences out.
 
-    Needs unique ids.
+    Ids may be null or repeated: a piece belongs to the rows with its doc_id, number of ids and checksum,
+    which all have the same ids.
     """
 
     def build():
-        words = Words(path)
+        words = Words.of_worker(path)
+
+        def work(batch: pa.RecordBatch) -> list:
+            ids = [token_bytes(t.as_py(), words) for t in batch.column("text")]
+            return [batch.column("doc_id"), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], ids]
+
+        return work
+
+    key = ["doc_id", "doc_tokens", "doc_crc32"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    whole = over_batches(rows, build, "doc_id long, doc_tokens long, doc_crc32 long, all binary")
+    whole = whole.dropDuplicates(key).alias("w")
+    both = packed.alias("p").join(
+        whole,
+        F.col("p.doc_id").eqNullSafe(F.col("w.doc_id"))
+        & (F.col("p.doc_tokens") == F.col("w.doc_tokens"))
+        & (F.col("p.doc_crc32") == F.col("w.doc_crc32")),
+    )
+    cut_out = both.select("p.*", F.expr("substring(w.all, 4 * p.start + 1, 4 * p.length)").alias("part"))
 
+    def unpack():
         def work(batch: pa.RecordBatch) -> list:
-            out = []
-            for text, start, length in zip(*(batch.column(c) for c in ("text", "start", "length")), strict=True):
-                ids = np.frombuffer(token_bytes(text.as_py(), words), dtype="<u4")
-                out.append(ids[start.as_py() : start.as_py() + length.as_py()].astype(np.int64))
-            return [batch.column("sequence_id"), batch.column("offset"), batch.column("doc_id"), out]
+            ids = [np.frombuffer(x.as_py(), dtype="<u4").astype(np.int64) for x in batch.column("part")]
+            return [batch.column("sequence_id"), batch.column("offset"), batch.column("doc_id"), ids]
 
         return work
 
-    rows = packed.join(docs.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id")
-    return over_batches(rows, build, "sequence_id long, offset long, doc_id long, ids array<long>")
+    return over_batches(cut_out, unpack, "sequence_id long, offset long, doc_id long, ids array<long>")
