@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,14 +14,14 @@ from skyledger.llm.components import components
 from skyledger.session import stage
 
 LEAST = 0.93  # cosine of a link
-REPEATS, LEADS = 3, 4  # tables, and the projections that a table is cut by
-LINES = REPEATS * LEADS  # projections in all
+LINES = 16  # projections over which collisions are counted
 WIDE = 0.9  # half a window: a pair at 0.93 falls into one with probability 0.984
-RECALL = 0.999  # of the collision count, for a pair at the threshold
+MEETS = 0.9998  # chance that a pair at the threshold shares a cell and a window in some table
+RECALL = 0.9995  # of the collision count, for such a pair
 QUERIES = 2048  # vectors of a cell that one task compares with all of the cell
 
-ROWS = "vec_id long, label {label}, valid boolean, dim int, digest binary, raw binary, lines binary"
-CELLS = "label {label}, dim int, cell long, node long, n long, flags int, key double, raw binary, lines binary"
+ROWS = "vec_id long, label {label}, valid boolean, dim int, digest binary, raw binary"
+CELLS = "label {label}, dim int, turn int, cell long, node long, n long, key double, raw binary, cells binary"
 
 
 def inside(cosine: float = LEAST) -> float:
@@ -32,81 +30,133 @@ def inside(cosine: float = LEAST) -> float:
 
 
 def needed() -> int:
-    """The largest count that a pair at the threshold reaches with ``RECALL``, once its leads collide."""
-    p, free, tail = inside(), LINES - LEADS, 0.0
+    """The largest count that a pair at the threshold reaches with ``RECALL``, once one line collides."""
+    p, free, tail = inside(), LINES - 1, 0.0
     for k in range(free, -1, -1):
         tail += math.comb(free, k) * p**k * (1 - p) ** (free - k)
         if tail >= RECALL:
-            return LEADS + k
-    return LEADS
+            return 1 + k
+    return 1
 
 
 def directions(dim: int) -> np.ndarray:
+    """The lines of the collision count, the same for every vector of a length."""
     return np.random.default_rng([20240611, dim]).standard_normal((dim, LINES))
 
 
-def _project():
-    known: dict[int, np.ndarray] = {}
+def axes(dim: int, turn: int, lead: int) -> np.ndarray:
+    """The orthonormal projections of one lead of a table."""
+    draw = np.random.default_rng([20240612, dim, turn, lead])
+    return np.linalg.qr(draw.standard_normal((dim, min(dim, 64))))[0]
+
+
+def farthest(unit: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The projection in which a vector lies farthest out, and on which side: the end of the sorted list of
+    that projection where the vector stands."""
+    p = unit @ basis
+    at = np.abs(p).argmax(axis=1)
+    return 2 * at + (np.take_along_axis(p, at[:, None], axis=1)[:, 0] < 0)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def pairs_at(cosine: float, count: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at a cosine."""
+    a, b = np.random.default_rng([seed, dim]).standard_normal((2, count, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * b
+
+
+class Tables:
+    """How vectors of a length are cut into cells, for a corpus of ``count`` vectors.
+
+    A table has ``leads`` independent sets of projections; a cell takes the vectors that are farthest out
+    in the same projection of each. There are about as many cells as vectors, so those of unlike vectors
+    are small at every size. How often a pair at the threshold shares a cell is measured on random pairs
+    of this length, and as many tables are made as the promised chance of a meeting takes.
+    """
+
+    def __init__(self, dim: int, count: int):
+        self.dim, self.ends = dim, 2 * min(dim, 64)
+        self.leads = max(1, round(math.log(max(count, 2)) / math.log(max(self.ends, 2))))
+        a, b = pairs_at(LEAST, 4000, dim, 7) if dim > 1 else (np.ones((1, 1)), np.ones((1, 1)))
+        same = [(farthest(a, x) == farthest(b, x)).mean() for x in (axes(dim, t, 99) for t in range(6))]
+        meets = min(float(np.mean(same)) ** self.leads * inside(), 1 - 1e-9)
+        self.count = max(1, math.ceil(math.log(1 - MEETS) / math.log(1 - meets)))
+        self.bases = [[axes(dim, t, k) for k in range(self.leads)] for t in range(self.count)]
 
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        """One column of cell numbers a table."""
+        out = np.zeros((len(unit), self.count), dtype=np.int64)
+        for t, bases in enumerate(self.bases):
+            for basis in bases:
+                out[:, t] = out[:, t] * self.ends + farthest(unit, basis)
+        return out
+
+
+def _project():
     def work(batch: pa.RecordBatch) -> list:
-        valid, dims, digests, raws, lines = [], [], [], [], []
+        valid, dims, digests, raws = [], [], [], []
         for v in batch.column("embedding"):
-            x = None
+            x = raw = None
             if v.is_valid and v.values.null_count == 0 and len(v.values):
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                raw = v.values.to_numpy(zero_copy_only=False)
+                x = raw.astype(np.float64)
                 top = np.abs(x).max()
                 x = x / top if np.isfinite(top) and top > 0 else None
             valid.append(x is not None)
             dims.append(0 if x is None else len(x))
-            if x is None:
-                digests.append(None)
-                raws.append(None)
-                lines.append(None)
-                continue
-            unit = x / np.linalg.norm(x)
-            if len(x) not in known:
-                known[len(x)] = directions(len(x))
-            digests.append(xxhash.xxh3_128_digest(x.tobytes()))
-            raws.append(unit.tobytes())
-            lines.append((unit @ known[len(x)]).astype(np.float32).tobytes())
-        return [batch.column("vec_id"), batch.column("label"), valid, dims, digests, raws, lines]
+            digests.append(None if x is None else xxhash.xxh3_128_digest(x.tobytes()))
+            raws.append(None if x is None else raw.tobytes())
+        return [batch.column("vec_id"), batch.column("label"), valid, dims, digests, raws]
 
     return work
 
 
-def _spread():
-    """Every vector in the cells of each table where a partner within its windows may stand.
+def matrix(raws: pa.Array, dim: int) -> np.ndarray:
+    """The unit vectors of stored ones, in the precision they came in."""
+    joined = b"".join(raws.to_pylist())
+    kind = np.float32 if len(joined) == 4 * dim * len(raws) else np.float64
+    return unit_rows(np.frombuffer(joined, dtype=kind).reshape(len(raws), dim))
 
-    A cell is two windows wide. The cell of a pair is the larger one in each lead, so a vector also
-    goes to the next cell if that begins within a window of it; ``flags`` tells where it is at home.
-    """
-    width = 2 * WIDE
 
-    def work(batch: pa.RecordBatch) -> list:
-        flat = np.frombuffer(b"".join(x.as_py() for x in batch.column("lines")), dtype=np.float32)
-        p = flat.reshape(-1, LINES).astype(np.float64)
-        rows, cells, flags, keys = [], [], [], []
-        for t in range(REPEATS):
-            lead = p[:, t * LEADS : (t + 1) * LEADS]
-            home = np.floor(lead / width).astype(np.int64)
-            reach = lead >= (home + 1) * width - WIDE
-            for step in product((0, 1), repeat=LEADS):
-                at = np.flatnonzero(reach[:, np.array(step) == 1].all(axis=1))
-                cell = np.full(len(at), t, dtype=np.int64)
-                for k in range(LEADS):
-                    cell = cell * 256 + np.clip(home[at, k] + step[k] + 128, 0, 255)
-                rows.append(at)
-                cells.append(cell)
-                flags.append(np.full(len(at), sum((1 - s) << k for k, s in enumerate(step)), np.int32))
-                keys.append(p[at, t * LEADS])  # a lead: the cell demands its collision anyway
-        take = pa.array(np.concatenate(rows))
-        out = {c: batch.column(c).take(take) for c in ("label", "dim", "node", "n", "raw", "lines")}
-        return [
-            out["label"], out["dim"], np.concatenate(cells), out["node"], out["n"],
-            np.concatenate(flags), np.concatenate(keys), out["raw"], out["lines"],
-        ]
+def _spread(count: int, label):
+    """Every vector in its cell of each table; ``key`` is the line by which the cell is sorted."""
+    arrow = pa.schema(
+        [("label", label), ("dim", pa.int32()), ("turn", pa.int32()), ("cell", pa.int64()), ("node", pa.int64()),
+         ("n", pa.int64()), ("key", pa.float64()), ("raw", pa.binary()), ("cells", pa.binary())]
+    )
 
-    return work
+    def run(batches):
+        known: dict[int, tuple[Tables, np.ndarray]] = {}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                if dim not in known:
+                    known[dim] = Tables(int(dim), count), directions(int(dim))
+                tables, lines = known[dim]
+                unit = matrix(rows.column("raw"), int(dim))
+                cells, p = tables.cells(unit), unit @ lines
+                packed = pa.array([x.tobytes() for x in cells])
+                for t in range(tables.count):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            rows.column("label"), rows.column("dim"),
+                            pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(cells[:, t]),
+                            rows.column("node"), rows.column("n"), pa.array(p[:, t % LINES]),
+                            rows.column("raw"), packed,
+                        ],
+                        schema=arrow,
+                    )
+
+    return run
 
 
 class _Piece:
@@ -114,15 +164,10 @@ class _Piece:
 
     def __init__(self, batch: pa.RecordBatch, dim: int):
         n = batch.num_rows
-        self.node, self.n, self.flags, self.key = (
-            batch.column(c).to_numpy() for c in ("node", "n", "flags", "key")
-        )
-        self.unit = np.frombuffer(
-            b"".join(x.as_py() for x in batch.column("raw")), dtype=np.float64
-        ).reshape(n, dim)
-        self.lines = np.frombuffer(
-            b"".join(x.as_py() for x in batch.column("lines")), dtype=np.float32
-        ).reshape(n, LINES)
+        self.node, self.n, self.key = (batch.column(c).to_numpy() for c in ("node", "n", "key"))
+        self.unit = matrix(batch.column("raw"), dim)
+        self.lines = (self.unit @ directions(dim)).astype(np.float32)
+        self.cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), dtype=np.int64).reshape(n, -1)
 
 
 class _Cell:
@@ -133,6 +178,7 @@ class _Cell:
         self.links = np.zeros(len(queries.node), dtype=np.int64)
         self.root = np.arange(len(queries.node))
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.admitted = 0  # pairs whose collisions were counted
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -141,18 +187,21 @@ class _Cell:
         return i
 
     def meet(self, m: _Piece, least: int) -> None:
-        q, full = self.q, (1 << LEADS) - 1
+        """Counts collisions in the window of the sorted line around each block of queries, and verifies
+        the pairs that reach the calibrated count."""
+        q, line = self.q, self.table % LINES
         for a in range(0, len(q.node), 256):
             b = min(a + 256, len(q.node))
             lo = np.searchsorted(m.key, q.key[a] - WIDE)
             hi = np.searchsorted(m.key, q.key[b - 1] + WIDE, side="right")
             for s in range(int(lo), int(hi), 4096):
                 e = min(s + 4096, int(hi))
+                self.admitted += (b - a) * (e - s)
                 count = np.zeros((b - a, e - s), dtype=np.int8)
                 for k in range(LINES):
                     count += np.abs(q.lines[a:b, k, None] - m.lines[None, s:e, k]) <= WIDE
                 passed = count >= least
-                passed &= (q.flags[a:b, None] | m.flags[None, s:e]) == full
+                passed &= np.abs(q.lines[a:b, line, None] - m.lines[None, s:e, line]) <= WIDE
                 passed &= q.node[a:b, None] != m.node[None, s:e]
                 i, j = np.nonzero(passed)
                 if not len(i):
@@ -167,15 +216,11 @@ class _Cell:
 
     def link(self, i: np.ndarray, j: np.ndarray, m: _Piece) -> None:
         """Counts links that met in no earlier table, and keeps a forest of them."""
-        new, own = np.ones(len(i), dtype=bool), np.ones(len(i), dtype=bool)
-        for t in range(self.table + 1):
-            lead = slice(t * LEADS, (t + 1) * LEADS)
-            met = (np.abs(self.q.lines[i, lead] - m.lines[j, lead]) <= WIDE).all(axis=1)
-            if t < self.table:
-                new &= ~met
-            else:
-                own = met
-        keep = new & own
+        keep = np.ones(len(i), dtype=bool)
+        for t in range(self.table):
+            line = t % LINES
+            met = np.abs(self.q.lines[i, line] - m.lines[j, line]) <= WIDE
+            keep &= ~(met & (self.q.cells[i, t] == m.cells[j, t]))
         i, j = i[keep], j[keep]
         if not len(i):
             return
@@ -225,7 +270,7 @@ def _compare():
             nonlocal cell
             rows = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
             queries = _Piece(rows, now[1])
-            cell = _Cell(now[2] >> (8 * LEADS), queries)
+            cell = _Cell(now[2], queries)
             cell.meet(queries, least)
 
         for batch in batches:
@@ -233,13 +278,13 @@ def _compare():
                 continue
             change = np.zeros(batch.num_rows, dtype=bool)
             change[0] = True
-            for c in ("label", "dim", "cell", "slice", "own"):
+            for c in ("label", "dim", "turn", "cell", "slice", "own"):
                 codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 change[1:] |= codes[1:] != codes[:-1]
             bounds = np.append(np.flatnonzero(change), batch.num_rows)
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 piece = batch.slice(int(s), int(e - s))
-                key = tuple(piece.column(c)[0].as_py() for c in ("label", "dim", "cell", "slice"))
+                key = tuple(piece.column(c)[0].as_py() for c in ("label", "dim", "turn", "cell", "slice"))
                 if key != now:
                     yield from close()
                     now, own = key, []
@@ -262,13 +307,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     nothing, nor do vectors of different length. ``n_links`` counts the other rows linked directly,
     ``component_id`` is the smallest vec_id that links reach. A repeated vec_id is a vector a row.
 
-    Twelve random projections make three tables. A table is cut into cells by four of them, so that
-    any two vectors within a window of each other in all four share a cell. Inside a cell the rows are
-    sorted by the first of its four; for the window around each query the collisions over all twelve are
-    counted, and pairs that reach the calibrated count are verified. A pair that met in an earlier
-    table is left alone. Pairs never leave a task: it returns the links of each query as a number, and
-    a forest of them. Equal vectors are one row with a count. The queries of a large cell are dealt
-    over several tasks, past which its members stream, so no task holds a cell.
+    Every table cuts the vectors into cells by the projections in which they lie farthest out (``Tables``).
+    Inside a cell the rows are sorted by one of sixteen more projections; for the window around each query
+    the collisions over all sixteen are counted, and pairs that reach the calibrated count are verified. A
+    pair that met in an earlier table is left alone. Pairs never leave a task: it returns the links of
+    each query as a number, and a forest of them. Equal vectors are one row with a count. The queries of
+    a large cell are dealt over several tasks, past which its members stream, so no task holds a cell.
     """
     kind = vectors.schema["label"].dataType.simpleString()
     picked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
@@ -285,12 +329,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         .agg(
             F.min("row").alias("node"), F.min("vec_id").alias("low"), F.count("*").alias("n"),
             F.any_value("dim").alias("dim"), F.any_value("raw").alias("raw"),
-            F.any_value("lines").alias("lines"),
         ),
         "vector-classes",
     )
-    cells = over_batches(classes, _spread, CELLS.format(label=kind))
-    group = ["label", "dim", "cell"]
+    label = _arrow_schema(None, f"label {kind}").field("label").type
+    cells = classes.mapInArrow(_spread(classes.count(), label), CELLS.format(label=kind))
+    group = ["label", "dim", "turn", "cell"]
     large = (
         cells.groupBy(*group).agg(F.count("*").alias("size")).where(F.col("size") > QUERIES)
         .select(*group, F.ceil(F.col("size") / QUERIES).cast("int").alias("slices"))
