@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,13 @@ from skyledger.llm.common import over_batches
 
 # A quote opens a value only after an equals sign; any other one is a character like the rest.
 VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
-TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{VALUE})*+)>")
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|{VALUE})*+)>")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 # Elements whose content is no text, those that stay within a block, and those that never hold any.
 RAW = {"script", "style", "template", "textarea", "iframe"}
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby "
     "s samp small span strike strong sub sup time tt u var wbr noscript object svg g defs use path rect circle "
@@ -37,27 +38,98 @@ ENDS_P = set(
 )
 
 
-@dataclass
+# Elements past which a start tag ends nothing.
+BARRIERS = {"table", "ul", "ol", "dl", "article", "section", "main", "body"}
+
+
 class Block:
-    """Text between two block boundaries, and where it stands."""
+    """Text between two block boundaries, and where it stands: the innermost element that isn't inline, and
+    the tags and names of all elements around it."""
 
-    path: list[tuple[str, frozenset]]
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
+    __slots__ = ("inner", "around", "parts", "linked", "_text")
+
+    def __init__(self, inner: str, around: frozenset):
+        self.inner, self.around = inner, around
+        self.parts: list[str] = []
+        self.linked, self._text = 0, None
 
     def text(self) -> str:
-        return SPACE.sub(" ", "".join(self.parts)).strip(" ")
+        if self._text is None:
+            self._text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
+        return self._text
+
+
+class Elements:
+    """The open elements of a page. Every step costs the elements that it closes, however many are open.
+
+    ``known`` limits what is remembered of their tags and names; what an element adds to those of the
+    elements around it is kept with it, and one that adds nothing shares their set.
+    """
+
+    def __init__(self, known: set | dict | None):
+        self.known = known
+        self.stack: list[tuple[str, str, frozenset]] = []  # name, innermost that isn't inline, around
+        self.count: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]  # open names since the last barrier
+        self.links = 0
+
+    def where(self) -> tuple[str, frozenset]:
+        return self.stack[-1][1:] if self.stack else ("", frozenset())
+
+    def push(self, name: str, marks: str) -> None:
+        inner, around = self.where()
+        if name not in INLINE:
+            inner = name
+            new = {"tag:" + name}
+            if marks:
+                new.update("name:" + w for _, v in NAMED.findall(marks) for w in WORDS.findall(v.lower()))
+            if self.known is not None:
+                new = {x for x in new if x in self.known}
+            if not new <= around:
+                around = around | new
+        self.stack.append((name, inner, around))
+        self.count[name] = self.count.get(name, 0) + 1
+        if name in BARRIERS:
+            self.scopes.append({})
+        else:
+            scope = self.scopes[-1]
+            scope[name] = scope.get(name, 0) + 1
+        self.links += name == "a"
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.count[name] -= 1
+        if name in BARRIERS:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][name] -= 1
+        self.links -= name == "a"
+        return name
 
+    def close(self, name: str) -> None:
+        """An end tag closes the elements down to the last one of its name, if there is one."""
+        if self.count.get(name):
+            while self.pop() != name:
+                pass
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, in time linear in well-formed pages; never fails.
+    def make_way(self, closing: set[str]) -> None:
+        """Closes the elements down to the last one of these names, if there is one before a barrier."""
+        scope = self.scopes[-1]
+        if any(scope.get(c) for c in closing):
+            while self.pop() not in closing:
+                pass
+
+
+def blocks(page: str, known: set | dict | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, in time linear in the page, whatever it holds; never fails.
 
     Unclosed elements end with their parent, stray end tags are ignored, comments and raw elements
-    have no text; an unclosed comment or raw element lasts to the end of the page.
+    have no text; an unclosed comment or raw element lasts to the end of the page. Of the tags and names
+    around a block those in ``known`` are kept, all if it isn't given.
     """
     found: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
-    links, current, at, n = 0, None, 0, len(page)
+    open_ = Elements(known)
+    current, at, n = None, 0, len(page)
 
     def add(piece: str) -> None:
         nonlocal current
@@ -66,11 +138,12 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not piece.strip(" \t\n\r\f\v"):
                 return
-            current = Block([x for x in stack if x[0] not in INLINE])
+            current = Block(*open_.where())
             found.append(current)
-        piece = entities.unescape(piece)
+        if "&" in piece:
+            piece = entities.unescape(piece)
         current.parts.append(piece)
-        if links:
+        if open_.links:
             current.linked += len(piece.strip())
 
     while at < n:
@@ -102,51 +175,46 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name not in INLINE:
                 current = None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
+            open_.close(name)
             continue
         if name == "br":
             add(" ")
             continue
         if name in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                end = RAW_END[name].search(page, at)
                 at = n if end is None else end.end()
             continue
         if name not in INLINE:
             current = None
             closing = set(CLOSES.get(name, "").split()) | ({"p"} if name in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("table", "ul", "ol", "dl", "article", "section", "main", "body"):
-                    break
+            if closing:
+                open_.make_way(closing)
         if name in EMPTY or m[3].endswith("/"):
             continue
-        names = frozenset(w for _, v in NAMED.findall(m[3]) for w in WORDS.findall(v.lower()))
-        stack.append((name, names))
-        links += name == "a"
+        open_.push(name, m[3])
     return [b for b in found if b.text()]
 
 
-def describe(block: Block) -> list[str]:
-    """Features of a block: its ancestors' tags and names, and the shape of its text."""
+def own_shape(block: Block) -> tuple[str, int, int, bool, bool]:
+    """What a block's own features tell: its element, the logarithm of its words, its share of links,
+    whether it ends like a sentence, and whether it speaks of rights."""
     text = block.text()
-    words = len(text.split())
-    out = ["bias", "in:" + (block.path[-1][0] if block.path else "")]
-    out += sorted({"tag:" + t for t, _ in block.path})
-    out += sorted({"name:" + w for _, names in block.path for w in names})
-    out.append(f"words:{min(int(np.log2(words + 1)), 8)}")
-    out.append(f"linked:{min(int(4 * block.linked / max(len(text), 1)), 4)}")
-    out.append("stop" if text[-1] in ".!?:;\"'" else "no-stop")
-    if "©" in text or "copyright" in text.lower():
-        out.append("rights")
-    return out
+    return (
+        block.inner, min((text.count(" ") + 2).bit_length() - 1, 8), min(4 * block.linked // len(text), 4),
+        text[-1] in ".!?:;\"'", "©" in text or "copyright" in text.lower(),
+    )
+
+
+def own_features(shape: tuple[str, int, int, bool, bool]) -> list[str]:
+    inner, words, linked, stop, rights = shape
+    out = ["bias", "in:" + inner, f"words:{words}", f"linked:{linked}", "stop" if stop else "no-stop"]
+    return [*out, "rights"] if rights else out
+
+
+def describe(block: Block) -> list[str]:
+    """All features of a block: its own, and the tags and names of the elements around it."""
+    return own_features(own_shape(block)) + sorted(block.around)
 
 
 @dataclass
@@ -159,18 +227,36 @@ class Field:
     pair: np.ndarray
 
     def scores(self, found: list[Block]) -> np.ndarray:
-        rows = [[self.index[f] for f in describe(b) if f in self.index] for b in found]
-        return np.array([self.unary[r].sum(axis=0) for r in rows])
+        """Per block and label the sum of its features' weights; that of what is around is shared."""
+        if not hasattr(self, "weights"):
+            self.weights = {f: tuple(self.unary[k].tolist()) for f, k in self.index.items()}
+        weights, shared, out = self.weights, {}, []
+
+        def total(features) -> tuple[float, float]:
+            known = [weights[f] for f in features if f in weights]
+            return sum(x for x, _ in known), sum(y for _, y in known)
+
+        for b in found:
+            shape = own_shape(b)
+            around, own = shared.get(b.around), shared.get(shape)
+            if around is None:
+                around = shared[b.around] = total(sorted(b.around))
+            if own is None:
+                own = shared[shape] = total(own_features(shape))
+            out.append((around[0] + own[0], around[1] + own[1]))
+        return np.array(out)
 
     def decode(self, found: list[Block]) -> list[int]:
         """The likeliest labels of a page's blocks (Viterbi)."""
         scores = self.scores(found)
-        best, back = scores[0] + self.start, []
-        for s in scores[1:]:
-            step = best[:, None] + self.pair
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + s
-        labels = [int(best.argmax())]
+        (p00, p01), (p10, p11) = self.pair.tolist()
+        x, y = (scores[0] + self.start).tolist()
+        back = []
+        for s, t in scores[1:].tolist():
+            a, b, c, d = x + p00, y + p10, x + p01, y + p11
+            back.append((b > a, d > c))
+            x, y = max(a, b) + s, max(c, d) + t
+        labels = [int(y > x)]
         for b in reversed(back):
             labels.append(int(b[labels[-1]]))
         return labels[::-1]
@@ -330,7 +416,7 @@ def train(pages: int = 240, steps: int = 120, rate: float = 0.15, decay: float =
 
 def main_text(page: str | None, model: Field) -> str:
     """Blocks that the field calls main text, joined by one space."""
-    found = blocks(page or "")
+    found = blocks(page or "", model.index)
     if not found:
         return ""
     return " ".join(b.text() for b, y in zip(found, model.decode(found), strict=True) if y)
