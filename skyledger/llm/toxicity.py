@@ -9,18 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import Memo, labelled_sample, over_batches, share_of
+from skyledger.llm.common import Memo, labelled_sample, mix64, over_batches, share_of
+from skyledger.llm.near import shingles, word_hashes
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7, 8)  # letters of a beginning that counts as a token
-PER_CLASS = 4000  # training documents of each label, half for the words, half for the calibration
+PER_CLASS = 8000  # training documents of each label, half for the words, half for the calibration
 PRIOR = 0.025  # weight of the Dirichlet prior: this part of a token's count under both labels
 LEAST = 3.0  # log-odds that a token must have: what a topic or a language has in common stays below
-OFTEN = 3  # documents in which a token must be to be tested at all, and the share of those with label 1
-COMMON = 0.02  # that it must be in: else the copies of one document would make all its words insults
+OFTEN = 3  # documents in which a token must be to be tested at all
+MINIMA = 3  # smallest shingle hashes by which near copies of a training document are known
 GAP = 0.25  # what any other token takes from a passage
 AGAIN = 0.5  # share of its score that a word which comes again adds to the evidence
 STEP, STEPS = 0.25, 64  # token scores are counted in steps of a quarter
@@ -52,13 +53,40 @@ def _count_words():
     return run
 
 
+def _minima():
+    words = word_hashes()
+    seeds = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, MINIMA + 1)]
+
+    def work(batch: pa.RecordBatch) -> list:
+        found = []
+        for text in batch.column("text"):
+            s = shingles((text.as_py() or "").encode(), words)
+            found.append([int(mix64(s ^ seed).min().view(np.int64)) for seed in seeds] if len(s) else None)
+        return [batch.column("doc_id"), batch.column("y"), batch.column("text"), found]
+
+    return work
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One document of each group of equal or near-equal texts of a label: those that share one of their
+    smallest shingle hashes. Else the copies of one document would make all its words insults."""
+    picked = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text")
+    rows = over_batches(picked, _minima, "doc_id long, y int, text string, low array<long>")
+    for k in range(MINIMA):
+        first = F.row_number().over(Window.partitionBy("y", F.col("low")[k]).orderBy("doc_id", "text"))
+        rows = rows.withColumn("first", first).where("first = 1 OR low IS NULL").drop("first")
+    return rows.select("doc_id", "y", "text")
+
+
 def word_scores(sample: DataFrame) -> dict[str, float]:
     """Tokens that speak for label 1, with their log-odds.
 
-    A document counts a token once: repeats are not independent. The prior is Dirichlet, in proportion
-    to a token's frequency under both labels, so that rare tokens start out neutral. A token counts if
-    its likelihood ratio exceeds what the best of all tested tokens reaches by chance, 2 log(tested).
+    A document counts a token once: repeats are not independent, and neither are copies of a document.
+    The prior is Dirichlet, in proportion to a token's frequency under both labels, so that rare tokens
+    start out neutral. A token counts if its likelihood ratio exceeds what the best of all tested tokens
+    reaches by chance, 2 log(tested), however few documents it is in.
     """
+    sample = without_copies(sample).cache()
     counted = sample.select("y", "text").mapInArrow(_count_words(), "word string, y int, n long")
     per_word = (
         counted.groupBy("word")
@@ -79,9 +107,10 @@ def word_scores(sample: DataFrame) -> dict[str, float]:
     surprise = lambda n, part: F.when(n > 0, n * F.log(n / (both * part))).otherwise(0.0)
     ratio = 2 * (surprise(n1, max(share, 1e-9)) + surprise(n0, max(1 - share, 1e-9)))
     sure = 2 * math.log(max(per_word.count(), 2))
-    chosen = (ratio >= sure) & (odds >= LEAST) & (n1 >= COMMON * d1)
+    chosen = (ratio >= sure) & (odds >= LEAST)
     rows = per_word.where(chosen).select("word", odds.alias("odds")).collect()
     per_word.unpersist()
+    sample.unpersist()
     return {r["word"]: float(r["odds"]) for r in rows}
 
 
@@ -174,29 +203,58 @@ def _weighed(found: list[tuple[int, int, float]], adds: np.ndarray) -> list[tupl
 
 
 def _look(shared):
+    """Per document: words, how often each step of token scores comes, its passages and the least of them."""
+
     def build():
         memo = Memo(shared.value.token_score)
 
         def work(batch: pa.RecordBatch) -> list:
-            sizes, counts, found = [], [], []
+            sizes, counts, found, least = [], [], [], []
             for text in batch.column("text"):
                 s, adds = _token_scores(text.as_py(), memo)
                 steps = np.minimum(adds[adds > 0] / STEP, STEPS - 1).astype(np.int64)
+                passages = [x[2] for x in _weighed(segments(s), adds)]
                 sizes.append(len(s))
                 counts.append(np.bincount(steps, minlength=STEPS))
-                found.append([x[2] for x in _weighed(segments(s), adds)])
-            return [batch.column("y"), sizes, counts, found]
+                found.append(len(passages))
+                least.append(min(passages, default=None))
+            return [batch.column("y"), sizes, counts, found, least]
 
         return work
 
     return build
 
 
-def _calibrate(model: Model, rows: list, weights: dict) -> Model:
-    """lambda and K from the clean documents, then a logistic curve over the evidence of all."""
-    clean = [r for r in rows if r["y"] == 0]
-    n = sum(r["n"] for r in clean)
-    counts = np.sum([r["counts"] for r in clean], axis=0) if clean else np.zeros(STEPS)
+def _weigh(shared):
+    def build():
+        model: Model = shared.value
+        memo = Memo(model.token_score)
+
+        def work(batch: pa.RecordBatch) -> list:
+            out = []
+            for text in batch.column("text"):
+                s, adds = _token_scores(text.as_py(), memo)
+                out.append(model.evidence(len(s), _weighed(segments(s), adds)))
+            return [batch.column("y"), out]
+
+        return work
+
+    return build
+
+
+def _law(model: Model, clean: DataFrame) -> Model:
+    """lambda and K of the extreme-value law from the clean documents of the calibration half.
+
+    What reaches the driver are sums over all of them, whatever the length of their texts.
+    """
+    shared = clean.sparkSession.sparkContext.broadcast(model)
+    rows = over_batches(clean, _look(shared), "y int, n long, counts array<long>, found long, least double")
+    sums = rows.agg(
+        F.sum("n").alias("n"), F.sum("found").alias("found"), F.min("least").alias("least"),
+        *[F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(STEPS)],
+    ).first()
+    n, found = sums["n"] or 0, sums["found"] or 0
+    counts = np.array([sums[f"c{k}"] or 0 for k in range(STEPS)], dtype=np.float64)
     at = (np.arange(STEPS) + 0.5) * STEP
     share = (counts + 0.5 / STEPS) / max(n + 0.5, 1.0)
     low, high = 1e-3, 1.0
@@ -207,12 +265,15 @@ def _calibrate(model: Model, rows: list, weights: dict) -> Model:
         middle = (low + high) / 2
         low, high = (middle, high) if loss(middle) < 0 else (low, middle)
     model.rate = high
-    scores = [s for r in clean for s in r["found"]]
-    floor = min(scores, default=1.0)
-    model.scale = (len(scores) + 0.5) / max(n * math.exp(-model.rate * floor), 1e-12)
+    floor = 1.0 if sums["least"] is None else sums["least"]
+    model.scale = (found + 0.5) / max(n * math.exp(-model.rate * floor), 1e-12)
     model.scale = min(max(model.scale, 1e-9), 1.0)
+    return model
+
 
-    x = np.array([min(model.evidence(r["n"], [(0, 0, s) for s in r["found"]]), 40.0) for r in rows])
+def _curve(model: Model, rows: list, weights: dict) -> Model:
+    """A logistic curve over the evidence of labelled documents."""
+    x = np.array([min(r["evidence"], 40.0) for r in rows])
     y = np.array([float(r["y"] > 0) for r in rows])
     w = np.array([weights[r["y"]] for r in rows])
     w = w / w.sum()
@@ -240,14 +301,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_
         return Model({}, bias=math.log(share / (1 - share)))
     sample = sample.withColumn("half", share_of(F.col("doc_id"), 12) < 0.5).cache()
     model = Model(word_scores(sample.where("half")))
+    rest = sample.where("NOT half").select("y", "text")
+    model = _law(model, rest.where("y = 0"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = over_batches(
-        sample.where("NOT half").select("y", "text"), _look(shared),
-        "y int, n long, counts array<long>, found array<double>",
-    ).collect()
+    rows = over_batches(rest, _weigh(shared), "y int, evidence double").collect()
     sample.unpersist()
-    rows.sort(key=lambda r: (r["y"], r["n"], r["found"]))
-    return _calibrate(model, rows, weights) if rows else model
+    rows.sort(key=lambda r: (r["y"], r["evidence"]))
+    return _curve(model, rows, weights) if rows else model
 
 
 def _score(shared):
