@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.common import Memo, over_batches, share_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"[^\W\d_]+")  # letters, and signs such as a half or a raised two
 DIM = 1024  # of all vectors
 GRAM = 3  # letters bound into one vector; a word begins and ends with a blank
 PER_LANGUAGE = 500  # training documents of each language
 MOST_GRAMS = 20_000  # vectors a task keeps before it starts afresh
 
 
+def letter_runs(word: str) -> list[str]:
+    """Runs of letters; numbers of any script and other signs part them."""
+    out = []
+    for run in RUNS.findall(word):
+        out += [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
 def letter_vector(letter: str) -> np.ndarray:
     """A random vector of +1 and -1, the same wherever the letter occurs."""
     bits = np.random.default_rng(ord(letter)).integers(0, 2, DIM)
@@ -39,7 +47,7 @@ class Encoder:
 
     def _word_rows(self, word: str) -> tuple[int, ...]:
         found = []
-        for letters in LETTERS.findall(word.lower()):
+        for letters in letter_runs(word.lower()):
             padded = f" {letters} "
             found += [self._row(padded[k : k + GRAM]) for k in range(len(padded) - GRAM + 1)]
         return tuple(found)
