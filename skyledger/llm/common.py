@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 
 from skyledger.session import stage
 
-ROW = "__row"  # the row key of a staged table
 
 
-def keyed(docs: DataFrame, label: str) -> DataFrame:
-    """``docs`` staged with a key per row in ``ROW``; ids may be null or repeated.
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name, that no column of ``docs`` has in any spelling."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def keyed(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` staged with a key per row, and the name of that column; ids may be null or repeated.
 
     The key is written with the rows: whoever reads them again sees the same key. These are copies of
     whole texts, so they are compressed harder than other tables.
     """
-    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), label, compression="zstd")
+    row = free_name(docs, "__row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), label, compression="zstd"), row
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import ROW, _arrow_schema, keyed
+from skyledger.llm.common import _arrow_schema, keyed
 from skyledger.session import stage
 
 RUNS = (
@@ -28,7 +28,8 @@ def mark_copies(
     the empty text. Of equal texts the row with the ``keep`` ("smallest" or "largest") doc_id stays.
     Rows that repeat a doc_id are rows of their own and share the flag of that id.
     """
-    return _marks(docs, F.lit(0).cast("long"), normalised, keep, head).drop("row", "keep_row")
+    row = F.monotonically_increasing_id()  # only spreads rows that are equal in text and id
+    return _marks(docs, row, normalised, keep, head).drop("row", "keep_row")
 
 
 def _marks(
@@ -38,8 +39,9 @@ def _marks(
     of equal ids the one with the smallest key.
 
     The sort key is (first ``head`` characters, 64-bit hash, whole text, doc_id). Spark's range
-    partitioner samples splitters of (head, hash, doc_id), which stay short for any text, so the copies
-    of one text may span many partitions, each sorted externally. Neighbours are compared in full
+    partitioner samples splitters of (head, hash, doc_id, row key), which stay short for any text, so the
+    copies of one text, with one id or many, may span many partitions, each sorted externally. Neighbours
+    are compared in full
     inside a partition. Runs that touch a partition's first or last key may go on next door: their
     sizes are summed by digest over one summary row a partition and run, a table bounded by the
     number of partitions, which is broadcast. No task ever holds a group of copies.
@@ -56,7 +58,7 @@ def _marks(
         F.xxhash64("text").alias("key_hash"),
     )
     order = ["key_head", "key_hash", "text", "doc_id"]
-    parts = sized.repartitionByRange("key_head", "key_hash", "doc_id").sortWithinPartitions(*order)
+    parts = sized.repartitionByRange("key_head", "key_hash", "doc_id", "row").sortWithinPartitions(*order)
     hashed = parts.withColumn("sha", F.sha2("text", 256))
     runs = stage(
         hashed.withColumn("part", F.spark_partition_id()).mapInArrow(_runs(keep), RUNS), "exact-runs"
@@ -174,7 +176,7 @@ def drop_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     Rows go by the row key of a staged copy, so null and repeated ids lose no text and keep no copy. An
     id that isn't null is kept before a null one, and of equal ids the smallest row key.
     """
-    rows = keyed(docs, "exact-rows")
-    marks = _marks(rows, F.col(ROW), keep=keep)
-    dropped = marks.where("row <> keep_row").select(F.col("row").alias(ROW))
-    return rows.join(dropped, ROW, "left_anti").drop(ROW)
+    rows, row = keyed(docs, "exact-rows")
+    marks = _marks(rows, F.col(row), keep=keep)
+    dropped = marks.where("row <> keep_row").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").drop(row)

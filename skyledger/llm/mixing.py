@@ -7,20 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import ROW, keyed
+from skyledger.llm.common import free_name, keyed
 from skyledger.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_SHARD, MOST_SHARDS = 1000, 4096
+ROWS_PER_SHARD = 1000
+SHARDS_PER_GROUP = 1024
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(doc_id: Column, seed: int) -> Column:
-    """A reproducible shuffle key of an id, the same in any engine that has md5."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def seeded(doc_id: Column, text: Column, seed: int) -> Column:
+    """A reproducible shuffle key of a row's id and text, the same in any engine that has md5."""
+    digits = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), digits, F.md5(F.coalesce(text, F.lit("")))))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -56,18 +58,21 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     )
 
 
-def apportion(parts: DataFrame, by: list[str], weight: str, seats: str) -> DataFrame:
+def apportion(parts: DataFrame, by: list[str], weight: str, seats: str, most: str | None = None) -> DataFrame:
     """``parts`` with the integer column ``quota``: ``seats`` of each group ``by``, by Sainte-Laguë.
 
     The seats of a group go one by one to the highest quotient weight / (2 s + 1), s being what the
-    part already has; ties go to the smaller ``part``. Seats are not handed out one at a time: at the
-    divisor total / seats a part gets weight / divisor, rounded, and a group of n parts is then off by
-    at most n / 2 seats, of which a part can lose or gain its share. Only the quotients within that
-    reach of the rounded value are ranked, about 8 n in all.
+    part already has; ties go to the smaller ``part``. A part with as many seats as ``most`` takes part
+    no longer. Seats are not handed out one at a time: at the divisor total / seats a part gets weight /
+    divisor, rounded, and a group of n parts is then off by at most n / 2 seats, of which a part can
+    lose or gain its share. Only the quotients within that reach of the rounded value are ranked, about
+    8 n in all. ``most`` must be at least what a divisor of total / seats allows, rounded down: then it
+    moves less than one seat a part, which the reach covers as well.
     """
     group = Window.partitionBy(*by)
     w, n = F.col(weight).cast("double"), F.count(F.lit(1)).over(group)
     total = F.sum(w).over(group)
+    limit = F.col(most) if most else F.lit((1 << 62))
     sized = (
         parts.withColumn("_n", n)
         .withColumn("_total", total)
@@ -77,15 +82,15 @@ def apportion(parts: DataFrame, by: list[str], weight: str, seats: str) -> DataF
         )
         .withColumn(
             "_reach",
-            F.when(F.col("_total") > 0, F.ceil(w / F.col("_total") * F.col("_n")) + 2).otherwise(0),
+            F.when(F.col("_total") > 0, F.ceil(w / F.col("_total") * F.col("_n") * 2) + 2).otherwise(0),
         )
-        .withColumn("_low", F.greatest(F.lit(0), F.col("_near") - F.col("_reach")))
+        .withColumn("_low", F.greatest(F.lit(0), F.least(F.col("_near"), limit) - F.col("_reach")))
+        .withColumn("_high", F.least(F.col("_near") + F.col("_reach"), limit - 1))
         .withColumn("_left", F.col(seats) - F.sum("_low").over(group))
     )
     quotients = (
-        sized.where(w > 0)
-        .select(*by, "part", "_left", w.alias("_w"),
-                F.explode(F.sequence("_low", F.col("_near") + F.col("_reach"))).alias("_s"))
+        sized.where((w > 0) & (F.col("_low") <= F.col("_high")))
+        .select(*by, "part", "_left", w.alias("_w"), F.explode(F.sequence("_low", "_high")).alias("_s"))
         .withColumn("_q", F.col("_w") / (2 * F.col("_s") + 1))
     )
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_q"), "part", "_s"))
@@ -111,35 +116,56 @@ def mix(
     block: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, its shard and its row key.
+    """One row per document: doc_id, size, source_size, target, taken, its shard and its source.
 
     The mix is made of blocks of ``block`` words. Sources get their blocks by Sainte-Laguë from their
-    targets, and the shards of a source (a hash of the id) get theirs by Sainte-Laguë from their sizes:
-    an integer quota for each. In a shard the documents lie end to end in a seeded order; the quota is
-    taken block by block from the front, and once more from the front when the shard is used up, which
-    the cap limits to ``cap`` passes. So a source may be split over thousands of shards, each filled by
-    itself, and a shard's window sorts rows of ids and sizes only. A quota above ``cap`` x the shard
-    is cut to that: less than one block a shard.
-
-    Null or empty texts have size 0 and are taken 0 times. A repeated doc_id is a document a row. The
-    row key is the column ``ROW`` of ``docs``, or else a number given here.
+    targets; the shards of a source, one for about 1,000 of its documents, get theirs by Sainte-Laguë
+    from their sizes, in two steps: groups of 1,024 shards first, then the shards of a group. So every
+    shard has an integer quota, of no more blocks than ``cap`` x its size asks for, and no window ranks
+    more than the shards of a group or the groups of a source. In a shard the documents lie end to end in
+    a seeded order of id and text; the quota is taken block by block from the front, and once more from
+    the front when the shard is used up, which the cap limits to ``cap`` passes. A source is within one
+    block of its target, and one block for each shard that its cap cuts in the middle of a block.
+
+    Null or empty texts have size 0 and are taken 0 times; they need no shard and have the number -1. A
+    repeated or null doc_id is a document a row. Rows that are equal in id and text are interchangeable:
+    more of them than a shard holds are dealt over shards by row.
     """
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id().alias(ROW)
+    return _mix(docs, F.monotonically_increasing_id(), weights, share, cap, block, seed).drop("row")
+
+
+def _mix(docs: DataFrame, row: Column, weights=(5, 2, 1), share=1.5, cap=2, block=8, seed=42) -> DataFrame:
+    """The columns of ``mix`` and the row key."""
     rows = stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row), "mix-sizes"
-    )
-    n = rows.count()
-    shards = max(1, min(MOST_SHARDS, -(-n // ROWS_PER_SHARD)))
-    digest = seeded(F.col("doc_id"), seed)
-    rows = rows.withColumn("order", digest).withColumn(
-        "part", F.pmod(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long"), F.lit(shards))
-    )
-    by_shard = stage(
-        rows.groupBy("source", "part").agg(F.sum("size").alias("shard_size")), "mix-shards"
+        docs.select(
+            "doc_id", "source", word_count(F.col("text")).alias("size"),
+            seeded(F.col("doc_id"), F.col("text"), seed).alias("order"), row.alias("row"),
+        ),
+        "mix-sizes",
+    )
+    has_words = F.col("size") > 0
+    copies = stage(
+        rows.where(has_words).groupBy("order").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > ROWS_PER_SHARD)
+        .select("order", F.ceil(F.col("n") / ROWS_PER_SHARD).alias("k")),
+        "mix-copies",
+    )
+    spread = _deal(rows.where(has_words), copies)
+    counts = stage(
+        rows.groupBy("source").agg(
+            F.sum("size").alias("source_size"),
+            F.greatest(F.lit(1), F.ceil(F.count_if(has_words) / ROWS_PER_SHARD)).cast("long").alias("shards"),
+        ),
+        "mix-sources",
     )
-    wanted = targets(
-        by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size")), weights, share, cap
+    number = F.conv(F.left("o.order", F.lit(8)), 16, 10).cast("long")
+    placed = stage(
+        spread.alias("o").join(counts.alias("c"), F.col("o.source").eqNullSafe(F.col("c.source"))).select(
+            "o.doc_id", "o.source", "o.size", "o.order", "o.row", F.pmod(number, F.col("c.shards")).alias("part")
+        ),
+        "mix-placed",
     )
+    wanted = targets(counts.select("source", "source_size"), weights, share, cap)
     total = Window.partitionBy(F.lit(0))
     blocks = F.floor(F.sum("target").over(total) / block + 0.5).cast("long")
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -148,24 +174,40 @@ def mix(
         .withColumn("one", F.lit(1)),
         ["one"], "target", "seats",
     )
-    same = F.col("s.source").eqNullSafe(F.col("h.source"))
-    shares = (
-        by_shard.alias("h")
-        .join(sources.alias("s"), same)
-        .select("h.source", "h.part", "h.shard_size", "s.source_size", "s.target",
-                F.col("s.quota").alias("seats"))
-    )
-    quotas = stage(apportion(shares, ["source"], "shard_size", "seats"), "mix-quotas").withColumn(
+    sources = stage(sources.select("source", "source_size", "target", F.col("quota").alias("seats")), "mix-targets")
+
+    room = F.ceil(F.lit(cap) * F.col("shard_size") / block)
+    shards = stage(
+        placed.groupBy("source", "part")
+        .agg(F.sum("size").alias("shard_size"))
+        .withColumn("room", room)
+        .withColumn("group", F.floor(F.col("part") / SHARDS_PER_GROUP)),
+        "mix-shards",
+    )
+    groups = shards.groupBy("source", F.col("group").alias("part")).agg(
+        F.sum("shard_size").alias("group_size"), F.sum("room").alias("room")
+    )
+    asked = groups.alias("h").join(sources.alias("s"), F.col("s.source").eqNullSafe(F.col("h.source"))).select(
+        "h.source", "h.part", "h.group_size", "h.room", "s.seats"
+    )
+    first = apportion(asked, ["source"], "group_size", "seats", "room").select(
+        "source", F.col("part").alias("group"), F.col("quota").alias("seats")
+    )
+    within = shards.alias("h").join(
+        first.alias("s"),
+        F.col("s.source").eqNullSafe(F.col("h.source")) & (F.col("s.group") == F.col("h.group")),
+    ).select("h.source", "h.group", "h.part", "h.shard_size", "h.room", "s.seats")
+    quotas = stage(apportion(within, ["source", "group"], "shard_size", "seats", "room"), "mix-quotas").withColumn(
         "words", F.least(F.col("quota") * block, F.lit(cap) * F.col("shard_size"))
     )
     full = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
     ahead = (
         Window.partitionBy("d.source", "d.part")
-        .orderBy("d.order", "d.doc_id", "d.size", f"d.{ROW}")
+        .orderBy("d.order", "d.doc_id", "d.size", "d.row")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = (
-        rows.alias("d")
+    laid = (
+        placed.alias("d")
         .join(
             quotas.withColumn("passes", full).alias("q"),
             F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.part") == F.col("q.part")),
@@ -174,12 +216,36 @@ def mix(
     )
     rest = F.col("q.words") - F.col("q.passes") * F.col("q.shard_size")
     front = F.greatest(F.lit(0), F.least(F.col("d.size"), rest - F.col("at")))
-    return placed.select(
-        "d.doc_id", "d.size", "q.source_size", "q.target",
-        (F.col("q.passes") * F.col("d.size") + front).cast("long").alias("taken"),
-        F.col("d.part").alias("shard"), F.col("d.source").alias("source"),
-        F.col(f"d.{ROW}").alias(ROW),
+    taken = laid.select(
+        "d.doc_id", "d.size", (F.col("q.passes") * F.col("d.size") + front).cast("long").alias("taken"),
+        F.col("d.part").alias("shard"), F.col("d.source").alias("source"), "d.row",
     )
+    nothing = rows.where(~has_words).select(
+        "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.lit(-1).cast("long").alias("shard"), "source", "row"
+    )
+    every = taken.unionByName(nothing).alias("t")
+    return every.join(sources.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select(
+        "t.doc_id", "t.size", "s.source_size", "s.target", "t.taken", "t.shard", "t.source", "t.row"
+    )
+
+
+def _deal(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` with a new place for the rows of ``copies`` (order, k): the i-th of equal rows goes to part
+    i mod k of its class, so that the parts are the same whatever the order of the rows.
+
+    Rows are numbered within the tasks that numbered them first, behind those of the tasks before: no
+    window holds a class.
+    """
+    task = F.shiftright("row", 33)  # the upper bits of a monotonic id
+    many = rows.join(copies, "order").withColumn("task", task)
+    begins = many.groupBy("order", "task").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("order").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.select("order", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
+    within = F.row_number().over(Window.partitionBy("order", "task").orderBy("row"))
+    numbered = many.withColumn("at", within).join(begins, ["order", "task"])
+    part = F.pmod(F.col("begin") + F.col("at"), F.col("k")).cast("string")
+    dealt = numbered.withColumn("order", F.md5(F.concat_ws(":", "order", part))).select(*rows.columns)
+    return rows.join(copies.select("order"), "order", "left_anti").select(*rows.columns).unionByName(dealt)
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
@@ -190,10 +256,11 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     Documents of which nothing is taken go. Shares come back by the row key of a staged copy, so rows
     with a null or repeated doc_id each keep their own words.
     """
-    size, taken = F.col("__mix_size"), F.col("__mix_taken")
-    rows = keyed(docs, "mix-rows")
-    shares = mix(rows, **options).where("taken > 0").select(
-        ROW, F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")
+    rows, row = keyed(docs, "mix-rows")
+    size_name, taken_name = (free_name(rows, f"__mix_{c}") for c in ("size", "taken"))
+    size, taken = F.col(size_name), F.col(taken_name)
+    shares = _mix(rows, F.col(row), **options).where("taken > 0").select(
+        F.col("row").alias(row), F.col("size").alias(size_name), F.col("taken").alias(taken_name)
     )
     rest = F.pmod(taken, size).cast("int")
     spaced = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
@@ -202,7 +269,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         F.array_repeat(F.col("text"), F.floor(taken / size).cast("int")),
         F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
     )
-    out = rows.join(shares, ROW).withColumn("text", F.explode(copies))
+    out = rows.join(shares, row).withColumn("text", F.explode(copies))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import ROW, Memo, keyed, mix64, over_batches, share_of
+from skyledger.llm.common import Memo, keyed, mix64, over_batches, share_of
 from skyledger.llm.components import components
 from skyledger.session import stage
 
@@ -107,12 +107,11 @@ def _sign():
     return work
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: its key (the column ``ROW``, or else a number given here), the size of its shingle set,
-    a digest of the set, its band keys and its bitmap."""
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+def signatures(docs: DataFrame, row: str) -> DataFrame:
+    """Per row: its key, the column ``row``; the size of its shingle set, a digest of the set, its band
+    keys and its bitmap."""
     rows = docs.select(
-        F.col("doc_id").cast("long"), row.alias("row"), F.col("text").cast("binary").alias("text")
+        F.col("doc_id").cast("long"), F.col(row).alias("row"), F.col("text").cast("binary").alias("text")
     )
     return over_batches(rows, _sign, SIGNATURE)
 
@@ -134,28 +133,21 @@ def _sets():
 
     def work(batch: pa.RecordBatch) -> list:
         found = [shingles(t.as_py(), words).tobytes() for t in batch.column("text")]
-        return [batch.column("node"), batch.column("digest"), found,
-                [xxhash.xxh3_128_digest(s) for s in found]]
+        return [batch.column("node"), found]
 
     return work
 
 
 class _Verifier:
-    """Confirms candidate pairs (a, b, n_a, n_b) on full sets, and remembers what it has seen."""
+    """Confirms candidate pairs (a, b, n_a, n_b) on full sets, and remembers what it has seen.
 
-    def __init__(self, docs: DataFrame, candidates: DataFrame):
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-        named = candidates.alias("c").join(
-            texts.alias("t"), F.col("c.low").eqNullSafe(F.col("t.doc_id"))
-        )
-        found = over_batches(
-            named.select("c.node", "c.digest", "t.text"), _sets,
-            "node long, digest binary, shingles binary, own binary",
-        )
-        # an id that comes again with another text has another digest
-        self.sets = stage(
-            found.where("own = digest").select("node", "shingles").dropDuplicates(["node"]), "near-sets"
-        )
+    ``nodes`` are the row keys that stand for the candidate classes: each is read from one row.
+    """
+
+    def __init__(self, docs: DataFrame, row: str, nodes: DataFrame):
+        texts = docs.select(F.col(row).alias("node"), F.col("text").cast("binary").alias("text"))
+        found = over_batches(nodes.join(texts, "node"), _sets, "node long, shingles binary")
+        self.sets = stage(found, "near-sets")
         self.seen: DataFrame | None = None
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -193,13 +185,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
        that sizes or bitmaps prove to be too different. So no link between members of a bucket is
        lost, and groups of near copies never become all pairs.
     """
-    return _groups(docs).drop("row", "keep_row")
+    rows, row = keyed(docs.select("doc_id", "text"), "near-rows")
+    return _groups(rows, row).drop("row", "keep_row")
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """The columns of ``near_groups``, the row key and ``keep_row``: the one row of the component that
-    stays, of equal ids the one with the smallest key."""
-    signed = stage(signatures(docs), "near-signed")
+def _groups(docs: DataFrame, row: str) -> DataFrame:
+    """The columns of ``near_groups``, the row key (the column ``row`` of ``docs``) and ``keep_row``: the
+    one row of the component that stays, of equal ids the one with the smallest key."""
+    signed = stage(signatures(docs, row), "near-signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row"))
     classes = stage(
         signed.where("n_shingles > 0")
@@ -211,7 +204,7 @@ def _groups(docs: DataFrame) -> DataFrame:
         ),
         "near-classes",
     )
-    roots = _join_classes(docs, classes)
+    roots = _join_classes(docs, row, classes)
     named = classes.select("digest", "node", "low", "first").join(
         roots.withColumnRenamed("component", "root"), "node", "left"
     )
@@ -235,7 +228,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _join_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _join_classes(docs: DataFrame, row: str, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that link with another one."""
     spread = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = (
@@ -249,9 +242,7 @@ def _join_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         ),
         "near-members",
     )
-    verify = _Verifier(
-        docs, classes.select("node", "low", "digest").join(members.select("node").distinct(), "node")
-    )
+    verify = _Verifier(docs, row, members.select("node").distinct())
     star = members.where("node <> centre").select(
         F.col("centre").alias("a"), F.col("node").alias("b"),
         F.col("n_centre").alias("n_a"), F.col("n").alias("n_b"),
@@ -327,6 +318,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows go by the row key of a staged copy, which also decides between equal ids. Texts without words
     are no group and stay.
     """
-    rows = keyed(docs, "near-rows")
-    dropped = _groups(rows).where("row <> keep_row").select(F.col("row").alias(ROW))
-    return rows.join(dropped, ROW, "left_anti").drop(ROW)
+    rows, row = keyed(docs, "near-rows")
+    dropped = _groups(rows, row).where("row <> keep_row").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").drop(row)

@@ -59,17 +59,20 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
 # Quotients are ranked one seat at a time here; the operator ranks only those that can decide.
 ORACLE["op2_mixing"] = r"""
 WITH docs AS (
-  SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
+  SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
-split AS (SELECT greatest(1, least(4096, (count(*) + 999) // 1000)) AS shards FROM docs),
+sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    greatest(1, (count(*) FILTER (size > 0) + 999) // 1000) AS shards FROM docs GROUP BY source),
 placed AS (
-  SELECT docs.*, CAST('0x' || left(ord, 8) AS BIGINT) % shards AS part FROM docs, split),
-shards AS (SELECT source, part, CAST(sum(size) AS BIGINT) AS shard_size FROM placed GROUP BY source, part),
+  SELECT docs.*, CAST('0x' || left(ord, 8) AS BIGINT) % shards AS part
+  FROM docs JOIN sizes ON docs.source IS NOT DISTINCT FROM sizes.source WHERE size > 0),
+shards AS (
+  SELECT source, part, part // 1024 AS grp, CAST(sum(size) AS BIGINT) AS shard_size,
+    CAST((2 * sum(size) + 7) // 8 AS BIGINT) AS room FROM placed GROUP BY source, part),
 named AS (
-  SELECT source, CAST(sum(shard_size) AS BIGINT) AS source_size,
-    row_number() OVER (ORDER BY source IS NULL, encode(source)) AS pos
-  FROM shards GROUP BY source),
+  SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS pos FROM sizes),
 weighed AS (
   SELECT *, CASE (pos - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
     2.0::DOUBLE * source_size AS most FROM named),
@@ -87,26 +90,33 @@ seats1 AS (
     (SELECT CAST(floor(sum(target) / 8 + 0.5) AS BIGINT) FROM targets) AS seats
   FROM targets, LATERAL (SELECT unnest(range(0, source_size // 4 + 2)) AS j) WHERE target > 0),
 quota1 AS (SELECT source, count(*) AS seats FROM seats1 WHERE won <= seats GROUP BY source),
+groups AS (
+  SELECT source, grp, sum(shard_size) AS size, CAST(sum(room) AS BIGINT) AS room FROM shards GROUP BY source, grp),
 seats2 AS (
-  SELECT shards.source, part, seats, row_number() OVER (PARTITION BY shards.source
-    ORDER BY CAST(shard_size AS DOUBLE) / (2 * j + 1) DESC, part, j) AS won
-  FROM shards JOIN quota1 ON shards.source IS NOT DISTINCT FROM quota1.source,
-    LATERAL (SELECT unnest(range(0, shard_size // 4 + 4)) AS j) WHERE shard_size > 0),
-quota2 AS (
-  SELECT source, part, count(*) AS quota FROM seats2 WHERE won <= seats GROUP BY source, part),
+  SELECT g.source, g.grp, seats, row_number() OVER (PARTITION BY g.source
+    ORDER BY CAST(size AS DOUBLE) / (2 * j + 1) DESC, g.grp, j) AS won
+  FROM groups g JOIN quota1 ON g.source IS NOT DISTINCT FROM quota1.source,
+    LATERAL (SELECT unnest(range(0, room)) AS j)),
+quota2 AS (SELECT source, grp, count(*) AS seats FROM seats2 WHERE won <= seats GROUP BY source, grp),
+seats3 AS (
+  SELECT s.source, s.part, seats, row_number() OVER (PARTITION BY s.source, s.grp
+    ORDER BY CAST(shard_size AS DOUBLE) / (2 * j + 1) DESC, s.part, j) AS won
+  FROM shards s JOIN quota2 q ON s.source IS NOT DISTINCT FROM q.source AND s.grp = q.grp,
+    LATERAL (SELECT unnest(range(0, room)) AS j)),
+quota3 AS (SELECT source, part, count(*) AS quota FROM seats3 WHERE won <= seats GROUP BY source, part),
 filled AS (
   SELECT shards.*, least(coalesce(quota, 0) * 8, 2 * shard_size) AS words
-  FROM shards LEFT JOIN quota2
-    ON shards.source IS NOT DISTINCT FROM quota2.source AND shards.part = quota2.part),
+  FROM shards LEFT JOIN quota3
+    ON shards.source IS NOT DISTINCT FROM quota3.source AND shards.part = quota3.part),
 laid AS (
   SELECT doc_id, size, placed.source, shard_size, words,
     coalesce(CAST(sum(size) OVER (PARTITION BY placed.source, placed.part ORDER BY ord, doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ahead
   FROM placed JOIN filled
-    ON placed.source IS NOT DISTINCT FROM filled.source AND placed.part = filled.part)
+    ON placed.source IS NOT DISTINCT FROM filled.source AND placed.part = filled.part
+  UNION ALL SELECT doc_id, 0, source, 1, 0, 0 FROM docs WHERE size = 0)
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN shard_size = 0 THEN 0 ELSE words // shard_size * size
-    + greatest(0, least(size, words % shard_size - ahead)) END AS BIGINT) AS taken
+  CAST(words // shard_size * size + greatest(0, least(size, words % shard_size - ahead)) AS BIGINT) AS taken
 FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source
 """
 

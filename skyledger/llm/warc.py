@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from skyledger.llm.common import ROW, keyed
+from skyledger.llm.common import keyed
 from skyledger.session import scratch_path, stage
 
 # Fixed values of the file format: header names of the columns that come from a record's header.
@@ -511,7 +511,8 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """The records of an archive, with all columns of ``TYPES`` or those named."""
     register(spark)
-    source = spark.read.format("warc")
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    source = spark.read.format("warc").option("partitionbytes", str(most))
     if columns is not None:
         source = source.schema(", ".join(f"{c} {TYPES[c]}" for c in columns))
     return source.load(path)
@@ -543,7 +544,7 @@ def archive(pages: DataFrame, path: str) -> None:
     """
     spark = pages.sparkSession
     register(spark)
-    rows = keyed(
+    rows, row = keyed(
         pages.select(
             F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
             F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
@@ -552,29 +553,29 @@ def archive(pages: DataFrame, path: str) -> None:
     )
     keys = stage(
         rows.select(
-            ROW, "page_id", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes")
+            row, "page_id", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("bytes")
         ),
         "warc-keys",
     )
-    last = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", ROW))
+    last = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", row))
     kept = (
         keys.where(F.col("bytes") >= SMALL)
         .groupBy("digest", "bytes")
         .agg(last.alias("last"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "bytes", F.col("last.page_id").alias("of"), F.col(f"last.{ROW}").alias("of_row"))
+        .select("digest", "bytes", F.col("last.page_id").alias("of"), F.col(f"last.{row}").alias("of_row"))
     )
     again = stage(
-        keys.join(kept, ["digest", "bytes"]).where(F.col(ROW) != F.col("of_row"))
-        .select(ROW, _name(F.col("of"), F.col("of_row").cast("string")).alias("refers_to")),
+        keys.join(kept, ["digest", "bytes"]).where(F.col(row) != F.col("of_row"))
+        .select(row, _name(F.col("of"), F.col("of_row").cast("string")).alias("refers_to")),
         "warc-revisits",
     )
     records = (
         rows.withColumn("payload_digest", F.sha1("payload"))
         .withColumn("payload_bytes", F.length("payload").cast("long"))
-        .join(again, ROW, "left")
+        .join(again, row, "left")
         .select(
-            _name(F.col("page_id"), F.col(ROW).cast("string")).alias("record_id"),
+            _name(F.col("page_id"), F.col(row).cast("string")).alias("record_id"),
             F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
             F.col("url").alias("target_uri"), "payload_digest", "refers_to", "payload_bytes",
             F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
