@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyledger.llm import exact, near
 from skyledger.llm.components import components
 from skyledger.llm.queries import QUERIES
+from skyledger.session import stage
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -171,6 +172,57 @@ def test_near_drop_keeps_one_row_of_each_group(rows):
     assert len(words) == len(want) and set(words) == want and len(got) == len(want) + 3
 
 
+@pytest.mark.parametrize("name", ["__row", "__ROW", "row"])
+def test_columns_named_like_row_keys(rows, name):
+    docs = [(k, f"{LEAF} {k // 2} {k // 2}" if k < 6 else "x y z", 7) for k in range(8)]
+    wide = rows(docs, DOCS + f", {name} int")
+    got = {r["doc_id"]: r["component_id"] for r in near.near_groups(wide).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6}
+    for drop, kept in ((exact.drop_copies, {1, 3, 5, 7}), (near.drop_near_copies, {0, 2, 4, 6})):
+        out = drop(wide)
+        assert out.columns == wide.columns and {(r["doc_id"], r[name]) for r in out.collect()} == {(k, 7) for k in kept}
+    both = rows([(*d, "v") for d in docs], DOCS + ", __row int, ___row string")
+    assert near.drop_near_copies(both).columns == both.columns and near.drop_near_copies(both).count() == 4
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_near_groups_read_one_row_a_class_whatever_the_ids(rows, monkeypatch, doc_id):
+    """2,000 rows without an id, or with one id, in near pairs: no row is read more than once."""
+    staged = {}
+
+    def watch(df, label, **options):
+        out = stage(df, label, **options)
+        staged.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(near, "stage", watch)
+    text = lambda k, end: " ".join(f"t{k}_{i}" for i in range(40)) + end
+    docs = [(doc_id, text(k, end)) for k in range(1000) for end in ("", " more")]
+    got = near.near_groups(rows(docs, DOCS)).collect()
+    assert len(got) == 2000 and all(r["n_shingles"] in (36, 37) and r["component_id"] == doc_id for r in got)
+    assert sum(s.count() for s in staged["near-sets"]) == 2000
+    assert sum(s.count() for s in staged["near-checked"]) == 1000
+    kept = near.drop_near_copies(rows(docs, DOCS)).collect()
+    assert len(kept) == 1000 and len({r["text"].split()[0] for r in kept}) == 1000
+
+
+def test_exact_copies_with_one_id_are_spread(spark):
+    """Rows equal in text and id, a third of all, go over many partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        data = spark.range(6000).select(
+            F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+            F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id"))).otherwise(F.lit("")).alias("text"),
+        )
+        marks = exact._marks(data, F.monotonically_increasing_id())
+        hot = marks.where("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert marks.where("doc_id IS NULL AND (group_size <> 2000 OR NOT kept)").count() == 0
+        assert marks.count() == 6000 and len(hot) > 1
+        assert exact.drop_copies(data).count() == 4001
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_bitmaps_never_rule_out_a_link():
     draw = np.random.default_rng(1)
     for n in (6, 50, 700, 9000):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +70,101 @@ def test_mix_cases(rows):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(rows(docs, DOCS)).collect())) or None in per
 
 
+@pytest.mark.parametrize("weights,room,seats", [
+    ([53, 24, 23], [2, 10, 10], 12), ([8, 1, 1, 1, 1, 1, 1], [2, 1, 1, 1, 1, 1, 1], 7), ([9, 9, 3], [3, 3, 1], 20),
+    ([400, 1, 1, 1, 1, 1, 1], [100, 1, 1, 1, 1, 1, 1], 90), ([5], [2], 3), ([4, 4, 4, 4], [1, 1, 1, 1], 3),
+])
+def test_apportionment_within_room_equals_one_seat_at_a_time(rows, weights, room, seats):
+    parts = rows([(1, i, float(w), r, seats) for i, (w, r) in enumerate(zip(weights, room, strict=True))],
+                 "g int, part int, w double, room long, seats long")
+    got = {r["part"]: r["quota"] for r in mixing.apportion(parts, ["g"], "w", "seats", "room").collect()}
+    want = [0] * len(weights)
+    for _ in range(min(seats, sum(room))):
+        able = [i for i in range(len(weights)) if want[i] < room[i]]
+        want[max(able, key=lambda i: (weights[i] / (2 * want[i] + 1), -i))] += 1
+    assert [got[i] for i in range(len(weights))] == want
+
+
+def test_small_sources_reach_their_target_whatever_the_others_are(spark):
+    """A source of one-word documents beside sources a thousand times larger, in many shards and groups."""
+    from pyspark.sql import functions as F
+
+    big = spark.range(200_000).select(
+        F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 9).cast("int")), " ").alias("text"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("c").alias("source"),
+    )
+    small = spark.range(100).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit("one").alias("text"), F.lit("b").alias("source"))
+    out = mixing.mix(big.unionByName(small)).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count_distinct("shard").alias("shards"),
+        F.max(F.col("taken") - 2 * F.col("size")).alias("over"),
+    )
+    for r in out.collect():
+        assert r["over"] <= 0 and abs(r["taken"] - r["target"]) <= 8 * r["shards"]
+        assert abs(r["taken"] - r["target"]) <= max(8, 2e-4 * r["target"])
+        assert r["shards"] == (1 if r["source"] == "b" else r["shards"]) and (r["source"] == "b" or r["shards"] > 40)
+
+
+def test_hot_and_null_ids_are_spread_over_shards(rows, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_SHARD", 50)
+    data = [(None, f"text {k}", "s") for k in range(1500)] + [(7, "the same text", "s")] * 1500
+    data += [(7, f"other {k}", "t") for k in range(500)] + [(None, None, "s")] * 700
+    got = mixing.mix(rows(data, DOCS)).collect()
+    assert len(got) == len(data)
+    per = defaultdict(int)
+    for r in got:
+        per[r["source"], r["shard"]] += r["size"] > 0
+    assert max(per.values()) < 200 and len(per) > 40
+    for s in ("s", "t"):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 16
+    key = lambda rs: sorted((str(r["doc_id"]), r["size"], r["taken"], r["source"]) for r in rs)
+    assert key(got) == key(mixing.mix(rows(data, DOCS).repartition(7)).collect())
+
+
+def test_columns_named_like_row_keys(rows):
+    data = [(i, "w " * (i % 7), "s", "u", 5, "v") for i in range(60)]
+    wide = rows(data, DOCS + ", __row string, __mix_size int, `__MIX_TAKEN` string")
+    out = mixing.apply_mix(wide)
+    assert out.columns == wide.columns
+    assert {(r["__row"], r["__mix_size"], r["__MIX_TAKEN"]) for r in out.collect()} == {("u", 5, "v")}
+
+
+def test_packing_after_a_mix_can_be_written_out(rows):
+    """Copies of a document, whole and cut, and rows with null and equal ids."""
+    data = [(1, "some words here and there", "s")] * 3 + [(1, "other words", "s"), (None, "nobody's words", "t"), (None, "x", "t")]
+    data += [(k, f"text {k} " * 40, "s") for k in range(20, 60)]
+    mixed = mixing.apply_mix(rows(data, DOCS))
+    packed = packing.pack(mixed, PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    want = Counter()
+    for r in mixed.collect():
+        want[r["doc_id"], tuple(tokenizer.encode(r["text"], add_special_tokens=False).ids + [2])] += 1
+    found = packing.tokens(mixed, packed, PATH).collect()
+    places = [(r["sequence_id"], r["offset"]) for r in found]
+    assert len(set(places)) == len(places) == packed.count()
+    rows_of = {(r["sequence_id"], r["offset"]): r for r in packed.collect()}
+    pieces = defaultdict(Counter)
+    for r in found:
+        p = rows_of[r["sequence_id"], r["offset"]]
+        assert p["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) and len(r["ids"]) == p["length"]
+        pieces[p["doc_id"], p["doc_crc32"]][p["start"], p["length"], tuple(r["ids"])] += 1
+    for (doc_id, ids), times in want.items():
+        mine = pieces[doc_id, zlib.crc32(np.array(ids, dtype="<u4").tobytes())]
+        flat = Counter()
+        for (start, length, part), n in mine.items():
+            assert ids[start : start + length] == part
+            flat.update(dict.fromkeys(range(start, start + length), n))
+        assert set(flat.values()) == {times} and len(flat) == len(ids)
+
+
+def test_words_are_remembered_in_two_generations():
+    words = packing.Words(PATH, limit=2000)
+    texts = [f"alpha{k} beta gamma{k}!" for k in range(200)]
+    want = [packing.Words(PATH).tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    got = [np.frombuffer(packing.token_bytes(t.encode(), words), dtype="<u4").tolist() for t in texts]
+    assert got == want and b"beta" in words.known and len(words.known) + len(words.older) < 60
+
+
 def test_mix_of_nothing(rows):
     assert mixing.mix(rows([], DOCS)).count() == 0
     assert [r["taken"] for r in mixing.mix(rows([(1, None, "a"), (2, "", None)], DOCS)).collect()] == [0, 0]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +96,68 @@ def test_toxicity_finds_passages_of_words_that_came_before(rows):
     assert got[2]["score"] > got[3]["score"] and got[4]["score"] > got[5]["score"]
 
 
+def invented(draw, insults, vocabulary, count):
+    """Short clean texts, and toxic ones that hold one insult each."""
+    words = draw.choice(vocabulary, (count, 14))
+    texts = [list(w) for w in words]
+    for k, t in enumerate(texts):
+        if k % 2:
+            t[draw.integers(14)] = insults[draw.integers(len(insults))] + "!"
+    return [(k, " ".join(t), k % 2) for k, t in enumerate(texts)]
+
+
+def test_toxicity_learns_rare_insults_but_no_copies(spark):
+    """200 insults, each in half a per cent of the toxic documents; copies of one text teach nothing."""
+    draw = np.random.default_rng(21)
+    letters = np.array(list("bcdfgklmnprstvz")), np.array(list("aeiou"))
+
+    def word(n):
+        return "".join(draw.choice(letters[k % 2]) for k in range(n))
+
+    insults = [word(8) for _ in range(200)]
+    vocabulary = np.array([word(6) for _ in range(1500)])
+    data = invented(draw, insults, vocabulary, 16_000)
+    copied = "".join(f" uncommon{word(5)}" for _ in range(30)).split()
+    for k in range(1500):  # near copies of one toxic text
+        t = list(copied)
+        t[draw.integers(30)] = word(7)
+        data.append((20_000 + k, " ".join([*t, insults[0]]), 1))
+    docs = spark.createDataFrame([r[:2] for r in data], DOCS)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in data], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert sum(w in model.words for w in insults) >= 180
+    assert not any(w in model.words for w in copied)
+    fresh = invented(draw, insults, vocabulary, 1000)
+    got = {r["doc_id"]: r["score"] >= 0.3 for r in toxicity.score(spark.createDataFrame([r[:2] for r in fresh], DOCS), model).collect()}
+    assert np.mean([got[k] for k, _, y in fresh if y]) >= 0.9
+    assert np.mean([got[k] for k, _, y in fresh if not y]) <= 0.02
+
+
+def test_toxicity_evidence_equals_the_formula(rows):
+    """Scores of whole texts from all passages, found by looking at every one of them."""
+    model = toxicity.Model({"vile": 4.0, "mean": 3.0}, rate=1.3, scale=0.2, bias=-4.0, slope=0.3)
+    texts = ["vile x x vile y " * 3, "x " * 50, "mean", "", "vile mean x x x x x x x x x x x x x x x x x x mean " * 4]
+
+    def slow(text):
+        words = text.split()
+        scores = [model.words.get(w, -toxicity.GAP) for w in words]
+        adds = [s * (toxicity.AGAIN if s > 0 and w in words[:k] else 1) for k, (w, s) in enumerate(zip(words, scores, strict=True))]
+        found = sorted((x for x in (sum(adds[a : b + 1]) for a, b, _ in brute_segments(scores)) if x > 0), reverse=True)
+        best = 0.0
+        for r in range(1, len(found) + 1):
+            gains = [model.rate * s - np.log(model.scale * len(words)) for s in found[:r]]
+            if all(k == 0 or g > np.log(k + 1) for k, g in enumerate(gains)) and sum(gains) > 0:
+                chance = np.exp(-sum(gains)) * sum(gains) ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))
+                best = max(best, -np.log(chance) - np.log(r))
+            expected = np.exp(-gains[-1])
+            if np.log(expected) < np.log(r):
+                best = max(best, -np.log(expected**r * np.exp(-expected) / math.factorial(r)) - np.log(r))
+        return 1 / (1 + np.exp(-(model.bias + model.slope * min(best, 40.0))))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows(list(enumerate(texts)), DOCS), model).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx([slow(t) for t in texts])
+
+
 def test_toxicity_cases(rows, corpus):
     docs, labels = corpus
     model = toxicity.fit(docs, labels, remainder(F.col("doc_id"), 4) != 2)
@@ -182,6 +248,93 @@ def test_language_vectors_bind_places():
     assert (rows[encoder.rows["abc"]] == want).all()
 
 
+def slow_bundle(text):
+    """Every n-gram of every word, bound letter by letter; the square root of its count."""
+    grams = Counter()
+    for word in (text or "").lower().split():
+        run = ""
+        for c in word + " ":
+            if c.isalpha():
+                run += c
+            elif run:
+                grams.update(f" {run} "[k : k + 3] for k in range(len(run)))
+                run = ""
+    total = np.zeros(language.DIM)
+    for gram, n in grams.items():
+        bound = np.ones(language.DIM)
+        for place, c in enumerate(gram):
+            bound *= np.roll(language.letter_vector(c), 2 - place)
+        total += np.sqrt(n) * bound
+    return total / np.linalg.norm(total) if grams else None
+
+
+def test_language_equals_a_slow_version(spark):
+    """op5 over the whole table: bundles, prototypes and cosines worked out one n-gram at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op5_language_id"](spark, sf).collect()}
+    bundles = {i: slow_bundle(t) for i, t, _ in docs}
+    total = {}
+    for i, _, lang in docs:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5 and bundles[i] is not None:
+            total[lang] = total.get(lang, 0) + bundles[i]
+    names = sorted(total)
+    unit = np.stack([total[n] / np.linalg.norm(total[n]) for n in names])
+    unit -= unit.mean(axis=0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i, v in bundles.items():
+        if v is None:
+            assert got[i] == ("und", 0.0)
+            continue
+        cosines = unit @ v
+        best = cosines.max()
+        assert got[i][1] == pytest.approx(max(best, 0), abs=2e-4)
+        assert cosines[names.index(got[i][0])] >= best - 2e-4
+
+
+def test_signs_that_are_no_letters(rows):
+    docs = rows([(i, "the cat and the dog", "en") for i in range(5)] + [(9, "der hund", "de")], DOCS + ", lang string")
+    odd = [(1, "½ ²"), (2, "①② ٣٤"), (3, "½the½"), (4, "_ 12 ³")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(rows(odd, DOCS), language.fit(docs, F.lit(True))).collect()}
+    assert [got[k] for k in (1, 2, 3, 4)] == ["und", "und", "en", "und"]
+
+
+def test_quality_equals_a_slow_version(spark):
+    """op7 over the whole table: word vectors, pooling and the network worked out one word at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    net = quality.fit(docs, labels, remainder(F.col("doc_id"), 4) != 2)
+    sample = [r["text"] or "" for r in labelled_sample(docs, labels, "quality", remainder(F.col("doc_id"), 4) != 2, quality.PER_CLASS)[0].collect()]
+    index, context = quality.index_vectors().astype(float), np.zeros((quality.BUCKETS, quality.DIM))
+    for text in sample:
+        core = [quality.token_ids(w)[0] for w in text.split()]
+        for k, a in enumerate(core):
+            for b in core[max(0, k - quality.NEAR) : k] + core[k + 1 : k + 1 + quality.NEAR]:
+                context[a] += index[b]
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    table = context + index / np.linalg.norm(index, axis=1, keepdims=True).clip(1)
+    assert np.allclose(net.table, table, atol=1e-4)
+
+    def slow(text):
+        words = (text or "").split()
+        ids = [quality.token_ids(w) for w in words]
+        n = max(len(words), 1)
+        parts = [sum((table[i[k]] for i in ids), np.zeros(quality.DIM)) / n for k in range(3)]
+        core = [i[0] for i in ids]
+        runs = [tuple(core[k : k + 3]) for k in range(len(core) - 2)]
+        lines = [x for x in (text or "").split("\n") if x] if words else []
+        rates = [sum(a == b for a, b in zip(core, core[1:], strict=False)), len(runs) - len(set(runs)),
+                 len(lines) - len(set(lines)), len(lines)]
+        x = np.concatenate([*parts, np.array(rates) / n, [np.log1p(len(words)) / 10]])
+        h = np.tanh(((x - net.mean) / net.scale) @ net.w1 + net.b1)
+        return 1 / (1 + np.exp(-np.clip((h @ net.w2 + net.b2) / net.temperature, -30, 30)))
+
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op7_quality_classifier"](spark, sf).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == pytest.approx(slow(r["text"]), abs=2e-3)
+
+
 def test_memo_forgets_and_computes_again():
     memo = Memo(len, limit=2)
     assert [memo[w] for w in ("a", "bb", "ccc", "a", "bb")] == [1, 2, 3, 1, 2] and len(memo) <= 2
