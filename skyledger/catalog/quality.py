@@ -115,20 +115,12 @@ def dataset_agreement(spark, sf):
 )
 def registry_gaps(spark, sf):
     """Q4: customers stand for registered services; some rows lost a dataset or a source."""
-    reg = R.registry(
-        table(spark, sf, "customer").select(
-            F.concat(F.lit("svc-"), "c_custkey").alias("service"), "c_acctbal", "c_nationkey"
-        )
-    )
-    facts = table(spark, sf, "customer").select(
-        F.concat(F.lit("svc-"), "c_custkey").alias("service"), "c_acctbal", "c_nationkey"
-    )
-    holes = reg.join(facts, "service").withColumns(
-        {
-            "logs_dataset": F.when(F.col("c_acctbal") >= 0, F.col("logs_dataset")),
-            "default_source": F.when(F.col("c_nationkey") >= 3, F.col("default_source")),
-        }
-    )
+    svc = F.concat(F.lit("svc-"), "c_custkey")
+    holes = table(spark, sf, "customer").select(
+        svc.alias("service"), F.when(F.col("c_acctbal") >= 0, R.logs_dataset(svc)).alias("logs_dataset"),
+        R.metrics_dataset(svc).alias("metrics_dataset"),
+        F.when(F.col("c_nationkey") >= 3, R.default_source(svc)).alias("default_source"),
+    )
     return Q.registry_gaps(holes)
 
 

@@ -22,12 +22,15 @@ def min_score(df: DataFrame, score: float = 50.0, column: str = "score") -> Data
     return df.filter(F.col(column) >= score)
 
 
+# What a valid prefix looks like, and how it must not begin or end.
+PREFIX, BAD_START, BAD_END = "^[a-zA-Z0-9_-]{1,80}$", "^[-_]", "[-_]$"
+
+
 def valid_prefix(name: Column) -> Column:
     """1-80 letters, digits, hyphens and underscores, not starting or ending with - or _."""
     text = F.trim(name)
     return F.coalesce(
-        text.rlike("^[a-zA-Z0-9_-]{1,80}$") & ~text.rlike("^[-_]") & ~text.rlike("[-_]$"),
-        F.lit(False),
+        text.rlike(PREFIX) & ~text.rlike(BAD_START) & ~text.rlike(BAD_END), F.lit(False)
     )
 
 
