@@ -21,7 +21,7 @@ PER_CLASS = 8000  # training documents of each label, half for the words, half f
 PRIOR = 0.025  # weight of the Dirichlet prior: this part of a token's count under both labels
 LEAST = 3.0  # log-odds that a token must have: what a topic or a language has in common stays below
 OFTEN = 3  # documents in which a token must be to be tested at all
-MINIMA = 3  # smallest shingle hashes by which near copies of a training document are known
+MINIMA = 8  # smallest shingle hashes by which near copies of a training document are known
 GAP = 0.25  # what any other token takes from a passage
 AGAIN = 0.5  # share of its score that a word which comes again adds to the evidence
 STEP, STEPS = 0.25, 64  # token scores are counted in steps of a quarter
@@ -62,7 +62,7 @@ def _minima():
         for text in batch.column("text"):
             s = shingles((text.as_py() or "").encode(), words)
             found.append([int(mix64(s ^ seed).min().view(np.int64)) for seed in seeds] if len(s) else None)
-        return [batch.column("doc_id"), batch.column("y"), batch.column("text"), found]
+        return [batch.column("doc_id"), batch.column("y"), found]
 
     return work
 
@@ -71,11 +71,11 @@ def without_copies(sample: DataFrame) -> DataFrame:
     """One document of each group of equal or near-equal texts of a label: those that share one of their
     smallest shingle hashes. Else the copies of one document would make all its words insults."""
     picked = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text")
-    rows = over_batches(picked, _minima, "doc_id long, y int, text string, low array<long>")
+    rows = over_batches(picked, _minima, "doc_id long, y int, low array<long>")
     for k in range(MINIMA):
-        first = F.row_number().over(Window.partitionBy("y", F.col("low")[k]).orderBy("doc_id", "text"))
+        first = F.row_number().over(Window.partitionBy("y", F.col("low")[k]).orderBy("doc_id"))
         rows = rows.withColumn("first", first).where("first = 1 OR low IS NULL").drop("first")
-    return rows.select("doc_id", "y", "text")
+    return picked.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def word_scores(sample: DataFrame) -> dict[str, float]:
