@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ WIDE = 0.9  # half a window: a pair at 0.93 falls into one with probability 0.98
 MEETS = 0.9998  # chance that a pair at the threshold shares a cell and a window in some table
 RECALL = 0.9995  # of the collision count, for such a pair
 QUERIES = 2048  # vectors of a cell that one task compares with all of the cell
+SMALL = 64  # vectors of a cell up to which many cells are compared at once
 
 ROWS = "vec_id long, label {label}, valid boolean, dim int, digest binary, raw binary"
 CELLS = "label {label}, dim int, turn int, cell long, node long, n long, key double, raw binary, cells binary"
@@ -39,6 +41,7 @@ def needed() -> int:
     return 1
 
 
+@functools.cache
 def directions(dim: int) -> np.ndarray:
     """The lines of the collision count, the same for every vector of a length."""
     return np.random.default_rng([20240611, dim]).standard_normal((dim, LINES))
@@ -246,15 +249,68 @@ class _Cell:
         return np.concatenate(a), np.concatenate(b), n
 
 
+def small_cells(rows: pa.Table, group: np.ndarray, least: int) -> list[np.ndarray]:
+    """(a, b, n) as ``_Cell.result`` gives them, for whole cells of one length at once.
+
+    In the order of the rows (by cell, then by line) the s-th neighbours of all rows are compared in one
+    step, for s = 1, 2, ... as long as neighbours share a cell.
+    """
+    dim = rows.column("dim")[0].as_py()
+    at = _Piece(rows.combine_chunks().to_batches()[0], dim)
+    turn = rows.column("turn").to_numpy()
+    line = turn % LINES
+    found = []
+    for s in range(1, SMALL):
+        i = np.flatnonzero(group[s:] == group[:-s])
+        if not len(i):
+            break
+        i = i[at.key[i + s] - at.key[i] <= WIDE]
+        j = i + s
+        apart = np.abs(at.lines[i] - at.lines[j]) <= WIDE
+        passed = (apart.sum(axis=1) >= least) & apart[np.arange(len(i)), line[i]]
+        i, j = i[passed], j[passed]
+        near = np.einsum("ij,ij->i", at.unit[i], at.unit[j]) >= LEAST
+        found.append((i[near], j[near]))
+    i, j = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    keep = np.ones(len(i), dtype=bool)
+    for t in range(int(turn.max())):
+        met = (turn[i] > t) & (at.cells[i, t] == at.cells[j, t])
+        keep &= ~(met & (np.abs(at.lines[i, t % LINES] - at.lines[j, t % LINES]) <= WIDE))
+    i, j = i[keep], j[keep]
+    links = np.zeros(len(group), dtype=np.int64)
+    np.add.at(links, i, at.n[j])
+    np.add.at(links, j, at.n[i])
+    root, tied = list(range(len(group))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            tied.append((x, y))
+    linked = np.flatnonzero(links)
+    x, y = (np.array([t[k] for t in tied], dtype=np.int64) for k in (0, 1))
+    nothing = np.zeros(len(x), dtype=np.int64)
+    return [
+        np.concatenate([at.node[linked], at.node[x]]), np.concatenate([at.node[linked], at.node[y]]),
+        np.concatenate([links[linked], nothing]),
+    ]
+
+
 def _compare():
     arrow = _arrow_schema(None, "a long, b long, n long")
     least = needed()
+    names = ("label", "dim", "turn", "cell", "slice")
 
     def run(batches):
         now, own, cell = None, [], None
 
-        def emit(done):
-            columns = done.result()
+        def emit(columns):
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
@@ -263,7 +319,7 @@ def _compare():
             if cell is None and own and sum(b.num_rows for b in own) > 1:
                 open_cell()
             if cell is not None:
-                yield from emit(cell)
+                yield from emit(cell.result())
             cell = None
 
         def open_cell():
@@ -278,13 +334,22 @@ def _compare():
                 continue
             change = np.zeros(batch.num_rows, dtype=bool)
             change[0] = True
-            for c in ("label", "dim", "turn", "cell", "slice", "own"):
+            for c in (*names, "own"):
                 codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 change[1:] |= codes[1:] != codes[:-1]
-            bounds = np.append(np.flatnonzero(change), batch.num_rows)
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                piece = batch.slice(int(s), int(e - s))
-                key = tuple(piece.column(c)[0].as_py() for c in ("label", "dim", "turn", "cell", "slice"))
+            starts = np.flatnonzero(change)
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            # cells that begin and end in this batch and are not dealt over tasks
+            whole = (batch.column("slices").to_numpy()[starts] == 1) & (sizes <= SMALL)
+            whole[[0, -1]] = False
+            for dim in np.unique(batch.column("dim").to_numpy()[starts[whole & (sizes > 1)]]):
+                mine = whole & (sizes > 1) & (batch.column("dim").to_numpy()[starts] == dim)
+                rows = np.flatnonzero(np.repeat(mine, sizes))
+                table = pa.Table.from_batches([batch]).take(pa.array(rows))
+                yield from emit(small_cells(table, np.repeat(np.arange(len(starts)), sizes)[rows], least))
+            for s, size in zip(starts[~whole], sizes[~whole], strict=True):
+                piece = batch.slice(int(s), int(size))
+                key = tuple(piece.column(c)[0].as_py() for c in names)
                 if key != now:
                     yield from close()
                     now, own = key, []
@@ -346,7 +411,6 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         .withColumn(
             "own", (F.pmod(F.xxhash64("node"), F.col("slices")) == F.col("slice")).cast("int")
         )
-        .drop("slices")
     )
     sorted_cells = dealt.repartition(*group, "slice").sortWithinPartitions(
         *group, "slice", F.desc("own"), "key"
