@@ -517,11 +517,13 @@ def path(spark, sf):
 @query(
     "traces_path_profile",
     f"""WITH {SPANS}, ch AS (SELECT trace_id, parent_id AS id, sum(us) AS us FROM sp
-          WHERE parent_id IS NOT NULL GROUP BY 1, 2)
-        SELECT CASE WHEN p.id IS NULL THEN c.service ELSE p.service || ' > ' || c.service END AS path,
-          count(*) AS spans, count(DISTINCT c.trace_id) AS traces, CAST(sum(c.us) AS BIGINT) AS total_us,
+          WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+        n AS (SELECT trace_id, id, min(parent_id) AS parent_id, min(service) AS service FROM sp GROUP BY 1, 2),
+        pa AS (SELECT n.trace_id, n.id, CASE WHEN p.id IS NULL THEN n.service ELSE p.service || ' > ' || n.service
+          END AS path FROM n LEFT JOIN n p ON p.trace_id = n.trace_id AND p.id = n.parent_id)
+        SELECT path, count(*) AS spans, count(DISTINCT c.trace_id) AS traces, CAST(sum(c.us) AS BIGINT) AS total_us,
           CAST(sum(greatest(c.us - coalesce(ch.us, 0), 0)) AS BIGINT) AS self_us
-        FROM sp c LEFT JOIN sp p ON p.trace_id = c.trace_id AND p.id = c.parent_id
+        FROM sp c JOIN pa ON pa.trace_id = c.trace_id AND pa.id = c.id
         LEFT JOIN ch ON ch.trace_id = c.trace_id AND ch.id = c.id GROUP BY 1""",
 )
 def path_profile(spark, sf):
