@@ -146,7 +146,8 @@ class _Verifier:
 
     def __init__(self, docs: DataFrame, row: str, nodes: DataFrame):
         texts = docs.select(F.col(row).alias("node"), F.col("text").cast("binary").alias("text"))
-        found = over_batches(nodes.join(texts, "node"), _sets, "node long, shingles binary")
+        # candidates grow with the corpus, so they are never broadcast: one plan at every size
+        found = over_batches(nodes.hint("merge").join(texts, "node"), _sets, "node long, shingles binary")
         self.sets = stage(found, "near-sets")
         self.seen: DataFrame | None = None
 
