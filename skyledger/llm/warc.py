@@ -573,7 +573,7 @@ def archive(pages: DataFrame, path: str) -> None:
     records = (
         rows.withColumn("payload_digest", F.sha1("payload"))
         .withColumn("payload_bytes", F.length("payload").cast("long"))
-        .join(again, row, "left")
+        .join(again.hint("merge"), row, "left")  # copies grow with the pages: one plan at every size
         .select(
             _name(F.col("page_id"), F.col(row).cast("string")).alias("record_id"),
             F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
