@@ -13,9 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of a node under its smallest neighbour and then the
     smaller ones; after a number of rounds that grows with the logarithm of the longest path every
-    tree is a star. Minima are aggregated before the shuffle, and the joins back bring one row a
-    node, so a node with very many neighbours can be split by adaptive execution. Every round is a
-    table in the shared folder.
+    tree is a star, and edges that are stars already cost no round. Minima are aggregated before the
+    shuffle, and the joins back bring one row a node, so a node with very many neighbours can be split
+    by adaptive execution. Every round is a table in the shared folder.
     """
     now = stage(
         edges.where("a <> b")
@@ -23,15 +23,21 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = state
+    while not _all_stars(now):
         now = stage(_small_star(_large_star(now)), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent, and no parent is a child: parents are smaller, so each is
+    then the smallest node of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

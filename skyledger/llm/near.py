@@ -306,9 +306,9 @@ def _join_classes(docs: DataFrame, row: str, classes: DataFrame) -> DataFrame:
             .distinct()
         )
         found = verify(pairs).where(_linked()).select("a", "b")
-        links = links.unionByName(found)
         if not found.isEmpty():
-            roots = stage(components(links), "near-roots")
+            stars = roots.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            roots = stage(components(stars.unionByName(found)), "near-roots")
         rest = stage(active.where(~F.col("chosen")).select(*rest.columns), "near-rest")
         centres, turn = centres * 8, turn + 1
 

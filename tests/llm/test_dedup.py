@@ -254,6 +254,32 @@ def test_components_of_paths_and_stars(spark):
     assert got[300] == 299 and len(got) == 93
 
 
+def test_components_of_random_edges_and_of_stars_with_more(spark):
+    """Sparse random graphs against a search; components found before, as stars, take further edges."""
+    draw = np.random.default_rng(8)
+    for nodes, count in ((400, 180), (400, 420), (60, 300)):
+        edges = [tuple(map(int, e)) for e in draw.integers(0, nodes, (count, 2))]
+        near_to: dict = {}
+        for a, b in edges:
+            if a != b:
+                near_to.setdefault(a, set()).add(b)
+                near_to.setdefault(b, set()).add(a)
+        want: dict = {}
+        for start in sorted(near_to):
+            todo = [] if start in want else [start]
+            while todo:
+                node = todo.pop()
+                if node not in want:
+                    want[node] = start
+                    todo += near_to[node]
+        table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        whole = components(table(edges))
+        half = components(table(edges[: count // 2])).select(F.col("node").alias("a"), F.col("component").alias("b"))
+        more = components(half.unionByName(table(edges[count // 2 :])))
+        for got in (whole, more):
+            assert sorted(map(tuple, got.collect())) == sorted(want.items())
+
+
 def test_queries_equal_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert near_rows(QUERIES["op6_minhash_near_dedup"](spark, SF)) == sorted(brute_groups(docs))
