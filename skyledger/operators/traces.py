@@ -146,18 +146,30 @@ def depths(
     in each round, so when a round brings none home, those left are in or below a parent cycle: they
     end with a NULL depth.
     """
+    return _depths(_links(spans, keys))
+
+
+def _links(spans: DataFrame, keys: tuple[str, str, str], *more: Column) -> DataFrame:
+    """One row per (trace_id, id) with its parent as ``up``; of copies the smallest parent counts."""
     trace, own, up = keys
-    links = spans.groupBy(F.col(trace).alias("trace_id"), F.col(own).alias("id")).agg(
-        F.min(up).alias("up")
+    return spans.groupBy(F.col(trace).alias("trace_id"), F.col(own).alias("id")).agg(F.min(up).alias("up"), *more)
+
+
+def _depths(links: DataFrame) -> DataFrame:
+    """``depths`` of rows that are one per (trace_id, id); those without a parent are home at once and take
+    part in no join but as parents."""
+    zero = F.lit(0).cast("bigint")
+    tops = links.filter(F.col("up").isNull()).select(
+        "trace_id", "id", "up", zero.alias("depth"), F.col("id").alias("top")
     )
-    ids = links.select("trace_id", "id")
-    known = ids.select("trace_id", F.col("id").alias("up"), F.lit(True).alias("_known"))
-    state = links.join(known, ["trace_id", "up"], "left").select(
+    known = links.select("trace_id", F.col("id").alias("up"), F.lit(True).alias("_known"))
+    below = links.filter(F.col("up").isNotNull()).select("trace_id", "id", "up")
+    state = below.join(known, ["trace_id", "up"], "left").select(
         "trace_id", "id",
         F.when(F.col("_known"), F.col("up")).alias("up"),
         F.when(F.col("_known"), F.lit(1)).otherwise(0).cast("bigint").alias("depth"),
         F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("top"),
-    )
+    ).unionByName(tops)
     state = stage(state, "depth")
     home, away = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
     left = away.count()
@@ -197,12 +209,19 @@ def paths(
     start a path. Spans in or below a parent cycle get NULL in all but the ids: they are told by
     ``depths``, so that no list is ever built for them.
     """
-    trace, own, up = keys
-    step = F.struct(F.col(own).alias("id"), F.min(label).alias("label"))
-    links = spans.groupBy(F.col(trace).alias("trace_id"), F.col(own).alias("id")).agg(
-        F.min(up).alias("up"), F.array(step).alias("steps")
-    )
-    deep = stage(depths(spans, keys), "path-depth")
+    return _paths(stage(_links(spans, keys, F.min(label).alias("label")), "links", compression="zstd"))
+
+
+def _paths(links: DataFrame) -> DataFrame:
+    """``paths`` of staged rows that are one per (trace_id, id), with ``up`` and ``label``. Where no row has
+    a parent, all are tops and nothing is joined."""
+    links = links.withColumn("steps", F.array(F.struct("id", "label")))
+    if links.filter(F.col("up").isNotNull()).isEmpty():
+        return links.select(
+            "trace_id", "id", F.lit(0).cast("bigint").alias("depth"), F.col("id").alias("top"),
+            F.col("steps.label").alias("path"), F.col("steps.id").alias("ids"),
+        )
+    deep = stage(_depths(links), "path-depth")
     placed = links.join(deep, ["trace_id", "id"])
     tops = F.col("depth") == 0
     state = stage(
@@ -239,18 +258,60 @@ def path_profile(spans: DataFrame, label: str = "name") -> DataFrame:
     """Per path of labels (the call tree of all traces laid over each other) the number of
     spans, of traces, their total duration and the time that is not spent in children.
 
-    A path without spans of its own doesn't occur; spans in a parent cycle have no path.
+    A path without spans of its own doesn't occur; spans in a parent cycle have no path. Lists of labels are
+    built for parents only: a span without children takes its parent's and adds its own label, and one
+    without a parent needs nobody else's.
     """
-    found = paths(spans, label=label).filter(F.col("path").isNotNull())
-    timed = self_time(spans).select("trace_id", "id", "duration_us", "self_us")
+    nodes = _call_nodes(spans, label)
+    parents = nodes.filter("is_parent").select("trace_id", "id", "up", "label")
+    found = _paths(parents).select("trace_id", F.col("id").alias("at"), "path", F.lit(True).alias("_known"))
+    mine = F.array("label")
+    measured = ["trace_id", "path", "spans", "total_us", "self_us"]
+    tops = nodes.filter(F.col("up").isNull()).withColumn("path", mine).select(measured)
+    below = (
+        nodes.filter(F.col("up").isNotNull())
+        .withColumn("at", F.when(F.col("is_parent"), F.col("id")).otherwise(F.col("up")))
+        .join(found, ["trace_id", "at"], "left")
+        .withColumn(
+            "path",
+            F.when(F.col("is_parent"), F.col("path"))
+            .when(F.col("_known"), F.concat("path", mine))
+            .otherwise(mine),
+        )
+        .filter(F.col("path").isNotNull())
+        .select(measured)
+    )
     return (
-        found.select("trace_id", "id", "path").join(timed, ["trace_id", "id"])
+        tops.unionByName(below)
         .groupBy("path")
         .agg(
-            F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"),
-            F.sum("duration_us").alias("total_us"), F.sum("self_us").alias("self_us"),
+            F.sum("spans").alias("spans"), F.count_distinct("trace_id").alias("traces"),
+            F.sum("total_us").alias("total_us"), F.sum("self_us").alias("self_us"),
+        )
+    )
+
+
+def _call_nodes(spans: DataFrame, label: str) -> DataFrame:
+    """One staged row per (trace_id, id): parent, label, whether a span names it as its parent, the number of
+    copies, their durations and what their children leave of them."""
+    thin = spans.select("trace_id", "id", F.col("parent_id").alias("up"), F.col(label).alias("label"), "duration_us")
+    children = (
+        thin.filter(F.col("up").isNotNull())
+        .groupBy("trace_id", F.col("up").alias("id"))
+        .agg(F.sum("duration_us").alias("child_us"), F.lit(True).alias("_named"))
+    )
+    zero = F.lit(0).cast("bigint")
+    own_us = F.greatest(F.col("duration_us") - F.coalesce("child_us", zero), zero)
+    nodes = (
+        thin.filter(F.col("trace_id").isNotNull() & F.col("id").isNotNull())
+        .join(children, ID, "left")
+        .groupBy(ID)
+        .agg(
+            F.min("up").alias("up"), F.min("label").alias("label"), F.max("_named").isNotNull().alias("is_parent"),
+            F.count("*").alias("spans"), F.sum("duration_us").alias("total_us"), F.sum(own_us).alias("self_us"),
         )
     )
+    return stage(nodes, "call-nodes", compression="zstd")
 
 
 def service_map(spans: DataFrame) -> DataFrame:

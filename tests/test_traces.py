@@ -68,6 +68,38 @@ def test_depths_of_chains_orphans_and_cycles(rows):
     assert got["loop", "x"] == (None, None) and got["loop", "z"] == (None, None)
 
 
+def test_path_profile_of_copies_orphans_cycles_and_missing_ids(rows):
+    data = [
+        ("p", "a", None, "web", 0, 100), ("p", "b", "a", "api", 0, 30), ("p", "b", "a", "api", 0, 20),
+        ("p", "c", "b", "db", 0, 5), ("p", "d", "a", "api", 0, 7), ("p", None, "d", "db", 0, 3),
+        ("q", "a", None, "web", 0, 10), ("q", "x", "gone", "api", 0, 4), ("q", "y", "x", "db", 0, 9),
+        ("loop", "x", "y", "web", 0, 1), ("loop", "y", "x", "web", 0, 1), ("loop", "z", "x", "web", 0, 1),
+        ("loop", "s", "s", "web", 0, 1), ("r", "a", "c", None, 0, 6), (None, "a", None, "web", 0, 1),
+    ]
+    out = T.path_profile(tree(rows, data), "service_name").collect()
+    assert {tuple(r["path"]): tuple(r)[1:] for r in out} == {
+        ("web",): (2, 2, 110, 53), ("web", "api"): (3, 1, 57, 44), ("web", "api", "db"): (1, 1, 5, 5),
+        ("api",): (1, 1, 4, 0), ("api", "db"): (1, 1, 9, 9), (None,): (1, 1, 6, 6),
+    }
+
+
+def test_path_profile_moves_spans_without_children_once_to_their_parent(rows):
+    """Found by the round-3 review: every span's list went through each round and through a join of its own."""
+    data = [(f"t{i}", "a", None, "web", 0, 9) for i in range(50)]
+    data += [(f"t{i}", f"b{n}", "a", f"api{n}", 0, 2) for i in range(50) for n in range(3)]
+    staged = []
+    own = T.stage
+    T.stage = lambda df, label, **options: staged.append(label) or own(df, label, **options)
+    try:
+        out = T.path_profile(tree(rows, data), "service_name")
+    finally:
+        T.stage = own
+    assert staged == ["call-nodes"]
+    assert {tuple(r["path"]): r["traces"] for r in out.collect()} == {
+        ("web",): 50, ("web", "api0"): 50, ("web", "api1"): 50, ("web", "api2"): 50,
+    }
+
+
 def test_self_time_with_overlapping_children(rows):
     out = {(r["trace_id"], r["id"]): r["self_us"] for r in T.self_time(tree(rows, SAMPLE)).collect()}
     assert out["t1", "a"] == 40 and out["t1", "b"] == 25
