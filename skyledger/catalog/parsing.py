@@ -515,9 +515,9 @@ def every_dataset(spark, sf):
     )
     out = parse.parse_documents(docs, parsers.all_parsers())
     moved = sorted(c for c in out.columns if "__" in c)
-    filled = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in moved]))
+    filled = F.concat_ws(" ", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in moved])
     return (
-        out.withColumn("moved", F.array_join(filled, " "))
+        out.withColumn("moved", filled)
         .groupBy("dataset", F.col("parsed_as").alias("space"), "moved")
         .agg(F.min_by("log__level", "k").alias("level"), F.count("*").alias("n"))
     )

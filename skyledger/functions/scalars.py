@@ -122,12 +122,18 @@ def last_segment(value: Column) -> Column:
 
 # First and last character of something that may be JSON; settles most plain lines cheaply.
 _JSON_SHAPE = (
-    r"""^\s*(?:\{[\s\S]*\}|\[[\s\S]*\]|"[\s\S]*"|true|false|null|-?[0-9][0-9.eE+-]*)\s*$"""
+    r"""(?s)^\s*(?:\{.*\}|\[.*\]|".*"|true|false|null|-?[0-9][0-9.eE+-]*)\s*$"""
 )
 
 
-def strict_json(text: Column) -> Column:
-    """The text as VARIANT if it is one JSON value and nothing else, NULL otherwise.
+def _json_shape(text: Column) -> Column:
+    """Whether the text has that shape; one in bare braces or brackets is told by its ends, without reading it."""
+    ends = (text.startswith("{") & text.endswith("}")) | (text.startswith("[") & text.endswith("]"))
+    return ends | text.rlike(_JSON_SHAPE)
+
+
+def strict_json_list(text: Column) -> Column:
+    """A VARIANT list of the text alone if it is one JSON value and nothing else, NULL otherwise.
 
     The built-in parser stops after the first value, so a flow record such as ``2 1234 eni-1``
     would pass as the number 2. Text after the value has to be legal inside a list and inside an
@@ -135,9 +141,12 @@ def strict_json(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(
-        text.rlike(_JSON_SHAPE) & keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant")
-    )
+    return F.when(_json_shape(text) & keyed.isNotNull(), listed)
+
+
+def strict_json(text: Column) -> Column:
+    """The text as VARIANT if it is one JSON value and nothing else, NULL otherwise."""
+    return F.try_variant_get(strict_json_list(text), "$[0]", "variant")
 
 
 def json_field(text: Column, path: str, as_type: str = "string") -> Column:

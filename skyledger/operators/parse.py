@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.scalars import strict_json
+from skyledger.functions.scalars import strict_json, strict_json_list
 
 # The grok pattern names in use and the expressions they stand for.
 GROK_PATTERNS = {"DATA": r".*?", "NUMBER": r"[+-]?[0-9]+(?:\.[0-9]+)?|[+-]?\.[0-9]+"}
 GROK_TYPES = {"float": "double", "int": "bigint", "": "string"}
+VENDOR = "aws."
 _GROK_SLOT = re.compile(r"%\{(\w+)(?::([\w.]+))?(?::(\w+))?\}")
 
 
@@ -111,18 +112,19 @@ def parse_documents(
     Adds ``parsed_as`` (the namespace the JSON goes to), ``parsed`` (VARIANT, NULL for plain
     text) and one column per target field used by the chosen parsers, dots replaced by ``__``.
     ``existing`` maps target fields such as ``log.level`` to columns that may already hold them.
-    Datasets without a parser pass through. The message is parsed once per row.
+    Datasets without a parser pass through. The message is parsed once per row; fields are taken from that
+    parse, without a copy of its value.
     """
     existing = existing or {}
     text, ds = F.col(message), F.col(dataset)
-    spaces = F.create_map(*[F.lit(x) for p in parsers for x in (p.dataset, p.namespace)])
-    out = df.withColumn("parsed_as", F.try_element_at(spaces, ds))
-    out = out.withColumn("parsed", F.when(F.col("parsed_as").isNotNull(), json_value(text)))
+    out = df.withColumn("parsed_as", _namespace(ds, parsers))
+    out = out.withColumn("_list", F.when(F.col("parsed_as").isNotNull(), strict_json_list(text)))
+    out = out.withColumn("parsed", F.try_variant_get("_list", "$[0]", "variant"))
 
     moved: dict[str, Column] = {}
     for p in parsers:
         for key, target in p.renames:
-            value = F.try_variant_get(F.col("parsed"), f"$.{key}", "string")
+            value = F.try_variant_get(F.col("_list"), f"$[0].{key}", "string")
             moved[target] = F.when(ds == p.dataset, value).otherwise(
                 moved.get(target, F.lit(None).cast("string"))
             )
@@ -138,7 +140,19 @@ def parse_documents(
         if target in lowered:
             result = F.when(ds.isin(*lowered[target]), lowercase(result)).otherwise(result)
         columns[target.replace(".", "__")] = result
-    return out.withColumns(columns) if columns else out
+    return out.withColumns(columns).drop("_list")
+
+
+def _namespace(dataset: Column, parsers: list[Parser]) -> Column:
+    """The namespace of a dataset's parser. Most are the dataset without its vendor; a set finds those at once,
+    where a map is searched from its start for every row."""
+    plain = [p.dataset for p in parsers if p.namespace == f"{p.dataset.removeprefix(VENDOR)}.parsed"
+             and p.dataset.startswith(VENDOR)]
+    out = F.when(dataset.isin(plain), F.concat(F.substr(dataset, F.lit(len(VENDOR) + 1)), F.lit(".parsed")))
+    for p in parsers:
+        if p.dataset not in plain:
+            out = out.when(dataset == p.dataset, p.namespace)
+    return out
 
 
 def flow_record(message: Column) -> Column:

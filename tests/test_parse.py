@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.functions import scalars
 from skyledger.operators import parse
 from skyledger.plans import parsers
 
@@ -46,6 +47,27 @@ def test_nothing_may_follow_the_json_value(rows):
     assert [m for i, m in enumerate(good, len(bad)) if out[i]["parsed"] is None] == []
 
 
+def test_messages_are_told_by_their_ends(rows):
+    """An object or list in bare brackets is not read by the pattern; padded ones, texts and numbers still are."""
+    good = ['{"a":"\u2028\\n"}', "[]", ' \t\r\n{"a":\n1}\n', '"\u00e9\n"'.replace("\n", ""), "-0.5", "0"]
+    bad = ["{", "[", "{]", "[}", '"', "{a}", "\x0b{}", "{}\x0c", "{}\u2028", "\u00a0[]", '{"a":1}\x00', "[1]]", "01"]
+    out = parsed(rows, good + bad, dataset="aws.kms")
+    assert [out[i]["parsed"] is not None for i in range(len(good + bad))] == [True] * len(good) + [False] * len(bad)
+    shape = str(scalars._json_shape(F.col("m"))).lower()
+    assert "startswith" in shape.split("rlike")[0] and "rlike" in shape
+
+
+def test_namespace_of_every_dataset(rows):
+    every = parsers.all_parsers()
+    odd = [parse.Parser("own.kms", "g", "kms.parsed"), parse.Parser("plain", "g", "plain.parsed")]
+    asked = [(p.dataset,) for p in every + odd] + [("aws.none",), (None,)]
+    got = rows(asked, "d string").select("d", parse._namespace(F.col("d"), every + odd).alias("space")).collect()
+    assert {r["d"]: r["space"] for r in got} == {p.dataset: p.namespace for p in every + odd} | {
+        "aws.none": None, None: None,
+    }
+    assert rows([("a",)], "d string").select(F.isnull(parse._namespace(F.col("d"), odd))).first()[0]
+
+
 def test_datasets_without_parser_pass_through(rows):
     out = parsed(rows, ['{"a":1}'], dataset="own.dataset")
     assert out[0]["parsed_as"] is None and out[0]["parsed"] is None
